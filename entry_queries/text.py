@@ -94,7 +94,7 @@ def tokens_without_stop_words(spark, sf):
 # noun bases found in the vocabulary.
 def _base(ending: str, base: str) -> str:
     stem = f"left(word, length(word) - {len(ending)}) || '{base}'"
-    return f"SELECT word, {stem} AS lemma FROM v WHERE word LIKE '%{ending}' AND length(word) > {len(ending)}"
+    return f"SELECT word, {stem} AS lemma FROM v WHERE word LIKE '%{ending}'"
 
 
 _LEMMAS = f"""

@@ -76,7 +76,7 @@ def noun_lemmas(vocabulary: DataFrame, exceptions: DataFrame | None = None) -> D
     for ending, base in NOUN_ENDINGS:
         stem = F.left(word, F.length(word) - len(base))
         form = F.struct(F.concat(stem, F.lit(ending)).alias("word"), word.alias("lemma"))
-        forms.append(F.when(F.endswith(word, F.lit(base)) & (F.length(word) > len(base)), form))
+        forms.append(F.when(F.endswith(word, F.lit(base)), form))
     table = (
         vocabulary.select(F.inline(F.array_compact(F.array(*forms))))
         .groupBy("word")

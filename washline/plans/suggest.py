@@ -88,7 +88,7 @@ def suggest(profiled: DataFrame) -> DataFrame:
     width = high - low
     spread = F.try_divide(width, mean) * 100
     text = (F.col("dtype") == "string") & low.isNull()
-    share = F.try_divide(nulls, nulls + non_null) * 100
+    share = F.try_divide(nulls * 100.0, nulls + non_null)
     return _as_plan(profiled, [
         _step(nulls > 0, "fill_missing", F.format_string("%d missing values (%.1f%% of data)", nulls, share)),
         _step((mean > 0) & (spread > OUTLIER_RANGE_TO_MEAN), "remove_outliers", F.format_string(
