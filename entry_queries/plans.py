@@ -344,4 +344,4 @@ UNION ALL SELECT 'o_totalprice', count(o_totalprice) FROM orders""")
 def comparable_columns_orders(spark, sf):
     ran = ran_orders(spark, sf)
     names = quality.comparable_columns(derived(spark, sf, "dirty_orders"), ran.df)
-    return profile.per_column(ran.df, names, lambda n: {"n": F.count(n)}).drop("position")
+    return profile.per_column(ran.df, names, lambda _, n: {"n": F.count(n)}).drop("position")

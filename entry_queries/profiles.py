@@ -30,6 +30,11 @@ def union(columns, one) -> str:
     return "\nUNION ALL\n".join(one(i, n, t) for i, (n, t) in enumerate(columns))
 
 
+def key_sql(n: str) -> str:
+    """Short values order by themselves, long texts by their digest."""
+    return f"CASE WHEN length({n}) > 64 THEN '#' || sha256({n}) ELSE {n} END"
+
+
 def profile_sql(source: str, columns) -> str:
     def one(i, n, t):
         number = t in NUMERIC
@@ -38,8 +43,8 @@ def profile_sql(source: str, columns) -> str:
             for f, a in (("min", "min"), ("max", "max"), ("avg", "mean"), ("stddev_samp", "std"))
         )
         preview = "CAST(NULL AS VARCHAR)" if number else (
-            f"(SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {n} AS v FROM t "
-            f"WHERE {n} IS NOT NULL ORDER BY v LIMIT 50))"
+            f"(SELECT string_agg(v, '|' ORDER BY k) FROM (SELECT DISTINCT {n} AS v, {key_sql(n)} AS k FROM t "
+            f"WHERE {n} IS NOT NULL ORDER BY k LIMIT 50))"
         )
         distinct = "CAST(NULL AS BIGINT)" if number else f"count(DISTINCT {n})"
         return (
@@ -142,7 +147,7 @@ UNION ALL SELECT 'toxic', bool_and(toxic IN (0, 1)) FROM labels""")
 def binary_columns_labels(spark, sf):
     labels = table(spark, sf, "labels")
     return profile.per_column(
-        labels, labels.columns, lambda n: {"is_binary": typing.binary_test(labels, n)}
+        labels, labels.columns, lambda values, n: {"is_binary": typing.binary_test(values, n)}
     ).drop("position")
 
 
@@ -210,7 +215,7 @@ def top_sql(source: str, names: list[str], k: int, missing: str | None = None) -
         value = f"coalesce({n}, '{missing}')" if missing else n
         return (
             f"SELECT * FROM (SELECT '{n}' AS \"column\", "
-            f"row_number() OVER (ORDER BY count(*) DESC, {n} NULLS LAST) AS rank, "
+            f"row_number() OVER (ORDER BY count(*) DESC, {key_sql(n)} NULLS LAST) AS rank, "
             f"{value} AS value, count(*) AS n FROM ({source}) {where} GROUP BY {n}) WHERE rank <= {k}"
         )
     return "\nUNION ALL\n".join(one(n) for n in names)
@@ -366,3 +371,8 @@ def compare_before_after_skew(spark, sf):
     return rounded(quality.compare(before, numeric.handle_skewness(before)), 5)
 
 
+
+
+@query("top_values_documents", top_sql("SELECT * FROM documents", ["text", "lang", "source"], 5))
+def top_values_documents(spark, sf):
+    return rounded(profile.top_values(table(spark, sf, "documents")))

@@ -160,13 +160,16 @@ def tfidf_columns(spark, sf):
 WITH tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents)
 SELECT term, count(*) AS total, count(DISTINCT doc_id) AS documents FROM tokens GROUP BY term""")
 def tfidf_term_counts(spark, sf):
-    return rounded(tfidf.term_counts(table(spark, sf, "documents"), "text"))
+    df = table(spark, sf, "documents")
+    return rounded(tfidf.term_totals(df, "text").join(tfidf.document_counts(df, "text"), "term"))
 
 
 @query("tfidf_hashed")
 def tfidf_hashed(spark, sf):
-    weights = vector_to_array("tfidf_features")
-    return rounded(tfidf.tfidf_hashed(documents(spark, sf), "text").select("doc_id", weights.alias("weights")))
+    """Rows only: the slots come from Spark's own hash."""
+    vectors = tfidf.tfidf_hashed(documents(spark, sf), "text")
+    weights = F.posexplode(vector_to_array("tfidf_features")).alias("slot", "weight")
+    return rounded(vectors.select("doc_id", weights).where(F.col("weight") != 0))
 
 
 @query("text_gate_leaves_categories",

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROLE = "role"  # StructField.metadata key; values "label" and "onehot"
+TIDY = "tidy"  # StructField.metadata key: NaN is already NULL in this column
+LONG = 64  # texts above this many characters are counted by digest
 
 
 def col(name: str) -> Column:
@@ -67,8 +69,10 @@ def targets(df: DataFrame, column: str | Iterable[str] | None, eligible: list[st
 def present(df: DataFrame, name: str) -> Column:
     """The column with NaN read as missing, so that missing means NULL everywhere after."""
     c = col(name)
-    dtype = field(df, name).dataType
-    return F.nanvl(c, F.lit(None).cast(dtype)) if is_floating(dtype) else c
+    f = field(df, name)
+    if not is_floating(f.dataType) or f.metadata.get(TIDY):
+        return c
+    return F.nanvl(c, F.lit(None).cast(f.dataType))
 
 
 def number(df: DataFrame, name: str) -> Column:
@@ -76,6 +80,14 @@ def number(df: DataFrame, name: str) -> Column:
     return present(df, name).cast("double")
 
 
+def tidy(df: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
+    """The named columns with NaN as NULL, worked out once per row and not once per aggregate."""
+    return df.select(*[
+        present(df, n).alias(n, metadata={TIDY: True}) if is_floating(field(df, n).dataType) else col(n)
+        for n in (df.columns if names is None else names)
+    ])
+
+
 def replace_columns(df: DataFrame, new: dict[str, Column | list[Column] | None]) -> DataFrame:
     """One projection over the whole table: swap, expand or drop (None) the named columns."""
     out: list[Column] = []
@@ -96,7 +108,7 @@ def distinct_key(df: DataFrame, name: str) -> Column:
     """
     c = present(df, name)
     if isinstance(field(df, name).dataType, T.StringType):
-        return F.when(F.length(c) > 64, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c)
+        return F.when(F.length(c) > LONG, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c)
     return c
 
 

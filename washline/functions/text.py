@@ -7,14 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .words import BASIC_STOP_WORDS, SPACE
+from .words import BASIC_STOP_WORDS, SPACE_CLASS, SPACES
 
 DEFAULT_OPERATIONS = ("lowercase", "remove_special_chars", "remove_stopwords", "strip_whitespace")
+SPACE_RUN = f"(?U)[{SPACE_CLASS}]+"
+WORD = f"(?U)[^{SPACE_CLASS}]+"
 
 
 def tokens(c: Column) -> Column:
     """Whitespace tokens, none of them empty."""
-    return F.filter(F.split(c, f"[{SPACE}]+"), lambda w: w != "")
+    return F.filter(F.split(c, SPACE_RUN), lambda w: w != "")
+
+
+def token_count(c: Column) -> Column:
+    return F.regexp_count(c, F.lit(WORD))
 
 
 def lowercase(c: Column) -> Column:
@@ -22,7 +28,7 @@ def lowercase(c: Column) -> Column:
 
 
 def remove_special_chars(c: Column) -> Column:
-    return F.regexp_replace(c, f"[^a-zA-Z0-9{SPACE}]", "")
+    return F.regexp_replace(c, f"(?U)[^a-zA-Z0-9{SPACE_CLASS}]", "")
 
 
 def remove_stop_words(c: Column, words: Sequence[str] = BASIC_STOP_WORDS) -> Column:
@@ -35,11 +41,11 @@ def keep_words(words_array: Column, stop_words: Sequence[str]) -> Column:
 
 
 def strip_whitespace(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def remove_extra_spaces(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{SPACE}]+", " ")
+    return F.regexp_replace(c, SPACE_RUN, " ")
 
 
 def remove_numbers(c: Column) -> Column:
@@ -66,7 +72,7 @@ def clean(c: Column, operations: Sequence[str] = DEFAULT_OPERATIONS) -> Column:
 
 def letters_only(c: Column, null_as: str | None = "") -> Column:
     """Lower case, keep a-z and spaces, collapse runs of spaces, strip."""
-    kept = F.regexp_replace(F.lower(c), f"[^a-z{SPACE}]", "")
+    kept = F.regexp_replace(F.lower(c), f"(?U)[^a-z{SPACE_CLASS}]", "")
     out = strip_whitespace(remove_extra_spaces(kept))
     return out if null_as is None else F.coalesce(out, F.lit(null_as))
 

@@ -48,8 +48,13 @@ LOOSE_CATEGORIES = [
     "High", "Medium", "Low",
 ]
 
-# Fixed value: the characters Python counts as whitespace, as a regex class body.
-SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The characters Python counts as whitespace, as text and as a (?U) regex class body.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
+    "           "
+    "    　"
+)
+SPACE_CLASS = r"\s\x1c-\x1f"
 
 # English noun endings, (ending, replacement).
 NOUN_ENDINGS = [

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
-    col, number, numeric_columns, present, replace_columns, scalar_columns, string_columns, targets,
+    col, number, numeric_columns, present, replace_columns, scalar_columns, string_columns, targets, tidy,
 )
 from ..functions.stats import correlation
 from ..functions.text import first_category
 from ..functions.words import LOOSE_CATEGORIES, STRICT_CATEGORIES
-from .counts import top_counts, value_text
+from .counts import long_columns, picked_values, top_counts
 from .fit import scalars
 from .numeric import fences
 from .profile import per_column
@@ -32,6 +32,7 @@ def histogram(df: DataFrame, column=None, bins: int = BINS) -> DataFrame:
     """``(column, bin, low, high, n)``: equal-width bins between minimum and maximum, the last
     one closed; a column with one value has one bin. Empty bins have no row."""
     names = targets(df, column, numeric_columns(df))
+    df = tidy(df, names)
     wanted = {(n, "min"): F.min(number(df, n)) for n in names}
     wanted |= {(n, "max"): F.max(number(df, n)) for n in names}
     seen = scalars(df, wanted)
@@ -68,9 +69,9 @@ def box_plot(df: DataFrame, column=None, approx: bool = False) -> DataFrame:
     q = quantiles(df, {n: [0.25, 0.5, 0.75] for n in names}, approx=approx)
     names = [n for n in names if q[n][0.5] is not None]
 
-    def measures(n: str) -> dict[str, Column]:
+    def measures(values: DataFrame, n: str) -> dict[str, Column]:
         low, high = fences(q[n][0.25], q[n][0.75])
-        v = number(df, n)
+        v = number(values, n)
         inside = F.when((v >= F.lit(low)) & (v <= F.lit(high)), v)
         return {
             "q1": F.lit(q[n][0.25]), "median": F.lit(q[n][0.5]), "q3": F.lit(q[n][0.75]),
@@ -87,15 +88,16 @@ def top_categories(
     """``(column, rank, value, n)`` for the first ten string columns, missing values labelled."""
     names = string_columns(df)[:CHART_COLUMNS] if column is None \
         else targets(df, column, scalar_columns(df))
-    counted = top_counts(df, names, k, with_missing=True)
-    value = F.coalesce(value_text(df, names), F.lit(missing_label))
-    return counted.select("column", "rank", value.alias("value"), "n")
+    top = top_counts(df, names, k, with_missing=True, by_digest=True)
+    shown = picked_values(df, names, top, long_columns(df, names))
+    value = F.coalesce("value", F.lit(missing_label))
+    return shown.select("column", "rank", value.alias("value"), "n")
 
 
 def correlations(df: DataFrame, column=None) -> DataFrame:
     """``(col_a, col_b, corr)`` for every ordered pair of numeric columns, in one aggregate."""
     names = targets(df, column, numeric_columns(df))
-    rows = []
+    df, rows = tidy(df, names), []
     for i, a in enumerate(names):
         for b in names[i:]:
             value = correlation(number(df, a), number(df, b))
@@ -121,7 +123,7 @@ def missing_counts(df: DataFrame) -> DataFrame:
     """``(column, missing)`` for every column."""
     names = scalar_columns(df)
     return per_column(
-        df, names, lambda n: {"missing": F.count_if(present(df, n).isNull())}
+        df, names, lambda values, n: {"missing": F.count_if(present(values, n).isNull())}
     ).drop("position")
 
 

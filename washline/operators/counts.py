@@ -7,18 +7,23 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import present
+from ..functions.columns import LONG, col, distinct_key, present, string_columns
+from .fit import scalars
 
 
-def value_counts(df: DataFrame, names: list[str], with_missing: bool = False) -> DataFrame:
+def value_counts(
+    df: DataFrame, names: list[str], with_missing: bool = False, by_digest: bool = False
+) -> DataFrame:
     """Columns ``column``, ``n`` and ``v0 .. vk``: one row per column and value.
 
-    ``v<i>`` holds the value (own type) on the rows of the i-th name and is NULL elsewhere. One
+    ``v<i>`` holds the value (own type) on the rows of the i-th name and is NULL elsewhere; with
+    ``by_digest`` it holds the ``distinct_key``, so that long texts are not shuffled. One
     grouping-sets aggregate: values are counted on the map side first, so a value that fills
     most of the table sends one row per task.
     """
     keys = [f"v{i}" for i in range(len(names))]
-    values = df.select(*[present(df, name).alias(k) for name, k in zip(names, keys)])
+    value = distinct_key if by_digest else present
+    values = df.select(*[value(df, name).alias(k) for name, k in zip(names, keys)])
     named = F.when(F.lit(False), F.lit(None).cast("string"))
     missing = F.lit(False)
     for name, k in zip(names, keys):
@@ -32,16 +37,62 @@ def value_counts(df: DataFrame, names: list[str], with_missing: bool = False) ->
     return counted.drop("__missing")
 
 
+def distinct_counts(df: DataFrame, names: list[str], approx: bool = False) -> dict[str, int]:
+    """Distinct present values per column.
+
+    Exact counts come from the grouping-sets table and not from ``count_distinct`` next to other
+    aggregates, which would expand every row once per column with all its other inputs.
+    """
+    if not names:
+        return {}
+    if approx:
+        return scalars(df, {n: F.approx_count_distinct(distinct_key(df, n)) for n in names})
+    counted = value_counts(df, names, by_digest=True).groupBy("column").agg(F.count(F.lit(1)))
+    return {n: 0 for n in names} | dict(counted.collect())  # one row per column
+
+
+def long_columns(df: DataFrame, names: list[str]) -> list[str]:
+    """String columns with a value above ``LONG`` characters."""
+    strings = [n for n in names if n in string_columns(df)]
+    longest = scalars(df, {n: F.max(F.length(col(n))) for n in strings})
+    return [n for n in strings if (longest[n] or 0) > LONG]
+
+
+def picked_values(df: DataFrame, names: list[str], picked: DataFrame, long: list[str]) -> DataFrame:
+    """Add ``value`` to a bounded selection of ``by_digest`` counts.
+
+    A key is the value itself unless that is long; the few long ones picked are looked up by
+    their digest in one more scan of the long columns.
+    """
+    keyed = picked.withColumn("__key", value_text(df, names))
+    if not long:
+        return keyed.withColumnRenamed("__key", "value")
+    texts = df.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("column"), distinct_key(df, n).alias("__key"), col(n).alias("__text"))
+        for n in long
+    ]))).where(F.startswith("__key", F.lit("#")))
+    wanted = keyed.where(F.startswith("__key", F.lit("#"))).select("column", "__key")
+    found = (
+        texts.join(F.broadcast(wanted), ["column", "__key"])
+        .groupBy("column", "__key").agg(F.any_value("__text").alias("__text"))
+    )
+    return keyed.join(F.broadcast(found), ["column", "__key"], "left").withColumn(
+        "value", F.coalesce("__text", "__key")
+    ).drop("__key", "__text")
+
+
 def value_text(df: DataFrame, names: list[str]) -> Column:
     """The value of a ``value_counts`` row as text."""
     return F.coalesce(*[F.col(f"v{i}").cast("string") for i in range(len(names))])
 
 
-def top_counts(df: DataFrame, names: list[str], k: int, with_missing: bool = False) -> DataFrame:
+def top_counts(
+    df: DataFrame, names: list[str], k: int, with_missing: bool = False, by_digest: bool = False
+) -> DataFrame:
     """The ``k`` most frequent values per column with ``rank``; ties go to the smaller value."""
     keys = [F.col(f"v{i}").asc_nulls_last() for i in range(len(names))]
     place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), *keys))
-    counted = value_counts(df, names, with_missing)
+    counted = value_counts(df, names, with_missing, by_digest)
     return counted.withColumn("rank", place).where(F.col("rank") <= k)
 
 

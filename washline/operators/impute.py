@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
-    col, field, is_numeric, number, present, replace_columns, scalar_columns, targets,
+    col, field, is_numeric, number, present, replace_columns, scalar_columns, targets, tidy,
 )
 from .counts import modes
 from .fit import scalars
@@ -50,17 +50,16 @@ def fit_impute(
     if strategy in ("forward_fill", "backward_fill"):
         raise ValueError(f"{strategy} has no fill value to fit; use ordered_fill")
     names = targets(df, column, scalar_columns(df))
-    wanted = {}
+    values, wanted = tidy(df, names), {}
     for name in names:
-        wanted[name, "missing"] = F.count_if(present(df, name).isNull())
-        wanted[name, "count"] = F.count(present(df, name))
+        wanted[name, "missing"] = F.count_if(present(values, name).isNull())
+        wanted[name, "count"] = F.count(present(values, name))
         if is_numeric(field(df, name).dataType):
-            value = number(df, name)
-            wanted[name, "mean"] = F.avg(value)
-            wanted[name, "far"] = F.greatest(
-                F.max(value) - F.avg(value), F.avg(value) - F.min(value)
-            ) / F.when(F.stddev(value) > 0, F.stddev(value))
-    seen = scalars(df, wanted)
+            v = number(values, name)
+            wanted[name, "mean"] = F.avg(v)
+            far = F.greatest(F.max(v) - F.avg(v), F.avg(v) - F.min(v))
+            wanted[name, "far"] = far / F.when(F.stddev(v) > 0, F.stddev(v))
+    seen = scalars(values, wanted)
 
     chosen: dict[str, str] = {}
     for name in names:

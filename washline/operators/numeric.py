@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
-    field, is_floating, number, numeric_columns, present, replace_columns, targets,
+    field, is_floating, number, numeric_columns, present, replace_columns, targets, tidy,
 )
 from ..functions.stats import skewness
 from .fit import scalars
@@ -70,9 +70,10 @@ def handle_skewness(df: DataFrame, column=None, threshold: float = SKEW_THRESHOL
 
 def fit_skewness(df: DataFrame, column=None, threshold: float = SKEW_THRESHOLD) -> dict[str, Any]:
     names = targets(df, column, numeric_columns(df))
-    wanted = {(n, "skew"): skewness(number(df, n)) for n in names}
-    wanted |= {(n, "min"): F.min(number(df, n)) for n in names}
-    seen = scalars(df, wanted)
+    values = tidy(df, names)
+    wanted = {(n, "skew"): skewness(number(values, n)) for n in names}
+    wanted |= {(n, "min"): F.min(number(values, n)) for n in names}
+    seen = scalars(values, wanted)
     params = {}
     for n in names:
         if seen[n, "skew"] is not None and abs(seen[n, "skew"]) > threshold:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import (
-    col, distinct_key, field, is_numeric, is_scalar, no_value, number, numeric_columns, present,
-    scalar_columns, string_columns,
+    LONG, col, field, is_numeric, is_scalar, no_value, number, numeric_columns, present,
+    scalar_columns, string_columns, tidy,
 )
-from .counts import top_counts, value_counts, value_text
+from .counts import distinct_counts, long_columns, picked_values, top_counts, value_counts
+from .fit import scalars
 from .quantiles import quantiles
 
 # Report sizes.
@@ -23,76 +26,98 @@ SAMPLE_SEED = 42
 
 
 def per_column(df: DataFrame, names: list[str], measures) -> DataFrame:
-    """One row per name from a single aggregate: ``measures(name)`` gives its labelled columns."""
+    """One row per name from a single aggregate: ``measures(tidy table, name)`` gives its columns."""
     if not names:
         raise ValueError("no columns to describe")
+    values = tidy(df, names)
     rows = [
         F.struct(
             F.lit(i).alias("position"), F.lit(n).alias("column"),
-            *[e.alias(k) for k, e in measures(n).items()],
+            *[e.alias(k) for k, e in measures(values, n).items()],
         )
         for i, n in enumerate(names)
     ]
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return values.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def _present(df: DataFrame, name: str) -> Column:
     return present(df, name) if is_scalar(field(df, name).dataType) else col(name)
 
 
-def _distinct(df: DataFrame, name: str, approx: bool) -> Column:
-    if not is_scalar(field(df, name).dataType):
-        return no_value("bigint")
-    count = F.approx_count_distinct if approx else F.count_distinct
-    return count(distinct_key(df, name))
-
-
 def _kind(df: DataFrame, name: str) -> str:
     return "numerical" if is_numeric(field(df, name).dataType) else "categorical"
 
 
 def _moments(df: DataFrame, name: str) -> dict[str, Column]:
-    """min, max, mean and std of a numeric column, typed NULLs for any other."""
+    """min, max, mean and std of a numeric column."""
     if not is_numeric(field(df, name).dataType):
-        return {k: no_value("double") for k in ("min", "max", "mean", "std")}
+        return {}
     v = number(df, name)
     return {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "std": F.stddev(v)}
 
 
+def statistics(df: DataFrame, names: list[str], measures) -> dict[str, dict[str, Any]]:
+    """``measures(tidy table, name)`` of every name, in one scan."""
+    values = tidy(df, names)
+    found = scalars(values, {(n, k): e for n in names for k, e in measures(values, n).items()})
+    out: dict[str, dict[str, Any]] = {n: {} for n in names}
+    for (n, k), value in found.items():
+        out[n][k] = value
+    return out
+
+
+def _basics(values: DataFrame, n: str) -> dict[str, Column]:
+    v = _present(values, n)
+    basics = {"non_null": F.count(v), "nulls": F.count_if(v.isNull()), **_moments(values, n)}
+    if isinstance(field(values, n).dataType, T.StringType):
+        basics["longest"] = F.max(F.length(v))
+    return basics
+
+
+PROFILE_SCHEMA = (
+    "position int, column string, dtype string, kind string, non_null bigint, nulls bigint, "
+    "min double, max double, mean double, std double, unique_count bigint"
+)
+
+
 def profile(df: DataFrame, preview: int | None = MAX_UNIQUE_PREVIEW, approx: bool = False) -> DataFrame:
     """dtype, counts, and min/max/mean/std or distinct count and a preview of distinct values.
 
-    ``preview`` distinct values, the smallest ones, cost a second pass; None or 0 leaves them out.
+    One scan gives the statistics, one shuffle of counted values gives distinct counts and the
+    preview: the first ``preview`` values in order, long texts in order of their digest. With
+    ``preview=None`` there is none.
     """
-    def measures(n: str) -> dict[str, Column]:
-        v = _present(df, n)
-        other = not is_numeric(field(df, n).dataType)
-        return {
-            "dtype": F.lit(field(df, n).dataType.simpleString()),
-            "kind": F.lit(_kind(df, n)),
-            "non_null": F.count(v),
-            "nulls": F.count_if(v.isNull()),
-            **_moments(df, n),
-            "unique_count": _distinct(df, n, approx) if other else no_value("bigint"),
-        }
-
-    base = per_column(df, df.columns, measures)
     names = [n for n in scalar_columns(df) if not is_numeric(field(df, n).dataType)]
+    seen = statistics(df, df.columns, _basics)
+    distinct = distinct_counts(df, names, approx) if approx or not preview else {}
+    rows = [
+        (i, n, field(df, n).dataType.simpleString(), _kind(df, n),
+         *[seen[n].get(k) for k in ("non_null", "nulls", "min", "max", "mean", "std")], distinct.get(n))
+        for i, n in enumerate(df.columns)
+    ]
+    base = df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)  # one row per column
     if not preview or not names:
         return base.withColumn("sample_unique", no_value("array<string>"))
-    return base.join(F.broadcast(_previews(df, names, preview)), "column", "left").select(
-        *base.columns, "sample_unique"
+    long = [n for n in names if (seen[n].get("longest") or 0) > LONG]
+    known = F.coalesce(base["unique_count"], "__distinct", F.when(F.col("column").isin(names), 0))
+    return base.join(F.broadcast(_previews(df, names, preview, long)), "column", "left").select(
+        *[F.col(c) for c in base.columns if c != "unique_count"],
+        known.cast("bigint").alias("unique_count"), "sample_unique",
     )
 
 
-def _previews(df: DataFrame, names: list[str], k: int) -> DataFrame:
+def _previews(df: DataFrame, names: list[str], k: int, long: list[str]) -> DataFrame:
+    """``(column, __distinct, sample_unique)``; both sides read the same shuffled counts."""
+    counted = value_counts(df, names, by_digest=True)
+    totals = counted.groupBy("column").agg(F.count(F.lit(1)).alias("__distinct"))
     keys = [F.col(f"v{i}").asc_nulls_last() for i in range(len(names))]
     place = F.row_number().over(Window.partitionBy("column").orderBy(*keys))
-    first = value_counts(df, names).withColumn("place", place).where(F.col("place") <= k)
-    pair = F.struct("place", value_text(df, names).alias("value"))
-    return first.groupBy("column").agg(  # at most k rows per column
+    first = counted.withColumn("place", place).where(F.col("place") <= k)
+    pair = F.struct("place", "value")
+    shown = picked_values(df, names, first, long).groupBy("column").agg(  # k rows per column
         F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["value"]).alias("sample_unique")
     )
+    return totals.join(F.broadcast(shown), "column", "left")
 
 
 def column_samples(
@@ -141,38 +166,40 @@ def overview(df: DataFrame) -> DataFrame:
     )
 
 
+ANALYSIS_SCHEMA = (
+    "position int, column string, dtype string, non_null bigint, null_count bigint, "
+    "null_percentage double, unique_count bigint, unique_percentage double, mean double, "
+    "median double, std double, min double, max double"
+)
+
+
 def column_analysis(df: DataFrame, approx: bool = False) -> DataFrame:
     """Counts, shares, distinct values and, for numbers, mean, median, std, min and max."""
+    seen = statistics(df, df.columns, _basics)
     numeric = numeric_columns(df)
-    medians = {
-        n: q[0.5] for n, q in quantiles(df, {n: [0.5] for n in numeric}, approx=approx).items()
-    }
-
-    def measures(n: str) -> dict[str, Column]:
-        v, rows = _present(df, n), F.count(F.lit(1))
-        nulls, distinct = F.count_if(v.isNull()), _distinct(df, n, approx)
-        moments = _moments(df, n)
-        return {
-            "dtype": F.lit(field(df, n).dataType.simpleString()),
-            "non_null": F.count(v),
-            "null_count": nulls,
-            "null_percentage": F.try_divide(nulls * 100.0, rows),
-            "unique_count": distinct,
-            "unique_percentage": F.try_divide(distinct * 100.0, rows),
-            "mean": moments["mean"],
-            "median": F.lit(medians.get(n)).cast("double"),
-            "std": moments["std"],
-            "min": moments["min"],
-            "max": moments["max"],
-        }
-
-    return per_column(df, df.columns, measures)
+    counts = {n: seen[n]["non_null"] for n in numeric}
+    medians = quantiles(df, {n: [0.5] for n in numeric}, counts, approx)
+    distinct = distinct_counts(df, scalar_columns(df), approx)
+
+    def share(part: int | None, n: str) -> float | None:
+        rows = seen[n]["non_null"] + seen[n]["nulls"]
+        return part * 100.0 / rows if rows and part is not None else None
+
+    rows = [
+        (i, n, field(df, n).dataType.simpleString(), seen[n]["non_null"], seen[n]["nulls"],
+         share(seen[n]["nulls"], n), distinct.get(n), share(distinct.get(n), n),
+         seen[n].get("mean"), medians.get(n, {}).get(0.5), seen[n].get("std"), seen[n].get("min"),
+         seen[n].get("max"))
+        for i, n in enumerate(df.columns)
+    ]
+    return df.sparkSession.createDataFrame(rows, ANALYSIS_SCHEMA)  # one row per column
 
 
 def top_values(df: DataFrame, k: int = TOP_VALUES, names: Sequence[str] | None = None) -> DataFrame:
     """``(column, rank, value, n)``: the most frequent present values of non-numeric columns."""
     names = list(names or [n for n in scalar_columns(df) if not is_numeric(field(df, n).dataType)])
-    return top_counts(df, names, k).select("column", "rank", value_text(df, names).alias("value"), "n")
+    top = top_counts(df, names, k, by_digest=True)
+    return picked_values(df, names, top, long_columns(df, names)).select("column", "rank", "value", "n")
 
 
 def analysis_from_profile(profiled: DataFrame) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import (
-    distinct_key, numeric_columns, number, string_columns,
-)
+from ..functions.columns import number, numeric_columns, string_columns, tidy
 from ..functions.stats import kurtosis, skewness
+from .counts import distinct_counts
+from .fit import scalars
 from .numeric import fences
-from .profile import overview, per_column
+from .profile import overview, statistics
 from .quantiles import quantiles
 from .rows import fit_constant
 
@@ -56,37 +56,28 @@ def recommendations(df: DataFrame, approx: bool = False) -> DataFrame:
     ``skewed`` (skewness), ``outliers`` (rows beyond the fences), or the one rule ``good_condition``.
     """
     numeric, strings = numeric_columns(df), string_columns(df)
-    q = quantiles(df, {n: [0.25, 0.75] for n in numeric}, approx=approx)
-    rows = F.count(F.lit(1))
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    found = []
-
-    def finding(rule: str, name: str, hit: Column, measure: Column) -> None:
-        found.append(F.when(hit, F.struct(
-            F.lit(rule).alias("rule"), F.lit(name).alias("column"),
-            measure.cast("double").alias("measure"),
-        )))
-
-    for n in strings:
-        d = distinct(distinct_key(df, n))
-        finding("high_cardinality", n, d > rows * HIGH_CARDINALITY, F.try_divide(d.cast("double"), rows))
-    for n in numeric:
-        g = skewness(number(df, n))
-        finding("skewed", n, F.abs(g) > HIGH_SKEW, g)
-    for n in numeric:
-        if q[n][0.25] is None:
-            continue
-        low, high = fences(q[n][0.25], q[n][0.75])
-        v = number(df, n)
-        beyond = F.count_if((v < F.lit(low)) | (v > F.lit(high)))
-        finding("outliers", n, beyond > rows * OUTLIER_SHARE, beyond)
-    good = F.array(F.struct(
-        F.lit("good_condition").alias("rule"), F.lit(None).cast("string").alias("column"),
-        F.lit(None).cast("double").alias("measure"),
-    ))
-    findings = F.array_compact(F.array(*found)) if found else good
-    return df.agg(findings.alias("f")).select(
-        F.inline(F.when(F.size("f") > 0, F.col("f")).otherwise(good))
+    values = tidy(df, numeric)
+    wanted = {(n, "skew"): skewness(number(values, n)) for n in numeric}
+    wanted |= {(n, "count"): F.count(number(values, n)) for n in numeric}
+    seen = scalars(values, {"rows": F.count(F.lit(1)), **wanted})
+    rows = seen["rows"]
+    q = quantiles(df, {n: [0.25, 0.75] for n in numeric}, {n: seen[n, "count"] for n in numeric}, approx)
+    limits = {n: fences(q[n][0.25], q[n][0.75]) for n in numeric if q[n][0.25] is not None}
+    beyond = scalars(values, {
+        n: F.count_if((number(values, n) < F.lit(low)) | (number(values, n) > F.lit(high)))
+        for n, (low, high) in limits.items()
+    })
+    distinct = distinct_counts(df, strings, approx)
+    found = [
+        ("high_cardinality", n, d / rows) for n, d in distinct.items() if d > rows * HIGH_CARDINALITY
+    ]
+    found += [
+        ("skewed", n, seen[n, "skew"]) for n in numeric
+        if seen[n, "skew"] is not None and abs(seen[n, "skew"]) > HIGH_SKEW
+    ]
+    found += [("outliers", n, float(k)) for n, k in beyond.items() if k > rows * OUTLIER_SHARE]
+    return df.sparkSession.createDataFrame(  # at most two rows per column
+        found or [("good_condition", None, None)], "rule string, column string, measure double"
     )
 
 
@@ -111,19 +102,22 @@ def comparable_columns(before: DataFrame, after: DataFrame) -> list[str]:
     return sorted(set(numeric_columns(before)) & set(numeric_columns(after)))
 
 
+STATISTICS = (
+    "column string, count bigint, missing bigint, missing_pct double, mean double, median double, "
+    "std double, min double, max double, range double, skewness double, kurtosis double"
+)
+
+
 def column_statistics(df: DataFrame, names: list[str], approx: bool = False) -> DataFrame:
     """Count, missing, mean, median, std, min, max, range, skewness and kurtosis per column."""
-    medians = quantiles(df, {n: [0.5] for n in names}, approx=approx)
-
-    def measures(n: str) -> dict[str, Column]:
-        v = number(df, n)
+    def measures(values: DataFrame, n: str) -> dict[str, Column]:
+        v = number(values, n)
         missing = F.count_if(v.isNull())
         return {
             "count": F.count(v),
             "missing": missing,
             "missing_pct": F.try_divide(missing * 100.0, F.count(F.lit(1))),
             "mean": F.avg(v),
-            "median": F.lit(medians[n][0.5]).cast("double"),
             "std": F.stddev(v),
             "min": F.min(v),
             "max": F.max(v),
@@ -132,7 +126,13 @@ def column_statistics(df: DataFrame, names: list[str], approx: bool = False) ->
             "kurtosis": kurtosis(v),
         }
 
-    return per_column(df, names, measures).drop("position")
+    seen = statistics(df, names, measures)
+    medians = quantiles(df, {n: [0.5] for n in names}, {n: seen[n]["count"] for n in names}, approx)
+    fields = [f.split()[0] for f in STATISTICS.split(", ")]
+    rows = [
+        tuple({"column": n, "median": medians[n][0.5], **seen[n]}[f] for f in fields) for n in names
+    ]
+    return df.sparkSession.createDataFrame(rows, STATISTICS)  # one row per column
 
 
 def compare(before: DataFrame, after: DataFrame, approx: bool = False) -> DataFrame:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import number
+from ..functions.columns import number, tidy
 from .fit import scalars
 
 SMALL = 200_000
@@ -59,6 +59,7 @@ def quantiles(
     """
     if not wanted:
         return {}
+    df = tidy(df, wanted)
     values = {name: number(df, name) for name in wanted}
     if approx:
         found = scalars(df, {

@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import number, numeric_columns, replace_columns, targets
+from ..functions.columns import number, numeric_columns, replace_columns, targets, tidy
 from .fit import scalars
 from .quantiles import quantiles
 
@@ -44,8 +44,9 @@ def fit_scale(
             (lambda v: F.min(v), lambda v: F.max(v) - F.min(v)) if method == "minmax"
             else (lambda v: F.avg(v), lambda v: F.stddev(v))
         )
-        seen = scalars(df, {
-            (n, part): f(number(df, n)) for n in names for part, f in zip(("centre", "spread"), pair)
+        values = tidy(df, names)
+        seen = scalars(values, {
+            (n, part): f(number(values, n)) for n in names for part, f in zip(("centre", "spread"), pair)
         })
         found = {n: (seen[n, "centre"], seen[n, "spread"]) for n in names}
     else:

@@ -101,13 +101,20 @@ def lemmatize(
     A table of at most ``max_broadcast`` rows is broadcast and rows never move. A larger one is
     joined token by token, which needs ``key`` columns that identify a row.
     """
-    names = text_columns(df, column, gate)
-    if not names:
+    if not text_columns(df, column, gate):
         return df
-    words = text.tokens(col(column))
-    if _fits(lemmas, max_broadcast):
-        return replace_columns(df, {column: F.array_join(_looked_up(df, words, lemmas), " ")})
-    return _joined_lemmas(df, column, lemmas, key)
+    table = _small_table(lemmas, max_broadcast)
+    if table is None:
+        return _joined_lemmas(df, column, lemmas, key)
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("string")
+    def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        get = shared.value.get
+        for batch in batches:  # str.split() is the whitespace rule of text.tokens
+            yield batch.map(lambda t: None if t is None else " ".join([get(w, w) for w in t.split()]))
+
+    return replace_columns(df, {column: look_up(col(column))})
 
 
 def lemmatize_words(
@@ -115,17 +122,9 @@ def lemmatize_words(
     max_broadcast: int = MAX_BROADCAST_LEMMAS,
 ) -> DataFrame:
     """Add the lemmas of a token array as an array column."""
-    if not _fits(lemmas, max_broadcast):
+    table = _small_table(lemmas, max_broadcast)
+    if table is None:
         raise ValueError(f"a token array needs a lemma table of at most {max_broadcast} rows")
-    return df.withColumn(output_col, _looked_up(df, col(tokens_col), lemmas))
-
-
-def _fits(lemmas: DataFrame, limit: int) -> bool:
-    return lemmas.limit(limit + 1).count() <= limit
-
-
-def _looked_up(df: DataFrame, words: Column, lemmas: DataFrame) -> Column:
-    table = {r["word"]: r["lemma"] for r in lemmas.select("word", "lemma").collect()}
     shared = df.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("array<string>")
@@ -134,7 +133,16 @@ def _looked_up(df: DataFrame, words: Column, lemmas: DataFrame) -> Column:
         for batch in batches:
             yield batch.map(lambda ws: None if ws is None else [get(w, w) for w in ws])
 
-    return look_up(words)
+    return df.withColumn(output_col, look_up(col(tokens_col)))
+
+
+def _small_table(lemmas: DataFrame, limit: int) -> dict[str, str] | None:
+    """The lemma table as a dict, or None above ``limit`` rows; words that stay are left out."""
+    changing = lemmas.select("word", "lemma").where(F.col("word") != F.col("lemma"))
+    rows = changing.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        return None
+    return dict(zip(rows["word"].to_pylist(), rows["lemma"].to_pylist()))
 
 
 def _joined_lemmas(df: DataFrame, column: str, lemmas: DataFrame, key) -> DataFrame:

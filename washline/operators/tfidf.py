@@ -23,41 +23,33 @@ def terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
-def term_counts(df: DataFrame, column: str) -> DataFrame:
-    """``(term, total, documents)`` over the whole column, in one scan and one shuffle.
+def term_totals(df: DataFrame, column: str) -> DataFrame:
+    """``(term, total)``: occurrences over the whole column."""
+    exploded = df.select(F.explode(terms(col(column))).alias("term"))
+    return exploded.groupBy("term").agg(F.count(F.lit(1)).alias("total"))
 
-    Every occurrence counts once for the total, every term of a row's distinct terms once for
-    the documents; both are summed on the map side before the shuffle.
-    """
+
+def document_counts(df: DataFrame, column: str, wanted: list[str] | None = None) -> DataFrame:
+    """``(term, documents)``: rows that hold a term, for all terms or the wanted ones."""
     found = terms(col(column))
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    marks = F.concat(
-        F.transform(found, lambda t: F.struct(t.alias("term"), one.alias("t"), none.alias("d"))),
-        F.transform(
-            F.array_distinct(found),
-            lambda t: F.struct(t.alias("term"), none.alias("t"), one.alias("d")),
-        ),
-    )
-    return (
-        df.select(F.inline(marks))
-        .groupBy("term")
-        .agg(F.sum("t").alias("total"), F.sum("d").alias("documents"))
-    )
+    distinct = F.array_distinct(found) if wanted is None else F.array_intersect(found, F.lit(wanted))
+    exploded = df.select(F.explode(distinct).alias("term"))
+    return exploded.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def fit_tfidf(df: DataFrame, column: str, max_features: int = 100) -> dict[str, Any]:
-    """The most used terms in term order, with smoothed inverse document frequencies."""
+    """The most used terms in term order, with smoothed inverse document frequencies.
+
+    Two scans: totals of every term, then document counts of the chosen terms only.
+    """
+    top = term_totals(df, column).orderBy(F.desc("total"), "term").limit(max_features).collect()
+    chosen = sorted(r["term"] for r in top)  # max_features rows
+    if not chosen:
+        return {"column": column, "terms": [], "idf": []}
     rows = df.count()
-    weight = F.log((1 + F.lit(rows)) / (1 + F.col("documents"))) + 1
-    top = (
-        term_counts(df, column)
-        .orderBy(F.desc("total"), "term")
-        .limit(max_features)
-        .select("term", weight.alias("idf"))
-        .collect()  # max_features rows
-    )
-    top.sort(key=lambda r: r["term"])
-    return {"column": column, "terms": [r["term"] for r in top], "idf": [r["idf"] for r in top]}
+    idf = F.log((1 + F.lit(rows)) / (1 + F.col("documents"))) + 1
+    weights = dict(document_counts(df, column, chosen).select("term", idf).collect())
+    return {"column": column, "terms": chosen, "idf": [weights[t] for t in chosen]}
 
 
 def apply_tfidf(df: DataFrame, params: dict[str, Any], keep_original: bool = False) -> DataFrame:

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import re
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
-    col, distinct_key, field, is_datetime, is_numeric, number, string_columns, targets,
+    col, field, is_datetime, is_numeric, number, string_columns, targets,
 )
-from ..functions.text import tokens
+from ..functions.text import token_count
 from ..functions.words import CATEGORY_PARTS, DATETIME_PARTS, IDENTIFIER_PARTS, IDENTIFIER_WORDS
+from .counts import distinct_counts
 from .fit import scalars
 
-DIGIT_LIKE = r"^(?=.*\p{Nd})\p{Nd}*\.?\p{Nd}*\z"
+DIGIT_LIKE = r"^(?:\p{Nd}+\.?\p{Nd}*|\.\p{Nd}+)\z"  # digits with at most one dot
 MAX_DIGIT_SHARE = 0.8
 MIN_MEAN_LENGTH = 15
 MIN_MEAN_WORDS = 3
@@ -56,65 +58,67 @@ def name_allows_text(name: str) -> bool:
     return not any(part in lowered for part in [*IDENTIFIER_PARTS, *CATEGORY_PARTS])
 
 
-def text_measures(df: DataFrame, name: str, approx: bool = False) -> dict[str, Column]:
-    """The aggregates the long-text test looks at."""
-    c = col(name)
-    distinct = F.approx_count_distinct if approx else F.count_distinct
+def text_measures(df: DataFrame, names: list[str]) -> dict[str, dict[str, Any]]:
+    """Rows, share of digit-like values, mean length and mean words per column, in one scan."""
+    wanted = {}
+    for n in names:
+        c = col(n)
+        wanted[n, "rows"] = F.count(F.lit(1))
+        wanted[n, "digit_share"] = F.avg(c.rlike(DIGIT_LIKE).cast("int"))
+        wanted[n, "mean_length"] = F.avg(F.length(c))
+        wanted[n, "mean_words"] = F.avg(token_count(c).cast("double"))
+    seen = scalars(df, wanted)
     return {
-        "digit_share": F.avg(F.when(c.isNotNull(), c.rlike(DIGIT_LIKE).cast("int"))),
-        "mean_length": F.avg(F.length(c)),
-        "mean_words": F.avg(F.size(F.when(c.isNotNull(), tokens(c))).cast("double")),
-        "distinct": distinct(distinct_key(df, name)),
-        "distinct_share": F.try_divide(
-            distinct(distinct_key(df, name)).cast("double"), F.count(F.lit(1))
-        ),
+        n: {k: seen[n, k] for k in ("rows", "digit_share", "mean_length", "mean_words")} for n in names
     }
 
 
-def long_text_rule(name: str, m: dict[str, float | None]) -> bool:
-    """Long text: a name that allows it, few digit-like values, long, wordy and varied."""
-    if not name_allows_text(name) or m["mean_length"] is None:
-        return False
+def _wordy(name: str, m: dict[str, Any]) -> bool:
+    """A name that allows text, few digit-like values, long and wordy."""
     return (
-        m["digit_share"] <= MAX_DIGIT_SHARE
+        name_allows_text(name)
+        and m["mean_length"] is not None
+        and m["digit_share"] <= MAX_DIGIT_SHARE
         and m["mean_length"] > MIN_MEAN_LENGTH
         and m["mean_words"] > MIN_MEAN_WORDS
-        and m["distinct_share"] >= MIN_DISTINCT_SHARE
     )
 
 
 def long_text_columns(df: DataFrame, column=None, approx: bool = False) -> list[str]:
-    """String columns that hold long text, found in one scan."""
+    """String columns that hold long text: wordy, and at least 5 % distinct values.
+
+    One scan of the columns whose name allows text; distinct values are counted only for the
+    wordy ones among them.
+    """
     names = [n for n in targets(df, column, string_columns(df)) if name_allows_text(n)]
-    measures = {n: text_measures(df, n, approx) for n in names}
-    seen = scalars(df, {(n, k): e for n in names for k, e in measures[n].items()})
-    return [n for n in names if long_text_rule(n, {k: seen[n, k] for k in measures[n]})]
+    seen = text_measures(df, names)
+    wordy = [n for n in names if _wordy(n, seen[n])]
+    distinct = distinct_counts(df, wordy, approx)
+    return [n for n in wordy if distinct[n] >= seen[n]["rows"] * MIN_DISTINCT_SHARE]
 
 
 def text_test(df: DataFrame, column=None, approx: bool = False) -> DataFrame:
     """The long-text test as a table: one row per string column with its measures and verdict."""
     names = targets(df, column, string_columns(df))
+    seen = text_measures(df, names)
+    distinct = distinct_counts(df, names, approx)
     rows = []
     for n in names:
-        m = text_measures(df, n, approx)
-        verdict = F.lit(name_allows_text(n)) & (
-            (m["digit_share"] <= MAX_DIGIT_SHARE) & (m["mean_length"] > MIN_MEAN_LENGTH)
-            & (m["mean_words"] > MIN_MEAN_WORDS) & (m["distinct_share"] >= MIN_DISTINCT_SHARE)
-        )
-        rows.append(F.struct(
-            F.lit(n).alias("column"), *[e.alias(k) for k, e in m.items()],
-            F.coalesce(verdict, F.lit(False)).alias("is_text"),
-        ))
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+        m = seen[n]
+        share = distinct[n] / m["rows"] if m["rows"] else None
+        verdict = _wordy(n, m) and share >= MIN_DISTINCT_SHARE
+        rows.append((n, m["digit_share"], m["mean_length"], m["mean_words"], distinct[n], share, verdict))
+    return df.sparkSession.createDataFrame(
+        rows, "column string, digit_share double, mean_length double, mean_words double, "
+        "distinct bigint, distinct_share double, is_text boolean"
+    )
 
 
 def short_categorical_columns(df: DataFrame, approx: bool = False) -> list[str]:
     """String columns with fewer than 20 distinct values that are not long text."""
-    names = string_columns(df)
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    seen = scalars(df, {n: distinct(distinct_key(df, n)) for n in names})
-    few = [n for n in names if seen[n] < MAX_SHORT_CATEGORIES]
-    text = set(long_text_columns(df, few, approx)) if few else set()
+    distinct = distinct_counts(df, string_columns(df), approx)
+    few = [n for n, d in distinct.items() if d < MAX_SHORT_CATEGORIES]
+    text = set(long_text_columns(df, few, approx))
     return [n for n in few if n not in text]
 
 
