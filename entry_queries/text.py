@@ -9,6 +9,7 @@ from washline.functions import text
 from washline.functions.columns import col
 from washline.functions.words import BASIC_STOP_WORDS, ENGLISH_STOP_WORDS, NOUN_ENDINGS
 from washline.operators import textcols, tfidf
+from washline.sources.tables import spread
 
 from .common import SQL_SPACE, big, derived, derived_sql, query, r, rounded, table, tokens_sql, words_sql
 
@@ -36,7 +37,7 @@ def spaces(expression: str) -> str:
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def documents_sql(expression: str) -> str:
@@ -111,8 +112,9 @@ SELECT {big('d.doc_id')} AS doc_id, coalesce(j.text, '') AS text FROM documents
 
 
 def lemma_table(spark, sf):
-    words = documents(spark, sf).select(F.explode(text.tokens(col("text"))).alias("word"))
-    return textcols.noun_lemmas(words.distinct())
+    """Lemmas of the words that occur; every other form would never be looked up."""
+    words = documents(spark, sf).select(F.explode(text.tokens(col("text"))).alias("word")).distinct()
+    return textcols.noun_lemmas(words).join(words, "word", "left_semi")
 
 
 @query("lemmatize_documents", _LEMMATIZED)
@@ -129,8 +131,7 @@ def lemmatize_documents_by_join(spark, sf):
 
 @query("noun_lemma_table", f"WITH {_LEMMAS} SELECT word, lemma FROM lemmas WHERE word IN (SELECT word FROM v)")
 def noun_lemma_table(spark, sf):
-    words = documents(spark, sf).select(F.explode(text.tokens(col("text"))).alias("word")).distinct()
-    return textcols.noun_lemmas(words).join(words, "word", "left_semi")
+    return lemma_table(spark, sf)
 
 
 _TFIDF = r"""
@@ -144,7 +145,7 @@ weighted AS (SELECT doc_id, term, i, w / sqrt(sum(w * w) OVER (PARTITION BY doc_
 
 @query("tfidf_rows", f"WITH {_TFIDF} SELECT {DOC}, term, {r('weight')} AS weight FROM weighted")
 def tfidf_rows(spark, sf):
-    return rounded(tfidf.tfidf_long(table(spark, sf, "documents"), "text", "doc_id"))
+    return rounded(tfidf.tfidf_long(documents(spark, sf), "text", "doc_id"))
 
 
 @query("tfidf_columns", f"""
@@ -160,7 +161,7 @@ def tfidf_columns(spark, sf):
 WITH tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents)
 SELECT term, count(*) AS total, count(DISTINCT doc_id) AS documents FROM tokens GROUP BY term""")
 def tfidf_term_counts(spark, sf):
-    df = table(spark, sf, "documents")
+    df = documents(spark, sf)
     return rounded(tfidf.term_totals(df, "text").join(tfidf.document_counts(df, "text"), "term"))
 
 

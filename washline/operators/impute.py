@@ -146,7 +146,7 @@ def ordered_fill(
     ])
 
     inside = Window.partitionBy("__bucket", *[col(p) for p in parts]).orderBy(*ordered)
-    joined = bucketed.join(F.broadcast(carried), "__bucket")
+    joined = bucketed.join(F.broadcast(carried), "__bucket", "left")
     new = {}
     for i, n in enumerate(names):
         # the carried value belongs to this row only if it comes from the same group

@@ -125,16 +125,15 @@ def column_samples(
 ) -> DataFrame:
     """``(column, place, value)``: a repeatable sample of present values per column.
 
-    Rows are ranked by a seeded hash of the whole row, so a sample keeps the value frequencies.
-    Texts above 300 characters are cut there and get dots.
+    Rows are ranked by a seeded random number, so copies do not crowd a sample; it repeats as long
+    as the files stay the same. Texts above 300 characters are cut there and get dots.
     """
     names = list(names or scalar_columns(df))
-    row_hash = F.xxhash64(F.lit(seed), *[col(n) for n in scalar_columns(df)])
     values = F.array(*[
         F.struct(F.lit(n).alias("column"), _cut(present(df, n).cast("string")).alias("value"))
         for n in names
     ])
-    long = df.select(row_hash.alias("h"), F.inline(values)).where(F.col("value").isNotNull())
+    long = df.select(F.rand(seed).alias("h"), F.inline(values)).where(F.col("value").isNotNull())
     place = F.row_number().over(Window.partitionBy("column").orderBy("h", "value"))
     return (
         long.withColumn("place", place).where(F.col("place") <= rows)

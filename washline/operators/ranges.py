@@ -15,8 +15,8 @@ from pyspark.sql import Window
 from ..functions.columns import col
 
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
-SAMPLES_PER_BUCKET = 20
+MAX_BUCKETS = 16_384
+SAMPLES_PER_BUCKET = 8
 
 
 def ordered_buckets(
@@ -66,7 +66,7 @@ def number_distinct(values: DataFrame, name: str, buckets: int | None = None) ->
     inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(col(name)))
     return (
         bucketed.withColumn("__row", inside)
-        .join(F.broadcast(starts), "__bucket")
+        .join(F.broadcast(starts), "__bucket", "left")
         .withColumn("position", F.col("__start") + F.col("__row") - 1)
         .drop("__bucket", "__start", "__row")
     )

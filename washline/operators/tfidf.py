@@ -58,9 +58,12 @@ def apply_tfidf(df: DataFrame, params: dict[str, Any], keep_original: bool = Fal
     kept = [col(c) for c in df.columns if keep_original or c != column]
     if not params["terms"]:
         return df.select(*kept)
-    weights = vector_to_array("__normal")
-    new = [weights[i].alias(f"{column}_tfidf_{i}") for i in range(len(params["terms"]))]
-    return _vectors(df, params).select(*kept, *new)
+    # the array is a column of its own, so that it is made once and not once per term
+    arrays = _vectors(df, params).withColumn("__weights", vector_to_array("__normal"))
+    new = [
+        F.get("__weights", F.lit(i)).alias(f"{column}_tfidf_{i}") for i in range(len(params["terms"]))
+    ]
+    return arrays.select(*kept, *new)
 
 
 def _vectors(df: DataFrame, params: dict[str, Any]) -> DataFrame:

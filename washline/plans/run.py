@@ -13,10 +13,10 @@ from ..functions.columns import col, role, string_columns
 from ..operators import charts, profile as profiles, quality
 from ..operators.checkpoints import cut_lineage
 from ..operators.fit import scalars
-from ..operators.typing import binary_columns
+from ..operators.typing import binary_columns, long_text_columns
 from ..sources.tables import detect_format, read_table, write_table
 from .steps import ROW_STEPS, STEPS, Cleaner, Fitted
-from .suggest import LAST, STEP_ORDER, check_plan, order_plan, resolve_plan, suggest
+from .suggest import LAST, STEP_ORDER, TEXT_OPERATIONS, check_plan, order_plan, resolve_plan, suggest
 
 LOG_SCHEMA = "seq int, column string, operation string, reason string, status string, detail string"
 SCALING = {"standardize", "normalize_range"}
@@ -76,7 +76,7 @@ def run_plan(
 
     Steps of different columns are independent, so between two row-removing steps all columns'
     steps of one kind are fitted together in one scan. ``checkpoint`` writes the table to the
-    checkpoint folder after row-removing steps, so that later fits do not repeat their shuffle.
+    checkpoint folder after row-removing and text steps, so that later fits do not repeat them.
     ``on_error="skip"`` records a failing step and goes on; ``length_guard`` undoes a step that
     leaves a text above 1000 characters.
     """
@@ -85,10 +85,17 @@ def run_plan(
     steps = _planned(plan)
     log: list[tuple] = []
     cleaner = Cleaner()
-    for wave in _waves(steps):
+    long_texts: list[str] | None = None  # tested once, before the first text step
+    waves = _waves(steps)
+    for i, wave in enumerate(waves):
         operation, parameters = wave[0].operation, dict(wave[0].parameters)
         if operation == "lemmatize":
             parameters["lemmas"] = lemmas
+        if operation in TEXT_OPERATIONS:
+            if long_texts is None:
+                names = {s.column for s in steps if s.operation in TEXT_OPERATIONS}
+                long_texts = long_text_columns(df, [n for n in df.columns if n in names])
+            parameters["long_texts"] = long_texts
         able, guarded = _guard(df, wave)
         log += [(s.seq, s.column, s.operation, s.reason, "skipped", why) for s, why in guarded]
         if not able:
@@ -109,7 +116,8 @@ def run_plan(
             continue
         if not able:
             continue
-        df = cut_lineage(after) if checkpoint and operation in ROW_STEPS else after
+        heavy = operation in ROW_STEPS or operation in TEXT_OPERATIONS
+        df = cut_lineage(after) if checkpoint and heavy and i + 1 < len(waves) else after
         cleaner.steps.append(fitted)
         log += [(s.seq, s.column, s.operation, s.reason, "applied", "") for s in able]
     table = df.sparkSession.createDataFrame(sorted(log), LOG_SCHEMA)

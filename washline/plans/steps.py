@@ -104,9 +104,16 @@ def _fit_encode(df, names, p):
     )
 
 
+def _long_texts(df, names, p):
+    """The columns holding long text; a run tests them once for all its text steps."""
+    if "long_texts" in p:
+        return [n for n in names if n in p["long_texts"]]
+    return textcols.text_columns(df, names, gate=True)
+
+
 def _fit_text(df, names, p):
     operations = _names(p["operations"]) if p.get("operations") else list(text.DEFAULT_OPERATIONS)
-    return {"names": textcols.text_columns(df, names, gate=True), "operations": operations}
+    return {"names": _long_texts(df, names, p), "operations": operations}
 
 
 def _apply_text(df, params):
@@ -114,13 +121,13 @@ def _apply_text(df, params):
 
 
 def _fit_stop_words(df, names, p):
-    return textcols.text_columns(df, names, gate=True)
+    return _long_texts(df, names, p)
 
 
 def _fit_lemmas(df, names, p):
     if p.get("lemmas") is None:
         raise ValueError("the lemmatize step needs a (word, lemma) table: pass lemmas=")
-    return {"names": textcols.text_columns(df, names, gate=True), "lemmas": p["lemmas"]}
+    return {"names": _long_texts(df, names, p), "lemmas": p["lemmas"]}
 
 
 def _apply_lemmas(df, params):
@@ -131,7 +138,7 @@ def _apply_lemmas(df, params):
 
 def _fit_tfidf(df, names, p):
     features = int(p.get("max_features", 100))
-    return [tfidf.fit_tfidf(df, n, features) for n in textcols.text_columns(df, names, gate=True)]
+    return [tfidf.fit_tfidf(df, n, features) for n in _long_texts(df, names, p)]
 
 
 def _apply_tfidf(df, params):

@@ -115,6 +115,13 @@ def snapshot(df: DataFrame, folder: str, step: str) -> tuple[DataFrame, dict[str
     }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread the rows when the files give fewer tasks than there are cores, for steps that work
+    hard on each row; a table with enough splits is returned as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def preview(df: DataFrame, rows: int = PREVIEW_ROWS, order_by: str | list[str] | None = None) -> DataFrame:
     """The first rows; repeatable when an order is given."""
     if order_by:
