@@ -32,7 +32,7 @@ def json_round_trip(spark, sf):
 def parquet_round_trip(spark, sf):
     path = scratch(spark) + "/lineitem.parquet"
     lineitem = derived(spark, sf, "dirty_lineitem").select("l_orderkey", "l_returnflag", "l_quantity")
-    io.write_table(lineitem, path, single_file=True)
+    io.write_table(lineitem, path)
     return rounded(io.read_table(spark, path))
 
 

@@ -116,9 +116,10 @@ def test_quantiles_of_nothing(spark):
     assert quantiles(df, {"x": [0.5]}) == {"x": {0.5: None}}
 
 
-def test_number_distinct_over_buckets(spark):
-    df = spark.createDataFrame([(f"v{i:04d}",) for i in range(2000)], "value string").repartition(5)
-    got = number_distinct(df, "value", buckets=16).orderBy("value").collect()
+@pytest.mark.parametrize("prefix", ["v", "é" * 300])
+def test_number_distinct_over_buckets(spark, prefix):
+    df = spark.createDataFrame([(f"{prefix}{i:04d}",) for i in range(2000)], "value string").repartition(5)
+    got = number_distinct(df, ["value"], buckets=16).orderBy("value").collect()
     assert [r["position"] for r in got] == list(range(2000))
 
 

@@ -148,10 +148,9 @@ def _join_many_labels(df: DataFrame, name: str, order: str) -> DataFrame:
     keyed = df.withColumn(value, present(df, name))
     counts = count_of(keyed, value).where(F.col("value").isNotNull())
     if order == "frequency":
-        less = counts.select("value", F.struct((-F.col("n")).alias("less"), "value").alias("key"))
-        numbered = number_distinct(less, "key")
+        numbered = number_distinct(counts.withColumn("less", -F.col("n")), ["less", "value"])
     else:
-        numbered = number_distinct(counts, "value")
+        numbered = number_distinct(counts, ["value"])
     code = f"__code_{name}"
     table = numbered.select("value", F.col("position").cast("int").alias(code))
     joined = join_by_value(keyed, value, counts, table).drop(value)

@@ -23,6 +23,7 @@ SAMPLE_ROWS = 20
 MAX_TEXT = 300
 TOP_VALUES = 5
 SAMPLE_SEED = 42
+OVERSAMPLING = 50
 
 
 def per_column(df: DataFrame, names: list[str], measures) -> DataFrame:
@@ -83,13 +84,13 @@ PROFILE_SCHEMA = (
 def profile(df: DataFrame, preview: int | None = MAX_UNIQUE_PREVIEW, approx: bool = False) -> DataFrame:
     """dtype, counts, and min/max/mean/std or distinct count and a preview of distinct values.
 
-    One scan gives the statistics, one shuffle of counted values gives distinct counts and the
-    preview: the first ``preview`` values in order, long texts in order of their digest. With
-    ``preview=None`` there is none.
+    One scan gives the statistics, one shuffle of counted values the distinct counts. The preview,
+    worked out only when read, is the first ``preview`` values in order, long texts in order of
+    their digest; with ``preview=None`` there is none.
     """
     names = [n for n in scalar_columns(df) if not is_numeric(field(df, n).dataType)]
     seen = statistics(df, df.columns, _basics)
-    distinct = distinct_counts(df, names, approx) if approx or not preview else {}
+    distinct = distinct_counts(df, names, approx)
     rows = [
         (i, n, field(df, n).dataType.simpleString(), _kind(df, n),
          *[seen[n].get(k) for k in ("non_null", "nulls", "min", "max", "mean", "std")], distinct.get(n))
@@ -99,25 +100,21 @@ def profile(df: DataFrame, preview: int | None = MAX_UNIQUE_PREVIEW, approx: boo
     if not preview or not names:
         return base.withColumn("sample_unique", no_value("array<string>"))
     long = [n for n in names if (seen[n].get("longest") or 0) > LONG]
-    known = F.coalesce(base["unique_count"], "__distinct", F.when(F.col("column").isin(names), 0))
     return base.join(F.broadcast(_previews(df, names, preview, long)), "column", "left").select(
-        *[F.col(c) for c in base.columns if c != "unique_count"],
-        known.cast("bigint").alias("unique_count"), "sample_unique",
+        *base.columns, "sample_unique"
     )
 
 
 def _previews(df: DataFrame, names: list[str], k: int, long: list[str]) -> DataFrame:
-    """``(column, __distinct, sample_unique)``; both sides read the same shuffled counts."""
-    counted = value_counts(df, names, by_digest=True)
-    totals = counted.groupBy("column").agg(F.count(F.lit(1)).alias("__distinct"))
+    """``(column, sample_unique)``, at most ``k`` values per column."""
     keys = [F.col(f"v{i}").asc_nulls_last() for i in range(len(names))]
     place = F.row_number().over(Window.partitionBy("column").orderBy(*keys))
+    counted = value_counts(df, names, by_digest=True)
     first = counted.withColumn("place", place).where(F.col("place") <= k)
     pair = F.struct("place", "value")
-    shown = picked_values(df, names, first, long).groupBy("column").agg(  # k rows per column
+    return picked_values(df, names, first, long).groupBy("column").agg(
         F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["value"]).alias("sample_unique")
     )
-    return totals.join(F.broadcast(shown), "column", "left")
 
 
 def column_samples(
@@ -125,16 +122,24 @@ def column_samples(
 ) -> DataFrame:
     """``(column, place, value)``: a repeatable sample of present values per column.
 
-    Rows are ranked by a seeded random number, so copies do not crowd a sample; it repeats as long
-    as the files stay the same. Texts above 300 characters are cut there and get dots.
+    Every row draws a seeded random number and the lowest draws win, so copies do not crowd a
+    sample; it repeats as long as the files stay the same. Only draws below a limit are ranked:
+    one that about fifty times the wanted rows pass, or all rows of a column with fewer values.
+    Texts above 300 characters are cut there and get dots.
     """
     names = list(names or scalar_columns(df))
-    values = F.array(*[
-        F.struct(F.lit(n).alias("column"), _cut(present(df, n).cast("string")).alias("value"))
-        for n in names
-    ])
-    long = df.select(F.rand(seed).alias("h"), F.inline(values)).where(F.col("value").isNotNull())
-    place = F.row_number().over(Window.partitionBy("column").orderBy("h", "value"))
+    counts = statistics(df, names, lambda values, n: {"count": F.count(present(values, n))})
+    draws = df.select(F.rand(seed).alias("__draw"), *[col(n) for n in names])
+    entries = []
+    for n in names:
+        limit = OVERSAMPLING * rows / max(counts[n]["count"], 1)
+        value = present(draws, n)
+        entries.append(F.when(
+            value.isNotNull() & (F.col("__draw") < F.lit(limit)),
+            F.struct(F.lit(n).alias("column"), _cut(value.cast("string")).alias("value")),
+        ))
+    long = draws.select("__draw", F.inline(F.array_compact(F.array(*entries))))
+    place = F.row_number().over(Window.partitionBy("column").orderBy("__draw", "value"))
     return (
         long.withColumn("place", place).where(F.col("place") <= rows)
         .select("column", "place", "value")

@@ -17,6 +17,7 @@ from ..functions.columns import col
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 16_384
 SAMPLES_PER_BUCKET = 8
+KEY_CHARACTERS = 256
 
 
 def ordered_buckets(
@@ -34,9 +35,9 @@ def ordered_buckets(
         return None
     rows = df.count() if rows is None else rows
     share = min(1.0, buckets * SAMPLES_PER_BUCKET / max(rows, 1))
-    key = F.struct(*[col(k) for k in keys])
-    sampled = df.select(*[col(k) for k in keys]).sample(share, seed=11).orderBy(*[col(k) for k in keys])
-    texts = [r[0] for r in sampled.select(F.to_json(key)).collect()]
+    key = F.struct(*[_short(df, k).alias(k) for k in keys])
+    sampled = df.select(key.alias("key")).sample(share, seed=11).orderBy("key")
+    texts = [r[0] for r in sampled.select(F.to_json("key")).collect()]  # a few per bucket
     step = len(texts) / buckets
     chosen = [texts[int(i * step)] for i in range(1, buckets) if int(i * step) < len(texts)]
     if not chosen:
@@ -51,11 +52,19 @@ def ordered_buckets(
     )
 
 
-def number_distinct(values: DataFrame, name: str, buckets: int | None = None) -> DataFrame:
-    """Add ``position``, the zero-based rank of each (distinct, non-NULL) value of ``name``."""
-    bucket = ordered_buckets(values, [name], buckets)
+def _short(df: DataFrame, key: str) -> Column:
+    """A prefix orders as the whole text does, and keeps the sample and the literal small."""
+    if isinstance(df.schema[key].dataType, T.StringType):
+        return F.left(col(key), F.lit(KEY_CHARACTERS))
+    return col(key)
+
+
+def number_distinct(values: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """Add ``position``, the zero-based rank of each row in the order of its (distinct) keys."""
+    ordered = [col(k) for k in keys]
+    bucket = ordered_buckets(values, keys, buckets)
     if bucket is None:
-        return values.withColumn("position", F.row_number().over(Window.orderBy(col(name))) - 1)
+        return values.withColumn("position", F.row_number().over(Window.orderBy(*ordered)) - 1)
     bucketed = values.withColumn("__bucket", bucket)
     per_bucket = bucketed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -63,7 +72,7 @@ def number_distinct(values: DataFrame, name: str, buckets: int | None = None) ->
     starts = per_bucket.select(
         "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
     )
-    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(col(name)))
+    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(*ordered))
     return (
         bucketed.withColumn("__row", inside)
         .join(F.broadcast(starts), "__bucket", "left")

@@ -114,10 +114,18 @@ def text_test(df: DataFrame, column=None, approx: bool = False) -> DataFrame:
     )
 
 
-def short_categorical_columns(df: DataFrame, approx: bool = False) -> list[str]:
-    """String columns with fewer than 20 distinct values that are not long text."""
-    distinct = distinct_counts(df, string_columns(df), approx)
-    few = [n for n, d in distinct.items() if d < MAX_SHORT_CATEGORIES]
+def short_categorical_columns(
+    df: DataFrame, column=None, approx: bool = False, distinct: dict[str, int] | None = None
+) -> list[str]:
+    """String columns with fewer than 20 distinct values that are not long text.
+
+    ``distinct`` are the distinct counts when the caller already has them. Only columns with few
+    values are then read for the long-text test.
+    """
+    names = targets(df, column, string_columns(df))
+    if distinct is None:
+        distinct = distinct_counts(df, names, approx)
+    few = [n for n in names if distinct[n] < MAX_SHORT_CATEGORIES]
     text = set(long_text_columns(df, few, approx))
     return [n for n in few if n not in text]
 

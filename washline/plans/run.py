@@ -254,8 +254,8 @@ def clean_table(
     """The same for a table."""
     profiled = profiles.profile(df)
     if plan is None:
-        plan = suggest(profiles.profile(df, preview=None))
-    plan = check_plan(plan, df)
+        plan = suggest(profiled)
+    plan = check_plan(plan, df, profiled)
     ran = run_plan(df, plan, on_error, length_guard, lemmas)
     if output:
         write_table(ran.df, output, format)

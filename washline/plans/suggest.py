@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import string_columns
-from ..operators.typing import MAX_SHORT_CATEGORIES, text_test
+from ..operators.typing import short_categorical_columns
 
 PLAN_SCHEMA = (
     "position int, column string, step int, operation string, reason string, "
@@ -116,18 +116,22 @@ def suggest_basic(profiled: DataFrame) -> DataFrame:
     ], "No preprocessing required")
 
 
-def check_plan(plan: DataFrame, df: DataFrame, approx: bool = False) -> DataFrame:
-    """Turn text steps on short categorical columns into skips, saying so in the reason."""
-    if not string_columns(df):
-        return plan
-    tested = text_test(df, approx=approx)
-    short = tested.where((F.col("distinct") < MAX_SHORT_CATEGORIES) & ~F.col("is_text"))
-    marked = plan.join(  # one row per string column at most
-        F.broadcast(short.select("column", F.lit(True).alias("__short"))), "column", "left"
-    )
-    forced = F.col("__short").isNotNull() & F.col("operation").isin(TEXT_OPERATIONS)
+def check_plan(
+    plan: DataFrame, df: DataFrame, profiled: DataFrame | None = None, approx: bool = False
+) -> DataFrame:
+    """Turn text steps on short categorical columns into skips, saying so in the reason.
+
+    ``profiled`` saves counting distinct values again.
+    """
+    asked = plan.where(F.col("operation").isin(TEXT_OPERATIONS)).select("column").distinct()
+    names = [r[0] for r in asked.collect() if r[0] in string_columns(df)]  # columns of one table
+    distinct = None
+    if profiled is not None:
+        distinct = dict(profiled.select("column", "unique_count").collect())
+    short = short_categorical_columns(df, names, approx, distinct) if names else []
+    forced = F.col("column").isin(short) & F.col("operation").isin(TEXT_OPERATIONS)
     why = F.concat(F.lit("Short categorical column (was: "), F.col("operation"), F.lit(")"))
-    return marked.select(
+    return plan.select(
         "position", "column", "step",
         F.when(forced, "skip").otherwise(F.col("operation")).alias("operation"),
         F.when(forced, why).otherwise(F.col("reason")).alias("reason"),

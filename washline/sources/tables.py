@@ -16,6 +16,7 @@ from ..operators.fit import scalars
 
 FORMATS = ("csv", "json", "parquet")
 PREVIEW_ROWS = 10_000
+SINGLE_FILE_ROWS = 1_000_000
 
 
 def detect_format(path: str) -> str:
@@ -67,7 +68,7 @@ def _starts_like_lines(spark: SparkSession, path: str) -> bool:
 
 
 def write_table(df: DataFrame, path: str, format: str | None = None, single_file: bool = False) -> None:
-    """Write as a folder of part files; ``single_file`` gathers them into one, for small results.
+    """Write as a folder of part files; ``single_file`` gathers at most 1,000,000 rows into one.
 
     Vectors become numbered columns, and arrays in CSV become space-joined text.
     """
@@ -79,6 +80,8 @@ def write_table(df: DataFrame, path: str, format: str | None = None, single_file
         arrays = [f.name for f in out.schema if isinstance(f.dataType, T.ArrayType)]
         out = replace_columns(out, {n: F.array_join(col(n), " ") for n in arrays})
     if single_file:
+        if out.limit(SINGLE_FILE_ROWS + 1).count() > SINGLE_FILE_ROWS:
+            raise ValueError(f"more than {SINGLE_FILE_ROWS} rows: write part files instead")
         out = out.repartition(1)  # the work before it stays parallel
     writer = out.write.mode("overwrite")
     if format == "csv":
