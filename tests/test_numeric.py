@@ -195,7 +195,7 @@ def test_dedup_is_idempotent(spark):
 
 
 def test_dedup_limits_rows_before_the_shuffle(spark):
-    df = spark.range(100).selectExpr("id % 3 AS k", "id AS t")
+    df = spark.range(100).selectExpr("string(id % 3) AS k", "id AS t")
     plan = rows.deduplicate(df, "k", "first", "t")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2  # before and after the exchange
 

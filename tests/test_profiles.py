@@ -211,3 +211,9 @@ def test_top_categories_label_missing(people):
 
 def test_samples_keep_order_of_hash(people):
     assert profile.column_samples(people, names=["id"]).agg(F.count("*")).first()[0] == 4
+
+
+def test_overview_of_nested_rows(spark):
+    df = spark.sql("SELECT map('a', 1) AS m, array(1) AS xs UNION ALL SELECT map('a', 1), array(1) UNION ALL SELECT NULL, array()")
+    row = profile.overview(df).first()
+    assert (row["duplicate_rows"], row["missing_values"]) == (1, 1)

@@ -102,12 +102,15 @@ def replace_columns(df: DataFrame, new: dict[str, Column | list[Column] | None])
 
 
 def distinct_key(df: DataFrame, name: str) -> Column:
-    """A key equal exactly when the values are equal, at most 65 characters wide.
+    """A key equal exactly when the values are equal, at most 65 characters wide; NULL if missing.
 
-    Counting distinct long texts then shuffles fixed-width digests, not the texts.
+    Comparing long texts and nested values then sorts and shuffles digests, not the values.
     """
+    dtype = field(df, name).dataType
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
+        return F.sha2(F.to_json(col(name)), 256)
     c = present(df, name)
-    if isinstance(field(df, name).dataType, T.StringType):
+    if isinstance(dtype, T.StringType):
         return F.when(F.length(c) > LONG, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c)
     return c
 

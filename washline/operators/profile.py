@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import (
-    LONG, col, field, is_numeric, is_scalar, no_value, number, numeric_columns, present,
+    LONG, col, distinct_key, field, is_numeric, is_scalar, no_value, number, numeric_columns, present,
     scalar_columns, string_columns, tidy,
 )
 from .counts import distinct_counts, long_columns, picked_values, top_counts, value_counts
@@ -152,11 +152,11 @@ def _cut(c: Column) -> Column:
 
 def overview(df: DataFrame) -> DataFrame:
     """One row: size, missing cells, duplicate rows, and how many columns are of which kind."""
-    names = scalar_columns(df)
     columns = len(df.columns)
     # identical rows collapse on the map side; each distinct row then brings its count
-    distinct = df.groupBy(*[col(n) for n in names]).agg(F.count(F.lit(1)).alias("__n"))
-    nulls = sum((present(distinct, n).isNull().cast("bigint") for n in names), F.lit(0).cast("bigint"))
+    keys = df.select(*[distinct_key(df, n).alias(f"k{i}") for i, n in enumerate(df.columns)])
+    distinct = keys.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("__n"))
+    nulls = sum((F.col(k).isNull().cast("bigint") for k in keys.columns), F.lit(0).cast("bigint"))
     total = F.coalesce(F.sum("__n"), F.lit(0))
     missing = F.coalesce(F.sum(F.col("__n") * nulls), F.lit(0))
     return distinct.agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, present, replace_columns, scalar_columns, targets
+from ..functions.columns import col, distinct_key, present, replace_columns, scalar_columns, targets
 from .fit import scalars
 
 
@@ -34,15 +34,14 @@ def deduplicate(
     sense = (lambda c: c.asc()) if keep == "first" else (lambda c: c.desc())
     # a row-number limit is applied on the map side too, before rows are shuffled by key
     place = F.row_number().over(
-        Window.partitionBy(*[col(k) for k in keys]).orderBy(*[sense(col(o)) for o in orders])
+        Window.partitionBy(*[distinct_key(df, k) for k in keys]).orderBy(*[sense(col(o)) for o in orders])
     )
     return df.withColumn("__place", place).where(F.col("__place") == 1).drop("__place")
 
 
 def _only_unique(df: DataFrame, keys: list[str]) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    grouped = df.groupBy(*[col(k) for k in keys]).agg(
-        F.count(F.lit(1)).alias("__n"), *[F.first(col(c)).alias(c) for c in rest]
+    grouped = df.groupBy(*[distinct_key(df, k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.first(col(c)).alias(c) for c in df.columns]
     )
     return grouped.where(F.col("__n") == 1).select(*[col(c) for c in df.columns])
 
