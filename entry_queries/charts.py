@@ -8,6 +8,7 @@ from washline.functions.words import LOOSE_CATEGORIES, STRICT_CATEGORIES
 from washline.operators import charts, numeric
 
 from .common import big, derived, derived_sql, query, r, rounded, table
+from .numeric import reduced_sql
 from .profiles import top_sql
 
 LINEITEM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -121,7 +122,7 @@ def normal_quantiles_events(spark, sf):
 @query("normal_quantiles_before_after", f"""
 SELECT b."column", b.p, b.theoretical, b.before, a.after
 FROM ({qq_sql('SELECT value FROM events', 'value', 'before')}) b
-JOIN ({qq_sql('SELECT ln(1 + value) AS value FROM events', 'value', 'after')}) a ON a.p = b.p""")
+JOIN ({qq_sql(reduced_sql('SELECT value FROM events', ['value']), 'value', 'after')}) a ON a.p = b.p""")
 def normal_quantiles_before_after(spark, sf):
     events = table(spark, sf, "events").select("value")
     after = numeric.handle_skewness(events)

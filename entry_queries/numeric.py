@@ -205,10 +205,20 @@ def outliers_to_missing(spark, sf):
     return rounded(numeric.handle_outliers(_events_with_gaps(spark, sf), "value", "nan"))
 
 
+def reduced(n: str) -> str:
+    return (f"CASE WHEN abs(skew_{n}) > 1 THEN CASE WHEN min_{n} <= 0 THEN ln(1 + {n} - min_{n} + 1) "
+            f"ELSE ln(1 + {n}) END ELSE {n} END")
+
+
+def reduced_sql(source: str, names: list[str]) -> str:
+    """The named columns after the skew rule, unrounded."""
+    columns = ", ".join(f"{reduced(n)} AS {n}" for n in names)
+    return f"WITH t AS ({source}) SELECT {columns} FROM t, {stats(names, 'skew', 'min')}"
+
+
 def skew_sql(source: str, keys: str, names: list[str]) -> str:
-    return f"WITH t AS ({source}) " + with_columns(f"t, {stats(names, 'skew', 'min')}", keys, {
-        n: f"CASE WHEN abs(skew_{n}) > 1 THEN CASE WHEN min_{n} <= 0 THEN ln(1 + {n} - min_{n} + 1) "
-           f"ELSE ln(1 + {n}) END ELSE {n} END" for n in names})
+    return f"WITH t AS ({source}) " + with_columns(
+        f"t, {stats(names, 'skew', 'min')}", keys, {n: reduced(n) for n in names})
 
 
 @query("reduce_skewness_events", skew_sql(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from washline.operators import numeric, impute, profile, quality, typing
 
 from .common import big, derived, derived_sql, fixed, query, r, rounded, table, tokens_sql
+from .numeric import reduced_sql
 
 DIRTY = [
     ("l_orderkey", "bigint"), ("l_linenumber", "int"), ("l_quantity", "double"),
@@ -363,8 +364,7 @@ def compare_before_after_imputation(spark, sf):
 
 @query("compare_before_after_skew", compare_sql(
     derived_sql("skewed_events"),
-    f"SELECT event_id, user_id, ln(1 + value) AS value, ln(1 + squared) AS squared, "
-    f"ln(1 + shifted - min(shifted) OVER () + 1) AS shifted FROM ({derived_sql('skewed_events')})",
+    reduced_sql(derived_sql("skewed_events"), ["value", "squared", "shifted"]),
     ["value", "squared", "shifted"]))
 def compare_before_after_skew(spark, sf):
     before = derived(spark, sf, "skewed_events").select("value", "squared", "shifted")
