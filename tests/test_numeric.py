@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from washline.operators import impute, numeric, rows, scale
 from washline.operators.quantiles import quantiles
-from washline.operators.ranges import number_distinct
+from washline.operators.ranges import number_distinct, ordered_buckets
 
 
 @pytest.fixture
@@ -204,3 +204,12 @@ def test_drop_constant(spark):
     df = spark.createDataFrame([(1, None, 1.0, "s"), (2, None, 1.0, None)], "a int, e double, k double, s string")
     assert rows.drop_constant(df).columns == ["a"]
     assert rows.drop_constant(df, "k").columns == ["a", "e", "s"]
+
+
+def test_one_huge_group_is_split_over_buckets(spark):
+    df = spark.range(20_000).selectExpr("IF(id % 10 = 0, id % 50, -1) AS g", "id AS k")
+    bucketed = df.withColumn("b", ordered_buckets(df, ["g", "k"], buckets=32))
+    largest = bucketed.groupBy("b").count().agg(F.max("count")).first()[0]
+    assert largest < 20_000 / 32 * 3
+    steps = bucketed.orderBy("g", "k").select("b").collect()
+    assert all(a["b"] <= b["b"] for a, b in zip(steps, steps[1:]))

@@ -204,3 +204,10 @@ def test_given_method_wins_over_an_alias(spark):
     got = {r["column"]: r["parameters"] for r in suggest.resolve_plan(plan).collect()}
     assert got["a"]["strategy"] == "label" and got["a"]["method"] == "categorical_encode"
     assert got["b"] == {"strategy": "label", "keep_original": "True", "method": "categorical_encode"}
+
+
+def test_single_file_is_for_small_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(io, "SINGLE_FILE_ROWS", 3)
+    io.write_table(spark.range(3), str(tmp_path / "a.csv"), single_file=True)
+    with pytest.raises(ValueError, match="part files"):
+        io.write_table(spark.range(4), str(tmp_path / "b.csv"), single_file=True)

@@ -19,6 +19,21 @@ HIGH_SKEW = 2
 OUTLIER_SHARE = 0.05
 MEANINGFUL = 0.01
 
+# Wording of issues and recommendations.
+ISSUES = {
+    "many_missing": "High missing values: %.1f%%",
+    "some_missing": "Moderate missing values: %.1f%%",
+    "many_copies": "High duplicate rate: %.1f%%",
+    "some_copies": "Moderate duplicate rate: %.1f%%",
+    "constant": "Constant columns found: ",
+}
+SENTENCES = {
+    "high_cardinality": "Consider feature engineering for high-cardinality columns: ['%s']",
+    "skewed": "Column '%s' is highly skewed (skewness: %.2f). Consider transformation.",
+    "outliers": "Column '%s' has potential outliers (%d rows). Consider investigation.",
+    "good_condition": "Dataset appears to be in good condition for analysis.",
+}
+
 
 def quality(df: DataFrame) -> DataFrame:
     """One row: score from 0 to 100, grade, and the issues that cost points."""
@@ -37,11 +52,11 @@ def quality(df: DataFrame) -> DataFrame:
         - F.lit(10 if constant else 0)
     )
     issues = F.array_compact(F.array(
-        F.when(missing > 10, F.format_string("High missing values: %.1f%%", missing))
-        .when(missing > 5, F.format_string("Moderate missing values: %.1f%%", missing)),
-        F.when(duplicates > 5, F.format_string("High duplicate rate: %.1f%%", duplicates))
-        .when(duplicates > 1, F.format_string("Moderate duplicate rate: %.1f%%", duplicates)),
-        F.lit(f"Constant columns found: {constant}" if constant else None).cast("string"),
+        F.when(missing > 10, F.format_string(ISSUES["many_missing"], missing))
+        .when(missing > 5, F.format_string(ISSUES["some_missing"], missing)),
+        F.when(duplicates > 5, F.format_string(ISSUES["many_copies"], duplicates))
+        .when(duplicates > 1, F.format_string(ISSUES["some_copies"], duplicates)),
+        F.lit(ISSUES["constant"] + str(constant) if constant else None).cast("string"),
     ))
     s = F.col("quality_score")
     grade = (
@@ -83,17 +98,13 @@ def recommendations(df: DataFrame, approx: bool = False) -> DataFrame:
 
 def recommendation_text(found: DataFrame) -> DataFrame:
     """The findings as sentences."""
-    c, m = F.col("column"), F.col("measure")
-    rule = F.col("rule")
+    rule, c, m = F.col("rule"), F.col("column"), F.col("measure")
     return found.select(
         "rule", "column",
-        F.when(rule == "high_cardinality", F.concat(
-            F.lit("Consider feature engineering for high-cardinality column '"), c, F.lit("'.")))
-        .when(rule == "skewed", F.format_string(
-            "Column '%s' is highly skewed (skewness: %.2f). Consider transformation.", c, m))
-        .when(rule == "outliers", F.format_string(
-            "Column '%s' has potential outliers (%d rows). Consider investigation.", c, m.cast("bigint")))
-        .otherwise("Dataset appears to be in good condition for analysis.").alias("text"),
+        F.when(rule == "high_cardinality", F.format_string(SENTENCES["high_cardinality"], c))
+        .when(rule == "skewed", F.format_string(SENTENCES["skewed"], c, m))
+        .when(rule == "outliers", F.format_string(SENTENCES["outliers"], c, m.cast("bigint")))
+        .otherwise(SENTENCES["good_condition"]).alias("text"),
     )
 
 

@@ -19,6 +19,24 @@ WIDE_RANGE = 1000
 MODERATE_RANGE = 100
 FEW_VALUES = 10
 
+# Wording of the reasons, full rules then short rules.
+REASONS = {
+    "fill_missing": "%d missing values (%.1f%% of data)",
+    "remove_outliers": "High coefficient of variation (%.1f%%) suggests outliers in range [%.2f, %.2f]",
+    "normalize_range": "Wide numeric range (%.2f) requires scaling for ML algorithms",
+    "standardize": "Moderate range (%.2f) - standardization recommended for better ML performance",
+    "text_clean": "Text column with %d unique values needs cleaning and normalization",
+    "categorical_encode": "Low cardinality categorical column (%d categories) - encoding recommended",
+    "skip": "Column appears clean and ready for analysis",
+}
+BASIC_REASONS = {
+    "fill_missing": "%d missing values",
+    "normalize_range": "Wide numeric range",
+    "text_clean": "High cardinality text",
+    "skip": "No preprocessing required",
+}
+FORCED_SKIP = "Short categorical column (was: %s)"
+
 # The order in which one column's steps run; unknown steps run last.
 STEP_ORDER = {
     "skip": 0,
@@ -63,7 +81,8 @@ def make_plan(spark: SparkSession, steps: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, PLAN_SCHEMA)
 
 
-def _step(when: Column, operation: str, reason: Column) -> Column:
+def _step(when: Column, operation: str, reasons: dict[str, str], *values: Column) -> Column:
+    reason = F.format_string(reasons[operation], *values) if values else F.lit(reasons[operation])
     return F.when(when, F.struct(F.lit(operation).alias("operation"), reason.alias("reason")))
 
 
@@ -89,31 +108,26 @@ def suggest(profiled: DataFrame) -> DataFrame:
     spread = F.try_divide(width, mean) * 100
     text = (F.col("dtype") == "string") & low.isNull()
     share = F.try_divide(nulls * 100.0, nulls + non_null)
+    moderate = (width > MODERATE_RANGE) & (width <= WIDE_RANGE)
     return _as_plan(profiled, [
-        _step(nulls > 0, "fill_missing", F.format_string("%d missing values (%.1f%% of data)", nulls, share)),
-        _step((mean > 0) & (spread > OUTLIER_RANGE_TO_MEAN), "remove_outliers", F.format_string(
-            "High coefficient of variation (%.1f%%) suggests outliers in range [%.2f, %.2f]",
-            spread, low, high,
-        )),
-        _step(width > WIDE_RANGE, "normalize_range", F.format_string(
-            "Wide numeric range (%.2f) requires scaling for ML algorithms", width)),
-        _step((width > MODERATE_RANGE) & (width <= WIDE_RANGE), "standardize", F.format_string(
-            "Moderate range (%.2f) - standardization recommended for better ML performance", width)),
-        _step(text & (distinct > FEW_VALUES), "text_clean", F.format_string(
-            "Text column with %d unique values needs cleaning and normalization", distinct)),
-        _step(text & (distinct <= FEW_VALUES), "categorical_encode", F.format_string(
-            "Low cardinality categorical column (%d categories) - encoding recommended", distinct)),
-    ], "Column appears clean and ready for analysis")
+        _step(nulls > 0, "fill_missing", REASONS, nulls, share),
+        _step((mean > 0) & (spread > OUTLIER_RANGE_TO_MEAN), "remove_outliers", REASONS, spread, low, high),
+        _step(width > WIDE_RANGE, "normalize_range", REASONS, width),
+        _step(moderate, "standardize", REASONS, width),
+        _step(text & (distinct > FEW_VALUES), "text_clean", REASONS, distinct),
+        _step(text & (distinct <= FEW_VALUES), "categorical_encode", REASONS, distinct),
+    ], REASONS["skip"])
 
 
 def suggest_basic(profiled: DataFrame) -> DataFrame:
     """The short rules: missing values, wide ranges, text with many values."""
-    text = F.col("dtype") == "string"
+    nulls, width = F.col("nulls"), F.col("max") - F.col("min")
+    many = (F.col("dtype") == "string") & (F.col("unique_count") > FEW_VALUES)
     return _as_plan(profiled, [
-        _step(F.col("nulls") > 0, "fill_missing", F.format_string("%d missing values", F.col("nulls"))),
-        _step(F.col("max") - F.col("min") > WIDE_RANGE, "normalize_range", F.lit("Wide numeric range")),
-        _step(text & (F.col("unique_count") > FEW_VALUES), "text_clean", F.lit("High cardinality text")),
-    ], "No preprocessing required")
+        _step(nulls > 0, "fill_missing", BASIC_REASONS, nulls),
+        _step(width > WIDE_RANGE, "normalize_range", BASIC_REASONS),
+        _step(many, "text_clean", BASIC_REASONS),
+    ], BASIC_REASONS["skip"])
 
 
 def check_plan(
@@ -130,7 +144,7 @@ def check_plan(
         distinct = dict(profiled.select("column", "unique_count").collect())
     short = short_categorical_columns(df, names, approx, distinct) if names else []
     forced = F.col("column").isin(short) & F.col("operation").isin(TEXT_OPERATIONS)
-    why = F.concat(F.lit("Short categorical column (was: "), F.col("operation"), F.lit(")"))
+    why = F.format_string(FORCED_SKIP, "operation")
     return plan.select(
         "position", "column", "step",
         F.when(forced, "skip").otherwise(F.col("operation")).alias("operation"),
