@@ -1,7 +1,7 @@
 """Language by compression: the language whose sample text helps zstandard most.
 
-For each language a raw-content dictionary is filled with labelled texts. A text is cut into blocks,
-each is compressed on its own with each dictionary, and the language with the smallest sum is taken,
+For each language a raw-content dictionary is filled with labelled texts. A text is lower-cased and cut
+into blocks, each is compressed on its own with each dictionary, and the language with the smallest sum is taken,
 ties going to the smaller name. The margin is the share by which the runner-up is larger; a text whose
 margin is below ``margin`` is rejected.
 """
@@ -17,16 +17,20 @@ from pyspark.sql import functions as F
 UNDEFINED = "und"
 #: A dictionary is fitted on a sample: at most so many texts a language, so many characters of each,
 #: and so many bytes in all; at most so many languages, the most frequent first.
-SAMPLE_TEXTS = 400
+SAMPLE_TEXTS = 100
 SAMPLE_CHARACTERS = 4_000
-DICTIONARY_BYTES = 110_000
+DICTIONARY_BYTES = 32_000
 LANGUAGES = 200
 BLOCK = 16_384
 LEVEL = 3
-MARGIN = 0.002
+MARGIN = 0.001
 LETTERS = r"\p{L}"
 
 
+def lowered(text: str) -> bytes:
+    return text.lower().encode()
+
+
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, bytes]:
     """A dictionary for every language, from texts with letters and a label.
 
@@ -48,21 +52,24 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str,
     found: dict[str, bytes] = {}
     for row in sorted(rows, key=lambda r: (r["lang"], r["place"])):
         found.setdefault(row["lang"], b"")
-        if len(found[row["lang"]]) < DICTIONARY_BYTES and row["text"].encode() not in found[row["lang"]]:
-            found[row["lang"]] += row["text"].encode() + b"\n"
+        if len(found[row["lang"]]) < DICTIONARY_BYTES and lowered(row["text"]) not in found[row["lang"]]:
+            found[row["lang"]] += lowered(row["text"]) + b"\n"
     return {name: value[:DICTIONARY_BYTES] for name, value in found.items()}
 
 
 def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:
+    """Matches of three bytes count, as words share no more than that across languages."""
     out = []
     for name in sorted(dictionaries):
+        settings = zstandard.ZstdCompressionParameters.from_level(
+            LEVEL, dict_size=len(dictionaries[name]), min_match=3, strategy=zstandard.STRATEGY_BTOPT,
+            write_content_size=False, write_dict_id=False,
+        )
         content = zstandard.ZstdCompressionDict(
             dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT
         )
-        content.precompute_compress(level=LEVEL)
-        out.append((name, zstandard.ZstdCompressor(
-            level=LEVEL, dict_data=content, write_content_size=False, write_dict_id=False,
-        )))
+        content.precompute_compress(compression_params=settings)
+        out.append((name, zstandard.ZstdCompressor(compression_params=settings, dict_data=content)))
     return out
 
 
@@ -100,7 +107,7 @@ def identify(
         ready = compressors(dictionaries)
         for batch in batches:
             yield pd.DataFrame(
-                [(UNDEFINED, 0.0) if v is None else classify(v.encode(), ready) for v in batch],
+                [(UNDEFINED, 0.0) if v is None else classify(lowered(v), ready) for v in batch],
                 columns=["lang_pred", "score"],
             )
 
