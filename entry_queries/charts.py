@@ -7,7 +7,7 @@ from statistics import NormalDist
 from washline.functions.words import LOOSE_CATEGORIES, STRICT_CATEGORIES
 from washline.operators import charts, numeric
 
-from .common import big, derived, derived_sql, query, r, rounded, table
+from .common import big, derived, derived_sql, query, r, rounded, table, wide_numbers
 from .numeric import reduced_sql
 from .profiles import top_sql
 
@@ -85,6 +85,20 @@ def correlations_constant_orders(spark, sf):
     return rounded(charts.correlations(derived(spark, sf, "constant_orders"), ["o_orderkey", "k", "o_totalprice"]))
 
 
+WIDE = {k: f"CAST({v} AS DOUBLE)" for k, v in wide_numbers(59).items()}
+_PAIRS = ", ".join(
+    f"{{'a': '{a}', 'b': '{b}', 'c': corr({a}, {b})}}" for a in WIDE for b in WIDE)
+
+
+@query("correlations_wide", f"""
+WITH t AS (SELECT {', '.join(f'{v} AS {k}' for k, v in WIDE.items())} FROM lineitem),
+p AS (SELECT unnest([{_PAIRS}]) AS p FROM t)
+SELECT p.a AS col_a, p.b AS col_b, {r('CASE WHEN isnan(p.c) THEN 0 ELSE coalesce(p.c, 0) END')} AS corr FROM p""")
+def correlations_wide(spark, sf):
+    lineitem = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return rounded(charts.correlations(lineitem.selectExpr(*[f"{v} AS {k}" for k, v in WIDE.items()])))
+
+
 ORDER_COLUMNS = ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_custkey"]
 
 
@@ -119,6 +133,11 @@ def normal_quantiles_events(spark, sf):
     return rounded(charts.normal_quantiles(table(spark, sf, "events"), "value"))
 
 
+@query("normal_quantiles_lineitem", qq_sql("SELECT l_extendedprice FROM lineitem", "l_extendedprice"))
+def normal_quantiles_lineitem(spark, sf):
+    return rounded(charts.normal_quantiles(table(spark, sf, "lineitem"), "l_extendedprice"))
+
+
 @query("normal_quantiles_before_after", f"""
 SELECT b."column", b.p, b.theoretical, b.before, a.after
 FROM ({qq_sql('SELECT value FROM events', 'value', 'before')}) b

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from washline.functions.columns import col
+from washline.operators.checkpoints import shared_folder
 
 REGISTERED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -84,6 +85,16 @@ def derived_sql(name: str) -> str:
     return f"SELECT {', '.join(expressions)} FROM {source}"
 
 
+def wide_numbers(n: int) -> dict[str, str]:
+    """Columns derived from lineitem, some of them with gaps, one of equal values."""
+    base = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey"]
+    out = {}
+    for i in range(n):
+        value = f"({base[i % 6]} * {i + 1} + {base[(i + 1) % 6]} * {(i % 7) - 3}) * 1.0"
+        out[f"c{i:03d}"] = f"CASE WHEN (l_orderkey + {i}) % {5 + i % 9} = 0 THEN NULL ELSE {value} END" if i % 3 else value
+    return out | {"flat": "7.0"}
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded (without a negative zero) and integers as bigint, for comparison."""
     out = []
@@ -117,13 +128,7 @@ def fixed(expression: str, digits: int) -> str:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared one the cluster names; a temporary one in a local session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-        return f"{shared.rstrip('/')}/washline-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="washline-")
+    return f"{shared_folder(spark).rstrip('/')}/washline-{uuid.uuid4().hex}"
 
 
 # Whitespace as the text steps understand it, written for the checking engine.

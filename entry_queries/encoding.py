@@ -78,11 +78,55 @@ _TEXTS = "(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END AS te
 WITH t AS (SELECT * FROM {_TEXTS})
 SELECT {big('doc_id')} AS doc_id, {big(label_sql('text'))} AS text FROM t""")
 def label_encode_many_values(spark, sf):
-    """The way for more values than the driver may hold, on whole texts a third of which miss."""
+    """Whole texts as categories, a third of them missing."""
     documents = spark.read.parquet(f"{sf}/documents.parquet").selectExpr(
         "doc_id", "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END AS text")
-    params = {"text": {"method": "label", "keep_original": False, "order": "sorted", "categories": None}}
-    return rounded(encode.apply_encode(documents, params))
+    return rounded(encode.encode(documents, "text", method="label", keep_original=False))
+
+
+def fitted_codes_sql(source: str, half: str) -> str:
+    """Codes fitted on half of the rows; unseen and missing values get the next one."""
+    return f"""
+WITH t AS ({source}), f AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code
+     FROM (SELECT DISTINCT v FROM t WHERE {half} AND v IS NOT NULL))
+SELECT {{key}}, {big('coalesce(code, (SELECT count(*) FROM f))')} AS v FROM t LEFT JOIN f USING (v)"""
+
+
+def fitted_codes(df, half: str):
+    params = encode.fit_encode(df.where(half), "v", "label", keep_original=False)
+    return rounded(encode.apply_encode(df, params))
+
+
+@query("label_codes_on_new_rows", fitted_codes_sql(
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 17 <> 0 THEN 'c' || o_custkey END AS v FROM orders", "o_orderkey % 2 = 0"
+).format(key=KEY))
+def label_codes_on_new_rows(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").selectExpr(
+        "o_orderkey", "CASE WHEN o_orderkey % 17 <> 0 THEN concat('c', o_custkey) END AS v")
+    return fitted_codes(orders, "o_orderkey % 2 = 0")
+
+
+@query("label_codes_of_many_values", fitted_codes_sql(
+    "SELECT l_orderkey, l_linenumber, l_orderkey || '/' || l_partkey || '/' || l_suppkey AS v FROM lineitem",
+    "l_orderkey % 2 = 0"
+).format(key=f"{big('l_orderkey')} AS l_orderkey, {big('l_linenumber')} AS l_linenumber"))
+def label_codes_of_many_values(spark, sf):
+    """More categories than a list may hold at sf0.01, through the same call."""
+    lineitem = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(
+        "l_orderkey", "l_linenumber", "concat_ws('/', l_orderkey, l_partkey, l_suppkey) AS v")
+    return fitted_codes(lineitem, "l_orderkey % 2 = 0")
+
+
+@query("one_hot_vectors", f"""
+WITH d AS ({ORDERS}), p AS (SELECT o_orderpriority AS v, row_number() OVER (ORDER BY count(*) DESC, v) - 1 AS i FROM d WHERE v IS NOT NULL GROUP BY 1),
+s AS (SELECT o_orderstatus AS w, row_number() OVER (ORDER BY count(*) DESC, w) - 1 AS k FROM d WHERE w IS NOT NULL GROUP BY 1)
+SELECT {KEY}, array_to_string(list_transform(range(6), lambda x: CASE WHEN x = coalesce(i, 5) THEN '1.0' ELSE '0.0' END), '|') AS priority,
+array_to_string(list_transform(range(4), lambda x: CASE WHEN x = coalesce(k, 3) THEN '1.0' ELSE '0.0' END), '|') AS status
+FROM d LEFT JOIN p ON o_orderpriority = v LEFT JOIN s ON o_orderstatus = w""")
+def one_hot_vectors(spark, sf):
+    orders = derived(spark, sf, "dirty_orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    out = encode.encode_vector(orders, ["o_orderpriority", "o_orderstatus"], ["priority", "status"])
+    return rounded(out.select("o_orderkey", *[vector_to_array(c).alias(c) for c in ("priority", "status")]))
 
 
 @query("fill_numbers_with_zero", f"""

@@ -261,3 +261,12 @@ def date_parts_from_text(spark, sf):
 @query("date_parts_from_timestamp", f"SELECT {big('o_orderkey')} AS o_orderkey, {parts_sql('o_orderdate')} FROM orders")
 def date_parts_from_timestamp(spark, sf):
     return rounded(dates.handle_datetime(table(spark, sf, "orders").select("o_orderkey", "o_orderdate")))
+
+
+@query("date_parts_beside_numbers", f"""
+SELECT {big('o_orderkey')} AS o_orderkey, {r('o_totalprice')} AS update_time, {parts_sql(_AT)}
+FROM ({derived_sql('text_dates')}) JOIN (SELECT o_orderkey, o_totalprice FROM orders) USING (o_orderkey)""")
+def date_parts_beside_numbers(spark, sf):
+    """A number called a time is left alone; the text is taken apart."""
+    prices = table(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice AS update_time")
+    return rounded(dates.handle_datetime(derived(spark, sf, "text_dates").join(prices, "o_orderkey")))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from washline.operators import numeric, impute, profile, quality, typing
 
-from .common import big, derived, derived_sql, fixed, query, r, rounded, table, tokens_sql
+from .common import (
+    big, derived, derived_sql, fixed, query, r, rounded, table, tokens_sql, wide_numbers,
+)
 from .numeric import reduced_sql
 
 DIRTY = [
@@ -152,9 +154,20 @@ def binary_columns_labels(spark, sf):
     ).drop("position")
 
 
-@query("column_samples_orders")
+def samples_sql(columns: dict[str, str], key: str, source: str) -> str:
+    """The values of the twenty smallest MD5 draws of each column."""
+    return " UNION ALL ".join(f"""
+SELECT * FROM (SELECT '{n}' AS "column", row_number() OVER (ORDER BY md5('42|' || {key} || '|' || {text}), {text}) AS place,
+ {text} AS value FROM {source} WHERE {n} IS NOT NULL) WHERE place <= 20""" for n, text in columns.items())
+
+
+@query("column_samples_orders", samples_sql(
+    {n: f"CAST({n} AS VARCHAR)" for n in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")},
+    "CAST(o_orderkey AS VARCHAR)", f"({derived_sql('dirty_orders')})"))
 def column_samples_orders(spark, sf):
-    return rounded(profile.column_samples(table(spark, sf, "orders")))
+    orders = derived(spark, sf, "dirty_orders")
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    return rounded(profile.column_samples(orders, names=names, key="o_orderkey"))
 
 
 def overview_sql(source: str, columns) -> str:
@@ -210,6 +223,41 @@ def column_analysis_customer(spark, sf):
     return rounded(profile.column_analysis(table(spark, sf, "customer")), DIGITS)
 
 
+def wide_columns() -> dict[str, str]:
+    numbers = {k: f"CAST({v} AS DOUBLE)" for k, v in wide_numbers(60).items()}
+    texts = {f"t{i:02d}": f"concat(l_returnflag, '-', (l_linenumber + {i}) % {i + 2})" for i in range(40)}
+    return numbers | texts
+
+
+def wide_analysis_sql() -> str:
+    """One row of measures a column, over all rows at once."""
+    cells = []
+    for i, n in enumerate(wide_columns()):
+        number = not n.startswith("t")
+        measures = [f"avg({n})", f"quantile_cont({n}, 0.5)", f"stddev_samp({n})", f"min({n})", f"max({n})"]
+        given = [f"CAST({m} AS DOUBLE)" if number else "CAST(NULL AS DOUBLE)" for m in measures]
+        fields = ["'position': " + str(i), f"'column': '{n}'", f"'dtype': '{'double' if number else 'string'}'",
+                  f"'non_null': count({n})", f"'null_count': count(*) - count({n})",
+                  f"'unique_count': count(DISTINCT {n})", "'rows': count(*)"]
+        fields += [f"'{k}': {m}" for k, m in zip(("mean", "median", "std", "min", "max"), given)]
+        cells.append("{" + ", ".join(fields) + "}")
+    return f"""
+WITH t AS (SELECT {', '.join(f'{v} AS {k}' for k, v in wide_columns().items())} FROM lineitem),
+p AS (SELECT unnest([{', '.join(cells)}]) AS p FROM t)
+SELECT {big('p.position')} AS position, p."column" AS "column", p.dtype AS dtype, p.non_null AS non_null,
+p.null_count AS null_count, {r('100.0 * p.null_count / p.rows', 2)} AS null_percentage, p.unique_count AS unique_count,
+{r('100.0 * p.unique_count / p.rows', 2)} AS unique_percentage,
+{', '.join(f'{r(f"p.{k}", 2)} AS {k}' for k in ("mean", "median", "std", "min", "max"))} FROM p"""
+
+
+@query("column_analysis_wide", wide_analysis_sql())
+def column_analysis_wide(spark, sf):
+    lineitem = table(spark, sf, "lineitem")
+    return rounded(profile.column_analysis(lineitem.selectExpr(*[f"{v} AS {k}" for k, v in wide_columns().items()]))
+                   .select("position", "column", "dtype", "non_null", "null_count", "null_percentage", "unique_count",
+                           "unique_percentage", "mean", "median", "std", "min", "max"), 2)
+
+
 def top_sql(source: str, names: list[str], k: int, missing: str | None = None) -> str:
     def one(n):
         where = "" if missing else f"WHERE {n} IS NOT NULL"
@@ -318,6 +366,21 @@ def recommendations_orders(spark, sf):
     return rounded(quality.recommendations(derived(spark, sf, "dirty_orders")))
 
 
+@query("recommendation_texts", f"""
+WITH f AS ({recommendations_sql("SELECT *, 'u' || doc_id AS name FROM documents", ["doc_id", "n_chars"], ["text", "lang", "source", "name"])}),
+high AS (SELECT 'high_cardinality' AS rule, CAST(NULL AS VARCHAR) AS "column",
+ 'Consider feature engineering for high-cardinality columns: [' || string_agg('''' || "column" || '''', ', ' ORDER BY "column") || ']' AS text
+ FROM f WHERE rule = 'high_cardinality' HAVING count(*) > 0)
+SELECT * FROM high UNION ALL
+SELECT rule, "column", CASE rule
+ WHEN 'skewed' THEN 'Column ''' || "column" || ''' is highly skewed (skewness: ' || printf('%.2f', measure) || '). Consider transformation.'
+ WHEN 'outliers' THEN 'Column ''' || "column" || ''' has potential outliers (' || CAST(measure AS BIGINT) || ' rows). Consider investigation.'
+ ELSE 'Dataset appears to be in good condition for analysis.' END FROM f WHERE rule <> 'high_cardinality'""")
+def recommendation_texts(spark, sf):
+    documents = table(spark, sf, "documents").withColumn("name", F.concat(F.lit("u"), F.col("doc_id")))
+    return quality.recommendation_text(quality.recommendations(documents))
+
+
 MEASURES = [
     ("count", "count({c})"), ("missing", "count(*) - count({c})"),
     ("missing_pct", "100.0 * (count(*) - count({c})) / count(*)"), ("mean", "avg({c})"),

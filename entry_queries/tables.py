@@ -18,22 +18,47 @@ def csv_round_trip(spark, sf):
     return rounded(io.read_table(spark, path))
 
 
+@query("csv_round_trip_documents", f"SELECT {big('doc_id')} AS doc_id, md5(t) AS digest, t IS NULL AS missing, "
+       f"lang, source, {big('n_chars')} AS n_chars FROM (SELECT *, CASE WHEN doc_id % 10 = 0 THEN NULL "
+       "WHEN doc_id % 10 = 1 THEN '' WHEN doc_id % 10 = 2 THEN ' \"' || text || '\", ' ELSE text END AS t FROM documents)")
+def csv_round_trip_documents(spark, sf):
+    """Texts with line breaks, quotes, spaces at their ends; some empty, some missing."""
+    path = scratch(spark) + "/documents.csv"
+    documents = table(spark, sf, "documents").withColumn("text", F.expr(
+        "CASE WHEN doc_id % 10 = 0 THEN NULL WHEN doc_id % 10 = 1 THEN '' "
+        "WHEN doc_id % 10 = 2 THEN concat(' \"', text, '\", ') ELSE text END"))
+    io.write_table(documents, path)
+    back = io.read_table(spark, path)
+    return rounded(back.select(
+        "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.col("text").isNull().alias("missing"),
+        "lang", "source", "n_chars"))
+
+
 @query("json_round_trip", f"SELECT {big('o_orderkey')} AS o_orderkey, "
        f"{big('o_custkey')} AS o_custkey, o_orderstatus, o_orderpriority, "
-       f"{r('o_totalprice')} AS o_totalprice FROM ({derived_sql('dirty_orders')})")
+       f"{r('o_totalprice')} AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate "
+       f"FROM ({derived_sql('dirty_orders')}) JOIN (SELECT o_orderkey, o_orderdate FROM orders) USING (o_orderkey)")
 def json_round_trip(spark, sf):
     path = scratch(spark) + "/orders.JSON"
-    io.write_table(derived(spark, sf, "dirty_orders"), path)
-    return rounded(io.read_table(spark, path))
+    dates = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    io.write_table(derived(spark, sf, "dirty_orders").join(dates, "o_orderkey"), path)
+    back = io.read_table(spark, path)
+    return rounded(back.withColumn("o_orderdate", F.date_format(
+        F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")))
 
 
-@query("parquet_round_trip", f"SELECT {big('l_orderkey')} AS l_orderkey, l_returnflag, "
-       f"{r('l_quantity')} AS l_quantity FROM ({derived_sql('dirty_lineitem')})")
+_LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+_AMOUNTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("parquet_round_trip", f"SELECT {', '.join(f'{big(n)} AS {n}' for n in _LINEITEM)}, "
+       f"{', '.join(f'{r(n)} AS {n}' for n in _AMOUNTS)}, l_returnflag, l_linestatus, "
+       "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate FROM lineitem")
 def parquet_round_trip(spark, sf):
     path = scratch(spark) + "/lineitem.parquet"
-    lineitem = derived(spark, sf, "dirty_lineitem").select("l_orderkey", "l_returnflag", "l_quantity")
-    io.write_table(lineitem, path)
-    return rounded(io.read_table(spark, path))
+    io.write_table(table(spark, sf, "lineitem"), path)
+    back = io.read_table(spark, path)
+    return rounded(back.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")))
 
 
 @query("preview_first_orders", f"SELECT {big('o_orderkey')} AS o_orderkey, o_orderstatus, "

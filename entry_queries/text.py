@@ -9,7 +9,6 @@ from washline.functions import text
 from washline.functions.columns import col
 from washline.functions.words import BASIC_STOP_WORDS, ENGLISH_STOP_WORDS, NOUN_ENDINGS
 from washline.operators import textcols, tfidf
-from washline.sources.tables import spread
 
 from .common import SQL_SPACE, big, derived, derived_sql, query, r, rounded, table, tokens_sql, words_sql
 
@@ -37,7 +36,7 @@ def spaces(expression: str) -> str:
 
 
 def documents(spark, sf):
-    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 def documents_sql(expression: str) -> str:
@@ -119,14 +118,31 @@ def lemma_table(spark, sf):
 
 @query("lemmatize_documents", _LEMMATIZED)
 def lemmatize_documents(spark, sf):
-    return rounded(textcols.lemmatize(documents(spark, sf), "text", lemma_table(spark, sf), key="doc_id"))
+    return rounded(textcols.lemmatize(documents(spark, sf), "text", lemma_table(spark, sf)))
 
 
 @query("lemmatize_documents_by_join", _LEMMATIZED)
 def lemmatize_documents_by_join(spark, sf):
     """The way for a lemma table too large to broadcast."""
     lemmas = lemma_table(spark, sf)
-    return rounded(textcols.lemmatize(documents(spark, sf), "text", lemmas, key="doc_id", max_broadcast=0))
+    return rounded(textcols.lemmatize(documents(spark, sf), "text", lemmas, max_broadcast=0))
+
+
+@query("lemmatize_conversations_by_join", f"""
+WITH c AS (SELECT conv_id, turn, text FROM ({derived_sql('odd_conversations')})),
+v AS (SELECT DISTINCT unnest({tokens_sql('text')}) AS word FROM c),
+words AS (SELECT conv_id, turn, unnest({tokens_sql('text')}) AS word, generate_subscripts({tokens_sql('text')}, 1) AS place FROM c),
+joined AS (SELECT conv_id, turn, string_agg(CASE WHEN length(word) > 6 THEN left(word, 6) ELSE word END, ' ' ORDER BY place) AS text
+           FROM words GROUP BY conv_id, turn)
+SELECT {big('c.conv_id')} AS conv_id, CASE WHEN c.text IS NULL THEN NULL ELSE coalesce(j.text, '') END AS text
+FROM c LEFT JOIN joined j USING (conv_id, turn)""")
+def lemmatize_conversations_by_join(spark, sf):
+    """A table whose only key repeats; every word is listed twice, the longer form is no lemma."""
+    turns = derived(spark, sf, "odd_conversations").select("conv_id", "text")
+    words = turns.select(F.explode(text.tokens(col("text"))).alias("word"))
+    lemmas = words.select("word", F.left("word", F.lit(6)).alias("lemma"))
+    return rounded(textcols.lemmatize(turns, "text", lemmas, gate=False, max_broadcast=0))
+
 
 
 @query("noun_lemma_table", f"WITH {_LEMMAS} SELECT word, lemma FROM lemmas WHERE word IN (SELECT word FROM v)")

@@ -81,7 +81,7 @@ LEMMAS = {"Apples": "Apple", "Pears": "Pear"}
 @pytest.mark.parametrize("limit", [10, 0])
 def test_lemmatize(spark, texts, limit):
     table = spark.createDataFrame(list(LEMMAS.items()), "word string, lemma string")
-    got = values(textcols.lemmatize(texts, "t", table, key="k", gate=False, max_broadcast=limit))
+    got = values(textcols.lemmatize(texts, "t", table, gate=False, max_broadcast=limit))
     assert got == [None if t is None else " ".join(LEMMAS.get(w, w) for w in t.split()) for t in TEXTS]
 
 

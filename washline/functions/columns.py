@@ -115,5 +115,19 @@ def distinct_key(df: DataFrame, name: str) -> Column:
     return c
 
 
+def row_digest(df: DataFrame, keys: Iterable[str]) -> Column:
+    """256 bits equal exactly when the keys are: whole rows are never hashed, sorted or shuffled as
+    keys, and maps and missing values compare as well."""
+    def text(name: str) -> Column:
+        key = distinct_key(df, name)
+        if is_floating(field(df, name).dataType):
+            key = key + F.lit(0.0).cast(field(df, name).dataType)  # a negative zero is a zero
+        return key.cast("string")
+
+    parts = [F.coalesce(F.concat(F.lit("="), text(k)), F.lit("-")) for k in keys]
+    sized = [F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]
+    return F.sha2(F.concat(*sized).cast("binary"), 256)
+
+
 def no_value(dtype: str) -> Column:
     return F.lit(None).cast(dtype)

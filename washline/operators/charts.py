@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
     col, number, numeric_columns, present, replace_columns, scalar_columns, string_columns, targets, tidy,
 )
-from ..functions.stats import correlation
 from ..functions.text import first_category
 from ..functions.words import LOOSE_CATEGORIES, STRICT_CATEGORIES
 from .counts import long_columns, picked_values, top_counts
@@ -95,21 +96,57 @@ def top_categories(
 
 
 def correlations(df: DataFrame, column=None) -> DataFrame:
-    """``(col_a, col_b, corr)`` for every ordered pair of numeric columns, in one aggregate."""
+    """``(col_a, col_b, corr)`` for every ordered pair of numeric columns, over the rows where both are
+    present; 0 where either has no spread there.
+
+    Each task adds up, as matrix products over its Arrow batches, the counts, sums and products of all
+    pairs, so what is shuffled is one row a pair and task, however many rows or columns there are.
+    """
     names = targets(df, column, numeric_columns(df))
-    df, rows = tidy(df, names), []
-    for i, a in enumerate(names):
-        for b in names[i:]:
-            value = correlation(number(df, a), number(df, b))
-            sides = [(a, b)] if a == b else [(a, b), (b, a)]
-            rows.append((sides, value))
-    flat = [
-        F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"), F.col(f"r{k}").alias("corr"))
-        for k, (sides, _) in enumerate(rows) for x, y in sides
-    ]
-    return df.agg(*[value.alias(f"r{k}") for k, (_, value) in enumerate(rows)]).select(
-        F.inline(F.array(*flat))
-    )
+    values = tidy(df, names).select(*[col(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)])
+    if not names:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
+    means = values.agg(*[F.avg(c).alias(c) for c in values.columns]).first()
+    shift = np.array([m if m is not None and np.isfinite(m) else 0.0 for m in means])
+    sums = values.mapInArrow(
+        _pair_sums(shift), "a int, b int, n double, x double, y double, xx double, yy double, xy double"
+    ).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n = F.col("n")
+    moved = F.array(*[F.lit(float(s)) for s in shift])
+
+    def variance(squares: str, total: str, place: str) -> Column:
+        v = F.try_divide(F.col(squares), n) - F.pow(F.try_divide(F.col(total), n), F.lit(2))
+        size = F.try_divide(F.col(squares), n) + F.pow(F.get(moved, F.col(place)), F.lit(2)) * F.lit(1e-10)
+        return F.when(v > size * F.lit(1e-12), v)  # the rest is rounding of equal values
+
+    covariance = F.try_divide("xy", "n") - F.try_divide("x", "n") * F.try_divide("y", "n")
+    spread = F.sqrt(variance("xx", "x", "a")) * F.sqrt(variance("yy", "y", "b"))
+    corr = F.coalesce(F.try_divide(covariance, spread), F.lit(0.0))
+    label = F.array(*[F.lit(x) for x in names])
+    one, two = F.get(label, F.col("a")), F.get(label, F.col("b"))
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct(one.alias("col_a"), two.alias("col_b")))) \
+        .otherwise(F.array(F.struct(one.alias("col_a"), two.alias("col_b")),
+                           F.struct(two.alias("col_a"), one.alias("col_b"))))
+    return sums.select(F.inline(both), corr.alias("corr"))
+
+
+def _pair_sums(shift: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = len(shift)
+        total = np.zeros((6, m, m))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - shift
+            there = ~np.isnan(x)
+            x, mask = np.where(there, x, 0.0), there.astype(np.float64)
+            sums, squares = x.T @ mask, (x * x).T @ mask
+            total += np.stack([mask.T @ mask, sums, sums.T, squares, squares.T, x.T @ x])
+        a, b = np.triu_indices(m)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *[pa.array(t[a, b]) for t in total]],
+            ["a", "b", "n", "x", "y", "xx", "yy", "xy"],
+        )
+
+    return run
 
 
 def missing_patterns(df: DataFrame, column=None) -> DataFrame:

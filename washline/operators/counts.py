@@ -7,40 +7,59 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import LONG, col, distinct_key, present, string_columns
+from ..functions.columns import (
+    LONG, col, distinct_key, field, is_scalar, present, string_columns,
+)
 from .fit import scalars
 
+MAP_SIDE_LIMIT = 1000  # the row-number limit that Spark pushes before a shuffle
+PARTS = 64
+
+
+def slots(df: DataFrame, names: list[str], by_digest: bool = False) -> tuple[list[str], dict[str, int]]:
+    """The types among the keys, and the place of each name's type in that list."""
+    kinds = {
+        n: "string" if by_digest and not is_scalar(field(df, n).dataType) else field(df, n).dataType.simpleString()
+        for n in names
+    }
+    types = list(dict.fromkeys(kinds.values()))
+    return types, {n: types.index(kinds[n]) for n in names}
+
 
 def value_counts(
     df: DataFrame, names: list[str], with_missing: bool = False, by_digest: bool = False
 ) -> DataFrame:
-    """Columns ``column``, ``n`` and ``v0 .. vk``: one row per column and value.
+    """Columns ``column``, ``n`` and ``v0 .. vk``, one for each type: a row per column and value.
 
-    ``v<i>`` holds the value (own type) on the rows of the i-th name and is NULL elsewhere; with
-    ``by_digest`` it holds the ``distinct_key``, so that long texts are not shuffled. One
-    grouping-sets aggregate: values are counted on the map side first, so a value that fills
-    most of the table sends one row per task.
+    ``v<i>`` holds the value on the rows of columns of the i-th type (``slots``) and is NULL
+    elsewhere; with ``by_digest`` it holds the ``distinct_key``, so that long texts are not shuffled.
+    Each row of the table becomes one narrow row per column; values are counted on the map side first,
+    so a value that fills most of the table sends one row per task.
     """
-    keys = [f"v{i}" for i in range(len(names))]
+    types, place = slots(df, names, by_digest)
     value = distinct_key if by_digest else present
-    values = df.select(*[value(df, name).alias(k) for name, k in zip(names, keys)])
-    named = F.when(F.lit(False), F.lit(None).cast("string"))
-    missing = F.lit(False)
-    for name, k in zip(names, keys):
-        named = named.when(F.grouping(k) == 0, F.lit(name))
-        missing = missing | ((F.grouping(k) == 0) & F.col(k).isNull())
-    counted = values.groupingSets([[k] for k in keys], *keys).agg(
-        named.alias("column"), F.count(F.lit(1)).alias("n"), missing.alias("__missing")
+    cells = []
+    for n in names:
+        key = value(df, n)
+        typed = [
+            (key if i == place[n] else F.lit(None).cast(t)).alias(f"v{i}") for i, t in enumerate(types)
+        ]
+        cell = F.struct(F.lit(n).alias("column"), *typed)
+        cells.append(cell if with_missing else F.when(key.isNotNull(), cell))
+    pairs = F.array(*cells) if with_missing else F.array_compact(F.array(*cells))
+    return df.select(F.inline(pairs)).groupBy("column", *[f"v{i}" for i in range(len(types))]).agg(
+        F.count(F.lit(1)).alias("n")
     )
-    if not with_missing:
-        counted = counted.where(~F.col("__missing"))
-    return counted.drop("__missing")
+
+
+def slot_columns(counted: DataFrame) -> list[str]:
+    return [c for c in counted.columns if c[0] == "v" and c[1:].isdigit()]
 
 
 def distinct_counts(df: DataFrame, names: list[str], approx: bool = False) -> dict[str, int]:
     """Distinct present values per column.
 
-    Exact counts come from the grouping-sets table and not from ``count_distinct`` next to other
+    Exact counts come from the counted values and not from ``count_distinct`` next to other
     aggregates, which would expand every row once per column with all its other inputs.
     """
     if not names:
@@ -64,7 +83,7 @@ def picked_values(df: DataFrame, names: list[str], picked: DataFrame, long: list
     A key is the value itself unless that is long; the few long ones picked are looked up by
     their digest in one more scan of the long columns.
     """
-    keyed = picked.withColumn("__key", value_text(df, names))
+    keyed = picked.withColumn("__key", value_text(picked))
     if not long:
         return keyed.withColumnRenamed("__key", "value")
     texts = df.select(F.inline(F.array(*[
@@ -81,27 +100,39 @@ def picked_values(df: DataFrame, names: list[str], picked: DataFrame, long: list
     ).drop("__key", "__text")
 
 
-def value_text(df: DataFrame, names: list[str]) -> Column:
+def value_text(counted: DataFrame) -> Column:
     """The value of a ``value_counts`` row as text."""
-    return F.coalesce(*[F.col(f"v{i}").cast("string") for i in range(len(names))])
+    return F.coalesce(*[F.col(c).cast("string") for c in slot_columns(counted)])
 
 
 def top_counts(
     df: DataFrame, names: list[str], k: int, with_missing: bool = False, by_digest: bool = False
 ) -> DataFrame:
     """The ``k`` most frequent values per column with ``rank``; ties go to the smaller value."""
-    keys = [F.col(f"v{i}").asc_nulls_last() for i in range(len(names))]
-    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), *keys))
     counted = value_counts(df, names, with_missing, by_digest)
-    return counted.withColumn("rank", place).where(F.col("rank") <= k)
+    order = [F.desc("n"), *[F.col(c).asc_nulls_last() for c in slot_columns(counted)]]
+    return ranked(counted, ["column"], order, k)
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of each group with ``rank``. Spark limits a group on the map side up to a
+    size of its own; beyond that the rows are limited in parts first, so no task sorts a whole group."""
+    if k > MAP_SIDE_LIMIT:
+        part = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in by]), F.lit(PARTS)).alias("__part")
+        inside = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order))
+        rows = rows.select("*", part).withColumn("__rank", inside).where(F.col("__rank") <= k)
+        rows = rows.drop("__part", "__rank")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn("rank", place).where(F.col("rank") <= k)
 
 
 def modes(df: DataFrame, names: list[str]) -> dict[str, Any]:
     """Most frequent value per column, smallest on ties; a column without values is left out."""
     if not names:
         return {}
+    place = slots(df, names)[1]
     rows = top_counts(df, names, 1).collect()  # one row per column
-    return {r["column"]: r[f"v{names.index(r['column'])}"] for r in rows}
+    return {r["column"]: r[f"v{place[r['column']]}"] for r in rows}
 
 
 def count_of(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, field, is_datetime, replace_columns, targets
+from ..functions.columns import (
+    col, field, is_datetime, is_numeric, replace_columns, string_columns, targets,
+)
 from .typing import datetime_columns
 
 # Formats tried in order after ISO 8601.
@@ -17,10 +19,18 @@ FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "yyyy/MM/dd", "dd-
 def parse_datetime(
     df: DataFrame, column: str, formats: Sequence[str] | None = None
 ) -> Column:
-    """The column as a timestamp; a value that fits no format is NULL."""
+    """The column as a timestamp; a value that fits no format is NULL.
+
+    Numbers are seconds since 1970 (UTC); other types than texts and dates are all NULL.
+    """
     c = col(column)
-    if is_datetime(field(df, column).dataType):
+    dtype = field(df, column).dataType
+    if is_datetime(dtype):
         return c
+    if is_numeric(dtype):
+        return c.try_cast("double").try_cast("timestamp")
+    if column not in string_columns(df):
+        return F.lit(None).cast("timestamp")
     if formats:
         tries = [F.try_to_timestamp(c, F.lit(f)) for f in formats]
     else:
@@ -59,4 +69,9 @@ def handle_datetime(
 
 
 def _names(df: DataFrame, column) -> list[str]:
-    return datetime_columns(df) if column is None else targets(df, column, df.columns)
+    """Without names given, dates and the texts that look like them: a number is not a date just
+    because its column is called one."""
+    if column is not None:
+        return targets(df, column, df.columns)
+    texts = string_columns(df)
+    return [n for n in datetime_columns(df) if n in texts or is_datetime(field(df, n).dataType)]

@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
-    ROLE, col, field, present, scalar_columns, string_columns, targets,
+    ROLE, col, distinct_key, field, present, scalar_columns, string_columns, targets,
 )
-from .counts import count_of, top_counts
-from .joins import join_by_value
+from .checkpoints import stored
+from .counts import count_of, distinct_counts, slots, value_counts
 from .ranges import number_distinct
 
 MAX_ONE_HOT = 1000
-MAX_DRIVER_LABELS = 10_000
+MAX_DRIVER_LABELS = 10_000  # beyond it the fitted codes are a written table and not a list
 AUTO_ONE_HOT = 10
 METHODS = ("onehot", "label", "auto")
 
@@ -29,18 +29,22 @@ class TooManyCategories(ValueError):
 def categories(df: DataFrame, names: list[str], limit: int) -> dict[str, list[tuple[Any, int]] | None]:
     """Sorted ``(value, count)`` pairs per column, missing last; None above ``limit`` values.
 
-    The driver receives at most ``limit + 1`` rows per column.
+    Values are counted first, and fetched only for the columns with up to ``limit`` of them, a missing
+    one included.
     """
     if not names:
         return {}
-    found: dict[str, list[tuple[Any, int]]] = {n: [] for n in names}
-    place = {n: i for i, n in enumerate(names)}
-    for r in top_counts(df, names, limit + 1, with_missing=True).collect():
-        found[r["column"]].append((r[f"v{place[r['column']]}"], r["n"]))
+    distinct = distinct_counts(df, names)
+    few = [n for n in names if distinct[n] <= limit]
+    found: dict[str, list[tuple[Any, int]]] = {n: [] for n in few}
+    if few:
+        place = slots(df, few)[1]
+        for r in value_counts(df, few, with_missing=True).collect():  # limit + 1 rows a column
+            found[r["column"]].append((r[f"v{place[r['column']]}"], r["n"]))
     return {
-        n: None if len(pairs) > limit
-        else sorted(pairs, key=lambda p: (p[0] is None, "" if p[0] is None else p[0]))
-        for n, pairs in found.items()
+        n: None if n not in found or len(found[n]) > limit
+        else sorted(found[n], key=lambda p: (p[0] is None, "" if p[0] is None else p[0]))
+        for n in names
     }
 
 
@@ -64,7 +68,12 @@ def fit_encode(
     order: str = "sorted",
     max_categories: int = MAX_ONE_HOT,
 ) -> dict[str, dict[str, Any]]:
-    """``auto`` takes one-hot up to ten distinct values, else labels."""
+    """``auto`` takes one-hot up to ten distinct values, else labels.
+
+    Labels are fitted codes from 0; missing values and values that the fit has not seen get the next
+    code after the last. Up to 10,000 values are a list in the parameters, more are a written table
+    ``(key, code)`` in the shared folder; both give the same codes.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; one of {METHODS}")
     if order not in ("sorted", "frequency"):
@@ -87,6 +96,8 @@ def fit_encode(
             "method": kind, "keep_original": keep_original, "order": order,
             "categories": None if pairs is None else [v for v, _ in pairs],
         }
+        if kind == "label" and pairs is None:
+            params[n]["codes"] = _code_table(df, n, order)
     return params
 
 
@@ -99,12 +110,9 @@ def apply_encode(df: DataFrame, params: dict[str, dict[str, Any]]) -> DataFrame:
             continue
         if p["method"] == "onehot":
             columns = _one_hot(df, n, p["categories"])
-        elif p["categories"] is None:
-            df = _join_many_labels(df, n, p["order"])
-            columns = [_label_column(n, p, F.col(f"__code_{n}"))]
         else:
-            df = _join_labels(df, n, p["categories"])
-            columns = [_label_column(n, p, F.col(f"__code_{n}"))]
+            df = _join_labels(df, n, p)
+            columns = [_label_column(n, p, col(f"__code_{n}"))]
         if p["keep_original"]:
             added.extend(columns)
         elif p["method"] == "label":
@@ -131,31 +139,40 @@ def _label_column(name: str, p: dict[str, Any], code: Column) -> Column:
     return code.alias(label, metadata={ROLE: "label"})
 
 
-def _join_labels(df: DataFrame, name: str, values: list[Any]) -> DataFrame:
-    """Codes from a broadcast table of at most ``MAX_DRIVER_LABELS`` rows."""
-    kind = field(df, name).dataType.simpleString()
-    table = df.sparkSession.createDataFrame(
-        [(v, i) for i, v in enumerate(values)], f"__value {kind}, `__code_{name}` int"
-    )
-    same = present(df, name).eqNullSafe(F.col("__value"))
-    return df.join(F.broadcast(table), same, "left").drop("__value")
-
-
-def _join_many_labels(df: DataFrame, name: str, order: str) -> DataFrame:
-    """Codes for a column with too many categories for the driver: numbered in ordered buckets
-    and joined back without a hot shuffle key; missing values get the last code."""
+def _join_labels(df: DataFrame, name: str, p: dict[str, Any]) -> DataFrame:
+    """Fitted codes by a join on digests; what has none gets the number of codes. The table of a
+    short list is broadcast, so the rows stay where they are; either join also runs on a stream."""
+    code = f"__code_{name}"
+    if p["categories"] is None:
+        table, unseen = p["codes"]
+        table = table.select(F.col("key").alias("__key"), F.col("code").alias(code))
+    else:
+        kind = field(df, name).dataType.simpleString()
+        values = [v for v in p["categories"] if v is not None]  # MAX_DRIVER_LABELS at most
+        given = df.sparkSession.createDataFrame(
+            [(v, i) for i, v in enumerate(values)], f"__value {kind}, `{code}` int"
+        )
+        table, unseen = F.broadcast(given.select(
+            distinct_key(given, "__value").alias("__key"), col(code)
+        )), len(values)
+    joined = df.join(table, distinct_key(df, name) == F.col("__key"), "left").drop("__key")
+    return joined.withColumn(code, F.coalesce(col(code), F.lit(unseen)))
+
+
+def _code_table(df: DataFrame, name: str, order: str) -> tuple[DataFrame, int]:
+    """``(key, code)`` of all present values, numbered in ordered buckets and written once, and their
+    number."""
     value = f"__present_{name}"
-    keyed = df.withColumn(value, present(df, name))
-    counts = count_of(keyed, value).where(F.col("value").isNotNull())
+    keyed = df.select(present(df, name).alias(value))
+    counts = stored(count_of(keyed, value).where(F.col("value").isNotNull()))
     if order == "frequency":
         numbered = number_distinct(counts.withColumn("less", -F.col("n")), ["less", "value"])
     else:
         numbered = number_distinct(counts, ["value"])
-    code = f"__code_{name}"
-    table = numbered.select("value", F.col("position").cast("int").alias(code))
-    joined = join_by_value(keyed, value, counts, table).drop(value)
-    last = counts.count()
-    return joined.withColumn(code, F.coalesce(F.col(code), F.lit(last)))
+    table = stored(numbered.select(
+        distinct_key(numbered, "value").alias("key"), F.col("position").cast("int").alias("code")
+    ))
+    return table, counts.count()
 
 
 def encoding_metadata(params: dict[str, dict[str, Any]]) -> list[dict[str, Any]]:
@@ -172,15 +189,22 @@ def encoding_metadata(params: dict[str, dict[str, Any]]) -> list[dict[str, Any]]
 
 
 def encode_vector(
-    df: DataFrame, column: str, output_col: str | None = None, max_categories: int = MAX_ONE_HOT
+    df: DataFrame, column: str | list[str] | None = None, output_col: str | list[str] | None = None
 ) -> DataFrame:
-    """One-hot vector, most frequent category first, last slot for missing and unseen values."""
-    if categories(df, [column], max_categories)[column] is None:
-        raise TooManyCategories(f"{column!r} has more than {max_categories} categories")
-    index = f"__{column}_index"
+    """A one-hot vector for each named column, or each string column: most frequent category first, last
+    slot for missing and unseen values. ``output_col`` names the vectors, ``{column}_onehot`` if not
+    given. Vectors are sparse, so any number of categories that the indexer's driver side holds will do.
+    """
+    names = targets(df, column, string_columns(df) if column is None else scalar_columns(df))
+    out = [output_col] if isinstance(output_col, str) else list(output_col or ())
+    out = out or [f"{n}_onehot" for n in names]
+    if len(out) != len(names):
+        raise ValueError("output_col needs one name for each column")
+    if not names:
+        return df
+    index = [f"__{n}_index" for n in names]
     steps = Pipeline(stages=[
-        StringIndexer(inputCol=column, outputCol=index, handleInvalid="keep"),
-        OneHotEncoder(inputCols=[index], outputCols=[output_col or f"{column}_onehot"],
-                      handleInvalid="keep"),
+        StringIndexer(inputCols=names, outputCols=index, handleInvalid="keep"),
+        OneHotEncoder(inputCols=index, outputCols=out, handleInvalid="keep"),
     ])
-    return steps.fit(df).transform(df).drop(index)
+    return steps.fit(df).transform(df).drop(*index)

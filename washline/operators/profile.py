@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import (
-    LONG, col, distinct_key, field, is_numeric, is_scalar, no_value, number, numeric_columns, present,
+    LONG, col, field, is_numeric, is_scalar, no_value, number, numeric_columns, present, row_digest,
     scalar_columns, string_columns, tidy,
 )
-from .counts import distinct_counts, long_columns, picked_values, top_counts, value_counts
+from .counts import (
+    distinct_counts, long_columns, picked_values, ranked, slot_columns, top_counts, value_counts,
+)
 from .fit import scalars
 from .quantiles import quantiles
 
@@ -107,10 +109,9 @@ def profile(df: DataFrame, preview: int | None = MAX_UNIQUE_PREVIEW, approx: boo
 
 def _previews(df: DataFrame, names: list[str], k: int, long: list[str]) -> DataFrame:
     """``(column, sample_unique)``, at most ``k`` values per column."""
-    keys = [F.col(f"v{i}").asc_nulls_last() for i in range(len(names))]
-    place = F.row_number().over(Window.partitionBy("column").orderBy(*keys))
     counted = value_counts(df, names, by_digest=True)
-    first = counted.withColumn("place", place).where(F.col("place") <= k)
+    keys = [F.col(c).asc_nulls_last() for c in slot_columns(counted)]
+    first = ranked(counted, ["column"], keys, k).withColumnRenamed("rank", "place")
     pair = F.struct("place", "value")
     return picked_values(df, names, first, long).groupBy("column").agg(
         F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["value"]).alias("sample_unique")
@@ -118,31 +119,39 @@ def _previews(df: DataFrame, names: list[str], k: int, long: list[str]) -> DataF
 
 
 def column_samples(
-    df: DataFrame, rows: int = SAMPLE_ROWS, seed: int = SAMPLE_SEED, names: Sequence[str] | None = None
+    df: DataFrame, rows: int = SAMPLE_ROWS, seed: int = SAMPLE_SEED, names: Sequence[str] | None = None,
+    key: str | Sequence[str] | None = None,
 ) -> DataFrame:
     """``(column, place, value)``: a repeatable sample of present values per column.
 
-    Every row draws a seeded random number and the lowest draws win, so copies do not crowd a
-    sample; it repeats as long as the files stay the same. Only draws below a limit are ranked:
-    one that about fifty times the wanted rows pass, or all rows of a column with fewer values.
-    Texts above 300 characters are cut there and get dots.
+    With ``key`` columns that identify a row, the draw is the MD5 of seed, key and value, the same
+    however the files are laid out. Without, every row draws a seeded random number, and the sample
+    repeats as long as the files stay the same. The lowest draws win, so copies do not crowd a sample.
+    Only draws below a limit are ranked: one that about fifty times the wanted rows pass, or all
+    rows of a column with fewer values. Texts above 300 characters are cut there and get dots.
     """
     names = list(names or scalar_columns(df))
+    keys = [key] if isinstance(key, str) else list(key or ())
     counts = statistics(df, names, lambda values, n: {"count": F.count(present(values, n))})
-    draws = df.select(F.rand(seed).alias("__draw"), *[col(n) for n in names])
+    random = F.rand(seed).alias("__random")  # one draw a row
+    draws = df if keys else df.select("*", random)
     entries = []
     for n in names:
-        limit = OVERSAMPLING * rows / max(counts[n]["count"], 1)
+        share = min(1.0, OVERSAMPLING * rows / max(counts[n]["count"], 1))
         value = present(draws, n)
+        if keys:
+            parts = [F.coalesce(col(k).cast("string"), F.lit("")) for k in keys]
+            draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts, value.cast("string")).cast("binary"))
+            limit = F.lit(f"{min(int(share * 16**8), 16**8 - 1):08x}" + "g")  # 'g' follows all digits
+        else:
+            draw, limit = F.col("__random"), F.lit(share)
         entries.append(F.when(
-            value.isNotNull() & (F.col("__draw") < F.lit(limit)),
-            F.struct(F.lit(n).alias("column"), _cut(value.cast("string")).alias("value")),
+            value.isNotNull() & (draw < limit),
+            F.struct(F.lit(n).alias("column"), draw.alias("__draw"), _cut(value.cast("string")).alias("value")),
         ))
-    long = draws.select("__draw", F.inline(F.array_compact(F.array(*entries))))
-    place = F.row_number().over(Window.partitionBy("column").orderBy("__draw", "value"))
-    return (
-        long.withColumn("place", place).where(F.col("place") <= rows)
-        .select("column", "place", "value")
+    drawn = draws.select(F.inline(F.array_compact(F.array(*entries))))
+    return ranked(drawn, ["column"], [F.col("__draw"), F.col("value")], rows).select(
+        "column", F.col("rank").alias("place"), "value"
     )
 
 
@@ -153,12 +162,14 @@ def _cut(c: Column) -> Column:
 def overview(df: DataFrame) -> DataFrame:
     """One row: size, missing cells, duplicate rows, and how many columns are of which kind."""
     columns = len(df.columns)
-    # identical rows collapse on the map side; each distinct row then brings its count
-    keys = df.select(*[distinct_key(df, n).alias(f"k{i}") for i, n in enumerate(df.columns)])
-    distinct = keys.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("__n"))
-    nulls = sum((F.col(k).isNull().cast("bigint") for k in keys.columns), F.lit(0).cast("bigint"))
+    nulls = sum((_present(df, n).isNull().cast("bigint") for n in df.columns), F.lit(0).cast("bigint"))
+    # missing cells are added up on the map side, and only 256 bits of each row are shuffled
+    rows = df.select(row_digest(df, df.columns).alias("__digest"), nulls.alias("__nulls"))
+    distinct = rows.groupBy("__digest").agg(
+        F.count(F.lit(1)).alias("__n"), F.sum("__nulls").alias("__nulls")
+    )
     total = F.coalesce(F.sum("__n"), F.lit(0))
-    missing = F.coalesce(F.sum(F.col("__n") * nulls), F.lit(0))
+    missing = F.coalesce(F.sum("__nulls"), F.lit(0))
     return distinct.agg(
         total.alias("total_rows"),
         F.lit(columns).alias("total_columns"),

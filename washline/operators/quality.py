@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import number, numeric_columns, string_columns, tidy
+from ..functions.columns import no_value, number, numeric_columns, string_columns, tidy
 from ..functions.stats import kurtosis, skewness
 from .counts import distinct_counts
 from .fit import scalars
@@ -28,7 +28,7 @@ ISSUES = {
     "constant": "Constant columns found: ",
 }
 SENTENCES = {
-    "high_cardinality": "Consider feature engineering for high-cardinality columns: ['%s']",
+    "high_cardinality": "Consider feature engineering for high-cardinality columns: [%s]",
     "skewed": "Column '%s' is highly skewed (skewness: %.2f). Consider transformation.",
     "outliers": "Column '%s' has potential outliers (%d rows). Consider investigation.",
     "good_condition": "Dataset appears to be in good condition for analysis.",
@@ -97,15 +97,20 @@ def recommendations(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def recommendation_text(found: DataFrame) -> DataFrame:
-    """The findings as sentences."""
+    """``(rule, column, text)``: the findings as sentences. The high-cardinality columns share one
+    sentence, in the order of their names, with a null ``column``."""
     rule, c, m = F.col("rule"), F.col("column"), F.col("measure")
-    return found.select(
+    together = rule == "high_cardinality"
+    names = F.array_sort(F.collect_list(F.concat(F.lit("'"), c, F.lit("'"))))  # columns of one table
+    one = found.where(together).groupBy("rule").agg(
+        F.format_string(SENTENCES["high_cardinality"], F.array_join(names, ", ")).alias("text")
+    ).select("rule", no_value("string").alias("column"), "text")
+    return one.unionByName(found.where(~together).select(
         "rule", "column",
-        F.when(rule == "high_cardinality", F.format_string(SENTENCES["high_cardinality"], c))
-        .when(rule == "skewed", F.format_string(SENTENCES["skewed"], c, m))
+        F.when(rule == "skewed", F.format_string(SENTENCES["skewed"], c, m))
         .when(rule == "outliers", F.format_string(SENTENCES["outliers"], c, m.cast("bigint")))
         .otherwise(SENTENCES["good_condition"]).alias("text"),
-    )
+    ))
 
 
 def comparable_columns(before: DataFrame, after: DataFrame) -> list[str]:

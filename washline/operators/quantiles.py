@@ -13,11 +13,12 @@ import math
 from collections import defaultdict
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import number, tidy
 from .fit import scalars
+from .ranges import at_or_below
 
 SMALL = 200_000
 FETCH = 100_000
@@ -94,7 +95,8 @@ def quantiles(
                 lower, upper = _ranks(p, counts[name])
                 share = p * (counts[name] - 1) - lower
                 a, b = at[name, lower], at[name, upper]
-                out[name][p] = a if a == b else a + (b - a) * share
+                # as ``percentile`` weighs them, infinities included
+                out[name][p] = a if a == b else (1 - share) * a + share * b
     return out
 
 
@@ -153,13 +155,31 @@ def _cut_points(df, values, wide) -> dict[Interval, list[float]]:
 
 
 def _tallies(df, values, cuts) -> dict[tuple[Interval, float, str], int]:
-    wanted = {}
-    for interval, points in cuts.items():
-        value = interval.inside(values[interval.column])
-        for point in points:
-            wanted[interval, point, "under"] = F.count_if(value < F.lit(point))
-            wanted[interval, point, "upto"] = F.count_if(value <= F.lit(point))
-    return scalars(df, wanted)
+    """Values under, and up to, each cut. Every value finds its place among the sorted cuts of its
+    interval by halving; places are counted in one narrow shuffle."""
+    intervals, cells = list(cuts), []
+    for k, interval in enumerate(intervals):
+        value, points = interval.inside(values[interval.column]), cuts[interval]
+        bounds = F.array(*[F.lit(p) for p in points])
+        upto = at_or_below(value, bounds, len(points))
+        equal = F.coalesce(F.get(bounds, upto - 1) == value, F.lit(False))
+        place = 2 * upto - F.when(equal, 1).otherwise(0)  # odd on a cut, even between two
+        cells.append(F.when(value.isNotNull(), F.struct(F.lit(k).alias("interval"), place.alias("place"))))
+    counted = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("interval", "place").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    found: dict[int, dict[int, int]] = defaultdict(dict)
+    for row in counted.collect():  # two rows a cut
+        found[row["interval"]][row["place"]] = row["n"]
+    out = {}
+    for k, interval in enumerate(intervals):
+        seen = 0
+        for j, point in enumerate(cuts[interval]):
+            seen += found[k].get(2 * j, 0)
+            out[interval, point, "under"] = seen
+            seen += found[k].get(2 * j + 1, 0)
+            out[interval, point, "upto"] = seen
+    return out
 
 
 def _locate(interval, points, tallies, rank) -> Interval | float:
@@ -178,13 +198,25 @@ def _locate(interval, points, tallies, rank) -> Interval | float:
 
 
 def _fetch(df, values, open_ranks) -> dict[tuple[str, int], float]:
-    wanted = {}
-    for interval, rs in open_ranks.items():
-        ordered = F.sort_array(F.collect_list(interval.inside(values[interval.column])))
-        picks = [F.get(ordered, F.lit(r - interval.below)) for r in sorted(rs)]
-        wanted[interval] = F.array(*picks)
+    """The values at the ranks of intervals small enough to sort, each in a task of its own. Equal values
+    are counted first; only the values at the wanted ranks reach the driver."""
+    if not open_ranks:
+        return {}
+    intervals, cells, ranks = list(open_ranks), [], []
+    for k, interval in enumerate(intervals):
+        value = interval.inside(values[interval.column])
+        cells.append(F.when(value.isNotNull(), F.struct(F.lit(k).alias("interval"), value.alias("value"))))
+        ranks.append(F.array(*[F.lit(r - interval.below) for r in sorted(open_ranks[interval])]))
+    counted = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("interval", "value").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    upto = F.sum("n").over(Window.partitionBy("interval").orderBy("value"))
+    here = F.filter(
+        F.get(F.array(*ranks), F.col("interval")),
+        lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")),
+    )
+    picked = counted.withColumn("upto", upto).select("interval", "value", here.alias("ranks"))
     return {
-        (interval.column, r): value
-        for interval, picked in scalars(df, wanted).items()
-        for r, value in zip(sorted(open_ranks[interval]), picked)
+        (intervals[row["interval"]].column, r + intervals[row["interval"]].below): row["value"]
+        for row in picked.where(F.size("ranks") > 0).collect() for r in row["ranks"]
     }

@@ -17,7 +17,6 @@ from ..functions.columns import col
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 16_384
 SAMPLES_PER_BUCKET = 8
-KEY_CHARACTERS = 256
 
 
 def ordered_buckets(
@@ -25,8 +24,8 @@ def ordered_buckets(
 ) -> Column | None:
     """An integer column that never decreases as ``keys`` grow (ascending, NULL first).
 
-    None when one bucket is enough. ``keys`` should order rows without large ties, as equal keys
-    share a bucket.
+    None when one bucket is enough. Bounds are whole keys, so keys with a long common start are told
+    apart too. ``keys`` should order rows without large ties, as equal keys share a bucket.
     """
     if buckets is None:
         rows = df.count() if rows is None else rows
@@ -35,7 +34,7 @@ def ordered_buckets(
         return None
     rows = df.count() if rows is None else rows
     share = min(1.0, buckets * SAMPLES_PER_BUCKET / max(rows, 1))
-    key = F.struct(*[_short(df, k).alias(k) for k in keys])
+    key = F.struct(*[col(k).alias(k) for k in keys])
     sampled = df.select(key.alias("key")).sample(share, seed=11).orderBy("key")
     texts = [r[0] for r in sampled.select(F.to_json("key")).collect()]  # a few per bucket
     step = len(texts) / buckets
@@ -44,21 +43,19 @@ def ordered_buckets(
         return None
     kind = T.ArrayType(T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys]))
     bounds = F.from_json(F.lit("[" + ",".join(chosen) + "]"), kind)
-    steps = [F.lit(1 << i) for i in reversed(range(len(chosen).bit_length()))]
+    return at_or_below(key, bounds, len(chosen))
+
+
+def at_or_below(value: Column, bounds: Column, n: int) -> Column:
+    """How many of the ``n`` sorted bounds are at or below the value, by halving."""
+    steps = [F.lit(1 << i) for i in reversed(range(max(n, 1).bit_length()))]
     return F.aggregate(
         F.array(*steps),
         F.lit(0),
-        lambda at, by: F.when(F.get(bounds, at + by - 1) <= key, at + by).otherwise(at),
+        lambda at, by: F.when(F.get(bounds, at + by - 1) <= value, at + by).otherwise(at),
     )
 
 
-def _short(df: DataFrame, key: str) -> Column:
-    """A prefix orders as the whole text does, and keeps the sample and the literal small."""
-    if isinstance(df.schema[key].dataType, T.StringType):
-        return F.left(col(key), F.lit(KEY_CHARACTERS))
-    return col(key)
-
-
 def number_distinct(values: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
     """Add ``position``, the zero-based rank of each row in the order of its (distinct) keys."""
     ordered = [col(k) for k in keys]

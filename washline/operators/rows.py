@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, distinct_key, present, replace_columns, scalar_columns, targets
+from ..functions.columns import (
+    col, distinct_key, present, replace_columns, row_digest, scalar_columns, targets,
+)
 from .fit import scalars
 
 
@@ -27,7 +29,7 @@ def deduplicate(
     if keep is False:
         return _only_unique(df, keys)
     if set(keys) == set(df.columns):
-        return df.dropDuplicates()
+        return _distinct(df)
     if not order_by:
         raise ValueError("keep='first' or 'last' on a subset needs order_by")
     orders = [order_by] if isinstance(order_by, str) else list(order_by)
@@ -39,11 +41,21 @@ def deduplicate(
     return df.withColumn("__place", place).where(F.col("__place") == 1).drop("__place")
 
 
-def _only_unique(df: DataFrame, keys: list[str]) -> DataFrame:
-    grouped = df.groupBy(*[distinct_key(df, k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(
-        F.count(F.lit(1)).alias("__n"), *[F.first(col(c)).alias(c) for c in df.columns]
+def _distinct(df: DataFrame) -> DataFrame:
+    """Equal rows are alike, so a row-number limit keeps any one of them; it works on the map side too."""
+    place = F.row_number().over(Window.partitionBy("__digest").orderBy(F.lit(1)))
+    return (
+        df.withColumn("__digest", row_digest(df, df.columns)).withColumn("__place", place)
+        .where(F.col("__place") == 1).drop("__digest", "__place")
     )
-    return grouped.where(F.col("__n") == 1).select(*[col(c) for c in df.columns])
+
+
+def _only_unique(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Digests are counted first; the rows are then kept by the digests that occur once."""
+    keyed = df.withColumn("__digest", row_digest(df, keys))
+    counted = keyed.groupBy("__digest").agg(F.count(F.lit(1)).alias("__n"))
+    once = counted.where(F.col("__n") == 1).select("__digest")
+    return keyed.join(once, "__digest", "left_semi").select(*[col(c) for c in df.columns])
 
 
 def fit_constant(df: DataFrame, column=None) -> list[str]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.columns import col, replace_columns, string_columns, targets
 from ..functions.words import ENGLISH_STOP_WORDS, NOUN_ENDINGS
+from .checkpoints import stored
 from .counts import count_of
 from .joins import join_by_value
 from .typing import long_text_columns
@@ -92,20 +93,20 @@ def lemmatize(
     df: DataFrame,
     column: str,
     lemmas: DataFrame,
-    key: str | list[str] | None = None,
     gate: bool = True,
     max_broadcast: int = MAX_BROADCAST_LEMMAS,
 ) -> DataFrame:
-    """Replace each whitespace token by its lemma; tokens without one stay as they are.
+    """Replace each whitespace token by its lemma; tokens without one stay as they are. Of several
+    lemmas of a word the smallest counts.
 
-    A table of at most ``max_broadcast`` rows is broadcast and rows never move. A larger one is
-    joined token by token, which needs ``key`` columns that identify a row.
+    A table of at most ``max_broadcast`` rows is broadcast and rows never move: a dictionary look-up in
+    Arrow batches, as Spark's own map look-up is a linear search. A larger one is joined token by token.
     """
     if not text_columns(df, column, gate):
         return df
     table = _small_table(lemmas, max_broadcast)
     if table is None:
-        return _joined_lemmas(df, column, lemmas, key)
+        return _joined_lemmas(df, text.tokens(col(column)), lemmas, column, as_text=True)
     shared = df.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("string")
@@ -124,7 +125,7 @@ def lemmatize_words(
     """Add the lemmas of a token array as an array column."""
     table = _small_table(lemmas, max_broadcast)
     if table is None:
-        raise ValueError(f"a token array needs a lemma table of at most {max_broadcast} rows")
+        return _joined_lemmas(df, col(tokens_col), lemmas, output_col, as_text=False)
     shared = df.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("array<string>")
@@ -136,31 +137,36 @@ def lemmatize_words(
     return df.withColumn(output_col, look_up(col(tokens_col)))
 
 
+def _changing(lemmas: DataFrame) -> DataFrame:
+    """One lemma a word, without the words that stay as they are."""
+    one = lemmas.where(F.col("word").isNotNull()).groupBy("word").agg(F.min("lemma").alias("lemma"))
+    return one.where(F.col("word") != F.col("lemma"))
+
+
 def _small_table(lemmas: DataFrame, limit: int) -> dict[str, str] | None:
-    """The lemma table as a dict, or None above ``limit`` rows; words that stay are left out."""
-    changing = lemmas.select("word", "lemma").where(F.col("word") != F.col("lemma"))
-    rows = changing.limit(limit + 1).toArrow()
+    """The lemma table as a dict, or None above ``limit`` rows."""
+    rows = _changing(lemmas).limit(limit + 1).toArrow()
     if rows.num_rows > limit:
         return None
     return dict(zip(rows["word"].to_pylist(), rows["lemma"].to_pylist()))
 
 
-def _joined_lemmas(df: DataFrame, column: str, lemmas: DataFrame, key) -> DataFrame:
-    if not key:
-        raise ValueError("a lemma table too large to broadcast needs key columns")
-    keys = [key] if isinstance(key, str) else list(key)
-    words = df.select(
-        *[col(k) for k in keys], F.posexplode(text.tokens(col(column))).alias("__at", "__word")
-    )
-    table = lemmas.select(F.col("word").alias("value"), F.col("lemma").alias("__lemma"))
+def _joined_lemmas(
+    df: DataFrame, tokens: Column, lemmas: DataFrame, output: str, as_text: bool
+) -> DataFrame:
+    """The look-up as a join. Rows get numbers in a written table, so that rows without a key, or with
+    a repeated one, keep to themselves."""
+    rows = stored(df.select("*", tokens.alias("__tokens"), F.monotonically_increasing_id().alias("__row")))
+    words = rows.select("__row", F.posexplode("__tokens").alias("__at", "__word"))
+    table = _changing(lemmas).select(F.col("word").alias("value"), F.col("lemma").alias("__lemma"))
     found = join_by_value(words, "__word", count_of(words, "__word"), table)
     pair = F.struct("__at", F.coalesce("__lemma", "__word").alias("w"))
-    rebuilt = found.groupBy(*[col(k) for k in keys]).agg(  # a group is one row's own tokens
-        F.sort_array(F.collect_list(pair)).alias("__ws")
+    rebuilt = found.groupBy("__row").agg(  # a group is one row's own tokens
+        F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["w"]).alias("__ws")
     )
-    back = df.join(rebuilt, keys, "left")
-    joined = F.array_join(F.transform("__ws", lambda s: s["w"]), " ")
-    without = F.when(col(column).isNotNull(), F.lit(""))
-    return back.select(*[
-        F.coalesce(joined, without).alias(c) if c == column else col(c) for c in df.columns
-    ])
+    done = F.when(F.col("__tokens").isNotNull(), F.coalesce("__ws", F.array().cast("array<string>")))
+    new = (F.array_join(done, " ") if as_text else done).alias(output)
+    back = rows.join(rebuilt, "__row", "left")
+    if output in df.columns:
+        return back.select(*[new if c == output else col(c) for c in df.columns])
+    return back.select(*[col(c) for c in df.columns], new)

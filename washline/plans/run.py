@@ -71,13 +71,16 @@ def run_plan(
     length_guard: bool = False,
     lemmas: DataFrame | None = None,
     checkpoint: bool = False,
+    approx: bool = False,
 ) -> Ran:
     """Apply a plan's steps in order.
 
     Steps of different columns are independent, so between two row-removing steps all columns'
     steps of one kind are fitted together in one scan. ``checkpoint`` writes the table to the
     checkpoint folder after row-removing and text steps, so that later fits do not repeat them.
-    ``on_error="skip"`` records a failing step and goes on; ``length_guard`` undoes a step that
+    ``approx`` takes quantiles from a sketch, in one pass. ``on_error="skip"`` records a step that fails
+    while it is fitted and goes on; one that fails only when rows are worked out ends the run, as does a
+    written output. ``length_guard`` undoes a step that
     leaves a text above 1000 characters.
     """
     if on_error not in ("raise", "skip"):
@@ -88,7 +91,7 @@ def run_plan(
     long_texts: list[str] | None = None  # tested once, before the first text step
     waves = _waves(steps)
     for i, wave in enumerate(waves):
-        operation, parameters = wave[0].operation, dict(wave[0].parameters)
+        operation, parameters = wave[0].operation, {**wave[0].parameters, "approx": approx}
         if operation == "lemmatize":
             parameters["lemmas"] = lemmas
         if operation in TEXT_OPERATIONS:
@@ -234,11 +237,14 @@ def clean(
     lemmas: DataFrame | None = None,
     length_guard: bool = False,
     format: str | None = None,
+    checkpoint: bool = False,
+    approx: bool = False,
 ) -> CleanResult:
     """From a file to a cleaned table: read, profile, plan, run, describe, compare, save."""
     format = format or detect_format(path)
     return clean_table(
-        read_table(spark, path, format), plan, output, format, on_error, lemmas, length_guard
+        read_table(spark, path, format), plan, output, format, on_error, lemmas, length_guard,
+        checkpoint, approx,
     )
 
 
@@ -250,13 +256,16 @@ def clean_table(
     on_error: str = "raise",
     lemmas: DataFrame | None = None,
     length_guard: bool = False,
+    checkpoint: bool = False,
+    approx: bool = False,
 ) -> CleanResult:
-    """The same for a table."""
-    profiled = profiles.profile(df)
+    """The same for a table. ``checkpoint`` and ``approx`` as in ``run_plan``; ``approx`` also estimates
+    the distinct counts of the profile."""
+    profiled = profiles.profile(df, approx=approx)
     if plan is None:
         plan = suggest(profiled)
     plan = check_plan(plan, df, profiled)
-    ran = run_plan(df, plan, on_error, length_guard, lemmas)
+    ran = run_plan(df, plan, on_error, length_guard, lemmas, checkpoint, approx)
     if output:
         write_table(ran.df, output, format)
     return CleanResult(ran.df, df, profiled, plan, ran.log, ran.cleaner)

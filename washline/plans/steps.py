@@ -63,7 +63,7 @@ def _fit_infinite(df, names, p):
 
 
 def _fit_outliers(df, names, p):
-    return numeric.fit_outliers(df, names, p.get("outlier_strategy", "median"))
+    return numeric.fit_outliers(df, names, p.get("outlier_strategy", "median"), _flag(p.get("approx")))
 
 
 def _fit_missing(df, names, p):
@@ -73,7 +73,7 @@ def _fit_missing(df, names, p):
             "names": names, "order_by": _names(p.get("order_by", "")),
             "partition_by": _names(p.get("partition_by", "")), "forward": strategy == "forward_fill",
         }}
-    return impute.fit_impute(df, names, strategy)
+    return impute.fit_impute(df, names, strategy, _flag(p.get("approx")))
 
 
 def _apply_missing(df, params):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Any
 
 import pandas as pd
@@ -16,7 +17,14 @@ from ..operators.fit import scalars
 
 FORMATS = ("csv", "json", "parquet")
 PREVIEW_ROWS = 10_000
-SINGLE_FILE_ROWS = 1_000_000
+# Doubled quotes inside quotes, spaces kept. A missing value is an empty field and an empty text two
+# quotes; a reader tells them apart only if its mark for missing values occurs in no text.
+CSV = {
+    "header": True, "quote": '"', "escape": '"', "lineSep": "\n",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+CSV_READ = {**CSV, "nullValue": "\ue000missing\ue000", "emptyValue": ""}
+CSV_WRITE = {**CSV, "nullValue": "", "emptyValue": '""'}
 
 
 def detect_format(path: str) -> str:
@@ -34,10 +42,15 @@ def read_table(
     schema: T.StructType | str | None = None,
     json_lines: bool | None = None,
     sampling_ratio: float | None = None,
+    multiline: bool = True,
 ) -> DataFrame:
     """Read a table lazily. Types of CSV and JSON are inferred (one pass over the data, or over
     ``sampling_ratio`` of it) unless a schema is given.
 
+    CSV may hold line breaks and doubled quotes inside quotes; an empty field is missing and ``""``
+    is an empty text. A file with line breaks inside fields cannot be split, so each file is one task;
+    ``multiline=False`` splits large files whose fields have none.
+
     JSON is one record per line (splittable) or one array of records; None looks at the first
     character of the data.
     """
@@ -48,7 +61,10 @@ def read_table(
     if sampling_ratio is not None:
         reader = reader.option("samplingRatio", sampling_ratio)
     if format == "csv":
-        return reader.option("header", True).option("inferSchema", schema is None).csv(path)
+        return (
+            reader.options(**CSV_READ).option("inferSchema", schema is None)
+            .option("multiLine", multiline).csv(path)
+        )
     if format == "json":
         if json_lines is None:
             json_lines = _starts_like_lines(spark, path)
@@ -59,16 +75,18 @@ def read_table(
 
 
 def _starts_like_lines(spark: SparkSession, path: str) -> bool:
-    """JSON Lines unless the first non-empty line opens an array or leaves its object open."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    if not first:
-        return True
-    text = first[0][0].strip()
-    return text.startswith("{") and text.endswith("}")
+    """JSON Lines unless the first non-empty line opens an array or leaves its object open. Only the
+    ends of that line reach the driver: a one-line array is the whole file."""
+    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    ends = spark.read.text(path).select(
+        F.left(line, F.lit(1)).alias("first"), F.right(line, F.lit(1)).alias("last")
+    ).where("first <> ''").limit(1).collect()
+    return not ends or (ends[0]["first"], ends[0]["last"]) == ("{", "}")
 
 
 def write_table(df: DataFrame, path: str, format: str | None = None, single_file: bool = False) -> None:
-    """Write as a folder of part files; ``single_file`` gathers at most 1,000,000 rows into one.
+    """Write as a folder of part files; with ``single_file`` ``path`` becomes one file, written by one
+    task whatever its size.
 
     Vectors become numbered columns, and arrays in CSV become space-joined text.
     """
@@ -79,14 +97,28 @@ def write_table(df: DataFrame, path: str, format: str | None = None, single_file
     if format == "csv":
         arrays = [f.name for f in out.schema if isinstance(f.dataType, T.ArrayType)]
         out = replace_columns(out, {n: F.array_join(col(n), " ") for n in arrays})
+    target = f"{path.rstrip('/')}.parts-{uuid.uuid4().hex}" if single_file else path
     if single_file:
-        if out.limit(SINGLE_FILE_ROWS + 1).count() > SINGLE_FILE_ROWS:
-            raise ValueError(f"more than {SINGLE_FILE_ROWS} rows: write part files instead")
         out = out.repartition(1)  # the work before it stays parallel
     writer = out.write.mode("overwrite")
     if format == "csv":
-        writer = writer.option("header", True)
-    writer.format(format).save(path)
+        writer = writer.options(**CSV_WRITE)
+    writer.format(format).save(target)
+    if single_file:
+        _only_part(df.sparkSession, target, path)
+
+
+def _only_part(spark: SparkSession, folder: str, path: str) -> None:
+    """Move the one part file of ``folder`` to ``path``, on whatever file system they are."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    files = paths(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(
+        f.getPath() for f in files.listStatus(paths(folder)) if f.getPath().getName().startswith("part-")
+    )
+    files.delete(paths(path), True)  # as the overwriting of a folder does
+    if not files.rename(part, paths(path)):
+        raise OSError(f"could not move {part.toString()} to {path}")
+    files.delete(paths(folder), True)
 
 
 def expand_vectors(df: DataFrame) -> DataFrame:
@@ -118,13 +150,6 @@ def snapshot(df: DataFrame, folder: str, step: str) -> tuple[DataFrame, dict[str
     }
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread the rows when the files give fewer tasks than there are cores, for steps that work
-    hard on each row; a table with enough splits is returned as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def preview(df: DataFrame, rows: int = PREVIEW_ROWS, order_by: str | list[str] | None = None) -> DataFrame:
     """The first rows; repeatable when an order is given."""
     if order_by:
@@ -134,5 +159,8 @@ def preview(df: DataFrame, rows: int = PREVIEW_ROWS, order_by: str | list[str] |
 
 
 def from_pandas(spark: SparkSession, frame: pd.DataFrame) -> DataFrame:
-    """A Spark table from a pandas frame; pandas' NaN in text columns becomes NULL."""
-    return spark.createDataFrame(frame)
+    """A Spark table from a small pandas frame in the driver; NaN in text columns becomes NULL."""
+    texts = frame.select_dtypes(include=["object", "string"]).columns
+    return spark.createDataFrame(frame.assign(**{
+        c: frame[c].astype(object).where(frame[c].notna(), None) for c in texts
+    }))
