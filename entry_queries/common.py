@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from washline.functions.columns import col
-from washline.operators.checkpoints import shared_folder
+from washline.operators.checkpoints import new_folder as scratch  # noqa: F401
 
 REGISTERED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -126,11 +125,6 @@ def fixed(expression: str, digits: int) -> str:
     return f"printf('%.{digits}f', round(CAST({expression} AS DECIMAL(28, 9)), {digits})::DOUBLE)"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one the cluster names; a temporary one in a local session."""
-    return f"{shared_folder(spark).rstrip('/')}/washline-{uuid.uuid4().hex}"
-
-
 # Whitespace as the text steps understand it, written for the checking engine.
 SQL_SPACE = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"

@@ -26,6 +26,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A name that no other run uses, below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/washline-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the table to the reliable checkpoint folder and read it back."""
     folder = shared_folder(df.sparkSession)
@@ -36,6 +41,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """The table as Parquet in a new folder below the shared one, for results that outlive the run."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/washline-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
