@@ -2,38 +2,20 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.checkpoints import new_folder, stored
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["byte_values", "new_folder", "table", "written"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
+# A table written once below spark.checkpoint.dir: what follows neither repeats the work nor depends on
+# the executors that did it.
+written = stored
 
-    Only a one-machine session without that setting gets a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="washline-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/washline-{uuid.uuid4().hex}"
 
-
-def written(df: DataFrame) -> DataFrame:
-    """The table written once as Parquet and read back: what follows neither repeats the work
-    nor depends on the executors that did it."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def byte_values(column: pa.Array) -> list[bytes]:

@@ -2,7 +2,8 @@
 
 For each language a raw-content dictionary is filled with labelled texts. A text is lower-cased and cut
 into blocks, each is compressed on its own with each dictionary, and the language with the smallest sum is taken,
-ties going to the smaller name. The margin is the share by which the runner-up is larger; a text whose
+ties going to the smaller name. Sizes are whole bytes, which says little about a short text: such a one is
+compressed with several dictionaries of each language. The margin is the share by which the runner-up is larger; a text whose
 margin is below ``margin`` is rejected.
 """
 
@@ -17,9 +18,11 @@ from pyspark.sql import functions as F
 UNDEFINED = "und"
 #: A dictionary is fitted on a sample: at most so many texts a language, so many characters of each,
 #: and so many bytes in all; at most so many languages, the most frequent first.
-SAMPLE_TEXTS = 100
+SAMPLE_TEXTS = 400
 SAMPLE_CHARACTERS = 4_000
 DICTIONARY_BYTES = 32_000
+DICTIONARIES = 6
+SHORT_BYTES = 400
 LANGUAGES = 200
 BLOCK = 16_384
 LEVEL = 3
@@ -31,8 +34,8 @@ def lowered(text: str) -> bytes:
     return text.lower().encode()
 
 
-def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, bytes]:
-    """A dictionary for every language, from texts with letters and a label.
+def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, list[bytes]]:
+    """Dictionaries for every language, from texts with letters and a label.
 
     The sample is the same on every run: distinct texts in the order of a hash. Only the sample, of
     bounded size, reaches the driver.
@@ -49,35 +52,42 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str,
     )
     place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
     rows = cut.withColumn("place", place).where(F.col("place") <= SAMPLE_TEXTS).collect()
-    found: dict[str, bytes] = {}
+    found: dict[str, list[bytes]] = {name: [b""] for name in names}
     for row in sorted(rows, key=lambda r: (r["lang"], r["place"])):
-        found.setdefault(row["lang"], b"")
-        if len(found[row["lang"]]) < DICTIONARY_BYTES and lowered(row["text"]) not in found[row["lang"]]:
-            found[row["lang"]] += lowered(row["text"]) + b"\n"
-    return {name: value[:DICTIONARY_BYTES] for name, value in found.items()}
+        filled, text_bytes = found[row["lang"]], lowered(row["text"])
+        if len(filled[-1]) >= DICTIONARY_BYTES and len(filled) < DICTIONARIES:
+            filled.append(b"")
+        if len(filled[-1]) < DICTIONARY_BYTES and text_bytes not in filled[-1]:
+            filled[-1] += text_bytes + b"\n"
+    return {name: [d[:DICTIONARY_BYTES] for d in filled] for name, filled in found.items()}
 
 
-def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:
+Ready = list[tuple[str, list[zstandard.ZstdCompressor]]]
+
+
+def compressors(dictionaries: dict[str, list[bytes]]) -> Ready:
     """Matches of three bytes count, as words share no more than that across languages."""
     out = []
     for name in sorted(dictionaries):
-        settings = zstandard.ZstdCompressionParameters.from_level(
-            LEVEL, dict_size=len(dictionaries[name]), min_match=3, strategy=zstandard.STRATEGY_BTOPT,
-            write_content_size=False, write_dict_id=False,
-        )
-        content = zstandard.ZstdCompressionDict(
-            dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT
-        )
-        content.precompute_compress(compression_params=settings)
-        out.append((name, zstandard.ZstdCompressor(compression_params=settings, dict_data=content)))
+        own = []
+        for sample in dictionaries[name]:
+            settings = zstandard.ZstdCompressionParameters.from_level(
+                LEVEL, dict_size=len(sample), min_match=3, strategy=zstandard.STRATEGY_BTOPT,
+                write_content_size=False, write_dict_id=False,
+            )
+            content = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            content.precompute_compress(compression_params=settings)
+            own.append(zstandard.ZstdCompressor(compression_params=settings, dict_data=content))
+        out.append((name, own))
     return out
 
 
-def classify(text: bytes, ready: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float]:
+def classify(text: bytes, ready: Ready) -> tuple[str, float]:
     """The language and the margin of the runner-up; a margin of 1 if there is one language only."""
     blocks = [text[i: i + BLOCK] for i in range(0, len(text), BLOCK)]
+    used = min(len(own) for _, own in ready) if len(text) < SHORT_BYTES else 1
     sizes = sorted(
-        (sum(len(c.compress(b)) for b in blocks), name) for name, c in ready
+        (sum(len(c.compress(b)) for c in own[:used] for b in blocks), name) for name, own in ready
     )
     if len(sizes) < 2:
         return sizes[0][1], 1.0
@@ -86,7 +96,7 @@ def classify(text: bytes, ready: list[tuple[str, zstandard.ZstdCompressor]]) ->
 
 
 def identify(
-    docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = MARGIN
+    docs: DataFrame, dictionaries: dict[str, list[bytes]], text: str = "text", margin: float = MARGIN
 ) -> DataFrame:
     """All columns of ``docs``, then ``lang_pred``, ``score`` and ``rejected`` (replacing columns of
     these names).

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import new_folder
 
 VERSION = b"WARC/1.1"
 END = b"\r\n\r\n"
@@ -320,7 +320,7 @@ def round_trip(
     pages: DataFrame, key: str = "page_id", payload: str = "html", segment: int = SEGMENT
 ) -> DataFrame:
     """The pages written as archives in a new shared folder and read back, ids in their own type."""
-    path = shared_folder(pages.sparkSession)
+    path = new_folder(pages.sparkSession)
     kind = pages.schema[key].dataType
     write_archives(pages, path, key, payload, segment)
     found = payloads(reassemble(read_records(pages.sparkSession, path)))
