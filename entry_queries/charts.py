@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from washline.functions.words import LOOSE_CATEGORIES, STRICT_CATEGORIES
 from washline.operators import charts, numeric
 
 from .common import big, derived, derived_sql, query, r, rounded, table, wide_numbers
+from .expected import LOOSE_CATEGORIES, STRICT_CATEGORIES
 from .numeric import reduced_sql
 from .profiles import top_sql
 

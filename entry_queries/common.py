@@ -89,7 +89,7 @@ def wide_numbers(n: int) -> dict[str, str]:
     base = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey"]
     out = {}
     for i in range(n):
-        value = f"({base[i % 6]} * {i + 1} + {base[(i + 1) % 6]} * {(i % 7) - 3}) * 1.0"
+        value = f"({base[i % 6]} * {i + 1} + {base[(i + 1) % 6]} * {(i % 7) - 3}) * 0.001"
         out[f"c{i:03d}"] = f"CASE WHEN (l_orderkey + {i}) % {5 + i % 9} = 0 THEN NULL ELSE {value} END" if i % 3 else value
     return out | {"flat": "7.0"}
 

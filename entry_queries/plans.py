@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from washline.functions.words import BASIC_STOP_WORDS
 from washline.operators import profile, quality
 from washline.plans import run, suggest
-from washline.plans.suggest import ENCODING_ALIASES, LAST, STEP_ORDER, TEXT_OPERATIONS
 from washline.sources import tables as io
 
 from .common import big, derived, derived_sql, fixed, query, r, rounded, scratch, table
 from .encoding import PRIORITIES, STATUSES, label_sql, one_hot_sql
+from .expected import (
+    BASIC_STOP_WORDS, ENCODING_ALIASES, ENGLISH_STOP_WORDS, LAST, STEP_ORDER, TEXT_OPERATIONS,
+)
 from .numeric import stats
 from .profiles import CUSTOMER, DIRTY, NUMERIC, text_test_sql
 from .text import special, stripped, without_words
@@ -218,8 +219,7 @@ SELECT column0 AS "column", column1 AS operation, column2 AS reason, column3 AS
  (SELECT count(*) AS rows FROM orders)""")
 def run_plan_log_orders(spark, sf):
     ran = ran_orders(spark, sf)
-    size = ran.df.agg(F.count(F.lit(1)).alias("rows"))
-    return ran.log.drop("seq").join(F.broadcast(size), F.lit(True))
+    return ran.log.drop("seq").withColumn("rows", F.lit(ran.df.count()))
 
 
 @query("guard_binary_labels", f"""
@@ -242,6 +242,25 @@ def guard_run_together_texts(spark, sf):
     return rounded(run.run_plan(documents, plan, length_guard=True).df)
 
 
+@query("clean_documents_end_to_end", f"""
+WITH d AS (SELECT doc_id, {stripped(without_words(special("lower(text)"), BASIC_STOP_WORDS))} AS x, lang FROM documents),
+e AS (SELECT doc_id, {without_words('x', ENGLISH_STOP_WORDS)} AS text, lang FROM d)
+SELECT {big('min(doc_id)')} AS doc_id, text, {', '.join(f"CAST(lang = '{v}' AS BIGINT) AS lang_{v}" for v in ('de', 'en', 'es', 'fr'))}
+FROM e GROUP BY text, lang""")
+def clean_documents_end_to_end(spark, sf):
+    """Text steps, duplicates among the cleaned texts and an encoding, with the checkpoint and sketches."""
+    documents = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    plan = suggest.make_plan(spark, [
+        {"column": "text", "operation": "text_clean"}, {"column": "text", "operation": "remove_stopwords"},
+        {"column": "lang", "operation": "categorical_encode"},
+    ])
+    texts = run.clean_table(documents, plan.where("column = 'text'"), checkpoint=True, approx=True).df
+    once = suggest.make_plan(spark, [{
+        "column": "text", "operation": "deduplicate", "parameters": {"subset": "text,lang", "order_by": "doc_id"}}])
+    cleaned = run.run_plan(texts, once, checkpoint=True).df
+    return rounded(run.run_plan(cleaned, plan.where("column = 'lang'"), checkpoint=True).df)
+
+
 _CLEANED = f"""
 WITH d AS ({derived_sql('dirty_lineitem')}),
 deduplicated AS (SELECT DISTINCT * FROM d),
@@ -319,9 +338,8 @@ SELECT column0 AS "column", column1 AS operation, column2 AS reason, column3 AS
 def operation_summary_orders(spark, sf):
     ran = ran_orders(spark, sf)
     reasoned = [{"reason": "back-filled", **s} for s in FIXED_STEPS]
-    size = ran.df.agg(F.count(F.lit(1)).alias("rows"))
     summary = run.operation_summary(suggest.make_plan(spark, reasoned), ran.log)
-    return summary.join(F.broadcast(size), F.lit(True))
+    return summary.withColumn("rows", F.lit(ran.df.count()))
 
 
 @query("summary_totals_orders", f"""

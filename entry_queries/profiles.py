@@ -10,6 +10,7 @@ from washline.operators import numeric, impute, profile, quality, typing
 from .common import (
     big, derived, derived_sql, fixed, query, r, rounded, table, tokens_sql, wide_numbers,
 )
+from .expected import NO_TEXT_PARTS
 from .numeric import reduced_sql
 
 DIRTY = [
@@ -87,7 +88,7 @@ def drop_identifier_columns(spark, sf):
 
 
 def _allowed(name: str) -> str:
-    return "true" if typing.name_allows_text(name) else "false"
+    return "false" if any(part in name.lower() for part in NO_TEXT_PARTS) else "true"
 
 
 def text_test_sql(source: str, names: list[str]) -> str:
@@ -245,9 +246,9 @@ def wide_analysis_sql() -> str:
 WITH t AS (SELECT {', '.join(f'{v} AS {k}' for k, v in wide_columns().items())} FROM lineitem),
 p AS (SELECT unnest([{', '.join(cells)}]) AS p FROM t)
 SELECT {big('p.position')} AS position, p."column" AS "column", p.dtype AS dtype, p.non_null AS non_null,
-p.null_count AS null_count, {r('100.0 * p.null_count / p.rows', 2)} AS null_percentage, p.unique_count AS unique_count,
-{r('100.0 * p.unique_count / p.rows', 2)} AS unique_percentage,
-{', '.join(f'{r(f"p.{k}", 2)} AS {k}' for k in ("mean", "median", "std", "min", "max"))} FROM p"""
+p.null_count AS null_count, {r('100.0 * p.null_count / p.rows', 7)} AS null_percentage, p.unique_count AS unique_count,
+{r('100.0 * p.unique_count / p.rows', 7)} AS unique_percentage,
+{', '.join(f'{r(f"p.{k}", 7)} AS {k}' for k in ("mean", "median", "std", "min", "max"))} FROM p"""
 
 
 @query("column_analysis_wide", wide_analysis_sql())
@@ -255,7 +256,7 @@ def column_analysis_wide(spark, sf):
     lineitem = table(spark, sf, "lineitem")
     return rounded(profile.column_analysis(lineitem.selectExpr(*[f"{v} AS {k}" for k, v in wide_columns().items()]))
                    .select("position", "column", "dtype", "non_null", "null_count", "null_percentage", "unique_count",
-                           "unique_percentage", "mean", "median", "std", "min", "max"), 2)
+                           "unique_percentage", "mean", "median", "std", "min", "max"), 7)
 
 
 def top_sql(source: str, names: list[str], k: int, missing: str | None = None) -> str:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from washline.functions import text
 from washline.functions.columns import col
-from washline.functions.words import BASIC_STOP_WORDS, ENGLISH_STOP_WORDS, NOUN_ENDINGS
 from washline.operators import textcols, tfidf
 
 from .common import SQL_SPACE, big, derived, derived_sql, query, r, rounded, table, tokens_sql, words_sql
+from .expected import BASIC_STOP_WORDS, ENGLISH_STOP_WORDS, NOUN_ENDINGS
 
 DOC = f"{big('doc_id')} AS doc_id"
 TURN = f"{big('conv_id')} AS conv_id, {big('turn')} AS turn"
@@ -144,7 +144,6 @@ def lemmatize_conversations_by_join(spark, sf):
     return rounded(textcols.lemmatize(turns, "text", lemmas, gate=False, max_broadcast=0))
 
 
-
 @query("noun_lemma_table", f"WITH {_LEMMAS} SELECT word, lemma FROM lemmas WHERE word IN (SELECT word FROM v)")
 def noun_lemma_table(spark, sf):
     return lemma_table(spark, sf)
@@ -181,9 +180,46 @@ def tfidf_term_counts(spark, sf):
     return rounded(tfidf.term_totals(df, "text").join(tfidf.document_counts(df, "text"), "term"))
 
 
-@query("tfidf_hashed")
+# MurmurHash3 (32 bits, seed 42) of the UTF-8 bytes x, in hexadecimal digits.
+def _rotated(x: str, n: int) -> str:
+    return f"((({x}) << {n}) | (({x}) >> {32 - n})) & 4294967295"
+
+
+def _times(x: str, factor: int) -> str:
+    return f"(({x}) * {factor}::UBIGINT) % 4294967296::UBIGINT"
+
+
+def _mixed(x: str) -> str:
+    return _times(_rotated(_times(x, 0xCC9E2D51), 15), 0x1B873593)
+
+
+def _byte(at: str) -> str:
+    return f"CAST('0x' || substr(x, CAST(2 * ({at}) + 1 AS BIGINT), 2) AS UBIGINT)"
+
+
+_WHOLE = " | ".join(f"({_byte(f'4 * i + {k}')} << {8 * k})" for k in range(4))
+_TAIL = " | ".join(
+    f"(CASE WHEN n % 4 > {k} THEN {_byte(f'n - n % 4 + {k}')} ELSE 0::UBIGINT END << {8 * k})" for k in range(3))
+_HASHED = f"""
+words AS (SELECT DISTINCT term, hex(encode(term)) AS x, CAST(octet_length(encode(term)) AS BIGINT) AS n FROM tokens),
+parts AS (SELECT term, x, n, list_prepend(42::UBIGINT, list_transform(range(n // 4), lambda i: {_WHOLE})) AS blocks,
+          {_TAIL} AS tail FROM words),
+body AS (SELECT term, n, tail, list_reduce(blocks, lambda h, k:
+          (({_rotated(f"xor(h, {_mixed('k')})", 13)}) * 5 + 3864292196) % 4294967296::UBIGINT) AS h FROM parts),
+f0 AS (SELECT term, xor(CASE WHEN n % 4 > 0 THEN xor(h, {_mixed('tail')}) ELSE h END, n::UBIGINT) AS h FROM body),
+f1 AS (SELECT term, {_times('xor(h, h >> 16)', 0x85EBCA6B)} AS h FROM f0),
+f2 AS (SELECT term, {_times('xor(h, h >> 13)', 0xC2B2AE35)} AS h FROM f1),
+f3 AS (SELECT term, CAST(xor(h, h >> 16) AS BIGINT) AS h FROM f2),
+slots AS (SELECT term, (((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 1000) + 1000) % 1000 AS slot FROM f3)"""
+
+
+@query("tfidf_hashed", fr"""
+WITH tokens AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(lower(text), '[ \t\n\v\f\r]+$', ''), '[ \t\n\v\f\r]')) AS term
+  FROM documents), {_HASHED},
+tf AS (SELECT doc_id, slot, count(*) AS n FROM tokens JOIN slots USING (term) GROUP BY ALL),
+idf AS (SELECT slot, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM tf GROUP BY slot)
+SELECT {DOC}, {big('slot')} AS slot, {r('n * idf')} AS weight FROM tf JOIN idf USING (slot) WHERE n * idf <> 0""")
 def tfidf_hashed(spark, sf):
-    """Rows only: the slots come from Spark's own hash."""
     vectors = tfidf.tfidf_hashed(documents(spark, sf), "text")
     weights = F.posexplode(vector_to_array("tfidf_features")).alias("slot", "weight")
     return rounded(vectors.select("doc_id", weights).where(F.col("weight") != 0))

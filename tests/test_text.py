@@ -9,7 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from washline.functions import text
-from washline.functions.words import BASIC_STOP_WORDS, ENGLISH_STOP_WORDS
+from entry_queries.expected import ENGLISH_STOP_WORDS
+from washline.functions.words import BASIC_STOP_WORDS
 from washline.operators import textcols, tfidf, typing
 
 TEXTS = [

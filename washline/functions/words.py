@@ -9,22 +9,6 @@ BASIC_STOP_WORDS = [
     "to", "was", "will", "with",
 ]
 
-# English stop words, the list StopWordsRemover loads by default.
-ENGLISH_STOP_WORDS = """
-    i me my myself we our ours ourselves you your yours yourself yourselves he him his
-    himself she her hers herself it its itself they them their theirs themselves what which
-    who whom this that these those am is are was were be been being have has had having do
-    does did doing a an the and but if or because as until while of at by for with about
-    against between into through during before after above below to from up down in out on
-    off over under again further then once here there when where why how all any both each
-    few more most other some such no nor not only own same so than too very s t can will
-    just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd
-    they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't
-    wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't
-    shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's
-    what's when's where's who's why's would
-""".split()
-
 # Name parts that rule a column out as long text.
 IDENTIFIER_PARTS = ["name", "id", "location", "city", "country", "state", "address"]
 CATEGORY_PARTS = [
@@ -50,9 +34,9 @@ LOOSE_CATEGORIES = [
 
 # The characters Python counts as whitespace, as text and as a (?U) regex class body.
 SPACES = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 SPACE_CLASS = r"\s\x1c-\x1f"
 

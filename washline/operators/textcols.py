@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.columns import col, replace_columns, string_columns, targets
-from ..functions.words import ENGLISH_STOP_WORDS, NOUN_ENDINGS
+from ..functions.words import NOUN_ENDINGS
 from .checkpoints import stored
 from .counts import count_of
 from .joins import join_by_value
@@ -50,7 +51,7 @@ def remove_stop_words(
     df: DataFrame, column=None, words: Sequence[str] | None = None, gate: bool = True
 ) -> DataFrame:
     """Drop stop words (full English list unless given); other words keep their case."""
-    stop = ENGLISH_STOP_WORDS if words is None else words
+    stop = StopWordsRemover.loadDefaultStopWords("english") if words is None else words
     return replace_columns(df, {
         n: text.remove_stop_words(col(n), stop) for n in text_columns(df, column, gate)
     })
@@ -61,7 +62,7 @@ def filtered_words(
     words: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add the lower-case tokens that are not stop words as an array column."""
-    stop = ENGLISH_STOP_WORDS if words is None else words
+    stop = StopWordsRemover.loadDefaultStopWords("english") if words is None else words
     return df.withColumn(output_col, text.keep_words(text.tokens(F.lower(col(column))), stop))
 
 
