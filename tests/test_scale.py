@@ -165,3 +165,13 @@ def test_correlations_of_sixty_columns(spark):
             assert value == pytest.approx(want.loc[a, b], abs=1e-6)
         else:
             assert value == 0.0
+
+
+def test_wide_rows_make_more_buckets(spark, monkeypatch):
+    df = spark.range(40).select("id", F.repeat(F.lit("x"), 5000).alias("t"))
+    assert ranges.ordered_buckets(df, ["id"]) is None
+    monkeypatch.setattr(ranges, "BYTES_PER_BUCKET", 50_000)
+    bucket = ranges.ordered_buckets(df, ["id"])
+    assert 3 <= df.select(bucket.alias("b")).distinct().count() <= 5
+    filled = impute.ordered_fill(df.withColumn("v", F.when(F.col("id") % 10 == 0, F.col("id"))), ["v"], "id")
+    assert all(r["v"] == r["id"] // 10 * 10 for r in filled.collect())

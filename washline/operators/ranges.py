@@ -15,6 +15,7 @@ from pyspark.sql import Window
 from ..functions.columns import col
 
 ROWS_PER_BUCKET = 2_000_000
+BYTES_PER_BUCKET = 256 << 20
 MAX_BUCKETS = 16_384
 SAMPLES_PER_BUCKET = 8
 
@@ -24,12 +25,14 @@ def ordered_buckets(
 ) -> Column | None:
     """An integer column that never decreases as ``keys`` grow (ascending, NULL first).
 
-    None when one bucket is enough. Bounds are whole keys, so keys with a long common start are told
-    apart too. ``keys`` should order rows without large ties, as equal keys share a bucket.
+    None when one bucket is enough: below 2,000,000 rows and 256 MB. Bounds are whole keys, so keys with
+    a long common start are told apart too. ``keys`` should order rows without large ties, as equal
+    keys share a bucket.
     """
     if buckets is None:
-        rows = df.count() if rows is None else rows
-        buckets = min(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET))
+        rows, size = _rows_and_bytes(df)
+        wanted = max(-(-rows // ROWS_PER_BUCKET), -(-size // BYTES_PER_BUCKET))
+        buckets = min(MAX_BUCKETS, wanted)
     if buckets <= 1:
         return None
     rows = df.count() if rows is None else rows
@@ -46,6 +49,14 @@ def ordered_buckets(
     return at_or_below(key, bounds, len(chosen))
 
 
+def _rows_and_bytes(df: DataFrame) -> tuple[int, int]:
+    """Rows, and their size with every text and binary value at its length, in one scan."""
+    wide = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    sums = [F.coalesce(F.sum(F.octet_length(col(n))), F.lit(0)) for n in wide]
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), *[x.alias(f"b{i}") for i, x in enumerate(sums)]).first()
+    return seen["rows"], sum(seen[1:]) + 16 * len(df.columns) * seen["rows"]
+
+
 def at_or_below(value: Column, bounds: Column, n: int) -> Column:
     """How many of the ``n`` sorted bounds are at or below the value, by halving."""
     steps = [F.lit(1 << i) for i in reversed(range(max(n, 1).bit_length()))]
