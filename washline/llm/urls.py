@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import at_or_below
 from .common import written
 
 HOSTS_PER_RANGE = 200_000
@@ -132,11 +133,7 @@ def _bounds(hosts: DataFrame) -> list[str]:
 
 
 def _range_of(key: Column, bounds: list[str]) -> Column:
-    """How many bounds are at or below the key, by halving."""
+    """How many bounds are at or below the key."""
     if not bounds:
         return F.lit(0)
-    table = F.array(*[F.lit(b) for b in bounds])
-    steps = [F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))]
-    return F.aggregate(F.array(*steps), F.lit(0), lambda at, by: F.when(
-        F.get(table, at + by - 1) <= key, at + by
-    ).otherwise(at))
+    return at_or_below(key, F.array(*[F.lit(b) for b in bounds]), len(bounds))
