@@ -176,11 +176,67 @@ def test_components_of_chains_and_stars(spark):
 
 
 def test_one_of_each_group_stays(spark, odd_documents):
-    kept = simhash.keep_one(odd_documents)
-    assert kept.columns == odd_documents.columns
-    # 1, 2 and 3 have no words; 4 comes twice; so does the text without a key
-    assert sorted((r["doc_id"] or 0) for r in rows(kept)) == [0, 1, 4, 5, 6, 7, 8]
-    assert simhash.keep_one(odd_documents.limit(0)).count() == 0
+    for mark in (simhash.near_duplicates, simhash.similar):
+        kept = simhash.keep_one(odd_documents, mark(odd_documents))
+        assert kept.columns == odd_documents.columns
+        # 1, 2 and 3 have no words; 4 comes twice; so does the text without a key
+        assert sorted((r["doc_id"] or 0) for r in rows(kept)) == [0, 1, 4, 5, 6, 7, 8]
+        nothing = odd_documents.limit(0)
+        assert simhash.keep_one(nothing, mark(nothing)).count() == 0
+
+
+def test_similar_texts_are_found_and_others_left_alone(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    texts, groups = [], []
+    for group in range(60):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        for _ in range(rng.choice([1, 2, 5])):
+            copy = list(base)
+            for _ in range(rng.randint(0, len(base) // 60)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+            groups.append(group)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component"] for r in rows(simhash.similar(df))}
+    assert all(groups[i] == groups[c] for i, c in found.items())
+    sets = [simhash.shingles(t.encode().split(), 5) for t in texts]
+    pairs = [
+        (i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))
+        if groups[i] == groups[j] and len(sets[i] & sets[j]) >= 0.85 * len(sets[i] | sets[j])
+    ]
+    assert sum(found[i] == found[j] for i, j in pairs) >= 0.95 * len(pairs) and len(pairs) > 50
+    assert {r["doc_id"]: r["component"] for r in rows(simhash.similar(df, bucket=2))} == found
+
+
+def test_forest_connects_what_is_near():
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 1 << 63, (6, 4), dtype=np.uint64)
+    prints = np.concatenate([base[i % 6][None] ^ np.uint64(1 << (i % 61)) for i in range(80)])
+    prints = prints[rng.permutation(80)]
+    keys = np.repeat([3, 9, 12, 40], [1, 2, 30, 47])
+    edges = {
+        frozenset((r["a"], r["b"])) for batch in simhash._linked(keys, prints, 8) for r in batch.to_pylist()
+    }
+    start = 0
+    for size in (1, 2, 30, 47):
+        own = [p.tobytes() for p in prints[start: start + size]]
+        near = {i: {j for j in range(size) if np.bitwise_count(
+            prints[start + i] ^ prints[start + j]).sum() <= 8} for i in range(size)}
+        place = {p: i for i, p in enumerate(own)}
+        parent = list(range(size))
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for edge in edges:
+            ends = [place[x] for x in edge if x in place]
+            if len(ends) == 2:
+                parent[find(ends[0])] = find(ends[1])
+        assert all(find(i) == find(j) for i in near for j in near[i])
+        start += size
 
 
 # URLs

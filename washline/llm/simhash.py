@@ -12,10 +12,15 @@ Only distinct fingerprints are keyed, so copies cost nothing here. Keys shared b
 own 65 points at distance 0 or 1, and fingerprints that share a point are linked to the smallest of
 them. Two fingerprints are within two bits exactly if they share a point, so this is exact, and its
 cost is linear.
+
+Two bits of 64 are far less than edits of a few words change. ``similar`` therefore compares prints of
+256 bits over five-word shingles, whose share of differing bits tells the similarity, and finds
+candidates by the same keys over four prints of the words alone, which edits change least.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,6 +36,7 @@ from .graph import components
 SHINGLE = 3
 BITS = 2
 BUCKET = 64
+WIDE_BUCKET = 4096
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 GENERATOR = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -77,6 +83,51 @@ def fingerprints(
     return chosen.mapInArrow(run, f"`{key}` {kind}, fingerprint long, text_key long")
 
 
+def wide_print(parts: set[bytes]) -> bytes:
+    """The 256 bits set in over half of the parts' hashes, as 32 bytes; zeros without parts."""
+    if not parts:
+        return bytes(32)
+    one = xxhash.xxh3_128_digest
+    hashes = np.frombuffer(b"".join([one(p, SEED) + one(p, SEED + 1) for p in parts]), np.uint8)
+    counts = np.zeros(256, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 17):
+        bits = np.unpackbits(hashes[at: at + (1 << 17)].reshape(-1, 32), axis=1)
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(parts)).tobytes()
+
+
+def shingles(words: list[bytes], size: int) -> set[bytes]:
+    """Distinct runs of ``size`` words; a shorter text is one run."""
+    return {b" ".join(words[i: i + size]) for i in range(max(len(words) - size, 0) + 1)} if words else set()
+
+
+def wide_prints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """``(key, text_key, fingerprint, words)``: prints of 32 bytes over shingles and over words."""
+    chosen = docs.select(
+        F.col(f"`{key}`").alias(key), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text")
+    ).select(key, "__text", F.xxhash64("__text").alias("text_key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, own = [], []
+            for value in byte_values(batch.column(1)):
+                words = value.lower().split()
+                found.append(wide_print(shingles(words, shingle)))
+                own.append(wide_print(set(words)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(found, pa.binary()), pa.array(own, pa.binary())],
+                [key, "text_key", "fingerprint", "words"],
+            )
+
+    kind = chosen.schema[key].dataType.simpleString()
+    return chosen.mapInArrow(run, f"`{key}` {kind}, text_key long, fingerprint binary, words binary")
+
+
+def most_bits(similarity: float) -> int:
+    """The differing bits of 256 expected at a Jaccard similarity of sets of one size."""
+    return int(256 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
 def _error_table() -> np.ndarray:
     """The error pattern of weight three at most for each of the 2,048 syndromes."""
     errors = np.zeros(1 << 11, dtype=np.uint32)
@@ -103,6 +154,15 @@ def codeword_indices(words: np.ndarray, errors: np.ndarray) -> np.ndarray:
     return found
 
 
+def _segment_keys(values: np.ndarray, errors: np.ndarray, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(key, row)`` of 64-bit values: an exact segment and a codeword index of the next."""
+    words = [(values >> np.uint64(a)) & np.uint64((1 << n) - 1) for a, n in SEGMENTS]
+    for i, exact in enumerate(words):
+        codes = codeword_indices(words[(i + 1) % 3], errors)
+        rows, places = np.nonzero(codes >= 0)
+        yield ((first + i) << 40) | (exact[rows].astype(np.int64) << 12) | codes[rows, places], rows
+
+
 def _keys(prints: DataFrame) -> DataFrame:
     """``(key, fingerprint)``: 3 to 18 keys for each distinct fingerprint."""
 
@@ -112,11 +172,7 @@ def _keys(prints: DataFrame) -> DataFrame:
             values = batch.column(0).to_numpy(zero_copy_only=False).view("<u8")
             for at in range(0, len(values), 1 << 14):
                 part = values[at: at + (1 << 14)]
-                words = [(part >> np.uint64(a)) & np.uint64((1 << n) - 1) for a, n in SEGMENTS]
-                for i, exact in enumerate(words):
-                    codes = codeword_indices(words[(i + 1) % 3], errors)
-                    rows, places = np.nonzero(codes >= 0)
-                    keys = (i << 40) | (exact[rows].astype(np.int64) << 12) | codes[rows, places]
+                for keys, rows in _segment_keys(part, errors, 0):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys), pa.array(part[rows].view("<i8"))], ["key", "fingerprint"]
                     )
@@ -124,13 +180,107 @@ def _keys(prints: DataFrame) -> DataFrame:
     return prints.mapInArrow(run, "key long, fingerprint long")
 
 
+def _wide_keys(nodes: DataFrame) -> DataFrame:
+    """``(key, fingerprint)``: 12 to 72 keys from the print of the words of each node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        errors = _error_table()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 12):
+                part = batch.slice(at, 1 << 12)
+                values = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, 4)
+                for j in range(4):
+                    for keys, rows in _segment_keys(values[:, j].copy(), errors, 3 * j):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(keys), part.column(0).take(pa.array(rows))], ["key", "fingerprint"]
+                        )
+
+    return nodes.select("fingerprint", "words").mapInArrow(run, "key long, fingerprint binary")
+
+
+def wide_links(nodes: DataFrame, bits: int, bucket: int = WIDE_BUCKET) -> DataFrame:
+    """``(a, b)`` that connect the nodes which share a key and differ in ``bits`` of 256 at most.
+
+    The nodes of a key are compared with each other in one task, which returns a spanning forest and
+    not all pairs. A key of more than ``bucket`` nodes is cut into blocks, and every two of them are
+    a task's work.
+    """
+    keyed = _wide_keys(nodes)
+    crowded = written(
+        keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket)
+    )
+    usual = keyed
+    found = None
+    if not crowded.isEmpty():
+        usual = keyed.join(crowded, "key", "left_anti")
+        blocks = F.ceil(F.col("n") * 2 / bucket).cast("int")
+        own = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        dealt = keyed.join(crowded, "key").withColumn("blocks", blocks).withColumn("own", own).withColumn(
+            "other", other
+        )
+        pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        found = _forest(dealt.select(pair.alias("key"), "fingerprint"), bits)
+    usual = _forest(usual, bits)
+    return (usual if found is None else usual.union(found)).distinct()
+
+
+def _forest(keyed: DataFrame, bits: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest_keys, rest = np.zeros(0, np.int64), np.zeros((0, 4), np.uint64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.concatenate((rest_keys, batch.column(0).to_numpy(zero_copy_only=False)))
+            prints = np.concatenate((
+                rest, np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, 4)
+            ))
+            last = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+            yield from _linked(keys[:last], prints[:last], bits)
+            rest_keys, rest = keys[last:], prints[last:]
+        if len(rest_keys):
+            yield from _linked(rest_keys, rest, bits)
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
+
+
+def _linked(keys: np.ndarray, prints: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else []
+    sizes = np.diff(np.append(starts, len(keys)))
+    one, two = [], []
+    pairs = np.asarray(starts)[sizes == 2]  # most of the keys that are shared at all
+    near = np.bitwise_count(prints[pairs] ^ prints[pairs + 1]).sum(axis=1) <= bits
+    one.append(pairs[near])
+    two.append(pairs[near] + 1)
+    for start, size in zip(np.asarray(starts)[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        own = prints[start: start + size]
+        waiting = np.arange(size)
+        while len(waiting) > 1:  # one tree after the other, from the nodes that are not yet in one
+            front, waiting = [int(waiting[0])], waiting[1:]
+            while front and len(waiting):
+                at = front.pop()
+                near = np.bitwise_count(own[waiting] ^ own[at]).sum(axis=1) <= bits
+                reached = waiting[near]
+                waiting = waiting[~near]
+                one.append(np.full(len(reached), start + at))
+                two.append(start + reached)
+                front.extend(reached.tolist())
+    first, second = np.concatenate(one), np.concatenate(two)
+    for at in range(0, len(first), 1 << 15):
+        columns = [
+            pa.array([row.tobytes() for row in prints[x[at: at + (1 << 15)]]], pa.binary())
+            for x in (first, second)
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """``(a, b)`` between distinct fingerprints that connect everything within two bits.
 
     All pairs of a key with up to ``bucket`` fingerprints; stars over shared points for the rest.
     """
     keyed = written(_keys(distinct))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     small = keyed.join(sizes.where(F.col("n") <= bucket).select("key"), "key")
     one, two = small.toDF("key", "a"), small.toDF("key", "b")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS
@@ -160,7 +310,28 @@ def near_duplicates(
     """
     prints = written(fingerprints(docs, key, text, shingle))
     distinct = written(prints.groupBy("fingerprint").agg(F.min(key).alias("least")))
-    found = written(components(links(distinct.select("fingerprint"), bucket)))
+    return _named(prints, distinct, links(distinct.select("fingerprint"), bucket), key)
+
+
+def similar(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5,
+    similarity: float = 0.8, bucket: int = WIDE_BUCKET,
+) -> DataFrame:
+    """As ``near_duplicates``, with components of texts whose five-word shingles have a Jaccard
+    similarity of ``similarity`` or more, as far as prints of 256 bits tell: the expected number of
+    differing bits is the limit, so pairs close to the similarity fall on either side. Equal texts are
+    always together. Candidates share a key; the README says how many pairs that finds.
+    """
+    prints = written(wide_prints(docs, key, text, shingle))
+    nodes = written(prints.groupBy("fingerprint").agg(
+        F.min("words").alias("words"), F.min(key).alias("least")
+    ))
+    found = wide_links(nodes, most_bits(similarity), bucket)
+    return _named(prints.drop("words"), nodes.drop("words"), found, key)
+
+
+def _named(prints: DataFrame, distinct: DataFrame, linked: DataFrame, key: str) -> DataFrame:
+    found = written(components(linked))
     rooted = distinct.join(
         found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left"
     ).withColumn("root", F.coalesce("root", "fingerprint"))
@@ -171,14 +342,15 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def keep_one(
+    docs: DataFrame, marked: DataFrame, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """The documents without near-duplicates: of each component the one with the smallest key.
 
-    Of several rows with that key the one with the smallest fingerprint and text hash stays, once. A
-    component without any key keeps the row that is smallest by fingerprint and text hash. All
-    columns of ``docs`` return unchanged.
+    ``marked`` is what ``near_duplicates`` or ``similar`` returns for ``docs``. Of several rows with that
+    key the one with the smallest fingerprint and text hash stays, once. A component without any key
+    keeps the row that is smallest by fingerprint and text hash. All columns return unchanged.
     """
-    marked = near_duplicates(docs, key, text, **options)
     first = marked.where(F.col(key).eqNullSafe(F.col("component")))
     chosen = written(
         first.groupBy("root").agg(
