@@ -141,32 +141,37 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         key = (key << np.uint64(9)) | digit
         open_ended &= padded[j: j + n] > 0
     span = 7
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ranked = key[order]
     head = np.concatenate(([True], ranked[1:] != ranked[:-1]))
     rank = np.empty(n, dtype=np.int64)
-    closed = ~open_ended[order]  # holds a terminator: equal keys are ordered by place already
-    head |= closed
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    tied = ~head
-    tied[:-1] |= ~head[1:]
-    at = np.flatnonzero(tied)
+    at = _tied(head)
+    closed = at[~open_ended[order[at]]]  # these are told apart by the place of their terminator
+    members = order[closed]
+    order[closed] = members[np.argsort((rank[members] << 32) | members)]
+    rank[order[closed]] = closed
+    at = at[open_ended[order[at]]]
     while len(at):
         members = order[at]
-        second = rank[np.minimum(members + span, n - 1)]
-        sub = np.lexsort((second, rank[members]))
-        members = members[sub]
-        first, second = rank[members], second[sub]
+        pair = (rank[members] << 32) | rank[members + span]
+        sub = np.argsort(pair)
+        members, pair = members[sub], pair[sub]
         order[at] = members
-        new = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
+        new = np.concatenate(([True], pair[1:] != pair[:-1]))
         rank[members] = np.maximum.accumulate(np.where(new, at, 0))
-        open_now = ~new
-        open_now[:-1] |= ~new[1:]
-        at = at[open_now]
+        at = at[_tied(new)]
         span *= 2
     return order
 
 
+def _tied(head: np.ndarray) -> np.ndarray:
+    """The places that share a key with a neighbour."""
+    tied = ~head
+    tied[:-1] |= ~head[1:]
+    return np.flatnonzero(tied)
+
+
 def boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """True at a rank whose suffix shares fewer than ``length`` symbols with the suffix before it.
 
@@ -180,27 +185,29 @@ def boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.arange(n)
     jump = rank[order - 1]
-    symbol = np.minimum(text[order - 1], 256)
+    symbol = np.minimum(text[order - 1], 256).astype(np.int16)
     grouped = np.argsort(symbol, kind="stable")
     same = (symbol[grouped[1:]] == symbol[grouped[:-1]]) & (symbol[grouped[1:]] < 256)
     left = np.full(n, -1, dtype=np.int64)
     right = np.full(n, n, dtype=np.int64)
     left[grouped[1:][same]] = grouped[:-1][same]
     right[grouped[:-1][same]] = grouped[1:][same]
-    found = np.zeros(n, dtype=bool)
-    found[0] = True
+    found = np.zeros(n + 1, dtype=bool)
+    found[[0, n]] = True
     first = text[order]
     level = 1 + np.flatnonzero((first[1:] != first[:-1]) | (first[1:] >= 256))
     for depth in range(length):
         if not len(level):
             break
-        edges = np.append(np.flatnonzero(found), n)
+        edges = np.flatnonzero(found)
         found[level] = True
         if depth == length - 1:
             break
-        parents = np.unique(np.searchsorted(edges, level, side="right") - 1)
-        starts = np.sort(np.concatenate((edges[parents], level)))
-        parent = np.searchsorted(edges, starts, side="right") - 1
+        own = np.searchsorted(edges, level, side="right") - 1  # sorted, as the level is
+        parents = own[np.concatenate(([True], own[1:] != own[:-1]))]
+        starts = np.concatenate((edges[parents], level))
+        merged = np.argsort(starts)
+        starts, parent = starts[merged], np.concatenate((parents, own))[merged]
         low, high = edges[parent], edges[parent + 1]
         ends = np.minimum(np.append(starts[1:], n), high)
         sizes = ends - starts
@@ -216,9 +223,10 @@ def boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
         back, ahead = left[at], right[at]
         here = at[(back >= low[part]) & (back < starts[part])]
         there = ahead[(ahead < high[part]) & (ahead >= ends[part])]
-        level = np.unique(jump[np.concatenate((here, there))])
-        level = level[~found[level]]
-    return found
+        level = jump[np.concatenate((here, there))]
+        level = np.sort(level[~found[level]])
+        level = level[np.concatenate(([True], level[1:] != level[:-1]))] if len(level) else level
+    return found[:-1]
 
 
 def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
@@ -351,12 +359,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     ``docs`` has ``row`` (unique long) and ``text``.
     """
     every = written(_runs_of(docs.select("row", "text"), length))
-    shared = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # tables that hot anchors are joined with are written first: Spark then splits those anchors
+    shared = written(
+        every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    )
     runs_shared = written(every.join(shared, "anchor"))
     classes = written(runs_shared.groupBy("anchor", "digest").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "windows")).alias("rep")
     ))
-    kinds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    # where every class occurs twice there is nothing to compare
+    kinds = written(classes.groupBy("anchor").agg(
+        F.count(F.lit(1)).alias("kinds"), F.min("n").alias("rarest")
+    ).where("kinds > 1 AND rarest = 1").select("anchor", "kinds"))
     contested = classes.join(kinds, "anchor").select(
         "anchor", "digest", "n", "rep", (F.col("kinds") > crowd).alias("crowded"),
         (F.col("rep.windows") + (length - 1)).alias("bytes"),
