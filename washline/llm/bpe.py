@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import byte_values
 
-CACHED = 250_000
+CACHED = 150_000
 CACHED_BYTES = 48
 CHUNK = 1 << 20
+ROWS = 256
 FEW = 64
 SCAN_BLOCK = 64
 
@@ -261,27 +262,28 @@ class Encoder:
         self.sizes = np.zeros(max(self.ranks.values()) + 1, dtype=np.int32)
         for token, rank in self.ranks.items():
             self.sizes[rank] = len(token)
-        self.recent: dict[bytes, list[int]] = {}
-        self.older: dict[bytes, list[int]] = {}
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def ids(self, text: bytes, ends: np.ndarray) -> list[int]:
+    def ids(self, text: bytes, ends: np.ndarray) -> np.ndarray:
         recent, out, start = self.recent, [], 0
-        extend = out.extend
+        append = out.append
         for end in ends.tolist():
             piece = text[start:end]
             found = recent.get(piece)
             if found is None:
                 found = self._missing(piece)
                 recent = self.recent
-            extend(found)
+            append(found)
             start = end
-        return out
+        return np.frombuffer(b"".join(out), dtype="<i4")
 
-    def _missing(self, piece: bytes) -> list[int]:
-        """Two generations of bounded size: what was used since the last change stays."""
+    def _missing(self, piece: bytes) -> bytes:
+        """Packed ids, kept in two generations of bounded size: what was used since the last change
+        stays."""
         found = self.older.get(piece)
         if found is None:
-            found = merge(piece, self.ranks)
+            found = np.array(merge(piece, self.ranks), dtype="<i4").tobytes()
         if len(piece) <= CACHED_BYTES:
             if len(self.recent) >= CACHED:
                 self.older, self.recent = self.recent, {}
@@ -326,9 +328,9 @@ def _encoded(batch: pa.RecordBatch, encoder: Encoder, key: str) -> pa.RecordBatc
     if len(texts) == 1:
         parts = chunks(texts[0])
         found = [encoder.ids(p, e) for p in parts for e in split([p])]
-        ids = [np.concatenate([np.array(f, np.int32) for f in found])]
+        ids = [np.concatenate(found)]
     else:
-        ids = [np.array(encoder.ids(t, e), np.int32) for t, e in zip(texts, split(texts))]
+        ids = [encoder.ids(t, e) for t, e in zip(texts, split(texts))]
     ends = [np.cumsum(encoder.sizes[i], dtype=np.int32) for i in ids]
     return pa.RecordBatch.from_arrays(
         [batch.column(0), _lists(ids), _lists(ends)], [key, "ids", "ends"]
@@ -360,22 +362,32 @@ def decode(tokens: DataFrame, ranks: bytes, key: str = "doc_id") -> DataFrame:
     kind = tokens.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {rank: token for token, rank in parse_ranks(ranks).items()}
+        table = _tokens(ranks)
         for batch in batches:
-            many, packed, texts = [], [], []
-            for ids, ends in zip(batch.column(1), batch.column(2)):
-                numbers = np.asarray(ids.values, dtype="<i4") if ids.is_valid else np.zeros(0, "<i4")
-                text = b"".join(map(table.__getitem__, numbers.tolist()))
-                if len(numbers) and ends.is_valid and ends.values[-1].as_py() != len(text):
-                    raise ValueError("the tokens do not end where the offsets say")
-                many.append(len(numbers))
-                packed.append(numbers.tobytes())
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(many, pa.int64()), pa.array(packed, pa.binary()),
-                 pa.array(texts, pa.binary())], [key, "n_tokens", "id_bytes", "decoded"],
-            )
+            for at in range(0, batch.num_rows, ROWS):
+                yield _decoded(batch.slice(at, ROWS), table, key)
 
     return tokens.select(key, "ids", "ends").mapInArrow(
         run, f"`{key}` {kind}, n_tokens long, id_bytes binary, decoded binary"
     )
+
+
+@lru_cache(maxsize=1)
+def _tokens(content: bytes) -> dict[int, bytes]:
+    return {rank: token for token, rank in parse_ranks(content).items()}
+
+
+def _decoded(batch: pa.RecordBatch, table: dict[int, bytes], key: str) -> pa.RecordBatch:
+    many, packed, texts = [], [], []
+    for ids, ends in zip(batch.column(1), batch.column(2)):
+        numbers = np.asarray(ids.values, dtype="<i4") if ids.is_valid else np.zeros(0, "<i4")
+        text = b"".join(map(table.__getitem__, numbers.tolist()))
+        if len(numbers) and ends.is_valid and ends.values[-1].as_py() != len(text):
+            raise ValueError("the tokens do not end where the offsets say")
+        many.append(len(numbers))
+        packed.append(numbers.tobytes())
+        texts.append(text)
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), pa.array(many, pa.int64()), pa.array(packed, pa.binary()),
+         pa.array(texts, pa.binary())], [key, "n_tokens", "id_bytes", "decoded"],
+    )
