@@ -5,7 +5,8 @@ length. They are searched through a graph in memory: from a few entry points, ea
 neighbours of the best centroid not yet expanded, for a whole batch of vectors at once. Every vector goes
 to the list of its nearest centroid and, near a boundary, also to others: those whose distance is within
 ``closure`` of the nearest, unless a centroid chosen before is nearer to them than the vector is. A query
-reads the lists whose centroid is within ``ratio`` of its nearest one's distance.
+reads the lists whose centroid is within ``ratio`` of its nearest one's distance; the ratio is set on the
+sample.
 
 Lists are cut into blocks of rows, so a list that holds very many vectors is many tasks' work. Queries meet
 the blocks of their lists; a block returns its best for each query, and the best of those remain.
@@ -30,8 +31,8 @@ LINKS = 16
 BEAM = 64
 CLOSURE = 1.15
 REPLICAS = 4
-RATIO = 1.6
-PROBES = 48
+WANTED = 0.98
+QUERIES = 256
 BLOCK_ROWS = 4_096
 ROUNDS = 12
 
@@ -144,19 +145,43 @@ class Graph:
         return out
 
     def lists_for(
-        self, queries: np.ndarray, ratio: float, probes: int, sizes: np.ndarray, least: int
+        self, queries: np.ndarray, ratio: float, sizes: np.ndarray, least: int
     ) -> list[np.ndarray]:
-        """The lists that each query reads: by distance ratio, and on until ``least`` rows are in reach."""
-        best, cost = self.search(queries, max(BEAM, probes))
-        out = []
-        for found, far in zip(best, cost):
-            met = found >= 0
-            found, far = found[met], far[met]
-            reach = np.cumsum(sizes[found]) - sizes[found]
-            take = ((far <= ratio * far[0]) & (np.arange(len(far)) < probes)) | (reach < least)
-            out.append(found[take])
+        """The lists that each query reads: by distance ratio, and on until ``least`` rows are in reach.
+        The beam is widened for the queries whose last centroid is still within the ratio."""
+        k, out = len(self.centers), [np.zeros(0, np.int64)] * len(queries)
+        open_ones, beam = np.arange(len(queries)), BEAM
+        while len(open_ones):
+            best, cost = self.search(queries[open_ones], beam)
+            again = []
+            for row, found, far in zip(open_ones.tolist(), best, cost):
+                met = found >= 0
+                found, far = found[met], far[met]
+                reach = np.cumsum(sizes[found]) - sizes[found]
+                take = (far <= ratio * far[0]) | (reach < least)
+                if take.all() and beam < k:
+                    again.append(row)
+                else:
+                    out[row] = found[take]
+            open_ones, beam = np.array(again, dtype=np.int64), 2 * beam
         return out
 
+    def calibrated(self, sample: np.ndarray, k: int, closure: float, replicas: int, wanted: float) -> float:
+        """The distance ratio within which ``wanted`` of the neighbours inside the sample are found, from
+        some queries of it. Neighbours in the whole table are nearer, so it finds more of them."""
+        queries = sample[:QUERIES]
+        far = squared(queries, sample)
+        far[np.arange(len(queries)), np.arange(len(queries))] = np.inf
+        near = np.argsort(far, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+        rows = np.unique(near)
+        lists = dict(zip(rows.tolist(), self.lists_of(sample[rows], closure, replicas)))
+        gaps = np.sqrt(squared(queries, self.centers))
+        ratios = [
+            gaps[q, lists[r]].min() / max(gaps[q].min(), 1e-300)
+            for q, found in enumerate(near.tolist()) for r in found
+        ]
+        return float(np.quantile(ratios, wanted, method="higher")) if ratios else 1.0
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -182,11 +207,12 @@ def _assigned(vectors: DataFrame, graph: Graph, choose) -> DataFrame:
 
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding",
-    list_rows: int = LIST_ROWS, ratio: float = RATIO, probes: int = PROBES,
+    list_rows: int = LIST_ROWS, ratio: float | None = None, wanted: float = WANTED,
     closure: float = CLOSURE, replicas: int = REPLICAS,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for every row where ``is_query`` holds its ``k`` nearest
-    other rows found, by Euclidean distance in double precision, ties to the smaller id.
+    other rows found, by Euclidean distance in double precision, ties to the smaller id. Without
+    ``ratio`` it is set on the sample so that a share ``wanted`` of its neighbours is found.
 
     Vectors that are null, empty, all zero, or hold null or non-finite components take no part, nor do
     those of another length than the most frequent one (the larger on ties), nor rows without id. Rows
@@ -208,6 +234,8 @@ def nearest(
     sample = np.array([r["vector"] for r in rows], dtype=np.float64)
     lists = min(MOST_LISTS, max(1, common["rows"] // list_rows), max(1, len(sample) // 8))
     graph = Graph(fit_centroids(sample, lists))
+    if ratio is None:
+        ratio = graph.calibrated(sample, k, closure, replicas, wanted)
 
     held = written(_assigned(
         chosen.select("id", "vector"), graph, lambda g, m: g.lists_of(m, closure, replicas)
@@ -216,7 +244,7 @@ def nearest(
     least = (k + 1) * replicas
     asked = written(_assigned(
         chosen.where("asks").select("id", "vector"), graph,
-        lambda g, m: g.lists_for(m, ratio, probes, sizes, least),
+        lambda g, m: g.lists_for(m, ratio, sizes, least),
     ))
     # every block of a list's rows meets every block of the queries that read the list
     rows_of, queries_of = _blocks(sizes), _blocks(_sizes(asked, len(graph.centers)))
