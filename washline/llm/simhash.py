@@ -335,7 +335,8 @@ def _named(prints: DataFrame, distinct: DataFrame, linked: DataFrame, key: str)
     rooted = distinct.join(
         found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left"
     ).withColumn("root", F.coalesce("root", "fingerprint"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    # written, so that Spark can split a component that holds much of the table
+    names = written(rooted.groupBy("root").agg(F.min("least").alias("component")))
     named = rooted.join(names, "root").select("fingerprint", "root", "component")
     return prints.join(named, "fingerprint").select(
         key, "fingerprint", "text_key", "root", "component"
