@@ -35,7 +35,7 @@ BLOCK = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 PLACE_BITS = 24
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -345,9 +345,8 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
     every = contexts.where("crowded").select("n", "row", "start", "context").mapInArrow(
         windows, "high long, low long, n long, row long, start long"
     )
-    once = F.min(F.struct("n", "row", "start"))
-    many = every.groupBy("high", "low").agg(F.count(F.lit(1)).alias("times"), once.alias("one"))
-    repeated = many.where("times > 1").select("high", "low")
+    many = every.groupBy("high", "low").agg(F.count(F.lit(1)).alias("times"))
+    repeated = written(many.where("times > 1").select("high", "low"))
     return every.where("n = 1").join(repeated, ["high", "low"]).select(
         "row", "start", (F.col("start") + length).alias("end")
     )
