@@ -19,6 +19,7 @@ UNDEFINED = "und"
 #: A dictionary is fitted on a sample: at most so many texts a language, so many characters of each,
 #: and so many bytes in all; at most so many languages, the most frequent first.
 SAMPLE_TEXTS = 400
+DRAWN = 16
 SAMPLE_CHARACTERS = 4_000
 DICTIONARY_BYTES = 32_000
 DICTIONARIES = 6
@@ -43,16 +44,23 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str,
     labelled = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(LETTERS)
     )
-    names = [
-        r["lang"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    ]
-    cut = labelled.where(F.col("lang").isin(names)).select(
-        "lang", F.left("text", F.lit(SAMPLE_CHARACTERS)).alias("text"), F.xxhash64("text").alias("at")
-    )
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    if not sizes:
+        return {}
+    # only hashes below a limit that some times the wanted texts pass are ranked, so that no task
+    # gathers a language; copies have one hash and count once
+    limits = F.create_map(*[
+        F.lit(x) for name, n in sizes.items()
+        for x in (name, min(1 << 30, (DRAWN * SAMPLE_TEXTS << 30) // n + 1))
+    ])
+    at = F.xxhash64("text")
+    drawn = labelled.where(F.pmod(at, F.lit(1 << 30)) < F.try_element_at(limits, F.col("lang"))).select(
+        "lang", F.left("text", F.lit(SAMPLE_CHARACTERS)).alias("text"), at.alias("at")
+    ).dropDuplicates(["lang", "at"])
     place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
-    rows = cut.withColumn("place", place).where(F.col("place") <= SAMPLE_TEXTS).collect()
-    found: dict[str, list[bytes]] = {name: [b""] for name in names}
+    rows = drawn.withColumn("place", place).where(F.col("place") <= SAMPLE_TEXTS).collect()
+    found: dict[str, list[bytes]] = {name: [b""] for name in sizes}
     for row in sorted(rows, key=lambda r: (r["lang"], r["place"])):
         filled, text_bytes = found[row["lang"]], lowered(row["text"])
         if len(filled[-1]) >= DICTIONARY_BYTES and len(filled) < DICTIONARIES:
