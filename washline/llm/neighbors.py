@@ -4,7 +4,8 @@ Centroids are fitted on a bounded sample by k-means that charges full clusters,
 length. They are searched through a graph in memory: from a few entry points, each step visits the
 neighbours of the best centroid not yet expanded, for a whole batch of vectors at once. Every vector goes
 to the list of its nearest centroid and, near a boundary, also to others: those whose distance is within
-``closure`` of the nearest, unless a centroid chosen before is nearer to them than the vector is. A query
+``closure`` of the nearest, unless a list chosen before is close by: less than half the vector's distance
+from them. A query
 reads the lists whose centroid is within ``ratio`` of its nearest one's distance; the ratio is set on the
 sample.
 
@@ -29,8 +30,9 @@ LIST_ROWS = 256
 MOST_LISTS = 2_048
 LINKS = 16
 BEAM = 64
-CLOSURE = 1.15
+CLOSURE = 1.02
 REPLICAS = 4
+APART = 0.5
 WANTED = 0.98
 QUERIES = 256
 BLOCK_ROWS = 4_096
@@ -87,6 +89,7 @@ class Graph:
         follow[ring, 0], follow[ring, 1] = np.roll(ring, 1), np.roll(ring, -1)
         self.links = np.concatenate((nearest, follow), axis=1)
         self.entries = ring[: min(8, k)]
+        self.usual = 0.0  # the usual distance to the nearest centroid, once calibrated
 
     def search(self, vectors: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """``(centroids, distances)``, nearest first; -1 and infinity where fewer were met."""
@@ -139,7 +142,7 @@ class Graph:
                 if c < 0 or len(chosen) == replicas or d > closure * far[0]:
                     break
                 gap = self.centers[chosen] - self.centers[c]
-                if (np.sqrt((gap * gap).sum(axis=1)) >= d).all():
+                if (np.sqrt((gap * gap).sum(axis=1)) >= APART * d).all():
                     chosen.append(c)
             out.append(np.array(chosen))
         return out
@@ -158,7 +161,7 @@ class Graph:
                 met = found >= 0
                 found, far = found[met], far[met]
                 reach = np.cumsum(sizes[found]) - sizes[found]
-                take = (far <= ratio * far[0]) | (reach < least)
+                take = (far <= ratio * max(far[0], self.usual)) | (reach < least)
                 if take.all() and beam < k:
                     again.append(row)
                 else:
@@ -176,8 +179,10 @@ class Graph:
         rows = np.unique(near)
         lists = dict(zip(rows.tolist(), self.lists_of(sample[rows], closure, replicas)))
         gaps = np.sqrt(squared(queries, self.centers))
+        # a query on top of a centroid, one of many copies perhaps, has no distance to compare with
+        self.usual = float(np.median(gaps.min(axis=1))) or 1e-300
         ratios = [
-            gaps[q, lists[r]].min() / max(gaps[q].min(), 1e-300)
+            gaps[q, lists[r]].min() / max(gaps[q].min(), self.usual)
             for q, found in enumerate(near.tolist()) for r in found
         ]
         return float(np.quantile(ratios, wanted, method="higher")) if ratios else 1.0
