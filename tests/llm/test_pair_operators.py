@@ -209,6 +209,34 @@ def test_similar_texts_are_found_and_others_left_alone(spark):
     assert {r["doc_id"]: r["component"] for r in rows(simhash.similar(df, bucket=2))} == found
 
 
+def block_edits(rng):
+    """Pairs of texts whose shingles are similar to 0.8 or more: a block added or cut, short texts too."""
+    words = [f"w{i}" for i in range(3000)]
+    text = lambda n: [words[min(int(rng.paretovariate(0.6)), 2999)] for _ in range(n)]
+    pairs = []
+    for n, share in [(300, 0.1), (300, 0.15), (200, 0.2), (14, 0.08), (20, 0.05), (10, 0.1), (8, 0.13)]:
+        for i in range(30):
+            base, more = text(n), text(int(n * share) or 1)
+            pairs.append((base, [base + more, more + base, base[len(more):]][i % 3]))
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    sets = [[simhash.shingles([w.encode() for w in x], 5) for x in pair] for pair in pairs]
+    return [
+        (" ".join(a), " ".join(b)) for (a, b), pair in zip(pairs, sets) if 0.8 <= jaccard(*pair) < 1
+    ]
+
+
+def test_block_edits_and_short_texts_become_candidates(spark):
+    pairs = block_edits(random.Random(14))
+    assert len(pairs) > 120
+    df = spark.createDataFrame(
+        [(2 * i + j, pair[j]) for i, pair in enumerate(pairs) for j in (0, 1)], "doc_id long, text string"
+    )
+    prints = simhash.wide_prints(df, "doc_id", "text", 5)
+    names = {r["doc_id"]: bytes(r["fingerprint"]) for r in rows(prints.select("doc_id", "fingerprint"))}
+    links = {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in rows(simhash.wide_links(prints, 256))}
+    assert all(frozenset((names[2 * i], names[2 * i + 1])) in links for i in range(len(pairs)))
+
+
 def test_forest_connects_what_is_near():
     rng = np.random.default_rng(13)
     base = rng.integers(0, 1 << 63, (6, 4), dtype=np.uint64)

@@ -13,9 +13,10 @@ own 65 points at distance 0 or 1, and fingerprints that share a point are linked
 them. Two fingerprints are within two bits exactly if they share a point, so this is exact, and its
 cost is linear.
 
-Two bits of 64 are far less than edits of a few words change. ``similar`` therefore compares prints of
-256 bits over five-word shingles, whose share of differing bits tells the similarity, and finds
-candidates by the same keys over four prints of the words alone, which edits change least.
+Two bits of 64 are far less than edits of a few words change. ``similar`` therefore works on sets of
+five-word shingles. Its keys are ``BANDS`` groups of ``ROWS`` least hashes each (MinHash): sets of
+similarity J share a key with probability 1 - (1 - J^ROWS)^BANDS, whatever was edited and however
+short the text is; at 0.8 one pair in 14,000 shares none.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SHINGLE = 3
 BITS = 2
 BUCKET = 64
 WIDE_BUCKET = 4096
+BANDS = 24
+ROWS = 5
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 GENERATOR = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -83,17 +86,61 @@ def fingerprints(
     return chosen.mapInArrow(run, f"`{key}` {kind}, fingerprint long, text_key long")
 
 
+def _part_hashes(parts: set[bytes]) -> np.ndarray:
+    """256 bits of hash for each part, one row of bytes a part."""
+    one = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([one(p, SEED) + one(p, SEED + 1) for p in parts]), np.uint8).reshape(-1, 32)
+
+
 def wide_print(parts: set[bytes]) -> bytes:
     """The 256 bits set in over half of the parts' hashes, as 32 bytes; zeros without parts."""
-    if not parts:
+    return _wide_print(_part_hashes(parts))
+
+
+def _wide_print(hashes: np.ndarray) -> bytes:
+    if not len(hashes):
         return bytes(32)
-    one = xxhash.xxh3_128_digest
-    hashes = np.frombuffer(b"".join([one(p, SEED) + one(p, SEED + 1) for p in parts]), np.uint8)
     counts = np.zeros(256, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 17):
-        bits = np.unpackbits(hashes[at: at + (1 << 17)].reshape(-1, 32), axis=1)
+    for at in range(0, len(hashes), 1 << 12):
+        bits = np.unpackbits(hashes[at: at + (1 << 12)], axis=1)
         counts += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(parts)).tobytes()
+    return np.packbits(counts * 2 > len(hashes)).tobytes()
+
+
+def _elements(hashes: np.ndarray) -> np.ndarray:
+    """A set of shingles as sorted 64-bit numbers."""
+    return np.unique(np.ascontiguousarray(hashes[:, :8]).view("<u8").ravel())
+
+
+def _node(hashes: np.ndarray, elements: np.ndarray) -> bytes:
+    """Print and digest of a set: 48 bytes, different for different sets."""
+    return _wide_print(hashes) + xxhash.xxh3_128_digest(elements.tobytes(), SEED)
+
+
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    drawn = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
+    return drawn[0] | np.uint64(1), drawn[1]
+
+
+def least_hashes(elements: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The least value of a set under each of ``BANDS * ROWS`` permutations."""
+    out = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(elements), 1 << 11):
+            part = elements[None, at: at + (1 << 11)] * factors[0] + factors[1]
+            np.minimum(out, part.min(axis=1), out=out)
+    return out
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys for each row of least hashes."""
+    values = least.reshape(-1, BANDS, ROWS)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), values.shape[:2]).copy()
+    with np.errstate(over="ignore"):
+        for i in range(ROWS):
+            keys = (keys ^ values[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
+            keys ^= keys >> np.uint64(29)
+    return keys
 
 
 def shingles(words: list[bytes], size: int) -> set[bytes]:
@@ -102,25 +149,35 @@ def shingles(words: list[bytes], size: int) -> set[bytes]:
 
 
 def wide_prints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """``(key, text_key, fingerprint, words)``: prints of 32 bytes over shingles and over words."""
+    """``(key, text_key, fingerprint, size, keys)``: print and digest of the set of shingles in 48 bytes,
+    its number of shingles, and its keys, none for a text without words."""
     chosen = docs.select(
         F.col(f"`{key}`").alias(key), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text")
     ).select(key, "__text", F.xxhash64("__text").alias("text_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = _factors()
         for batch in batches:
-            found, own = [], []
+            found, sizes, least = [], [], []
             for value in byte_values(batch.column(1)):
-                words = value.lower().split()
-                found.append(wide_print(shingles(words, shingle)))
-                own.append(wide_print(set(words)))
+                hashes = _part_hashes(shingles(value.lower().split(), shingle))
+                elements = _elements(hashes)
+                found.append(_node(hashes, elements))
+                sizes.append(len(elements))
+                least.append(least_hashes(elements, factors))
+            keys = band_keys(np.array(least, np.uint64)).view("<i8")
+            some = np.array(sizes, np.int64) > 0
+            ends = np.concatenate(([0], np.cumsum(some) * BANDS)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(found, pa.binary()), pa.array(own, pa.binary())],
-                [key, "text_key", "fingerprint", "words"],
+                [batch.column(0), batch.column(2), pa.array(found, pa.binary()), pa.array(sizes, pa.int32()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel()))],
+                [key, "text_key", "fingerprint", "size", "keys"],
             )
 
     kind = chosen.schema[key].dataType.simpleString()
-    return chosen.mapInArrow(run, f"`{key}` {kind}, text_key long, fingerprint binary, words binary")
+    return chosen.mapInArrow(
+        run, f"`{key}` {kind}, text_key long, fingerprint binary, size int, keys array<long>"
+    )
 
 
 def most_bits(similarity: float) -> int:
@@ -180,32 +237,14 @@ def _keys(prints: DataFrame) -> DataFrame:
     return prints.mapInArrow(run, "key long, fingerprint long")
 
 
-def _wide_keys(nodes: DataFrame) -> DataFrame:
-    """``(key, fingerprint)``: 12 to 72 keys from the print of the words of each node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        errors = _error_table()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 12):
-                part = batch.slice(at, 1 << 12)
-                values = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, 4)
-                for j in range(4):
-                    for keys, rows in _segment_keys(values[:, j].copy(), errors, 3 * j):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(keys), part.column(0).take(pa.array(rows))], ["key", "fingerprint"]
-                        )
-
-    return nodes.select("fingerprint", "words").mapInArrow(run, "key long, fingerprint binary")
-
-
 def wide_links(nodes: DataFrame, bits: int, bucket: int = WIDE_BUCKET) -> DataFrame:
-    """``(a, b)`` that connect the nodes which share a key and differ in ``bits`` of 256 at most.
+    """``(a, b)`` that connect the nodes which share a key and whose prints differ in ``bits`` of 256 at most.
 
     The nodes of a key are compared with each other in one task, which returns a spanning forest and
     not all pairs. A key of more than ``bucket`` nodes is cut into blocks, and every two of them are
     a task's work.
     """
-    keyed = _wide_keys(nodes)
+    keyed = nodes.select(F.explode("keys").alias("key"), "fingerprint")
     crowded = written(
         keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket)
     )
@@ -227,13 +266,13 @@ def wide_links(nodes: DataFrame, bits: int, bucket: int = WIDE_BUCKET) -> DataFr
 
 def _forest(keyed: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_keys, rest = np.zeros(0, np.int64), np.zeros((0, 4), np.uint64)
+        rest_keys, rest = np.zeros(0, np.int64), np.zeros((0, 6), np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.concatenate((rest_keys, batch.column(0).to_numpy(zero_copy_only=False)))
             prints = np.concatenate((
-                rest, np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, 4)
+                rest, np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, 6)
             ))
             last = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
             yield from _linked(keys[:last], prints[:last], bits)
@@ -245,15 +284,16 @@ def _forest(keyed: DataFrame, bits: int) -> DataFrame:
 
 
 def _linked(keys: np.ndarray, prints: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """The first four numbers of a row of ``prints`` are the print; the whole row names the node."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else []
     sizes = np.diff(np.append(starts, len(keys)))
     one, two = [], []
     pairs = np.asarray(starts)[sizes == 2]  # most of the keys that are shared at all
-    near = np.bitwise_count(prints[pairs] ^ prints[pairs + 1]).sum(axis=1) <= bits
+    near = np.bitwise_count(prints[pairs, :4] ^ prints[pairs + 1, :4]).sum(axis=1) <= bits
     one.append(pairs[near])
     two.append(pairs[near] + 1)
     for start, size in zip(np.asarray(starts)[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-        own = prints[start: start + size]
+        own = prints[start: start + size, :4]
         waiting = np.arange(size)
         while len(waiting) > 1:  # one tree after the other, from the nodes that are not yet in one
             front, waiting = [int(waiting[0])], waiting[1:]
@@ -324,10 +364,11 @@ def similar(
     """
     prints = written(wide_prints(docs, key, text, shingle))
     nodes = written(prints.groupBy("fingerprint").agg(
-        F.min("words").alias("words"), F.min(key).alias("least")
+        F.min(key).alias("least"), F.min("text_key").alias("text_key"), F.first("size").alias("size"),
+        F.first("keys").alias("keys"),
     ))
     found = wide_links(nodes, most_bits(similarity), bucket)
-    return _named(prints.drop("words"), nodes.drop("words"), found, key)
+    return _named(prints, nodes.select("fingerprint", "least"), found, key)
 
 
 def _named(prints: DataFrame, distinct: DataFrame, linked: DataFrame, key: str) -> DataFrame:
