@@ -237,6 +237,32 @@ def test_block_edits_and_short_texts_become_candidates(spark):
     assert all(frozenset((names[2 * i], names[2 * i + 1])) in links for i in range(len(pairs)))
 
 
+@pytest.mark.parametrize("bucket", [4096, 2])
+def test_links_are_exact_at_the_similarity(spark, bucket):
+    rng = random.Random(15)
+    pairs = block_edits(rng)
+    for i in range(120):  # scattered edits around 0.8
+        base = [f"v{rng.randrange(4000)}" for _ in range(rng.choice([40, 100, 300]))]
+        copy = list(base)
+        for _ in range(max(1, int(len(base) * rng.choice([0.01, 0.02, 0.025, 0.03])))):
+            copy[rng.randrange(len(copy))] = f"v{rng.randrange(4000)}"
+        pairs.append((" ".join(base), " ".join(copy)))
+    texts = [t for pair in pairs for t in pair] + [pairs[0][0], pairs[-1][1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component"] for r in rows(simhash.similar(df, bucket=bucket))}
+    sets = [simhash.shingles(t.encode().split(), 5) for t in texts]
+    least = list(range(len(texts)))
+    below = 0
+    for i in range(len(texts)):  # texts of other pairs share next to nothing
+        for j in range(i):
+            share = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            below += 0.7 < share < 0.8
+            if share >= 0.8:
+                old, new = max(least[i], least[j]), min(least[i], least[j])
+                least = [new if x == old else x for x in least]
+    assert found == dict(enumerate(least)) and below > 10
+
+
 def test_forest_connects_what_is_near():
     rng = np.random.default_rng(13)
     base = rng.integers(0, 1 << 63, (6, 4), dtype=np.uint64)

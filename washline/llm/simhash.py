@@ -16,7 +16,9 @@ cost is linear.
 Two bits of 64 are far less than edits of a few words change. ``similar`` therefore works on sets of
 five-word shingles. Its keys are ``BANDS`` groups of ``ROWS`` least hashes each (MinHash): sets of
 similarity J share a key with probability 1 - (1 - J^ROWS)^BANDS, whatever was edited and however
-short the text is; at 0.8 one pair in 14,000 shares none.
+short the text is; at 0.8 one pair in 14,000 shares none. Prints of 256 bits over the shingles, whose
+share of differing bits tells the similarity, only drop pairs that are far from it. The nodes that
+proposed pairs connect are then brought together with their whole sets and compared exactly.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ SHINGLE = 3
 BITS = 2
 BUCKET = 64
 WIDE_BUCKET = 4096
+SETS = 1 << 25  # bytes of shingle sets in one comparison
+BROADCAST_TEXTS = 200_000
 BANDS = 24
 ROWS = 5
 SEED = 42
@@ -185,6 +189,12 @@ def most_bits(similarity: float) -> int:
     return int(256 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def proposed_bits(similarity: float) -> int:
+    """Eight deviations above ``most_bits``: pairs of that similarity do not differ in more."""
+    share = most_bits(similarity) / 256
+    return int(256 * share + 8 * math.sqrt(256 * share * (1 - share)))
+
+
 def _error_table() -> np.ndarray:
     """The error pattern of weight three at most for each of the 2,048 syndromes."""
     errors = np.zeros(1 << 11, dtype=np.uint32)
@@ -314,6 +324,118 @@ def _linked(keys: np.ndarray, prints: np.ndarray, bits: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
 
+def verified_links(
+    docs: DataFrame, proposed: DataFrame, nodes: DataFrame, text: str, shingle: int, similarity: float,
+    bucket: int = WIDE_BUCKET,
+) -> DataFrame:
+    """``(a, b)`` that connect the nodes with a Jaccard similarity of ``similarity`` or more, among all
+    nodes that ``proposed`` connects.
+
+    Each of these nodes sends the set of one of its texts once. What is connected is compared in one task,
+    and beyond ``SETS`` bytes or four times ``bucket`` nodes in blocks, every two of them in a task.
+    """
+    members = written(
+        components(proposed).withColumnRenamed("node", "fingerprint").join(nodes, "fingerprint")
+        .select("root", "fingerprint", "text_key", "size")
+    )
+    weight = F.greatest(F.count(F.lit(1)) / (4 * bucket), F.sum(F.col("size").cast("long") * 8) / SETS)
+    crowded = written(members.groupBy("root").agg(weight.alias("weight")).where("weight > 1"))
+    blocks = F.coalesce(F.ceil(F.col("weight") * 2), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = members.join(F.broadcast(crowded), "root", "left").withColumn("blocks", blocks).withColumn(
+        "own", own
+    ).withColumn("other", other)
+    group = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
+    wanted = written(dealt.groupBy("text_key").agg(F.collect_list(group).alias("groups")))
+    chosen = wanted.withColumnRenamed("text_key", "__key")
+    if wanted.count() <= BROADCAST_TEXTS:
+        chosen = F.broadcast(chosen)
+    texts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text")).withColumn(
+        "text_key", F.xxhash64("__text")
+    ).join(chosen, F.col("text_key") == F.col("__key")).select("__text", "text_key", "groups")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # copies of a text
+        for batch in batches:
+            held, many = [], 0
+            for i, own_key in enumerate(batch.column(1).to_pylist()):
+                if own_key in seen:
+                    continue
+                seen.add(own_key)
+                value = byte_values(batch.column(0).slice(i, 1))[0]
+                hashes = _part_hashes(shingles(value.lower().split(), shingle))
+                elements = _elements(hashes)
+                node, packed = _node(hashes, elements), elements.tobytes()
+                for number in batch.column(2)[i].as_py():
+                    held.append((number, node, packed))
+                    many += len(packed)
+                    if many > 1 << 23:
+                        yield _set_batch(held)
+                        held, many = [], 0
+            if held:
+                yield _set_batch(held)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, own = None, [], []
+        for batch in batches:
+            for number, name, packed in zip(
+                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            ):
+                if number != now:
+                    yield from _alike(names, own, similarity)
+                    now, names, own = number, [], []
+                if not names or names[-1] != name:
+                    names.append(name)
+                    own.append(np.frombuffer(packed, "<u8"))
+        yield from _alike(names, own, similarity)
+
+    sent = texts.mapInArrow(sets, "group long, fingerprint binary, elements binary")
+    return sent.repartition("group").sortWithinPartitions("group", "fingerprint").mapInArrow(
+        compare, "a binary, b binary"
+    ).distinct()
+
+
+def _set_batch(held: list) -> pa.RecordBatch:
+    numbers, nodes, packed = zip(*held)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(numbers, pa.int64()), pa.array(nodes, pa.binary()), pa.array(packed, pa.binary())],
+        ["group", "fingerprint", "elements"],
+    )
+
+
+def _alike(names: list[bytes], sets: list[np.ndarray], similarity: float) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the sets with a Jaccard similarity of ``similarity`` or more."""
+    if len(sets) < 2:
+        return
+    sizes = np.array([len(s) for s in sets])
+    distinct, places = np.unique(np.concatenate(sets), return_inverse=True)
+    places = np.split(places.astype(np.int32), np.cumsum(sizes)[:-1])
+    mark = np.zeros(len(distinct), np.int32)
+    one, two = [], []
+    waiting = np.arange(len(sets))
+    while len(waiting) > 1:
+        front, waiting = [int(waiting[0])], waiting[1:]
+        while front and len(waiting):
+            at = front.pop()
+            low, high = np.minimum(sizes[waiting], sizes[at]), np.maximum(sizes[waiting], sizes[at])
+            fits = waiting[low >= similarity * high - 1e-9]
+            if not len(fits):
+                continue
+            mark[places[at]] = 1
+            starts = np.concatenate(([0], np.cumsum(sizes[fits])[:-1]))
+            shared = np.add.reduceat(mark[np.concatenate([places[i] for i in fits])], starts)
+            mark[places[at]] = 0
+            near = shared >= similarity * (sizes[fits] + sizes[at] - shared) - 1e-9
+            reached = fits[near]
+            waiting = np.setdiff1d(waiting, reached, assume_unique=True)
+            one += [names[at]] * len(reached)
+            two += [names[i] for i in reached]
+            front.extend(reached.tolist())
+    if one:
+        yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array(two, pa.binary())], ["a", "b"])
+
+
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """``(a, b)`` between distinct fingerprints that connect everything within two bits.
 
@@ -358,8 +480,7 @@ def similar(
     similarity: float = 0.8, bucket: int = WIDE_BUCKET,
 ) -> DataFrame:
     """As ``near_duplicates``, with components of texts whose five-word shingles have a Jaccard
-    similarity of ``similarity`` or more, as far as prints of 256 bits tell: the expected number of
-    differing bits is the limit, so pairs close to the similarity fall on either side. Equal texts are
+    similarity of ``similarity`` or more. Every link is checked on the whole sets. Equal texts are
     always together. Candidates share a key; the README says how many pairs that finds.
     """
     prints = written(wide_prints(docs, key, text, shingle))
@@ -367,7 +488,8 @@ def similar(
         F.min(key).alias("least"), F.min("text_key").alias("text_key"), F.first("size").alias("size"),
         F.first("keys").alias("keys"),
     ))
-    found = wide_links(nodes, most_bits(similarity), bucket)
+    proposed = wide_links(nodes, proposed_bits(similarity), bucket)
+    found = verified_links(docs, proposed, nodes, text, shingle, similarity, bucket)
     return _named(prints, nodes.select("fingerprint", "least"), found, key)
 
 
