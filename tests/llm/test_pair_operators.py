@@ -54,6 +54,14 @@ def test_runs_cover_every_window_and_long_texts(monkeypatch):
     assert own <= set(anchors.tolist())
 
 
+@pytest.mark.parametrize("size", [999, 1000, 1001, 1900, 1901, 1902, 5000])
+def test_runs_visit_every_window_once(monkeypatch, size):
+    monkeypatch.setattr(repeats, "PIECE", 1000)
+    rng = random.Random(size)
+    _, starts, many = repeats.runs(bytes(rng.choice(b"abcd ") for _ in range(size)), 100)
+    assert [i for s, n in zip(starts, many) for i in range(s, s + n)] == list(range(size - 99))
+
+
 def check_repeats(df, length, crowd):
     found = rows(repeats.remove_repeats(df, length=length, crowd=crowd))
     texts = [(r["text"] or "").encode() for r in rows(df)]
@@ -65,6 +73,15 @@ def check_repeats(df, length, crowd):
     assert Counter((r["n_bytes"], bytes(r["kept"]), len(r["spans"])) for r in found) == expected
 
 
+def test_unique_text_of_several_pieces_is_kept(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choices("abcdefgh ", k=2 * repeats.PIECE + 5000))
+    df = spark.createDataFrame([(1, text), (2, text[5000:5100])], "doc_id long, text string")
+    check_repeats(df, 60, 2048)
+    found = {r["doc_id"]: r for r in rows(repeats.remove_repeats(df, length=60))}
+    assert [(x["start"], x["end"]) for x in found[1]["spans"]] == [(5000, 5100)]
+
+
 @pytest.mark.parametrize("crowd", [2048, 1])
 def test_repeats_of_odd_rows(odd_documents, crowd):
     check_repeats(odd_documents.where("doc_id is null or doc_id <> 6"), 40, crowd)

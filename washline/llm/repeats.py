@@ -55,7 +55,7 @@ def runs(text: bytes, length: int, powers=None) -> tuple[np.ndarray, np.ndarray,
     width = length - k + 1
     out = []
     up, down = powers or _powers(min(n, PIECE) + 1)
-    for at in range(0, n - length + 1, PIECE - length):
+    for at in range(0, n - length + 1, PIECE - length + 1):
         piece = np.frombuffer(text, np.uint8, min(PIECE, n - at), at).astype(np.uint64)
         if len(piece) < length:
             break
