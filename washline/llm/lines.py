@@ -27,34 +27,43 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate(
-    docs: DataFrame, host: str, text: str, ratio: float = RATIO, pages: int = PAGES
+    docs: DataFrame, host: str, text: str, ratio: float = RATIO, pages: int = PAGES, distinct: bool = False
 ) -> DataFrame:
     """``(host, line)`` for lines on more than ``ratio`` of the host's pages and on ``pages`` or more.
 
-    ``line`` is the struct of hashes. A null host is the site with the empty name.
+    ``line`` is the struct of hashes. A null host is the site with the empty name. With ``distinct`` the
+    rows of a host that have one text (by two hashes) are one page.
     """
     site = F.coalesce(F.col(f"`{host}`").cast("string"), F.lit(""))
     full = F.filter(F.transform(_lines(F.col(f"`{text}`")), lambda x: F.trim(x)), lambda x: x != "")
-    seen = docs.select(site.alias("host"), F.array_distinct(F.transform(full, _hash)).alias("lines"))
+    seen = docs.select(
+        site.alias("host"), _hash(F.col(f"`{text}`")).alias("page"),
+        F.array_distinct(F.transform(full, _hash)).alias("lines"),
+    )
+    if distinct:  # hashes only, and copies go on the map side
+        seen = written(seen.groupBy("host", "page").agg(F.first("lines").alias("lines")))
     counts = seen.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(
         F.count(F.lit(1)).alias("n")
     ).where(F.col("n") >= pages)
-    totals = docs.groupBy(site.alias("host")).agg(F.count(F.lit(1)).alias("total"))
+    totals = (seen if distinct else docs.select(site.alias("host"))).groupBy("host").agg(
+        F.count(F.lit(1)).alias("total")
+    )
     return counts.join(totals, "host").where(F.col("n") > F.col("total") * ratio).select("host", "line")
 
 
 def remove_boilerplate(
     docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO,
-    pages: int = PAGES,
+    pages: int = PAGES, distinct: bool = False,
 ) -> DataFrame:
     """All columns of ``docs`` with the boilerplate lines of its site taken out of ``text``, then
     ``n_lines`` and ``n_dropped`` (replacing columns of these names).
 
     Lines end at a line feed; they are compared without spaces at their ends, blank lines are never
     boilerplate. A null text stays null, with no lines; an empty text is one blank line. A text that
-    consists of boilerplate becomes empty. Repeated rows are pages of their own.
+    consists of boilerplate becomes empty. Repeated rows are pages of their own, or with ``distinct`` one
+    page for each text of a site.
     """
-    found = written(boilerplate(docs, host, text, ratio, pages))
+    found = written(boilerplate(docs, host, text, ratio, pages, distinct))
     sites = found.groupBy("host").agg(F.collect_list("line").alias("__drop")).withColumnRenamed(
         "host", "__host"
     )
