@@ -73,6 +73,50 @@ def test_license_keyword_is_in_every_match():
         assert licenses.scan(text.encode()) is not None
 
 
+def samples_of(tree):
+    """Texts that an expression matches: every branch, with and without every optional part."""
+    out = [""]
+    for kind, value in tree:
+        name = str(kind)
+        if name == "LITERAL":
+            own = [chr(value)]
+        elif name == "IN" and str(value[0][0]) != "NEGATE":
+            own = [
+                "7" if str(k) == "CATEGORY" else chr(v[0] if str(k) == "RANGE" else v) for k, v in value
+            ]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            once = samples_of(value[2])
+            own = [x * n for n in {value[0], min(value[0] + 1, value[1])} for x in once]
+        elif name == "SUBPATTERN":
+            own = samples_of(value[-1])
+        elif name == "BRANCH":
+            own = [x for branch in value[1] for x in samples_of(branch)]
+        else:
+            own = [""] if name.startswith("ASSERT") else ["x"]
+        out = [a + b for a in out for b in dict.fromkeys(own)]
+    return out
+
+
+def test_keywords_only_save_time(monkeypatch):
+    texts = []
+    for rule in licenses.rules():
+        own = samples_of(re._parser.parse(rule.pattern.pattern.decode()))
+        for text in own:
+            assert rule.pattern.fullmatch(text.encode())
+            assert any(word in text for word in rule.keywords), (rule.label, text)
+        texts += [own[i].encode() for i in {0, len(own) // 3, len(own) // 2, len(own) - 1}]
+    gated = [licenses.scan(text) for text in texts]
+
+    class Open:
+        def iter(self, text):
+            return [(0, word) for rule in licenses.rules() for word in rule.keywords]
+
+    monkeypatch.setattr(licenses, "_keywords", Open)
+    assert [licenses.scan(text) for text in texts] == gated
+    two = b"this work is attribution share alike and attribution non commercial"
+    assert {d.label for d in licenses.scan(two)[0]} == {"cc-by-sa", "cc-by-nc"}
+
+
 def test_suppression_is_containment_in_a_stronger_interval():
     rng = random.Random(3)
     strength = lambda d: (-d.priority, d.start - d.end, d.rule, d.start)

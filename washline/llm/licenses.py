@@ -1,8 +1,9 @@
 """License mentions by ordered signature rules.
 
 A text becomes its words (letters of ASCII lower-cased; digits; everything beyond ASCII), joined by single
-spaces. Each rule is a regular expression over that form with a label, a priority, a weight and a keyword;
-it is tried only on texts that contain its keyword. Detections are word intervals. One that lies inside
+spaces. Each rule is a regular expression over that form with a label, a priority, a weight and keywords
+(one, or several with commas), of which every match holds one; it is tried only on texts that contain
+one of them. Detections are word intervals. One that lies inside
 the interval of another detection is suppressed if the other has the higher priority, or the same
 priority and more words, or the same words and an earlier rule. Base phrases are always reported.
 """
@@ -33,7 +34,7 @@ BASE = {
 NOTICE, FILE_TAG, NAME, GENERIC = 40, 30, 20, 10  # priorities
 WEIGHTS = {NOTICE: 1.0, FILE_TAG: 1.0, NAME: 0.9, GENERIC: 0.5}
 
-# label; keyword of the name; regular expression of the name; tag in files; web address. In words: points,
+# label; keywords of the name; regular expression of the name; tag in files; web address. In words: points,
 # hyphens and slashes of the original are spaces here.
 FAMILIES = """
 0bsd | zero clause | (?:bsd zero clause|zero clause bsd) license | 0bsd | opensource org licenses 0bsd
@@ -44,7 +45,7 @@ apache-1.1 | apache | apache (?:software )?license(?: version| v)? ?1 1 | apache
 apache-2 | apache | apache (?:software )?license(?: version| v)? ?2(?: 0)? | apache 2 0 | apache org licenses license 2 0
 artistic-1 | artistic | artistic license(?: version| v)? 1(?: 0)? | artistic 1 0(?: perl)? | opensource org licenses artistic license 1 0
 artistic-2 | artistic | artistic license(?: version| v)? 2(?: 0)? | artistic 2 0 | opensource org licenses artistic license 2 0
-beerware | beer ware | beer ?ware license | beerware | people freebsd org phk
+beerware | ware license | beer ?ware license | beerware | people freebsd org phk
 bsd-2 | bsd | (?:2 clause bsd|bsd 2 clause|simplified bsd|freebsd) license | bsd 2 clause | opensource org licenses bsd 2 clause
 bsd-3 | bsd | (?:3 clause bsd|bsd 3 clause|new bsd|modified bsd|revised bsd) license | bsd 3 clause | opensource org licenses bsd 3 clause
 bsd-4 | bsd | (?:4 clause bsd|bsd 4 clause|original bsd) license | bsd 4 clause | spdx org licenses bsd 4 clause
@@ -59,13 +60,13 @@ cc-by-4 | attribution | creative commons attribution(?: license)? 4 0 | cc by 4
 cc-by-sa-2 | sharealike | creative commons attribution sharealike(?: license)? 2 [05] | cc by sa 2 [05] | creativecommons org licenses by sa 2 [05]
 cc-by-sa-3 | sharealike | creative commons attribution sharealike(?: license)? 3 0 | cc by sa 3 0 | creativecommons org licenses by sa 3 0
 cc-by-sa-4 | sharealike | creative commons attribution sharealike(?: license)? 4 0 | cc by sa 4 0 | creativecommons org licenses by sa 4 0
-cc-by-sa | sharealike | (?:creative commons )?attribution share ?alike | cc by sa | creativecommons org licenses by sa
+cc-by-sa | attribution share | (?:creative commons )?attribution share ?alike | cc by sa | creativecommons org licenses by sa
 cc-by-nc-4 | noncommercial | creative commons attribution noncommercial(?: license)? 4 0 | cc by nc 4 0 | creativecommons org licenses by nc 4 0
-cc-by-nc | noncommercial | (?:creative commons )?attribution non ?commercial | cc by nc | creativecommons org licenses by nc
+cc-by-nc | attribution non | (?:creative commons )?attribution non ?commercial | cc by nc | creativecommons org licenses by nc
 cc-by-nc-sa-4 | noncommercial | creative commons attribution noncommercial sharealike(?: license)? 4 0 | cc by nc sa 4 0 | creativecommons org licenses by nc sa 4 0
-cc-by-nc-sa | noncommercial | (?:creative commons )?attribution non ?commercial share ?alike | cc by nc sa | creativecommons org licenses by nc sa
+cc-by-nc-sa | attribution non | (?:creative commons )?attribution non ?commercial share ?alike | cc by nc sa | creativecommons org licenses by nc sa
 cc-by-nc-nd-4 | noncommercial | creative commons attribution noncommercial noderiv(?:ative)?s(?: license)? 4 0 | cc by nc nd 4 0 | creativecommons org licenses by nc nd 4 0
-cc-by-nc-nd | noncommercial | (?:creative commons )?attribution non ?commercial no ?deriv(?:ative)?s | cc by nc nd | creativecommons org licenses by nc nd
+cc-by-nc-nd | attribution non | (?:creative commons )?attribution non ?commercial no ?deriv(?:ative)?s | cc by nc nd | creativecommons org licenses by nc nd
 cc-by-nd-4 | noderiv | creative commons attribution noderiv(?:ative)?s(?: license)? 4 0 | cc by nd 4 0 | creativecommons org licenses by nd 4 0
 cc-by-nd | deriv | (?:creative commons )?attribution no ?deriv(?:ative)?s | cc by nd | creativecommons org licenses by nd
 cc0 | cc0 | cc0(?: 1 0)?(?: universal)?(?: public domain dedication)? | cc0 1 0 | creativecommons org publicdomain zero 1 0
@@ -92,7 +93,7 @@ isc | isc license | isc license | isc | opensource org licenses isc
 lgpl-2 | library general | gnu library general public license(?: version| v)? ?2(?: 0)? | lgpl 2 0(?: only| or later)? | gnu org licenses old licenses lgpl 2 0
 lgpl-2.1 | lesser general | gnu lesser general public license(?: as published by the free software foundation)?(?: either)?(?: version| v) ?2 1 | lgpl 2 1(?: only| or later)? | gnu org licenses old licenses lgpl 2 1
 lgpl-3 | lesser general | gnu lesser general public license(?: as published by the free software foundation)?(?: either)?(?: version| v) ?3(?: 0)? | lgpl 3 0(?: only| or later)? | gnu org licenses lgpl 3 0
-lgpl | lesser general | gnu (?:lesser|library) general public license | lgpl | gnu org licenses lgpl
+lgpl | general public | gnu (?:lesser|library) general public license | lgpl | gnu org licenses lgpl
 lppl-1.3 | latex project | latex project public license(?: version| v)? ?1 3[abc]? | lppl 1 3[abc]? | latex project org lppl
 mit-0 | mit no | mit no attribution(?: license)? | mit 0 | github com aws mit 0
 mit-x11 | x11 | (?:mit x11|x11 mit|x11) license | x11 | xfree86 org 3 3 6 copyright2
@@ -114,19 +115,19 @@ polyform | polyform | polyform (?:noncommercial|small business|shield|strict) li
 postgresql | postgresql | postgresql licen[cs]e | postgresql | postgresql org about licence
 psf-2 | python software | python software foundation license(?: version| v)?(?: ?2)? | psf 2 0 | docs python org license
 qpl-1 | q public | q public license(?: version| v)?(?: ?1 0)? | qpl 1 0 | opensource org licenses qtpl
-rail | openrail | (?:bigscience |creativeml )?open ?rail(?: [ms])? license | openrail | huggingface co spaces license
+rail | rail | (?:bigscience |creativeml )?open ?rail(?: [ms])? license | openrail | huggingface co spaces license
 ruby | ruby license | ruby license | ruby | ruby lang org en about license
 sspl-1 | server side | server side public license(?: version| v)?(?: ?1)? | sspl 1 0 | mongodb com licensing server side public license
 unicode | unicode license | unicode license(?: agreement)? | unicode (?:dfs 201[56]|3 0) | unicode org license
 unlicense | unlicense | (?:the )?unlicense | unlicense | unlicense org
 upl-1 | universal permissive | universal permissive license(?: version| v)?(?: ?1 0)? | upl 1 0 | oss oracle com licenses upl
 w3c | w3c | w3c software(?: notice)?(?: and)?(?: document)? license | w3c | w3 org consortium legal
-wtfpl | wtfpl | (?:do what the fuck you want to public license|wtfpl) | wtfpl | wtfpl net
+wtfpl | wtfpl, what the fuck | (?:do what the fuck you want to public license|wtfpl) | wtfpl | wtfpl net
 zlib | zlib | zlib(?: libpng)? license | zlib | zlib net zlib license
 zpl-2 | zope | zope public license(?: version| v)? ?2 [01] | zpl 2 [01] | zope org resources license
 """.strip().splitlines()
 
-# label; priority; keyword; expression: sentences of license texts and notices
+# label; priority; keywords; expression: sentences of license texts and notices
 SENTENCES = """
 mit | 40 | free of charge | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
 mit | 40 | sublicense | without restriction including without limitation the rights to use copy modify merge publish distribute sublicense
@@ -135,12 +136,12 @@ mit | 20 | licensed under | licensed under (?:the )?mit
 isc | 40 | with or without fee | permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee
 bsd | 40 | redistribution | redistribution and use in source and binary forms with or without modification are permitted
 bsd-3 | 40 | endorse | neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products
-bsd-4 | 40 | acknowledgement | all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment
+bsd-4 | 40 | acknowledg | all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment
 apache-2 | 40 | apache | licensed under the apache license version 2 0 the license
 apache-2 | 40 | compliance | you may not use this file except in compliance with the license
 apache | 20 | apache | (?:under|by|of|the) apache (?:software )?licen[cs]e
 gpl | 40 | redistribute | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license
-gpl | 20 | gnu | (?:gnu )?gpl(?: v ?\\d| version \\d)?
+gpl | 20 | gpl | (?:gnu )?gpl(?: v ?\\d| version \\d)?
 gpl-2 | 20 | gpl | gpl ?v ?2(?: 0)?
 gpl-3 | 20 | gpl | gpl ?v ?3(?: 0)?
 lgpl | 20 | lgpl | lgpl(?: ?v ?\\d)?
@@ -148,7 +149,7 @@ agpl-3 | 20 | agpl | agpl ?v ?3(?: 0)?
 mpl-2 | 40 | mozilla | this source code form is subject to the terms of the mozilla public license
 epl-2 | 40 | eclipse | this program and the accompanying materials are made available under the terms of the eclipse public license
 unlicense | 40 | public domain | this is free and unencumbered software released into the public domain
-cc0 | 40 | public domain | (?:waived|waives) all copyright and related or neighboring rights
+cc0 | 40 | neighboring rights | (?:waived|waives) all copyright and related or neighboring rights
 zlib | 40 | warranty | this software is provided as is without any express or implied warranty in no event will the authors be held liable
 bsl-1 | 40 | boost | distributed under the boost software license
 ofl-1.1 | 40 | font | this font software is licensed under the sil open font license
@@ -158,10 +159,10 @@ public-domain | 10 | public domain | (?:is|are) in the public domain
 proprietary | 10 | all rights reserved | (?:copyright )?(?:c )?(?:\\d{4} )?(?:[^ ]+ ){0,6}?all rights reserved
 proprietary | 10 | proprietary | proprietary and confidential
 creative-commons | 10 | creative commons | (?:under a |under the )?creative commons (?:licen[cs]e|licensed)
-unknown-license | 10 | license | licensed under (?:the )?(?:terms of )?(?:the )?(?:[^ ]+ ){0,5}?licen[cs]e
-unknown-license | 10 | license | (?:released|distributed|available|published|provided) under (?:the )?(?:[^ ]+ ){0,5}?licen[cs]e
-unknown-license | 10 | license | subject to the (?:terms of the )?(?:[^ ]+ ){0,5}?licen[cs]e
-unknown-license | 10 | license | see (?:the )?license (?:file|txt|md) for (?:more )?(?:details|information|terms)
+unknown-license | 10 | licen | licensed under (?:the )?(?:terms of )?(?:the )?(?:[^ ]+ ){0,5}?licen[cs]e
+unknown-license | 10 | licen | (?:released|distributed|available|published|provided) under (?:the )?(?:[^ ]+ ){0,5}?licen[cs]e
+unknown-license | 10 | licen | subject to the (?:terms of the )?(?:[^ ]+ ){0,5}?licen[cs]e
+unknown-license | 10 | licen | see (?:the )?license (?:file|txt|md) for (?:more )?(?:details|information|terms)
 unknown-license | 10 | licence | (?:released|distributed|available|published|licensed) under (?:the )?(?:[^ ]+ ){0,5}?licence
 """.strip().splitlines()
 
@@ -173,6 +174,10 @@ class Rule:
     keyword: str
     pattern: re.Pattern[bytes]
 
+    @property
+    def keywords(self) -> list[str]:
+        return self.keyword.split(", ")
+
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
@@ -191,7 +196,7 @@ def rules() -> tuple[Rule, ...]:
         add(label, NAME, keyword, rf"(?:the )?{name}")
         add(label, NOTICE, keyword,
             rf"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?{name}")
-        add(label, NAME, "license", rf"licen[cs]e (?:is )?{tag}")
+        add(label, NAME, "licen", rf"licen[cs]e (?:is )?{tag}")
     for line in SENTENCES:
         label, priority, keyword, expression = (part.strip().replace("\\\\", "\\") for part in line.split(" | "))
         add(label, int(priority), keyword, expression)
@@ -203,7 +208,8 @@ def _keywords() -> ahocorasick.Automaton:
     """All keywords in one automaton: a text is read once, whatever the number of rules."""
     automaton = ahocorasick.Automaton()
     for rule in rules():
-        automaton.add_word(rule.keyword, rule.keyword)
+        for word in rule.keywords:
+            automaton.add_word(word, word)
     automaton.make_automaton()
     return automaton
 
@@ -242,7 +248,7 @@ def scan(joined: bytes) -> tuple[list[Detection], list[tuple[int, str]]]:
     spans = []
     present = {word for _, word in _keywords().iter(joined.decode("latin-1"))}
     for number, rule in enumerate(rules()) if present else ():
-        if rule.keyword in present:
+        if not present.isdisjoint(rule.keywords):
             spans += [(number, *m.span()) for m in rule.pattern.finditer(joined)]
     if not base and not spans:
         return [], []
