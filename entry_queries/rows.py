@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from washline.operators import rows
 
 from .common import big, derived, derived_sql, query, r, rounded, table
@@ -13,6 +15,26 @@ def deduplicate_whole_rows(spark, sf):
     return rows.deduplicate(copies).selectExpr("md5(text) AS text_md5", "lang")
 
 
+@query("deduplicate_nested_times", """
+SELECT DISTINCT user_id % 10 AS u, event_type, epoch_us(date_trunc('day', ts)) AS day,
+    epoch_us(date_trunc('day', ts)) + event_id % 3 AS later, CAST(2 AS INTEGER) AS entries FROM events""")
+def deduplicate_nested_times(spark, sf):
+    """Instants a microsecond apart inside arrays and structs; maps with their entries in either order."""
+    day = F.unix_micros(F.date_trunc("DAY", "ts"))
+    a, b = [F.lit("a"), F.lit(1)], [F.lit("b"), F.lit(2)]
+    nested = table(spark, sf, "events").select(
+        (F.col("user_id") % 10).alias("u"),
+        F.struct("event_type", F.array(
+            F.timestamp_micros(day), F.timestamp_micros(day + F.col("event_id") % 3)
+        ).alias("times")).alias("what"),
+        F.when(F.col("event_id") % 2 == 0, F.create_map(*a, *b)).otherwise(F.create_map(*b, *a)).alias("marks"),
+    )
+    return rows.deduplicate(nested).select(
+        "u", "what.event_type", F.unix_micros(F.get("what.times", F.lit(0))).alias("day"),
+        F.unix_micros(F.get("what.times", F.lit(1))).alias("later"), F.size("marks").alias("entries"),
+    )
+
+
 def kept_sql(source: str, columns: str, keys: str, order: str) -> str:
     return (
         f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn "

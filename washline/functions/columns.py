@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rowkey import digest, value_key
+
 ROLE = "role"  # StructField.metadata key; values "label" and "onehot"
 TIDY = "tidy"  # StructField.metadata key: NaN is already NULL in this column
 LONG = 64  # texts above this many characters are counted by digest
@@ -107,8 +109,8 @@ def distinct_key(df: DataFrame, name: str) -> Column:
     Comparing long texts and nested values then sorts and shuffles digests, not the values.
     """
     dtype = field(df, name).dataType
-    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        return F.sha2(F.to_json(col(name)), 256)
+    if not is_scalar(dtype):
+        return F.sha2(value_key(col(name), dtype).cast("binary"), 256)
     c = present(df, name)
     if isinstance(dtype, T.StringType):
         return F.when(F.length(c) > LONG, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c)
@@ -118,15 +120,11 @@ def distinct_key(df: DataFrame, name: str) -> Column:
 def row_digest(df: DataFrame, keys: Iterable[str]) -> Column:
     """256 bits equal exactly when the keys are: whole rows are never hashed, sorted or shuffled as
     keys, and maps and missing values compare as well."""
-    def text(name: str) -> Column:
-        key = distinct_key(df, name)
-        if is_floating(field(df, name).dataType):
-            key = key + F.lit(0.0).cast(field(df, name).dataType)  # a negative zero is a zero
-        return key.cast("string")
-
-    parts = [F.coalesce(F.concat(F.lit("="), text(k)), F.lit("-")) for k in keys]
-    sized = [F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]
-    return F.sha2(F.concat(*sized).cast("binary"), 256)
+    def key(name: str) -> Column:
+        c, dtype = distinct_key(df, name), field(df, name).dataType
+        return value_key(c, dtype) if is_scalar(dtype) else c
+
+    return digest([key(name) for name in keys])
 
 
 def no_value(dtype: str) -> Column:
