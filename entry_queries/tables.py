@@ -34,6 +34,20 @@ def csv_round_trip_documents(spark, sf):
         "lang", "source", "n_chars"))
 
 
+@query("csv_crlf_documents", f"SELECT {big('doc_id')} AS doc_id, md5(text || chr(13) || chr(10) || source) AS digest, "
+       f"lang, {big('n_chars')} AS n_chars FROM documents")
+def csv_crlf_documents(spark, sf):
+    """Lines that end in carriage return and line feed, as well as such breaks inside quotes."""
+    path = scratch(spark) + "/documents.csv"
+    quoted = F.concat(F.lit('"'), F.replace(F.concat("text", F.lit("\r\n"), "source"), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", "doc_id", quoted, "lang", F.concat("n_chars", F.lit("\r")))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within its file
+    header = F.when(place == 0, F.lit("doc_id,text,lang,n_chars\r\n")).otherwise("")
+    table(spark, sf, "documents").select(F.concat(header, line)).write.text(path)
+    back = io.read_table(spark, path)
+    return rounded(back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "lang", "n_chars"))
+
+
 @query("json_round_trip", f"SELECT {big('o_orderkey')} AS o_orderkey, "
        f"{big('o_custkey')} AS o_custkey, o_orderstatus, o_orderpriority, "
        f"{r('o_totalprice')} AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate "

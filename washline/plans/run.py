@@ -239,11 +239,13 @@ def clean(
     format: str | None = None,
     checkpoint: bool = False,
     approx: bool = False,
+    read: dict | None = None,
 ) -> CleanResult:
-    """From a file to a cleaned table: read, profile, plan, run, describe, compare, save."""
+    """From a file to a cleaned table: read, profile, plan, run, describe, compare, save. ``read`` holds
+    options of ``read_table``: ``schema``, ``json_lines``, ``sampling_ratio``, ``multiline``."""
     format = format or detect_format(path)
     return clean_table(
-        read_table(spark, path, format), plan, output, format, on_error, lemmas, length_guard,
+        read_table(spark, path, format, **(read or {})), plan, output, format, on_error, lemmas, length_guard,
         checkpoint, approx,
     )
 

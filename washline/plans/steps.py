@@ -100,7 +100,8 @@ def _fit_datetime(df, names, p):
 
 def _fit_encode(df, names, p):
     return encode.fit_encode(
-        df, names, p.get("strategy", "onehot"), _flag(p.get("keep_original", False))
+        df, names, p.get("strategy", "onehot"), _flag(p.get("keep_original", False)),
+        max_categories=int(p.get("max_categories", encode.MAX_ONE_HOT)),
     )
 
 

@@ -14,17 +14,18 @@ from pyspark.sql import types as T
 
 from ..functions.columns import col, replace_columns
 from ..operators.fit import scalars
+from .csvlines import read_csv
 
 FORMATS = ("csv", "json", "parquet")
 PREVIEW_ROWS = 10_000
 # Doubled quotes inside quotes, spaces kept. A missing value is an empty field and an empty text two
 # quotes; a reader tells them apart only if its mark for missing values occurs in no text.
 CSV = {
-    "header": True, "quote": '"', "escape": '"', "lineSep": "\n",
+    "header": True, "quote": '"', "escape": '"',
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
 CSV_READ = {**CSV, "nullValue": "\ue000missing\ue000", "emptyValue": ""}
-CSV_WRITE = {**CSV, "nullValue": "", "emptyValue": '""'}
+CSV_WRITE = {**CSV, "lineSep": "\n", "nullValue": "", "emptyValue": '""'}
 
 
 def detect_format(path: str) -> str:
@@ -48,8 +49,9 @@ def read_table(
     ``sampling_ratio`` of it) unless a schema is given.
 
     CSV may hold line breaks and doubled quotes inside quotes; an empty field is missing and ``""``
-    is an empty text. A file with line breaks inside fields cannot be split, so each file is one task;
-    ``multiline=False`` splits large files whose fields have none.
+    is an empty text. Lines end in a line feed, with or without a carriage return before it. Large files
+    are read in parts either way; where no field holds a line break, ``multiline=False`` saves the scan
+    that finds out where records begin.
 
     JSON is one record per line (splittable) or one array of records; None looks at the first
     character of the data.
@@ -61,10 +63,10 @@ def read_table(
     if sampling_ratio is not None:
         reader = reader.option("samplingRatio", sampling_ratio)
     if format == "csv":
-        return (
-            reader.options(**CSV_READ).option("inferSchema", schema is None)
-            .option("multiLine", multiline).csv(path)
-        )
+        if multiline:
+            known = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+            return read_csv(spark, path, CSV_READ, known, sampling_ratio)
+        return reader.options(**CSV_READ).option("inferSchema", schema is None).csv(path)
     if format == "json":
         if json_lines is None:
             json_lines = _starts_like_lines(spark, path)
