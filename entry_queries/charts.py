@@ -34,6 +34,21 @@ def histogram_lineitem(spark, sf):
     return rounded(charts.histogram(table(spark, sf, "lineitem"), LINEITEM))
 
 
+@query("histogram_infinite_events", f"""
+WITH t AS ({derived_sql('infinite_events')}),
+v AS (SELECT value, CASE WHEN isfinite(value) THEN value END AS f FROM t WHERE value IS NOT NULL AND NOT isnan(value)),
+b AS (SELECT min(f) AS lo, max(f) AS hi FROM v),
+p AS (SELECT lo, hi, value, CASE WHEN f IS NULL THEN CASE WHEN value < 0 THEN 0 ELSE 31 END
+  ELSE least(floor((f - lo) / (hi - lo) * 30) + 1, 30) END AS bin FROM v, b)
+SELECT 'value' AS "column", {big('bin')} AS bin,
+CASE WHEN bin IN (0, 31) THEN any_value(value) ELSE {r('any_value(lo) + (bin - 1) * ((any_value(hi) - any_value(lo)) / 30)')} END AS low,
+CASE WHEN bin IN (0, 31) THEN any_value(value) ELSE {r('any_value(lo) + bin * ((any_value(hi) - any_value(lo)) / 30)')} END AS high,
+count(*) AS n FROM p GROUP BY bin""")
+def histogram_infinite_events(spark, sf):
+    """Infinities in bins of their own; NaN is missing."""
+    return rounded(charts.histogram(derived(spark, sf, "infinite_events"), "value"))
+
+
 def box_sql(source: str, names: list[str]) -> str:
     def one(n):
         inside = f"{n} >= q1 - 1.5 * (q3 - q1) AND {n} <= q3 + 1.5 * (q3 - q1)"

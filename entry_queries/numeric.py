@@ -233,6 +233,17 @@ def reduce_skewness_leaves_even_columns(spark, sf):
     return rounded(lineitem_keys(numeric.handle_skewness(derived(spark, sf, "dirty_lineitem"), NUMBERS)))
 
 
+@query("skewness_on_new_rows", f"""
+WITH t AS ({derived_sql('skewed_events')}), f AS (SELECT min(shifted) AS lo, min(squared) AS least FROM t WHERE event_id % 2 = 0 AND value > 20)
+SELECT {big('event_id')} AS event_id, {r('ln(1 + (greatest(shifted, lo) - lo + 1))')} AS shifted,
+{r('ln(1 + greatest(squared, least))')} AS squared FROM t, f""")
+def skewness_on_new_rows(spark, sf):
+    """Fitted on some rows, applied to all: values below the fitted minimum count as the minimum."""
+    events = derived(spark, sf, "skewed_events").select("event_id", "value", "shifted", "squared")
+    params = numeric.fit_skewness(events.where("event_id % 2 = 0 AND value > 20"), ["shifted", "squared"])
+    return rounded(numeric.apply_skewness(events.drop("value"), params))
+
+
 _AT = "try_strptime(o_orderdate, '%Y-%m-%d %H:%M:%S')"
 
 

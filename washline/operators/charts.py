@@ -27,31 +27,41 @@ CHART_COLUMNS = 10
 MISSING_LABEL = "<NULL>"
 RUN_TOGETHER = 100
 GRID = 99
+BOX = (
+    "column string, q1 double, median double, q3 double, whisker_low double, whisker_high double, outliers bigint"
+)
 
 
 def histogram(df: DataFrame, column=None, bins: int = BINS) -> DataFrame:
-    """``(column, bin, low, high, n)``: equal-width bins between minimum and maximum, the last
-    one closed; a column with one value has one bin. Empty bins have no row."""
+    """``(column, bin, low, high, n)``: equal-width bins between the least and the largest finite value,
+    the last one closed; a column with one value has one bin. Empty bins have no row. Infinities are
+    counted in bins of their own, 0 below and ``bins + 1`` above, whose bounds they are."""
     names = targets(df, column, numeric_columns(df))
     df = tidy(df, names)
-    wanted = {(n, "min"): F.min(number(df, n)) for n in names}
-    wanted |= {(n, "max"): F.max(number(df, n)) for n in names}
-    seen = scalars(df, wanted)
+    infinite = {n: F.abs(number(df, n)) == float("inf") for n in names}
+    finite = {n: F.when(~infinite[n], number(df, n)) for n in names}
+    seen = scalars(df, {(n, k): f(finite[n]) for n in names for k, f in (("min", F.min), ("max", F.max))})
     cells = []
     for n in names:
         low, high = seen[n, "min"], seen[n, "max"]
-        if low is None:
-            continue
         v = number(df, n)
-        if low == high:
+        if low is None:
+            low, place, width = 0.0, F.lit(1), 0.0
+        elif low == high:
             place, width = F.lit(1), 0.0
         else:
-            share = (v - F.lit(low)) / F.lit(high - low)
-            place, width = F.least(F.floor(share * bins) + 1, F.lit(bins)), (high - low) / bins
+            half = high / 2 - low / 2  # the whole difference may be beyond a double
+            share = (finite[n] / 2 - F.lit(low / 2)) / F.lit(half) if half * 2 == float("inf") \
+                else (finite[n] - F.lit(low)) / F.lit(high - low)
+            place, width = F.least(F.floor(share * bins) + 1, F.lit(bins)), half / bins * 2
+        place = F.when(infinite[n], F.when(v < 0, 0).otherwise(bins + 1)).otherwise(place)
         cells.append(F.when(v.isNotNull(), F.struct(
             F.lit(n).alias("column"), place.cast("int").alias("bin"),
-            F.lit(low).alias("__low"), F.lit(width).alias("__width"),
+            F.when(infinite[n], v).otherwise(F.lit(low)).alias("__low"),
+            F.when(infinite[n], 0.0).otherwise(F.lit(width)).alias("__width"),
         )))
+    if not cells:
+        return df.sparkSession.createDataFrame([], "column string, bin int, low double, high double, n long")
     return (
         df.select(F.inline(F.array_compact(F.array(*cells))))
         .groupBy("column", "bin", "__low", "__width").agg(F.count(F.lit(1)).alias("n"))
@@ -65,10 +75,13 @@ def histogram(df: DataFrame, column=None, bins: int = BINS) -> DataFrame:
 
 
 def box_plot(df: DataFrame, column=None, approx: bool = False) -> DataFrame:
-    """Quartiles, whiskers at the furthest values inside the fences, outliers beyond them."""
+    """Quartiles, whiskers at the furthest values inside the fences, outliers beyond them. Columns without
+    values have no row."""
     names = targets(df, column, numeric_columns(df))
     q = quantiles(df, {n: [0.25, 0.5, 0.75] for n in names}, approx=approx)
     names = [n for n in names if q[n][0.5] is not None]
+    if not names:
+        return df.sparkSession.createDataFrame([], BOX)
 
     def measures(values: DataFrame, n: str) -> dict[str, Column]:
         low, high = fences(q[n][0.25], q[n][0.75])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import (
     LONG, col, distinct_key, field, is_scalar, present, string_columns,
 )
+from . import frequent
 from .fit import scalars
+from .frequent import text_key
 
 MAP_SIDE_LIMIT = 1000  # the row-number limit that Spark pushes before a shuffle
 PARTS = 64
@@ -27,16 +30,19 @@ def slots(df: DataFrame, names: list[str], by_digest: bool = False) -> tuple[lis
 
 
 def value_counts(
-    df: DataFrame, names: list[str], with_missing: bool = False, by_digest: bool = False
+    df: DataFrame, names: list[str], with_missing: bool = False, by_digest: bool = False,
+    layout: list[str] | None = None, wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Columns ``column``, ``n`` and ``v0 .. vk``, one for each type: a row per column and value.
 
     ``v<i>`` holds the value on the rows of columns of the i-th type (``slots``) and is NULL
     elsewhere; with ``by_digest`` it holds the ``distinct_key``, so that long texts are not shuffled.
     Each row of the table becomes one narrow row per column; values are counted on the map side first,
-    so a value that fills most of the table sends one row per task.
+    so a value that fills most of the table sends one row per task. ``layout`` are the columns that the
+    types are those of, if more than ``names``; ``wanted`` is a short list of ``(column, key)``, as
+    ``key_cells`` names them, that leaves out all other values.
     """
-    types, place = slots(df, names, by_digest)
+    types, place = slots(df, layout or names, by_digest)
     value = distinct_key if by_digest else present
     cells = []
     for n in names:
@@ -44,12 +50,21 @@ def value_counts(
         typed = [
             (key if i == place[n] else F.lit(None).cast(t)).alias(f"v{i}") for i, t in enumerate(types)
         ]
-        cell = F.struct(F.lit(n).alias("column"), *typed)
+        named = [] if wanted is None else [F.coalesce(text_key(df, n), F.lit("-")).alias("key")]
+        cell = F.struct(F.lit(n).alias("column"), *typed, *named)
         cells.append(cell if with_missing else F.when(key.isNotNull(), cell))
     pairs = F.array(*cells) if with_missing else F.array_compact(F.array(*cells))
-    return df.select(F.inline(pairs)).groupBy("column", *[f"v{i}" for i in range(len(types))]).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    rows = df.select(F.inline(pairs))
+    if wanted is not None:
+        rows = rows.join(F.broadcast(wanted), ["column", "key"], "left_semi")
+    return rows.groupBy("column", *[f"v{i}" for i in range(len(types))]).agg(F.count(F.lit(1)).alias("n"))
+
+
+def key_cells(df: DataFrame, names: list[str], with_missing: bool) -> DataFrame:
+    """``(column, key)``: a row for every value of the columns, missing ones as ``-`` if they count."""
+    keys = {n: F.coalesce(text_key(df, n), F.lit("-")) if with_missing else text_key(df, n) for n in names}
+    cells = [F.when(k.isNotNull(), F.struct(F.lit(n).alias("column"), k.alias("key"))) for n, k in keys.items()]
+    return df.select(F.inline(F.array_compact(F.array(*cells))))
 
 
 def slot_columns(counted: DataFrame) -> list[str]:
@@ -108,8 +123,19 @@ def value_text(counted: DataFrame) -> Column:
 def top_counts(
     df: DataFrame, names: list[str], k: int, with_missing: bool = False, by_digest: bool = False
 ) -> DataFrame:
-    """The ``k`` most frequent values per column with ``rank``; ties go to the smaller value."""
-    counted = value_counts(df, names, with_missing, by_digest)
+    """The ``k`` most frequent values per column with ``rank``; ties go to the smaller value.
+
+    On large tables summaries name the few values that can be among them (``frequent``); only columns
+    without frequent values, or with few distinct ones, have all of them counted.
+    """
+    sure, wanted = set(), None
+    if names and df.count() > frequent.SMALL_ROWS:
+        sure, wanted = frequent.candidates(key_cells(df, names, with_missing), k)
+    even = [n for n in names if n not in sure]
+    parts = [value_counts(df, even, with_missing, by_digest, names)] if even or not sure else []
+    if sure:
+        parts.append(value_counts(df, [n for n in names if n in sure], with_missing, by_digest, names, wanted))
+    counted = reduce(DataFrame.unionByName, parts)
     order = [F.desc("n"), *[F.col(c).asc_nulls_last() for c in slot_columns(counted)]]
     return ranked(counted, ["column"], order, k)
 

@@ -78,13 +78,15 @@ def fit_skewness(df: DataFrame, column=None, threshold: float = SKEW_THRESHOLD)
     for n in names:
         if seen[n, "skew"] is not None and abs(seen[n, "skew"]) > threshold:
             low = seen[n, "min"]
-            params[n] = {"skew": seen[n, "skew"], "shift": None if low > 0 else low}
+            params[n] = {"skew": seen[n, "skew"], "low": low, "shift": None if low > 0 else low}
     return params
 
 
 def apply_skewness(df: DataFrame, params: dict[str, dict[str, Any]]) -> DataFrame:
+    """On other rows than those of the fit, values below the fitted minimum count as the minimum."""
     def logged(name: str) -> Column:
-        shift, value = params[name]["shift"], number(df, name)
+        shift, low, value = params[name]["shift"], F.lit(params[name]["low"]), number(df, name)
+        value = F.when(value < low, low).otherwise(value)
         return F.log1p(value) if shift is None else F.log1p(value - F.lit(shift) + 1)
 
     return replace_columns(df, {n: logged(n) for n in params if n in df.columns})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.columns import no_value, number, numeric_columns, string_column
 from ..functions.stats import kurtosis, skewness
 from .counts import distinct_counts
 from .fit import scalars
+from .frequent import distinct_at_least
 from .numeric import fences
 from .profile import overview, statistics
 from .quantiles import quantiles
@@ -82,7 +85,10 @@ def recommendations(df: DataFrame, approx: bool = False) -> DataFrame:
         n: F.count_if((number(values, n) < F.lit(low)) | (number(values, n) > F.lit(high)))
         for n, (low, high) in limits.items()
     })
-    distinct = distinct_counts(df, strings, approx)
+    high = distinct_at_least(
+        df, strings, {n: rows * HIGH_CARDINALITY for n in strings}, partial(distinct_counts, approx=approx)
+    )
+    distinct = distinct_counts(df, high, approx)
     found = [
         ("high_cardinality", n, d / rows) for n, d in distinct.items() if d > rows * HIGH_CARDINALITY
     ]

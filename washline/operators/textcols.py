@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -100,23 +102,35 @@ def lemmatize(
     """Replace each whitespace token by its lemma; tokens without one stay as they are. Of several
     lemmas of a word the smallest counts.
 
-    A table of at most ``max_broadcast`` rows is broadcast and rows never move: a dictionary look-up in
-    Arrow batches, as Spark's own map look-up is a linear search. A larger one is joined token by token.
+    A table of at most ``max_broadcast`` rows is broadcast and rows never move: tokens are cut and joined by
+    Spark, and each distinct word of an Arrow batch is looked up once, as Spark's own map look-up is a
+    linear search. A larger table is joined token by token.
     """
     if not text_columns(df, column, gate):
         return df
     table = _small_table(lemmas, max_broadcast)
     if table is None:
         return _joined_lemmas(df, text.tokens(col(column)), lemmas, column, as_text=True)
-    shared = df.sparkSession.sparkContext.broadcast(table)
+    look_up = _look_up(df.sparkSession, table)
+    return replace_columns(df, {column: F.array_join(look_up(text.tokens(col(column))), " ")})
 
-    @F.pandas_udf("string")
-    def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def _look_up(spark: SparkSession, table: dict[str, str]):
+    """A function of token arrays whose only Python work is a look-up for each distinct word of a batch."""
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.arrow_udf("array<string>")
+    def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         get = shared.value.get
-        for batch in batches:  # str.split() is the whitespace rule of text.tokens
-            yield batch.map(lambda t: None if t is None else " ".join([get(w, w) for w in t.split()]))
+        for tokens in batches:
+            coded = tokens.flatten().dictionary_encode()
+            lemmas = pa.array([get(w, w) for w in coded.dictionary.to_pylist()], pa.string())
+            many = np.append(0, pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).cumsum())
+            yield pa.ListArray.from_arrays(
+                pa.array(many, pa.int32()), lemmas.take(coded.indices), mask=tokens.is_null()
+            )
 
-    return replace_columns(df, {column: look_up(col(column))})
+    return look_up
 
 
 def lemmatize_words(
@@ -127,15 +141,7 @@ def lemmatize_words(
     table = _small_table(lemmas, max_broadcast)
     if table is None:
         return _joined_lemmas(df, col(tokens_col), lemmas, output_col, as_text=False)
-    shared = df.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("array<string>")
-    def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        get = shared.value.get
-        for batch in batches:
-            yield batch.map(lambda ws: None if ws is None else [get(w, w) for w in ws])
-
-    return df.withColumn(output_col, look_up(col(tokens_col)))
+    return df.withColumn(output_col, _look_up(df.sparkSession, table)(col(tokens_col)))
 
 
 def _changing(lemmas: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from . import frequent
 from .textcols import text_columns
 
 # Fixed value: a term is two or more word characters.
@@ -23,9 +24,21 @@ def terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
-def term_totals(df: DataFrame, column: str) -> DataFrame:
-    """``(term, total)``: occurrences over the whole column."""
+def frequent_terms(df: DataFrame, column: str, k: int) -> DataFrame | None:
+    """``(term)``: a short list that holds the ``k`` most used terms; None if summaries cannot tell them from
+    the others, or the table is small."""
+    if df.count() <= frequent.SMALL_ROWS:
+        return None
+    cells = df.select(F.explode(terms(col(column))).alias("key")).select(F.lit(column).alias("column"), "key")
+    found = frequent.candidates(cells, k)[1]
+    return None if found is None else found.select(F.col("key").alias("term"))
+
+
+def term_totals(df: DataFrame, column: str, wanted: DataFrame | None = None) -> DataFrame:
+    """``(term, total)``: occurrences over the whole column, of all terms or a short list of them."""
     exploded = df.select(F.explode(terms(col(column))).alias("term"))
+    if wanted is not None:
+        exploded = exploded.join(F.broadcast(wanted), "term", "left_semi")
     return exploded.groupBy("term").agg(F.count(F.lit(1)).alias("total"))
 
 
@@ -42,7 +55,8 @@ def fit_tfidf(df: DataFrame, column: str, max_features: int = 100) -> dict[str,
 
     Two scans: totals of every term, then document counts of the chosen terms only.
     """
-    top = term_totals(df, column).orderBy(F.desc("total"), "term").limit(max_features).collect()
+    totals = term_totals(df, column, frequent_terms(df, column, max_features))
+    top = totals.orderBy(F.desc("total"), "term").limit(max_features).collect()
     chosen = sorted(r["term"] for r in top)  # max_features rows
     if not chosen:
         return {"column": column, "terms": [], "idf": []}
@@ -99,11 +113,14 @@ def tfidf_long(df: DataFrame, column: str, key: str, max_features: int = 100) ->
 def tfidf_hashed(
     df: DataFrame, column: str, output_col: str = "tfidf_features", num_features: int = 1000
 ) -> DataFrame:
-    """Hashed term counts times ln((n + 1) / (df + 1)), as a vector column."""
+    """Hashed term counts times ln((n + 1) / (df + 1)), as a vector column; also of a table without rows."""
     texts = df.withColumn("__text", F.coalesce(col(column), F.lit("")))
     words = Tokenizer(inputCol="__text", outputCol="__words").transform(texts)
     counts = HashingTF(
         inputCol="__words", outputCol="__counts", numFeatures=num_features
     ).transform(words)
-    model = IDF(inputCol="__counts", outputCol=output_col).fit(counts)
-    return model.transform(counts).drop("__text", "__words", "__counts")
+    if df.isEmpty():
+        weighted = counts.withColumn(output_col, col("__counts"))
+    else:
+        weighted = IDF(inputCol="__counts", outputCol=output_col).fit(counts).transform(counts)
+    return weighted.drop("__text", "__words", "__counts")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import partial
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from ..functions.text import token_count
 from ..functions.words import CATEGORY_PARTS, DATETIME_PARTS, IDENTIFIER_PARTS, IDENTIFIER_WORDS
 from .counts import distinct_counts
 from .fit import scalars
+from .frequent import distinct_at_least, few_distinct
 
 DIGIT_LIKE = r"^(?:\p{Nd}+\.?\p{Nd}*|\.\p{Nd}+)\z"  # digits with at most one dot
 MAX_DIGIT_SHARE = 0.8
@@ -93,8 +95,8 @@ def long_text_columns(df: DataFrame, column=None, approx: bool = False) -> list[
     names = [n for n in targets(df, column, string_columns(df)) if name_allows_text(n)]
     seen = text_measures(df, names)
     wordy = [n for n in names if _wordy(n, seen[n])]
-    distinct = distinct_counts(df, wordy, approx)
-    return [n for n in wordy if distinct[n] >= seen[n]["rows"] * MIN_DISTINCT_SHARE]
+    least = {n: seen[n]["rows"] * MIN_DISTINCT_SHARE for n in wordy}
+    return distinct_at_least(df, wordy, least, partial(distinct_counts, approx=approx))
 
 
 def text_test(df: DataFrame, column=None, approx: bool = False) -> DataFrame:
@@ -124,8 +126,8 @@ def short_categorical_columns(
     """
     names = targets(df, column, string_columns(df))
     if distinct is None:
-        distinct = distinct_counts(df, names, approx)
-    few = [n for n in names if distinct[n] < MAX_SHORT_CATEGORIES]
+        distinct = few_distinct(df, names, MAX_SHORT_CATEGORIES)
+    few = [n for n in names if distinct[n] is not None and distinct[n] < MAX_SHORT_CATEGORIES]
     text = set(long_text_columns(df, few, approx))
     return [n for n in few if n not in text]
 
