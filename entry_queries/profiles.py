@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
-from washline.operators import numeric, impute, profile, quality, typing
+from washline.operators import impute, numeric, profile, quality, states, typing
 
 from .common import (
-    big, derived, derived_sql, fixed, query, r, rounded, table, tokens_sql, wide_numbers,
+    big, derived, derived_sql, fixed, query, r, rounded, scratch, table, tokens_sql, wide_numbers,
 )
 from .expected import NO_TEXT_PARTS
 from .numeric import reduced_sql
@@ -65,6 +64,25 @@ def profile_lineitem(spark, sf):
     return rounded(profile.profile(derived(spark, sf, "dirty_lineitem")), DIGITS)
 
 
+@query("profile_from_merged_states", f"""
+SELECT "column", dtype, non_null, nulls, min, max, mean, std, unique_count, sample_unique
+FROM ({profile_sql(derived_sql("dirty_lineitem"), DIRTY)})""")
+def profile_from_merged_states(spark, sf):
+    """States of three parts, each written and read again, and what they add up to."""
+    lineitem = derived(spark, sf, "dirty_lineitem")
+    parts = []
+    for i in range(3):
+        path = f"{scratch(spark)}/part"
+        states.profile_state(lineitem.where(F.col("l_orderkey") % 3 == i)).write.parquet(path)
+        parts.append(spark.read.parquet(path))
+    merged = states.profile_of_state(states.merge_states(parts))
+    texts = F.col("kind") == "categorical"
+    return rounded(merged.select(
+        "column", "dtype", "non_null", "nulls", "min", "max", "mean", "std",
+        F.when(texts, F.col("unique_count")).alias("unique_count"), "sample_unique",
+    ), DIGITS)
+
+
 @query("profile_documents", profile_sql("SELECT * FROM documents", DOCUMENTS))
 def profile_documents(spark, sf):
     return rounded(profile.profile(table(spark, sf, "documents")), DIGITS)
@@ -197,6 +215,22 @@ def overview_document_copies(spark, sf):
     return rounded(profile.overview(table(spark, sf, "documents").select("text", "lang")))
 
 
+CHANGE = 1_729_980_000_000_000  # three hours before clocks in Berlin go back, in microseconds
+MOMENTS = [("moment", "timestamp"), ("u", "bigint")]
+
+
+@query("overview_daylight_saving", overview_sql(
+    f"SELECT {CHANGE} + (event_id % 6) * 3600000000 AS moment, user_id % 50 AS u FROM events", MOMENTS))
+def overview_daylight_saving(spark, sf):
+    """Instants an hour apart, two of which read alike on a clock in Berlin."""
+    berlin = spark.newSession()
+    berlin.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    moment = F.timestamp_micros(F.lit(CHANGE) + (F.col("event_id") % 6) * F.lit(3_600_000_000))
+    return rounded(profile.overview(
+        table(berlin, sf, "events").select(moment.alias("moment"), (F.col("user_id") % 50).alias("u"))
+    ))
+
+
 def analysis_sql(source: str, columns) -> str:
     def one(i, n, t):
         number = t in NUMERIC
