@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -87,6 +88,46 @@ def test_repeats_of_odd_rows(odd_documents, crowd):
     check_repeats(odd_documents.where("doc_id is null or doc_id <> 6"), 40, crowd)
 
 
+def test_anchor_places_are_those_of_the_runs():
+    rng = random.Random(9)
+    text = bytes(rng.choice(b"abcd ") for _ in range(3000))
+    for anchor, start, many in zip(*repeats.runs(text, 100)):
+        context = text[start: start + many + 99]
+        place = repeats.anchor_place(context, 100)
+        piece = np.frombuffer(context[place: place + repeats.ANCHOR], np.uint8).astype(np.uint64)
+        assert repeats._grams(piece, repeats.ANCHOR, repeats._powers(40))[0] == anchor
+        assert place <= 100 - repeats.ANCHOR and place - (many - 1) >= 0
+
+
+def test_thousands_of_near_copies_make_few_rows(spark, monkeypatch):
+    """Copies with an edit each: the runs around an edit are halved, and not cut into single windows."""
+    rng = random.Random(6)
+    base = [rng.choice("abcdefgh ") for _ in range(700)]
+    texts = []
+    for i in range(300):
+        own = list(base)
+        for _ in range(2):
+            own[rng.randrange(700)] = rng.choice("XYZ") + str(i)
+        texts.append("".join(own))
+    made = []
+    halve = repeats._halves
+
+    def counted(length):
+        made.append(length)
+        return halve(length)
+
+    monkeypatch.setattr(repeats, "_halves", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_repeats(df, 120, 4)
+    assert 1 <= len(made) <= 8
+    one = repeats.NARROWED.names.index("row")
+    context = texts[0][:219].encode()
+    batch = next(halve(120)(iter([repeats._columns([(1, 0, 88, 1, 5, 0, None, context)], pa.schema([
+        (n, repeats.NARROWED.field(n).type) for n in ("group", "low", "high", "n", "row", "start", "place", "context")
+    ]))])))
+    assert batch.num_rows <= 2 and set(batch.column(one).to_pylist()) == {5}
+
+
 @pytest.mark.parametrize("crowd", [2048, 3])
 def test_repeats_of_shared_passages(spark, crowd):
     rng = random.Random(4)

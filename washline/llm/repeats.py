@@ -11,9 +11,11 @@ starting from the empty prefix, backward extension visits the boundaries between
 intervals in order of increasing common prefix, and stops at ``length``. Positions without a
 boundary by then share their first ``length`` bytes with the suffix before them.
 
-An anchor with more than ``crowd`` different runs (the edge of a passage that very many documents
-share) is grouped again by single windows, which are equal or different as wholes and so are only
-counted: no group of bytes grows with the data.
+An anchor with more than ``crowd`` different runs (in a passage that very many documents share, with an
+edit nearby in some) is grouped again by longer strings: its runs are cut in two by how far before the
+anchor a window starts, so that the windows of a half hold more bytes in common, and again, until groups
+are small or the halves are single windows. Equal halves travel as one, so no group of bytes grows with
+the data.
 """
 
 from __future__ import annotations
@@ -59,15 +61,8 @@ def runs(text: bytes, length: int, powers=None) -> tuple[np.ndarray, np.ndarray,
         piece = np.frombuffer(text, np.uint8, min(PIECE, n - at), at).astype(np.uint64)
         if len(piece) < length:
             break
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(piece) + 1, dtype=np.uint64)
-            np.cumsum((piece + np.uint64(1)) * up[: len(piece)], out=sums[1:])
-            grams = (sums[k:] - sums[:-k]) * down[: len(piece) - k + 1]
-            grams ^= grams >> np.uint64(29)
-            grams *= np.uint64(0xBF58476D1CE4E5B9)
-            grams ^= grams >> np.uint64(32)
-        places = np.arange(len(grams), dtype=np.uint64)
-        packed = (grams >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | places
+        grams = _grams(piece, k, (up, down))
+        packed = _with_places(grams)
         least = _sliding_least(packed, width)
         chosen = (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
@@ -76,6 +71,25 @@ def runs(text: bytes, length: int, powers=None) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _grams(piece: np.ndarray, k: int, powers) -> np.ndarray:
+    """The hash of every ``k`` consecutive bytes."""
+    up, down = powers
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(piece) + 1, dtype=np.uint64)
+        np.cumsum((piece + np.uint64(1)) * up[: len(piece)], out=sums[1:])
+        grams = (sums[k:] - sums[:-k]) * down[: len(piece) - k + 1]
+        grams ^= grams >> np.uint64(29)
+        grams *= np.uint64(0xBF58476D1CE4E5B9)
+        grams ^= grams >> np.uint64(32)
+    return grams
+
+
+def _with_places(grams: np.ndarray) -> np.ndarray:
+    """Hashes whose low bits are their places, so that of equal ones the leftmost is the smallest."""
+    places = np.arange(len(grams), dtype=np.uint64)
+    return (grams >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | places
+
+
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """The minimum of every ``width`` consecutive values, from running minima of blocks."""
     n = len(values)
@@ -320,36 +334,101 @@ def _compared(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    chosen = contexts.where(~F.col("crowded")).select("anchor", "n", "row", "start", "context")
+    chosen = contexts.select("anchor", "n", "row", "start", "context")
     return chosen.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
         run, "row long, start long, end long"
     )
 
 
-def _counted(contexts: DataFrame, length: int) -> DataFrame:
-    """``(row, start, end)`` of repeated windows of crowded anchors, by counting whole windows."""
+def anchor_place(context: bytes, length: int, powers=None) -> int:
+    """Where the anchor of a run's windows lies, counted from the run's first byte."""
+    k = min(ANCHOR, length)
+    first = np.frombuffer(context, np.uint8, length).astype(np.uint64)
+    return int(np.argmin(_with_places(_grams(first, k, powers or _powers(length + 1)))))
+
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_intdigest
-        names = ["high", "low", "n", "row", "start"]
+NARROWED = pa.schema([
+    ("group", pa.int64()), ("digest", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("n", pa.int64()),
+    ("row", pa.int64()), ("start", pa.int64()), ("place", pa.int32()), ("context", pa.binary()),
+])
+NARROWED_SQL = (
+    "group long, digest long, low int, high int, n long, row long, start long, place int, context binary"
+)
+
+
+def _halves(length: int):
+    """Cuts each run in two by how far before the anchor its windows start, from ``low`` to ``high`` bytes.
+    All windows of a half hold the same bytes around the anchor, longer ones than before: the half's group
+    is a hash of them, so equal windows stay together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        powers = _powers(length + 1)
         for batch in batches:
-            for n, row, start, context in zip(*(c.to_pylist() for c in batch.columns)):
-                many = len(context) - length + 1
-                found = [digest(context[i: i + length]) for i in range(many)]
-                yield pa.RecordBatch.from_arrays([
-                    _signed([f >> 64 for f in found]), _signed([f & MASK for f in found]),
-                    pa.array([n] * many, pa.int64()), pa.array([row] * many, pa.int64()),
-                    pa.array(range(start, start + many), pa.int64()),
-                ], names)
-
-    every = contexts.where("crowded").select("n", "row", "start", "context").mapInArrow(
-        windows, "high long, low long, n long, row long, start long"
-    )
-    many = every.groupBy("high", "low").agg(F.count(F.lit(1)).alias("times"))
-    repeated = written(many.where("times > 1").select("high", "low"))
-    return every.where("n = 1").join(repeated, ["high", "low"]).select(
-        "row", "start", (F.col("start") + length).alias("end")
+            out, size = [], 0
+            for group, low, high, n, row, start, place, context in zip(*(c.to_pylist() for c in batch.columns)):
+                if place is None:
+                    place = anchor_place(context, length, powers)
+                middle = (low + high + 1) // 2
+                for p, q in ((low, middle - 1), (middle, high)) if low < high else ((low, high),):
+                    first, last = max(0, place - q), min(len(context) - length, place - p)
+                    if first > last:
+                        continue
+                    part = context[first: last + length]
+                    shared = context[place - p: place - q + length]
+                    name = digest(shared, (group ^ (p * BASE)) & MASK)
+                    out.append((
+                        _long(name), _long(digest(part)), p, q, n, row, start + first, place - first, part
+                    ))
+                    size += len(part)
+                if size > 4 << 20:
+                    yield _columns(out, NARROWED)
+                    out, size = [], 0
+            if out:
+                yield _columns(out, NARROWED)
+
+    return run
+
+
+def _long(value: int) -> int:
+    """An unsigned 64-bit number as Spark holds it."""
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _narrowed(contexts: DataFrame, length: int, crowd: int) -> DataFrame | None:
+    """``(row, start, end)`` of repeats between the runs of crowded anchors.
+
+    Each round halves the runs of what is still crowded. Halves that are equal as wholes are counted and go
+    on as one; groups that are small enough now are compared; and after as many rounds as it takes to halve
+    the windows of a run down to one nothing is left. A round makes at most two rows a run.
+    """
+    last = length - min(ANCHOR, length)
+    now = contexts.where("crowded").select(
+        F.col("anchor").alias("group"), F.lit(0).alias("low"), F.lit(last).alias("high"), "n", "row", "start",
+        F.lit(None).cast("int").alias("place"), "context",
     )
+    found = None
+    while not now.isEmpty():
+        halves = written(now.mapInArrow(_halves(length), NARROWED_SQL))
+        classes = written(halves.groupBy("group", "digest").agg(
+            F.sum("n").alias("times"), *[F.any_value(c).alias(c) for c in ("low", "high", "place", "context")],
+            F.min("row").alias("row"), F.min("start").alias("start"),  # of the only one, if it is the only one
+        ))
+        equal = classes.where("times > 1").select("group", "digest")
+        spans = halves.where("n = 1").join(equal, ["group", "digest"]).select(
+            "row", "start", (F.col("start") + F.octet_length("context")).alias("end")
+        )
+        kinds = written(classes.where("low < high").groupBy("group").agg(
+            F.count(F.lit(1)).alias("kinds"), F.min("times").alias("rarest")
+        ).where("kinds > 1 AND rarest = 1").select("group", "kinds"))
+        contested = classes.join(kinds, "group").withColumnRenamed("times", "n")
+        few = contested.where(F.col("kinds") <= crowd)
+        spans = spans.union(_compared(few.withColumnRenamed("group", "anchor"), length))
+        found = spans if found is None else found.union(spans)
+        now = written(contested.where(F.col("kinds") > crowd).select(
+            "group", "low", "high", "n", "row", "start", "place", "context"
+        ))
+    return found
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
@@ -379,7 +458,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     copies = runs_shared.join(whole, ["anchor", "digest"]).select(
         "row", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("end")
     )
-    return copies.union(_compared(contexts, length)).union(_counted(contexts, length))
+    found = copies.union(_compared(contexts.where(~F.col("crowded")), length))
+    narrowed = _narrowed(contexts, length, crowd)
+    return found if narrowed is None else found.union(narrowed)
 
 
 def remove_repeats(
