@@ -7,7 +7,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
@@ -119,22 +119,31 @@ def correlations(df: DataFrame, column=None) -> DataFrame:
     values = tidy(df, names).select(*[col(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)])
     if not names:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    means = values.agg(*[F.avg(c).alias(c) for c in values.columns]).first()
-    shift = np.array([m if m is not None and np.isfinite(m) else 0.0 for m in means])
-    sums = values.mapInArrow(
-        _pair_sums(shift), "a int, b int, n double, x double, y double, xx double, yy double, xy double"
-    ).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    parts = values.mapInArrow(_pair_sums(len(names)), PAIR)
+    # parts have sums around means of their own; a middle of these is the centre of them all
+    pair = Window.partitionBy("a", "b")
+    dx, dy = F.col("mx") - F.avg("mx").over(pair), F.col("my") - F.avg("my").over(pair)
     n = F.col("n")
-    moved = F.array(*[F.lit(float(s)) for s in shift])
+    near = parts.select("a", "b", "n", "mx", "my", dx.alias("dx"), dy.alias("dy"), "xx", "yy", "xy")
+    total = near.groupBy("a", "b").agg(
+        F.sum("n").alias("n"), F.sum(n * F.col("dx")).alias("x"), F.sum(n * F.col("dy")).alias("y"),
+        F.sum(F.col("xx") + n * F.col("dx") * F.col("dx")).alias("xx"),
+        F.sum(F.col("yy") + n * F.col("dy") * F.col("dy")).alias("yy"),
+        F.sum(F.col("xy") + n * F.col("dx") * F.col("dy")).alias("xy"),
+        F.max(F.abs("mx")).alias("mx"), F.max(F.abs("my")).alias("my"),
+    )
 
-    def variance(squares: str, total: str, place: str) -> Column:
-        v = F.try_divide(F.col(squares), n) - F.pow(F.try_divide(F.col(total), n), F.lit(2))
-        size = F.try_divide(F.col(squares), n) + F.pow(F.get(moved, F.col(place)), F.lit(2)) * F.lit(1e-10)
-        return F.when(v > size * F.lit(1e-12), v)  # the rest is rounding of equal values
+    def variance(squares: str, off: str, mean: str) -> Column:
+        v = (F.col(squares) - F.col(off) * F.col(off) / n) / n
+        return F.when(v > F.pow(mean, F.lit(2)) * F.lit(1e-22), v)  # the rest is rounding of equal values
 
-    covariance = F.try_divide("xy", "n") - F.try_divide("x", "n") * F.try_divide("y", "n")
-    spread = F.sqrt(variance("xx", "x", "a")) * F.sqrt(variance("yy", "y", "b"))
+    covariance = (F.col("xy") - F.col("x") * F.col("y") / n) / n
+    spread = F.sqrt(variance("xx", "x", "mx")) * F.sqrt(variance("yy", "y", "my"))
     corr = F.coalesce(F.try_divide(covariance, spread), F.lit(0.0))
+    every = values.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("a"))
+    sums = every.select("a", F.explode(F.sequence(F.col("a"), F.lit(len(names) - 1))).alias("b")).join(
+        total, ["a", "b"], "left"
+    )
     label = F.array(*[F.lit(x) for x in names])
     one, two = F.get(label, F.col("a")), F.get(label, F.col("b"))
     both = F.when(F.col("a") == F.col("b"), F.array(F.struct(one.alias("col_a"), two.alias("col_b")))) \
@@ -143,20 +152,50 @@ def correlations(df: DataFrame, column=None) -> DataFrame:
     return sums.select(F.inline(both), corr.alias("corr"))
 
 
-def _pair_sums(shift: np.ndarray):
+PAIR = "a int, b int, n double, mx double, my double, xx double, yy double, xy double"
+
+
+def _pair_sums(m: int):
+    """For every pair of columns the rows where both are present, the means there, and the sums of squares and
+    products around them: one row a pair and task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = len(shift)
-        total = np.zeros((6, m, m))
+        n, sums, squares, products = (np.zeros((m, m)) for _ in range(4))
+        shift = None  # near the values, so that little cancels
         for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - shift
-            there = ~np.isnan(x)
-            x, mask = np.where(there, x, 0.0), there.astype(np.float64)
-            sums, squares = x.T @ mask, (x * x).T @ mask
-            total += np.stack([mask.T @ mask, sums, sums.T, squares, squares.T, x.T @ x])
+            if not batch.num_rows:
+                continue
+            x = np.empty((batch.num_rows, m))
+            for i, c in enumerate(batch.columns):
+                x[:, i] = c.to_numpy(zero_copy_only=False)
+            gaps = np.isnan(x)
+            if shift is None:
+                shift = np.array([np.median(c[~g]) if not g.all() else 0.0 for c, g in zip(x.T, gaps.T)])
+                shift[~np.isfinite(shift)] = 0
+            x -= shift
+            if gaps.any():
+                x[gaps] = 0
+                there = (~gaps).astype(np.float64)
+                n += there.T @ there
+                sums += x.T @ there
+                squares += (x * x).T @ there
+            else:  # all rows count for every pair
+                n += len(x)
+                sums += x.sum(axis=0)[:, None]
+                squares += (x * x).sum(axis=0)[:, None]
+            products += x.T @ x
+        if shift is None:
+            return
         a, b = np.triu_indices(m)
+        many = n[a, b]
+        a, b, many = a[many > 0], b[many > 0], many[many > 0]
+        x, y = sums[a, b] / many, sums[b, a] / many
+        columns = [
+            many, x + shift[a], y + shift[b], squares[a, b] - many * x * x, squares[b, a] - many * y * y,
+            products[a, b] - many * x * y,
+        ]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *[pa.array(t[a, b]) for t in total]],
-            ["a", "b", "n", "x", "y", "xx", "yy", "xy"],
+            [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *[pa.array(c) for c in columns]],
+            ["a", "b", "n", "mx", "my", "xx", "yy", "xy"],
         )
 
     return run
