@@ -141,11 +141,13 @@ apache-2 | 40 | apache | licensed under the apache license version 2 0 the licen
 apache-2 | 40 | compliance | you may not use this file except in compliance with the license
 apache | 20 | apache | (?:under|by|of|the) apache (?:software )?licen[cs]e
 gpl | 40 | redistribute | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license
-gpl | 20 | gpl | (?:gnu )?gpl(?: v ?\\d| version \\d)?
-gpl-2 | 20 | gpl | gpl ?v ?2(?: 0)?
-gpl-3 | 20 | gpl | gpl ?v ?3(?: 0)?
-lgpl | 20 | lgpl | lgpl(?: ?v ?\\d)?
-agpl-3 | 20 | agpl | agpl ?v ?3(?: 0)?
+gpl-2 | 20 | gpl | (?:gnu )?gpl(?: ?v| version)? ?2(?: 0)?
+gpl-3 | 20 | gpl | (?:gnu )?gpl(?: ?v| version)? ?3(?: 0)?
+gpl | 20 | gpl | (?:gnu )?gpl
+lgpl-2.1 | 20 | lgpl | (?:gnu )?lgpl(?: ?v| version)? ?2 1
+lgpl-3 | 20 | lgpl | (?:gnu )?lgpl(?: ?v| version)? ?3(?: 0)?
+lgpl | 20 | lgpl | (?:gnu )?lgpl
+agpl-3 | 20 | agpl | (?:gnu )?agpl(?: ?v| version)? ?3(?: 0)?
 mpl-2 | 40 | mozilla | this source code form is subject to the terms of the mozilla public license
 epl-2 | 40 | eclipse | this program and the accompanying materials are made available under the terms of the eclipse public license
 unlicense | 40 | public domain | this is free and unencumbered software released into the public domain
@@ -181,17 +183,22 @@ class Rule:
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """All rules in order: four forms of each family (tag in a file, address, name, name with a verb),
-    then the sentences."""
+    """All rules in order: the forms of each family (tag in a file, first or later in its expression,
+    address, name, name with a verb), then the sentences. Names are spelled with s or c. Of a rule with a
+    group ``own`` that group is what it detects."""
     found = []
 
     def add(label: str, priority: int, keyword: str, expression: str) -> None:
+        expression = re.sub(r"license(?!d| identifier|s)", "licen[cs]e", expression)
+        keyword = re.sub(r"license(?=,|$)", "licen", keyword)
         pattern = re.compile(rf"(?<![^ ])(?:{expression})(?![^ ])".encode())
         found.append(Rule(label, priority, keyword, pattern))
 
     for line in FAMILIES:
         label, keyword, name, tag, address = (part.strip().replace("\\\\", "\\") for part in line.split(" | "))
         add(label, FILE_TAG, "spdx", rf"spdx license identifier {tag}")
+        add(label, FILE_TAG, "spdx",
+            rf"spdx license identifier (?:(?:[^ ]+ ){{1,6}}?(?:or|and|with) ){{1,4}}?(?P<own>{tag})")
         add(label, FILE_TAG, address.split(" ")[0], rf"(?:https? )?(?:www )?{address}")
         add(label, NAME, keyword, rf"(?:the )?{name}")
         add(label, NOTICE, keyword,
@@ -249,7 +256,8 @@ def scan(joined: bytes) -> tuple[list[Detection], list[tuple[int, str]]]:
     present = {word for _, word in _keywords().iter(joined.decode("latin-1"))}
     for number, rule in enumerate(rules()) if present else ():
         if not present.isdisjoint(rule.keywords):
-            spans += [(number, *m.span()) for m in rule.pattern.finditer(joined)]
+            own = "own" if rule.pattern.groupindex else 0
+            spans += [(number, *m.span(own)) for m in rule.pattern.finditer(joined)]
     if not base and not spans:
         return [], []
     places = sorted({p for p, _ in base} | {a for _, a, _ in spans})
