@@ -496,3 +496,25 @@ def test_odd_vectors_and_hot_copies(spark, monkeypatch):
     few = rows(neighbors.nearest(table.where("vec_id < 3"), F.col("vec_id") >= 0, k=5))
     assert sorted(r["query_id"] for r in few) == [0, 0, 1, 1, 2, 2]
     assert rows(neighbors.nearest(table.limit(0), F.lit(True))) == []
+
+
+def test_rows_that_repeat_an_id_are_candidates(spark):
+    table = spark.createDataFrame(
+        [(0, [0.0, 1.0]), (0, [0.0, 2.0]), (1, [0.0, 4.0]), (2, [0.0, 4.0]), (2, [0.0, 4.0])],
+        "vec_id long, embedding array<float>",
+    )
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(
+        neighbors.nearest(table, F.col("vec_id") == 0, k=4)
+    ))
+    assert found == sorted(
+        [(0, 1, 0, 1.0), (0, 2, 1, 3.0), (0, 3, 2, 3.0), (0, 4, 2, 3.0)]
+        + [(0, 1, 0, 1.0), (0, 2, 1, 2.0), (0, 3, 2, 2.0), (0, 4, 2, 2.0)]
+    )
+
+
+def test_a_url_in_a_column_that_the_result_replaces(spark):
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, action string")
+    for name in ("host", "path", "rule", "verdict"):
+        table = spark.createDataFrame([(1, "http://a.example.com/en/x"), (2, None)], f"page_id long, {name} string")
+        found = {r["page_id"]: (r["host"], r["path"], r["verdict"]) for r in rows(urls.judge(table, rules, url=name))}
+        assert found == {1: ("a.example.com", "/en/x", "block"), 2: ("", "", "allow")}

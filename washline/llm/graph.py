@@ -25,11 +25,13 @@ def components(links: DataFrame) -> DataFrame:
     seen = _state(now)
     while seen[0]:
         both = now.union(now.select("low", "high")).toDF("node", "other")
-        least = both.groupBy("node").agg(F.min("other").alias("least"))
+        # written, so that Spark can split a node that most of the links meet
+        least = written(both.groupBy("node").agg(F.min("other").alias("least")))
         larger = both.where(F.col("other") > F.col("node")).join(least, "node").select(
             F.col("other").alias("node"), F.least("least", F.col("node")).alias("other")
         ).distinct()
-        down = larger.groupBy("node").agg(F.min("other").alias("least"))
+        larger = written(larger)
+        down = written(larger.groupBy("node").agg(F.min("other").alias("least")))
         smaller = larger.join(down, "node").where(F.col("other") != F.col("least")).select(
             F.col("other"), F.col("least")
         )

@@ -69,6 +69,8 @@ def remove_boilerplate(
     )
     if found.count() <= BROADCAST_LINES:  # 24 bytes a line
         sites = F.broadcast(sites)
+    else:  # written, so that Spark can split a site that holds much of the table
+        sites = written(sites)
     site = F.coalesce(F.col(f"`{host}`").cast("string"), F.lit(""))
     lines = _lines(F.col(f"`{text}`"))
     kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("__drop", _hash(F.trim(x))))

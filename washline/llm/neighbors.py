@@ -194,20 +194,20 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _assigned(vectors: DataFrame, graph: Graph, choose) -> DataFrame:
-    """``(list, id, vector)``: a row for each list that ``choose`` gives a vector."""
+    """``(list, id, row, vector)``: a row for each list that ``choose`` gives a vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                lists = choose(graph, _matrix(part.column(1)))
+                lists = choose(graph, _matrix(part.column(2)))
                 rows = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(lists).astype(np.int32)), part.column(0).take(rows),
-                     part.column(1).take(rows)], ["list", "id", "vector"],
+                    [pa.array(np.concatenate(lists).astype(np.int32)), *[c.take(rows) for c in part.columns]],
+                    ["list", "id", "row", "vector"],
                 )
 
-    return vectors.mapInArrow(run, "list int, id long, vector array<double>")
+    return vectors.mapInArrow(run, "list int, id long, row long, vector array<double>")
 
 
 def nearest(
@@ -221,8 +221,7 @@ def nearest(
 
     Vectors that are null, empty, all zero, or hold null or non-finite components take no part, nor do
     those of another length than the most frequent one (the larger on ties), nor rows without id. Rows
-    that repeat an id are left out of that id's own answers; among candidates an id appears once, with
-    its smallest distance. A query that repeats answers once for each id, with its nearest by any row.
+    that repeat an id are rows of their own: each asks, and each is a candidate of all others.
     """
     v = F.col(f"`{vector}`")
     clean = vectors.where(usable(vectors, vector) & F.col(f"`{key}`").isNotNull())
@@ -231,10 +230,11 @@ def nearest(
     spark = vectors.sparkSession
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    chosen = clean.where(F.size(v) == common["n"]).select(
-        F.col(f"`{key}`").cast("long").alias("id"), v.cast("array<double>").alias("vector"),
-        F.coalesce(is_query, F.lit(False)).alias("asks"),
-    )
+    # written, so that a row keeps its number
+    chosen = written(clean.where(F.size(v) == common["n"]).select(
+        F.col(f"`{key}`").cast("long").alias("id"), F.monotonically_increasing_id().alias("row"),
+        v.cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"),
+    ))
     rows = chosen.select("vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     sample = np.array([r["vector"] for r in rows], dtype=np.float64)
     lists = min(MOST_LISTS, max(1, common["rows"] // list_rows), max(1, len(sample) // 8))
@@ -243,12 +243,12 @@ def nearest(
         ratio = graph.calibrated(sample, k, closure, replicas, wanted)
 
     held = written(_assigned(
-        chosen.select("id", "vector"), graph, lambda g, m: g.lists_of(m, closure, replicas)
+        chosen.drop("asks"), graph, lambda g, m: g.lists_of(m, closure, replicas)
     ))
     sizes = _sizes(held, len(graph.centers))
     least = (k + 1) * replicas
     asked = written(_assigned(
-        chosen.where("asks").select("id", "vector"), graph,
+        chosen.where("asks").drop("asks"), graph,
         lambda g, m: g.lists_for(m, ratio, sizes, least),
     ))
     # every block of a list's rows meets every block of the queries that read the list
@@ -257,10 +257,10 @@ def nearest(
     queries = _dealt(asked, "part", queries_of).withColumn("block", _every(rows_of))
     dealt = _dealt(held, "block", rows_of).withColumn("part", _every(queries_of))
     found = queries.groupBy(meet).cogroup(dealt.groupBy(meet)).applyInPandas(
-        _best_of_block(k), "query_id long, vec_id long, score double"
+        _best_of_block(k), "query_id long, query_row long, vec_id long, row long, score double"
     )
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    once = found.groupBy("query_id", "query_row", "vec_id", "row").agg(F.min("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id", "row"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )
@@ -282,7 +282,7 @@ def _blocks(sizes: np.ndarray) -> Column:
 
 
 def _dealt(assigned: DataFrame, name: str, blocks: Column) -> DataFrame:
-    return assigned.withColumn(name, F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    return assigned.withColumn(name, F.pmod(F.xxhash64("row"), blocks).cast("int"))
 
 
 def _every(blocks: Column) -> Column:
@@ -293,21 +293,20 @@ def _best_of_block(k: int):
     def best(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(rows):
-            ids = rows["id"].to_numpy()
+            ids, places = rows["id"].to_numpy(), rows["row"].to_numpy()
             matrix = np.stack(rows["vector"].to_numpy())
-            for query, vector in zip(queries["id"].to_numpy(), queries["vector"]):
+            for query, own, vector in zip(queries["id"].to_numpy(), queries["row"].to_numpy(), queries["vector"]):
                 step = matrix - vector
                 far = np.sqrt(np.einsum("ij,ij->i", step, step))
-                far[ids == query] = np.inf
-                order = np.lexsort((ids, far))
+                far[places == own] = np.inf
+                order = np.lexsort((places, ids, far))[:k]  # a block holds a row once
                 order = order[np.isfinite(far[order])]
-                keep, first = np.unique(ids[order], return_index=True)
-                order = order[np.sort(first)[:k]]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[order], "score": far[order]}))
+                out.append(pd.DataFrame({
+                    "query_id": query, "query_row": own, "vec_id": ids[order], "row": places[order], "score": far[order],
+                }))
         if not out:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
-                {"query_id": "int64", "vec_id": "int64", "score": "float64"}
-            )
+            names = {"query_id": "int64", "query_row": "int64", "vec_id": "int64", "row": "int64", "score": "float64"}
+            return pd.DataFrame({n: [] for n in names}).astype(names)
         return pd.concat(out, ignore_index=True)
 
     return best

@@ -55,8 +55,10 @@ def judge(
     Repeated rows of ``urls`` stay.
     """
     host, path = split_url(F.col(f"`{url}`"))
-    base = urls.drop("host", "path", "rule", "verdict")
-    parts = base.withColumn("host", host).withColumn("path", path)
+    # split before columns of these names go, as the URL's own may be one
+    parts = urls.withColumns({"__own_host": host, "__own_path": path}).drop("host", "path", "rule", "verdict") \
+        .withColumnsRenamed({"__own_host": "host", "__own_path": "path"})
+    base = parts.drop("host", "path")
     hosts = written(
         parts.where("host <> ''").select("host").distinct().select("host", host_key(F.col("host")).alias("key"))
     )

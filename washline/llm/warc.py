@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import new_folder, written
 
 VERSION = b"WARC/1.1"
 END = b"\r\n\r\n"
@@ -122,7 +122,8 @@ def _responses(pages: DataFrame) -> DataFrame:
     page itself. It is the one with the largest page id, of several rows with it the one with the
     largest row number; a page without id only where the group has no other."""
     keyed = pages.withColumn("digest", F.sha1("payload"))
-    best = keyed.groupBy("digest").agg(F.max(F.struct("page", "row")).alias("best"))
+    # written, so that Spark can split a payload that very many pages share
+    best = written(keyed.groupBy("digest").agg(F.max(F.struct("page", "row")).alias("best")))
     joined = keyed.join(best, "digest")
     revisit = F.col("row") != F.col("best.row")
     return joined.select(
