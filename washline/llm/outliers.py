@@ -279,15 +279,15 @@ def _grouped(rows: DataFrame, groups: tuple[str, ...], least: int) -> DataFrame:
     # one row a group; pools are made of the small groups' counts
     counts = own.groupBy(*[f"g{level}" for level in range(len(names))]).agg(F.count(F.lit(1)).alias("n"))
     chosen = counts.withColumn("g", F.when(F.col("n") >= least, F.col("g0")))
-    for level in range(1, len(names)):
-        left = F.sum(F.when(F.col("g").isNull(), F.col("n")).otherwise(0))
+    left = F.sum(F.when(F.col("g").isNull(), F.col("n")).otherwise(0))
+    for level in range(1, len(names) - 1):
         pool = chosen.groupBy(f"g{level}").agg(left.alias("pool"))
-        if level == len(names) - 1:  # one row
-            pool = F.broadcast(pool)
         chosen = chosen.join(pool, f"g{level}").withColumn(
             "g", F.coalesce("g", F.when(F.col("pool") >= least, F.col(f"g{level}")))
         ).drop("pool")
-    return chosen.select("g0", "g")
+    chosen = written(chosen)
+    rest = chosen.agg(left).first()[0] or 0  # the pool of all
+    return chosen.select("g0", F.coalesce("g", F.lit("0" if rest >= least else None)).alias("g"))
 
 
 def fit(rows: DataFrame, least: int = LEAST_GROUP, steps: int = STEPS) -> DataFrame:
