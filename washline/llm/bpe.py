@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values
+from .common import byte_values, let_go_after
 
 CACHED = 150_000
 CACHED_BYTES = 48
@@ -278,6 +278,9 @@ class Encoder:
             start = end
         return np.frombuffer(b"".join(out), dtype="<i4")
 
+    def forget(self) -> None:
+        self.recent, self.older = {}, {}
+
     def _missing(self, piece: bytes) -> bytes:
         """Packed ids, kept in two generations of bounded size: what was used since the last change
         stays."""
@@ -293,7 +296,7 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def _encoder(content: bytes) -> Encoder:
-    """One for each worker process, so that its cache outlives a task."""
+    """One for each worker process; its tables outlive a task, what it has cached does not."""
     return Encoder(content)
 
 
@@ -320,7 +323,8 @@ def encode(
                 size += n
             yield _encoded(batch.slice(start), encoder, key)
 
-    return chosen.mapInArrow(run, f"`{key}` {kind}, ids array<int>, ends array<int>")
+    whole = let_go_after(run, lambda: _encoder(ranks).forget())
+    return chosen.mapInArrow(whole, f"`{key}` {kind}, ids array<int>, ends array<int>")
 
 
 def _encoded(batch: pa.RecordBatch, encoder: Encoder, key: str) -> pa.RecordBatch:
@@ -368,7 +372,7 @@ def decode(tokens: DataFrame, ranks: bytes, key: str = "doc_id") -> DataFrame:
                 yield _decoded(batch.slice(at, ROWS), table, key)
 
     return tokens.select(key, "ids", "ends").mapInArrow(
-        run, f"`{key}` {kind}, n_tokens long, id_bytes binary, decoded binary"
+        let_go_after(run), f"`{key}` {kind}, n_tokens long, id_bytes binary, decoded binary"
     )
 
 
@@ -391,3 +395,12 @@ def _decoded(batch: pa.RecordBatch, table: dict[int, bytes], key: str) -> pa.Rec
         [batch.column(0), pa.array(many, pa.int64()), pa.array(packed, pa.binary()),
          pa.array(texts, pa.binary())], [key, "n_tokens", "id_bytes", "decoded"],
     )
+
+
+def token_digests(docs: DataFrame, ranks: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, n_tokens, ids_sha256, decoded_sha256)``: the tokens of every document, checked by decoding, as
+    their number and digests of the ids and of the decoded bytes."""
+    return decode(encode(docs, ranks, key, text), ranks, key).select(
+        F.col(f"`{key}`"), "n_tokens", F.sha2("id_bytes", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, written
+from .common import byte_values, let_go_after, written
 
 GRAM = 8
 EDITS = 0.05
@@ -216,7 +216,7 @@ def find_passages(
         passages = [(i, t) for i, t in passages if len(t) >= least]
         if not passages:
             continue
-        found = chosen.mapInArrow(_scan(passages, key, edits), schema)
+        found = chosen.mapInArrow(let_go_after(_scan(passages, key, edits)), schema)
         if shards > 1:  # the next shard takes this one's place in memory
             found = written(found)
         result = found if result is None else result.union(found)

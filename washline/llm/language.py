@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import let_go_after
+
 UNDEFINED = "und"
 #: A dictionary is fitted on a sample: at most so many texts a language, so many characters of each,
 #: and so many bytes in all; at most so many languages, the most frequent first.
@@ -120,8 +122,7 @@ def identify(
             F.lit(True).alias("rejected"),
         )
 
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ready = compressors(dictionaries)
         for batch in batches:
             yield pd.DataFrame(
@@ -129,6 +130,10 @@ def identify(
                 columns=["lang_pred", "score"],
             )
 
+    @F.pandas_udf("struct<lang_pred:string,score:double>")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from let_go_after(told)(batches)
+
     return base.withColumn("__found", predict(_with_letters(F.col(f"`{text}`")))).select(
         *[F.col(f"`{c}`") for c in base.columns], F.col("__found.lang_pred").alias("lang_pred"),
         F.col("__found.score").alias("score"),

@@ -33,15 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, written
+from .common import byte_values, let_go_after, written
 from .graph import components
 
 SHINGLE = 3
 BITS = 2
 BUCKET = 64
 WIDE_BUCKET = 4096
-SETS = 1 << 25  # bytes of shingle sets in one comparison
-BROADCAST_TEXTS = 200_000
+SETS = 1 << 24  # bytes of shingle sets in one comparison
+SET_ROWS = 256
+BROADCAST_BYTES = 8 << 20
 BANDS = 24
 ROWS = 5
 SEED = 42
@@ -180,7 +181,7 @@ def wide_prints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame
 
     kind = chosen.schema[key].dataType.simpleString()
     return chosen.mapInArrow(
-        run, f"`{key}` {kind}, text_key long, fingerprint binary, size int, keys array<long>"
+        let_go_after(run), f"`{key}` {kind}, text_key long, fingerprint binary, size int, keys array<long>"
     )
 
 
@@ -290,7 +291,7 @@ def _forest(keyed: DataFrame, bits: int) -> DataFrame:
         if len(rest_keys):
             yield from _linked(rest_keys, rest, bits)
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(let_go_after(run), "a binary, b binary")
 
 
 def _linked(keys: np.ndarray, prints: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
@@ -349,7 +350,7 @@ def verified_links(
     group = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
     wanted = written(dealt.groupBy("text_key").agg(F.collect_list(group).alias("groups")))
     chosen = wanted.withColumnRenamed("text_key", "__key")
-    if wanted.count() <= BROADCAST_TEXTS:
+    if (wanted.agg(F.sum(32 + 8 * F.size("groups"))).first()[0] or 0) <= BROADCAST_BYTES:
         chosen = F.broadcast(chosen)
     texts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text")).withColumn(
         "text_key", F.xxhash64("__text")
@@ -378,10 +379,8 @@ def verified_links(
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, names, own = None, [], []
-        for batch in batches:
-            for number, name, packed in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            ):
+        for batch in (b.slice(at, SET_ROWS) for b in batches for at in range(0, b.num_rows, SET_ROWS)):
+            for number, name, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if number != now:
                     yield from _alike(names, own, similarity)
                     now, names, own = number, [], []
@@ -390,9 +389,9 @@ def verified_links(
                     own.append(np.frombuffer(packed, "<u8"))
         yield from _alike(names, own, similarity)
 
-    sent = texts.mapInArrow(sets, "group long, fingerprint binary, elements binary")
+    sent = texts.mapInArrow(let_go_after(sets), "group long, fingerprint binary, elements binary")
     return sent.repartition("group").sortWithinPartitions("group", "fingerprint").mapInArrow(
-        compare, "a binary, b binary"
+        let_go_after(compare), "a binary, b binary"
     ).distinct()
 
 
