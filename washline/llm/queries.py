@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import public_tokenizers
 
 from . import (
     bpe, decontaminate, language, licenses, lines, negatives, neighbors, outliers, repeats, search, simhash, urls,
@@ -73,7 +74,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_byte_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.tokens(spark, table(spark, sf_dir, "documents"), sf_dir)
+    ranks = bpe.read_ranks(public_tokenizers.path(corpus_pipeline.VOCABULARY))
+    return bpe.token_digests(table(spark, sf_dir, "documents"), ranks)
 
 
 @query("op5_decontamination")
