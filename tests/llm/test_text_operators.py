@@ -67,6 +67,46 @@ def test_license_rules_have_what_they_need():
         assert rule.keyword == rule.keyword.lower()
 
 
+NAMES = {
+    "apache-2": "Apache License, Version 2.0", "bsd-2": "2-clause BSD license", "bsd-3": "New BSD license",
+    "gpl-2": "GNU General Public License version 2", "gpl-3": "GNU General Public License, version 3",
+    "lgpl-2.1": "GNU Lesser General Public License v 2.1", "lgpl-3": "GNU Lesser General Public License, version 3",
+    "agpl-3": "GNU Affero General Public License version 3", "mpl-2": "Mozilla Public License, v. 2.0",
+    "epl-2": "Eclipse Public License 2.0", "cddl-1": "Common Development and Distribution License 1.0",
+    "bsl-1": "Boost Software License 1.0", "isc": "ISC license", "zlib": "zlib license", "artistic-2": "Artistic License 2.0",
+    "ms-pl": "Microsoft Public License", "postgresql": "PostgreSQL license", "ofl-1.1": "SIL Open Font License 1.1",
+    "cc-by-4": "Creative Commons Attribution License 4.0", "mulan-2": "Mulan Permissive Software License, version 2",
+    "eupl-1.2": "European Union Public License 1.2", "upl-1": "Universal Permissive License", "icu": "ICU license",
+    "osl-3": "Open Software License 3.0", "ncsa": "University of Illinois/NCSA Open Source License",
+}
+FORMS = ["See the {} for more.", "This work is released under the {} since 2019", "Licensed under the terms of the {}."]
+TAGS = {
+    "MIT OR Apache-2.0": {"mit-expat", "apache-2"}, "(MIT AND BSD-3-Clause) OR GPL-2.0-only": {"mit-expat", "bsd-3", "gpl-2"},
+    "GPL-2.0-or-later WITH Classpath-exception-2.0 OR MPL-2.0": {"gpl-2", "mpl-2"}, "ISC": {"isc"},
+    "LGPL-2.1-only OR MPL-1.1 OR EPL-2.0": {"lgpl-2.1", "mpl-1.1", "epl-2"},
+}
+SHORT = {
+    "released under the GNU GPL version 2": "gpl-2", "under GPLv3": "gpl-3", "GPL v2 code": "gpl-2", "uses the GPL": "gpl",
+    "GNU LGPL 2.1 library": "lgpl-2.1", "LGPL v3": "lgpl-3", "an LGPL library": "lgpl", "AGPL version 3": "agpl-3",
+    "new BSD licence": "bsd-3", "the ISC licence": "isc",
+}
+
+
+def test_sentences_with_known_licenses():
+    cases = [(form.format(spelled), {label}) for label, name in NAMES.items() for form in FORMS
+             for spelled in {name, re.sub("(?i)license", lambda m: m[0][:5] + "ce", name)}]
+    cases += [(f"// SPDX-License-Identifier: {tag}", labels) for tag, labels in TAGS.items()]
+    cases += [(text, {label}) for text, label in SHORT.items()]
+    assert len(cases) > 150
+    for text, labels in cases:
+        joined = b" ".join(w for w in licenses.words(text.encode()) if w)
+        found = {d.label for d in licenses.scan(joined)[0]}
+        assert labels <= found, (text, found)
+        assert found <= labels | {"unknown-license", "apache", "mit", "gpl"}, (text, found)
+        if text in SHORT:
+            assert found == labels, (text, found)
+
+
 def test_license_keyword_is_in_every_match():
     for rule in licenses.rules():
         text = rule.keyword
@@ -228,13 +268,52 @@ def test_passages_are_found_exactly_within_their_budget():
         assert found == {i: e for i, e in plain.items() if e <= index.edits[i]}
 
 
+def fewest_edits(passage, text):
+    """``plain_edits``, a row at a time."""
+    source, places = np.frombuffer(text, np.uint8), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, dtype=np.int64)
+    for i, symbol in enumerate(passage, 1):
+        new = np.append(i, np.minimum(row[:-1] + (source != symbol), row[1:] + 1))
+        row = np.minimum.accumulate(new - places) + places
+    return int(row.min())
+
+
 def test_decontamination_query(spark, documents):
-    found = {r["doc_id"]: r["item_ids"] for r in rows(queries.op5(spark, TABLES))}
-    items = rows(spark.read.parquet(f"{TABLES}/benchmark.parquet"))
+    """Exactly the documents within a passage's budget, by the edit distance of every pair."""
+    found = {r["doc_id"]: set(r["item_ids"].split(",")) for r in rows(queries.op5(spark, TABLES))}
+    items = [(i["item_id"], decontaminate.normal(i["text"].encode())) for i in rows(spark.read.parquet(f"{TABLES}/benchmark.parquet"))]
+    assert found
     for d in rows(documents.select("doc_id", "text")):
         text = decontaminate.normal((d["text"] or "").encode())
-        inside = sorted(i["item_id"] for i in items if decontaminate.normal(i["text"].encode()) in text)
-        assert set(map(str, inside)) <= set(found.get(d["doc_id"], "").split(","))
+        near = {
+            str(i) for i, p in items
+            if p in text or fewest_edits(p, text) <= decontaminate.budget(len(p), decontaminate.EDITS)
+        }
+        assert near == found.get(d["doc_id"], set())
+
+
+def test_recall_of_edited_words():
+    """Passages of 60 to 400 bytes with words replaced or left out, in other text."""
+    rng = random.Random(8)
+    parts = ["the", "of", "stone", "river", "her", "wash", "line", "walk", "ed", "mount", "is", "a", "ing", "re"]
+    words = [a + b for a in parts for b in parts]
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n)).encode()
+    passages = [(i, make(rng.randint(9, 50))) for i in range(40)]
+    passages = [(i, p) for i, p in passages if 60 <= len(p) <= 400]
+    index = decontaminate.Index(passages, decontaminate.EDITS)
+    share = {}
+    for many in (1, 2):
+        hits = total = 0
+        for number, (_, passage) in enumerate(passages):
+            for _ in range(5):
+                own = passage.split()
+                for at in rng.sample(range(len(own)), many):
+                    own[at] = rng.choice([b"", b"otherly", rng.choice(words).encode()])
+                text = make(20) + b" " + b" ".join(w for w in own if w) + b" " + make(20)
+                hits += number in {f[0] for f in decontaminate.occurrences(text, index)}
+                total += 1
+        share[many] = hits / total
+    assert share[1] >= 0.95 and share[2] >= 0.7, share
 
 
 def test_decontamination_of_odd_rows_and_in_shards(spark, odd_documents, monkeypatch):

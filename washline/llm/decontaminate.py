@@ -1,9 +1,8 @@
 """Benchmark passages in documents, exact or lightly edited.
 
 Texts are compared lower-cased (A-Z) with runs of white space as one space, in UTF-8. A passage of m
-bytes may be changed in e = m * ``edits`` bytes. By the q-gram lemma such an occurrence keeps at
-least m - q + 1 - q * e of the passage's q-grams, on diagonals at most 2e apart; e is lowered for a short
-passage until that number is positive.
+bytes may be changed in e = m * ``edits`` bytes, short ones in fewer (``budget``). By the q-gram lemma such an occurrence keeps at
+least m - q + 1 - q * e of the passage's q-grams, on diagonals at most 2e apart.
 
 A document is scanned for bytes at which any q-gram of any passage starts; stretches that hold too
 few of them for any passage are left out. In the rest the shared q-grams of each passage are counted in
@@ -26,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import byte_values, let_go_after, written
 
 GRAM = 8
-EDITS = 0.05
-LEAST = 24
+EDITS = 0.07
+KEPT = 16
+FEWER = 0.7
+LEAST = GRAM
 SHARD_BYTES = 8 << 20
 TABLE_BITS = 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -46,8 +47,10 @@ def grams(text: bytes) -> np.ndarray:
 
 
 def budget(size: int, edits: float) -> int:
-    """The edits allowed for a passage: so few that one q-gram at least must survive."""
-    return min(int(size * edits), max(0, (size - GRAM) // GRAM))
+    """The edits allowed for a passage: so few that ``KEPT`` q-grams must survive, or, for a share ``FEWER`` of
+    the edits, one at least."""
+    many = min(int(size * edits), (size - GRAM + 1 - KEPT) // GRAM)
+    return max(many, min(int(size * edits * FEWER), (size - GRAM) // GRAM), 0)
 
 
 class Index:

@@ -15,18 +15,19 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let_go_after
+from .common import let_go_after, written
 
 UNDEFINED = "und"
-#: A dictionary is fitted on a sample: at most so many texts a language, so many characters of each,
-#: and so many bytes in all; at most so many languages, the most frequent first.
+#: Dictionaries are fitted on a sample: at most so many texts a language, so many characters of each, and so
+#: many dictionaries of so many bytes; all languages together take ``MOST_BYTES``, so hundreds of them have
+#: less each.
 SAMPLE_TEXTS = 400
 DRAWN = 16
 SAMPLE_CHARACTERS = 4_000
 DICTIONARY_BYTES = 32_000
 DICTIONARIES = 6
 SHORT_BYTES = 400
-LANGUAGES = 200
+MOST_BYTES = 48 << 20
 BLOCK = 16_384
 LEVEL = 3
 MARGIN = 0.001
@@ -45,31 +46,34 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str,
     """
     labelled = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(LETTERS)
-    )
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
+    ).withColumn("at", F.xxhash64("text"))
+    # only hashes below a limit that some times the wanted texts pass are ranked, so that no task gathers a
+    # language; the limit follows the different texts of a label, as copies have one hash and count once
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("at", 0.02).alias("n"))
+    wanted = DRAWN * SAMPLE_TEXTS
+    limit = F.when(F.col("n") <= wanted, 1 << 30).otherwise(F.floor(float(wanted << 30) / F.col("n")))
+    limits = written(counts.select("lang", limit.cast("long").alias("limit")))
+    names = sorted(r["lang"] for r in limits.select("lang").collect())  # the labels that predictions take
+    if not names:
         return {}
-    # only hashes below a limit that some times the wanted texts pass are ranked, so that no task
-    # gathers a language; copies have one hash and count once
-    limits = F.create_map(*[
-        F.lit(x) for name, n in sizes.items()
-        for x in (name, min(1 << 30, (DRAWN * SAMPLE_TEXTS << 30) // n + 1))
-    ])
-    at = F.xxhash64("text")
-    drawn = labelled.where(F.pmod(at, F.lit(1 << 30)) < F.try_element_at(limits, F.col("lang"))).select(
-        "lang", F.left("text", F.lit(SAMPLE_CHARACTERS)).alias("text"), at.alias("at")
+    room = min(DICTIONARIES * DICTIONARY_BYTES, MOST_BYTES // len(names))
+    drawn = labelled.join(limits, "lang").where(F.pmod("at", F.lit(1 << 30)) < F.col("limit")).select(
+        "lang", F.left("text", F.lit(SAMPLE_CHARACTERS)).alias("text"), "at"
     ).dropDuplicates(["lang", "at"])
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
-    rows = drawn.withColumn("place", place).where(F.col("place") <= SAMPLE_TEXTS).collect()
-    found: dict[str, list[bytes]] = {name: [b""] for name in sizes}
+    order = Window.partitionBy("lang").orderBy("at", "text")
+    ranked = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_TEXTS)
+    before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # no more than dictionaries hold, and some for what is passed over
+    rows = ranked.withColumn("before", before).where(F.coalesce("before", F.lit(0)) <= 1.25 * room).collect()
+    size, many = min(DICTIONARY_BYTES, room), max(1, room // DICTIONARY_BYTES)
+    found: dict[str, list[bytes]] = {name: [b""] for name in names}
     for row in sorted(rows, key=lambda r: (r["lang"], r["place"])):
         filled, text_bytes = found[row["lang"]], lowered(row["text"])
-        if len(filled[-1]) >= DICTIONARY_BYTES and len(filled) < DICTIONARIES:
+        if len(filled[-1]) >= size and len(filled) < many:
             filled.append(b"")
-        if len(filled[-1]) < DICTIONARY_BYTES and text_bytes not in filled[-1]:
+        if len(filled[-1]) < size and text_bytes not in filled[-1]:
             filled[-1] += text_bytes + b"\n"
-    return {name: [d[:DICTIONARY_BYTES] for d in filled] for name, filled in found.items()}
+    return {name: [d[:size] for d in filled] for name, filled in found.items()}
 
 
 Ready = list[tuple[str, list[zstandard.ZstdCompressor]]]
