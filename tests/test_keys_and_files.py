@@ -175,5 +175,5 @@ def test_reading_options_of_a_whole_run(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_bytes(b"n,x\r\n1,2\r\n,3\r\n5,4\r\n")
     result = clean(spark, str(path), read={"multiline": False, "schema": "n double, x int"})
-    assert [f.dataType.simpleString() for f in result.source.schema] == ["double", "int"]
+    assert [f.dataType.simpleString() for f in result.original.schema] == ["double", "int"]
     assert result.df.where("n IS NULL").count() == 0
