@@ -88,6 +88,16 @@ def test_ordered_fill_matches_pandas(spark, forward, parts):
     np.testing.assert_array_equal(got, want)
 
 
+@pytest.mark.parametrize("buckets", [1, 4])
+def test_no_fill_reads_its_frame_anew_for_every_row(spark, buckets):
+    """A frame that ends at the last row costs the square of its rows; the other kind runs along."""
+    df = spark.range(100).selectExpr("id AS k", "IF(id % 9 = 4, id, NULL) AS x")
+    filled = impute.ordered_fill(df, ["x"], "k", forward=False, buckets=buckets)
+    assert "unboundedfollowing" not in filled._jdf.queryExecution().toString().lower()
+    want = [min((i for i in range(k, 100) if i % 9 == 4), default=None) for k in range(100)]
+    assert column(filled.orderBy("k"), "x") == want
+
+
 def test_ordered_fill_needs_an_order(with_missing):
     with pytest.raises(ValueError, match="order_by"):
         impute.impute(with_missing, "numeric_col", "forward_fill")

@@ -117,17 +117,26 @@ def ordered_fill(
     key = F.struct(*[col(k) for k in keys])
     group = F.struct(F.lit(1), *[col(p) for p in parts])
     bucket = ordered_buckets(df, keys, buckets)
-    pick = F.last if forward else F.first
-    span = (
-        (Window.unboundedPreceding, Window.currentRow) if forward
-        else (Window.currentRow, Window.unboundedFollowing)
-    )
     ordered = [col(o) for o in orders]
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+
+    def places(rows: DataFrame, by: list[Column]) -> tuple[DataFrame, Window]:
+        """Rows with the window whose last present value fills a gap. Backward fills walk the same order from
+        its end: a frame that reaches to the end would be read anew for every row."""
+        window = Window.partitionBy(*by).orderBy(*ordered)
+        if forward:
+            return rows, window.rowsBetween(*so_far)
+        placed = rows.withColumn("__place", F.row_number().over(window))
+        return placed, Window.partitionBy(*by).orderBy(F.desc("__place")).rowsBetween(*so_far)
+
+    def last_present(n: str, window: Window) -> Column:
+        return F.last(present(df, n), ignorenulls=True).over(window)
+
     if bucket is None:  # small enough for a plain window
-        window = Window.partitionBy(*[col(p) for p in parts]).orderBy(*ordered).rowsBetween(*span)
-        return replace_columns(df, {
-            n: pick(present(df, n), ignorenulls=True).over(window) for n in names
-        })
+        rows, window = places(df, [col(p) for p in parts])
+        return replace_columns(rows, {n: last_present(n, window) for n in names}).select(
+            *[col(c) for c in df.columns]
+        )
 
     bucketed = df.withColumn("__bucket", bucket)
     edge = F.max_by if forward else F.min_by
@@ -139,18 +148,19 @@ def ordered_fill(
         for i, n in enumerate(names)
     ])
     # one row per bucket (at most ranges.MAX_BUCKETS): safe in one task and safe to broadcast
-    outside = (Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)
-    across = Window.orderBy("__bucket").rowsBetween(*outside)
-    carried = edges.select("__bucket", *[
-        pick(f"__e{i}", ignorenulls=True).over(across).alias(f"__c{i}") for i in range(len(names))
+    across = Window.orderBy(F.asc("__bucket") if forward else F.desc("__bucket")).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    carried = edges.select(F.col("__bucket").alias("__from"), *[
+        F.last(f"__e{i}", ignorenulls=True).over(across).alias(f"__c{i}") for i in range(len(names))
     ])
 
-    inside = Window.partitionBy("__bucket", *[col(p) for p in parts]).orderBy(*ordered)
-    joined = bucketed.join(F.broadcast(carried), "__bucket", "left")
+    # null-safe: from a plain equality the optimizer may infer filters on the rows' keys for the other side
+    joined = bucketed.join(F.broadcast(carried), F.col("__bucket").eqNullSafe(F.col("__from")), "left")
+    joined, inside = places(joined, [F.col("__bucket"), *[col(p) for p in parts]])
     new = {}
     for i, n in enumerate(names):
         # the carried value belongs to this row only if it comes from the same group
         entering = F.when(F.col(f"__c{i}.g").eqNullSafe(group), F.col(f"__c{i}.v"))
-        filled = pick(present(df, n), ignorenulls=True).over(inside.rowsBetween(*span))
-        new[n] = F.coalesce(filled, entering)
+        new[n] = F.coalesce(last_present(n, inside), entering)
     return replace_columns(joined, new).select(*[col(c) for c in df.columns])
