@@ -121,6 +121,26 @@ def test_bracketed_quantiles_are_exact(spark, kind):
     np.testing.assert_allclose([got[p] for p in GRID], np.quantile(values, GRID), rtol=1e-12)
 
 
+def test_all_ranks_are_bracketed_in_few_scans(spark):
+    """Each round is one scan, whatever the number of wanted ranks; signs of zero, infinities and
+    frequent values do no harm."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rng = np.random.default_rng(8)
+    odd = [0.0, -0.0, math.inf, -math.inf, 1e308, -1e308] * 3
+    values = np.concatenate([rng.normal(size=6000), rng.integers(0, 3, 3000) * 1.0, odd])
+    df = spark.createDataFrame(pd.DataFrame({"x": values})).mapInArrow(counted, "x double")
+    grid = [i / 100 for i in range(1, 100)]
+    got = quantiles(df, {"x": grid}, {"x": len(values)}, small=0, fetch=20)["x"]
+    np.testing.assert_allclose([got[p] for p in grid], np.quantile(values, grid), rtol=1e-12)
+    assert read.value <= 3 * len(values)
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert quantiles(df, {"x": [0.5]}) == {"x": {0.5: None}}

@@ -1,49 +1,44 @@
 """Exact interpolated quantiles that never gather a column in one place.
 
 Up to ``SMALL`` values the built-in ``percentile`` is used. Beyond it the wanted ranks are
-bracketed: a sketch proposes cut points, one aggregate counts how many values lie below each
-cut, and only the open interval around the rank is kept. Every round shrinks the interval a few
-hundredfold; when it holds at most ``FETCH`` values the exact ones are picked out of it. The
-sketch only chooses where to cut, so its error costs rounds, never exactness.
+bracketed: doubles become 64-bit numbers of the same order, tasks count how many of them share their
+first bits, and only the values that share those of a wanted rank are looked at by the next bits.
+Each round is one scan and leaves a few thousandths of an interval; when it holds at most ``FETCH`` values, or
+only one value, the exact ones are picked out of it. No sketch is kept and no value sorted on the way.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import number, tidy
 from .fit import scalars
-from .ranges import at_or_below
 
 SMALL = 200_000
 FETCH = 100_000
-SKETCH_SIZE = 4096
-HALF_WIDTH = 0.002  # about twice the rank error of a sketch of that size
-MERGERS = 256
+FIRST_BITS = 16
+FIRST_CELLS = 1 << 21  # counters of a task in the first round, 24 bytes each
+CELLS = 1 << 17  # and later, when most of them are in use
 
 
 @dataclass(frozen=True)
 class Interval:
-    """Open interval of one column: ``below`` values lie at or under ``low``, ``size`` inside."""
+    """The values of one column whose first ``depth`` bits are ``prefix``: ``size`` of them, ``below`` before them."""
 
     column: str
-    low: float | None
-    high: float | None
+    prefix: int
+    depth: int
     below: int
     size: int
 
-    def inside(self, value: Column) -> Column:
-        if self.low is not None:
-            value = F.when(value > F.lit(self.low), value)
-        if self.high is not None:
-            value = F.when(value < F.lit(self.high), value)
-        return value
-
 
 def quantiles(
     df: DataFrame,
@@ -109,92 +104,113 @@ def _order_statistics(df, values, ranks, counts, fetch) -> dict[tuple[str, int],
     """The values at the given zero-based ranks of each column."""
     found: dict[tuple[str, int], float] = {}
     open_ranks: dict[Interval, set[int]] = {
-        Interval(name, None, None, 0, counts[name]): set(rs) for name, rs in ranks.items()
+        Interval(name, 0, 0, 0, counts[name]): set(rs) for name, rs in ranks.items()
     }
-    while any(interval.size > fetch for interval in open_ranks):
-        wide = {i: rs for i, rs in open_ranks.items() if i.size > fetch}
-        cuts = _cut_points(df, values, wide)
-        tallies = _tallies(df, values, cuts)
+    while wide := {i: rs for i, rs in open_ranks.items() if i.size > fetch}:
+        depth = next(iter(wide)).depth  # wide intervals are cut in every round, so all are equally deep
+        room = ((CELLS if depth else FIRST_CELLS) // len(wide)).bit_length() - 1
+        bits = min(max(room, 4), FIRST_BITS, 64 - depth)
         narrowed: dict[Interval, set[int]] = defaultdict(set)
-        for interval, rs in open_ranks.items():
-            if interval not in wide:
-                narrowed[interval] |= rs
-                continue
-            for r in rs:
-                part = _locate(interval, cuts[interval], tallies, r)
-                if isinstance(part, Interval):
-                    narrowed[part].add(r)
-                else:
-                    found[interval.column, r] = part
+        narrowed.update({i: rs for i, rs in open_ranks.items() if i not in wide})
+        for interval, row in _rows_at(_tallies(df, values, list(wide), bits), wide):
+            for r in row["ranks"]:
+                if row["low"] == row["high"]:
+                    found[interval.column, interval.below + r] = row["low"]
+                    continue
+                prefix = (interval.prefix << bits) | row["place"]
+                part = Interval(
+                    interval.column, prefix, depth + bits, interval.below + row["upto"] - row["n"], row["n"]
+                )
+                narrowed[part].add(interval.below + r)
         open_ranks = narrowed
     found.update(_fetch(df, values, open_ranks))
     return found
 
 
-def _cut_points(df, values, wide) -> dict[Interval, list[float]]:
-    """Two sketched values just either side of each wanted rank.
+def _ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of the doubles; zeros of both signs are one."""
+    b = (x + 0.0).view(np.int64)
+    return (b ^ ((b >> 63) & np.int64((1 << 63) - 1))).view(np.uint64) ^ np.uint64(1 << 63)
 
-    Sketches are merged in two levels, so no single task merges one per input partition.
-    """
-    intervals = list(wide)
-    merger = F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("merger")
-    partial = df.groupBy(merger).agg(*[
-        F.kll_sketch_agg_double(i.inside(values[i.column]), F.lit(SKETCH_SIZE)).alias(f"s{k}")
-        for k, i in enumerate(intervals)
-    ])
-    wanted = {}
-    for k, interval in enumerate(intervals):
-        shares = sorted({
-            min(1.0, max(0.0, (r - interval.below) / interval.size + step))
-            for r in wide[interval] for step in (-HALF_WIDTH, HALF_WIDTH)
-        })
-        wanted[interval] = F.kll_sketch_get_quantile_double(
-            F.kll_merge_agg_double(f"s{k}"), F.array(*[F.lit(s) for s in shares])
-        )
-    return {i: sorted(set(cut)) for i, cut in scalars(partial, wanted).items()}
-
-
-def _tallies(df, values, cuts) -> dict[tuple[Interval, float, str], int]:
-    """Values under, and up to, each cut. Every value finds its place among the sorted cuts of its
-    interval by halving; places are counted in one narrow shuffle."""
-    intervals, cells = list(cuts), []
-    for k, interval in enumerate(intervals):
-        value, points = interval.inside(values[interval.column]), cuts[interval]
-        bounds = F.array(*[F.lit(p) for p in points])
-        upto = at_or_below(value, bounds, len(points))
-        equal = F.coalesce(F.get(bounds, upto - 1) == value, F.lit(False))
-        place = 2 * upto - F.when(equal, 1).otherwise(0)  # odd on a cut, even between two
-        cells.append(F.when(value.isNotNull(), F.struct(F.lit(k).alias("interval"), place.alias("place"))))
-    counted = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("interval", "place").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    found: dict[int, dict[int, int]] = defaultdict(dict)
-    for row in counted.collect():  # two rows a cut
-        found[row["interval"]][row["place"]] = row["n"]
-    out = {}
-    for k, interval in enumerate(intervals):
-        seen = 0
-        for j, point in enumerate(cuts[interval]):
-            seen += found[k].get(2 * j, 0)
-            out[interval, point, "under"] = seen
-            seen += found[k].get(2 * j + 1, 0)
-            out[interval, point, "upto"] = seen
+
+def _doubles(bits: np.ndarray) -> np.ndarray:
+    b = (bits ^ np.uint64(1 << 63)).view(np.int64)
+    return (b ^ ((b >> 63) & np.int64((1 << 63) - 1))).view(np.float64)
+
+
+def _by_column(intervals: list[Interval]) -> dict[str, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """For each column and depth the sorted prefixes and the numbers of their intervals."""
+    grouped = defaultdict(list)
+    for k, i in enumerate(intervals):
+        grouped[i.column, i.depth].append((i.prefix, k))
+    out = defaultdict(list)
+    for (name, depth), some in grouped.items():
+        prefixes, numbers = zip(*sorted(some))
+        out[name].append((depth, np.array(prefixes, np.uint64), np.array(numbers)))
     return out
 
 
-def _locate(interval, points, tallies, rank) -> Interval | float:
-    """The cut that is the value at ``rank``, or the open interval between cuts that holds it."""
-    low, below = interval.low, interval.below
-    for point in points:
-        under = interval.below + tallies[interval, point, "under"]
-        upto = interval.below + tallies[interval, point, "upto"]
-        if rank < under:
-            return Interval(interval.column, low, point, below, under - below)
-        if rank < upto:
-            return point
-        low, below = point, upto
-    size = interval.below + interval.size - below
-    return Interval(interval.column, low, interval.high, below, size)
+def _inside(bits: np.ndarray, depth: int, prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values inside the intervals, and the place of each one's prefix."""
+    if not depth:
+        return bits, np.zeros(len(bits), np.int64)
+    first = bits >> np.uint64(64 - depth)
+    at = np.searchsorted(prefixes, first)
+    hit = prefixes[np.minimum(at, len(prefixes) - 1)] == first
+    return bits[hit], at[hit]
+
+
+def _present_bits(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    x = batch.column(i).to_numpy(zero_copy_only=False)
+    return _ordered_bits(x[~np.isnan(x)])
+
+
+def _tallies(df: DataFrame, values: dict[str, Column], intervals: list[Interval], bits: int) -> DataFrame:
+    """``(interval, place, n, low, high)``: how many values of each interval have ``place`` as their next bits,
+    and the least and greatest of them. A task sends one row a place."""
+    wanted = _by_column(intervals)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = np.zeros(len(intervals) << bits, np.int64)
+        low, high = np.full(len(tally), (1 << 64) - 1, np.uint64), np.zeros(len(tally), np.uint64)
+        for batch in batches:
+            for i, of_column in enumerate(wanted.values()):
+                every = _present_bits(batch, i)
+                for depth, prefixes, numbers in of_column:
+                    own, at = _inside(every, depth, prefixes)
+                    place = ((own >> np.uint64(64 - depth - bits)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+                    cell = (numbers[at] << bits) | place
+                    np.add.at(tally, cell, 1)
+                    np.minimum.at(low, cell, own)
+                    np.maximum.at(high, cell, own)
+        some = np.flatnonzero(tally)
+        for at in range(0, len(some), 1 << 15):
+            cells = some[at: at + (1 << 15)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array((cells >> bits).astype(np.int32)), pa.array((cells & ((1 << bits) - 1)).astype(np.int32)),
+                pa.array(tally[cells]), pa.array(_doubles(low[cells])), pa.array(_doubles(high[cells])),
+            ], ["interval", "place", "n", "low", "high"])
+
+    parts = df.select(*[values[n].alias(f"c{i}") for i, n in enumerate(wanted)]).mapInArrow(
+        run, "interval int, place int, n long, low double, high double"
+    )
+    return parts.groupBy("interval", "place").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
+
+
+def _rows_at(counted: DataFrame, open_ranks: dict[Interval, set[int]]):
+    """``(interval, row)`` of the places that hold wanted ranks; ``ranks`` and ``upto`` count from the interval's
+    first value. Only these rows reach the driver."""
+    intervals = list(open_ranks)
+    ranks = [F.array(*[F.lit(r - i.below) for r in sorted(open_ranks[i])]) for i in intervals]
+    upto = F.sum("n").over(Window.partitionBy("interval").orderBy("place"))
+    here = F.filter(
+        F.get(F.array(*ranks), F.col("interval")),
+        lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")),
+    )
+    picked = counted.withColumn("upto", upto).withColumn("ranks", here).where(F.size("ranks") > 0)
+    return [(intervals[row["interval"]], row) for row in picked.collect()]
 
 
 def _fetch(df, values, open_ranks) -> dict[tuple[str, int], float]:
@@ -202,21 +218,24 @@ def _fetch(df, values, open_ranks) -> dict[tuple[str, int], float]:
     are counted first; only the values at the wanted ranks reach the driver."""
     if not open_ranks:
         return {}
-    intervals, cells, ranks = list(open_ranks), [], []
-    for k, interval in enumerate(intervals):
-        value = interval.inside(values[interval.column])
-        cells.append(F.when(value.isNotNull(), F.struct(F.lit(k).alias("interval"), value.alias("value"))))
-        ranks.append(F.array(*[F.lit(r - interval.below) for r in sorted(open_ranks[interval])]))
-    counted = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("interval", "value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    upto = F.sum("n").over(Window.partitionBy("interval").orderBy("value"))
-    here = F.filter(
-        F.get(F.array(*ranks), F.col("interval")),
-        lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")),
+    wanted = _by_column(list(open_ranks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, of_column in enumerate(wanted.values()):
+                every = _present_bits(batch, i)
+                for depth, prefixes, numbers in of_column:
+                    own, at = _inside(every, depth, prefixes)
+                    if len(own):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(numbers[at].astype(np.int32)), pa.array(_doubles(own))], ["interval", "place"]
+                        )
+
+    inside = df.select(*[values[n].alias(f"c{i}") for i, n in enumerate(wanted)]).mapInArrow(
+        run, "interval int, place double"
     )
-    picked = counted.withColumn("upto", upto).select("interval", "value", here.alias("ranks"))
+    counted = inside.groupBy("interval", "place").agg(F.count(F.lit(1)).alias("n"))
     return {
-        (intervals[row["interval"]].column, r + intervals[row["interval"]].below): row["value"]
-        for row in picked.where(F.size("ranks") > 0).collect() for r in row["ranks"]
+        (interval.column, interval.below + r): row["place"]
+        for interval, row in _rows_at(counted, open_ranks) for r in row["ranks"]
     }
