@@ -14,7 +14,8 @@ them. Two fingerprints are within two bits exactly if they share a point, so thi
 cost is linear.
 
 Two bits of 64 are far less than edits of a few words change. ``similar`` therefore works on sets of
-five-word shingles. Its keys are ``BANDS`` groups of ``ROWS`` least hashes each (MinHash): sets of
+five-word shingles. Fingerprints within two bits, by the same Golay keys, propose pairs there as well. For pairs
+further apart there are other keys: ``BANDS`` groups of ``ROWS`` least hashes each (MinHash): sets of
 similarity J share a key with probability 1 - (1 - J^ROWS)^BANDS, whatever was edited and however
 short the text is; at 0.8 one pair in 14,000 shares none. Prints of 256 bits over the shingles, whose
 share of differing bits tells the similarity, only drop pairs that are far from it. The nodes that
@@ -458,6 +459,20 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.union(stars.select("a", F.col("fingerprint").alias("b"))).distinct()
 
 
+def golay_links(docs: DataFrame, prints: DataFrame, key: str, text: str) -> DataFrame:
+    """``(a, b)`` that connect the nodes of ``prints`` whose texts' fingerprints, those of ``near_duplicates``, are
+    equal or within two bits, found by Golay keys. A fingerprint stands for the smallest of its nodes."""
+    coded = written(fingerprints(docs, key, text).select("text_key", F.col("fingerprint").alias("code")).distinct())
+    nodes = prints.where("size > 0").select("text_key", "fingerprint").distinct()
+    members = written(nodes.join(coded, "text_key").select("code", "fingerprint").distinct())
+    least = written(members.groupBy("code").agg(F.min("fingerprint").alias("a")))
+    equal = members.join(least, "code").where(F.col("a") != F.col("fingerprint"))
+    linked = links(least.select(F.col("code").alias("fingerprint")))
+    one, two = least.toDF("a", "x"), least.toDF("b", "y")
+    near = linked.join(one, "a").join(two, "b").where(F.col("x") != F.col("y"))
+    return equal.select("a", F.col("fingerprint").alias("b")).union(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
     bucket: int = BUCKET,
@@ -480,14 +495,17 @@ def similar(
 ) -> DataFrame:
     """As ``near_duplicates``, with components of texts whose five-word shingles have a Jaccard
     similarity of ``similarity`` or more. Every link is checked on the whole sets. Equal texts are
-    always together. Candidates share a key; the README says how many pairs that finds.
+    always together. Candidates are within two bits by Golay keys, or share a key of their least hashes; the
+    README says how many pairs that finds.
     """
     prints = written(wide_prints(docs, key, text, shingle))
     nodes = written(prints.groupBy("fingerprint").agg(
         F.min(key).alias("least"), F.min("text_key").alias("text_key"), F.first("size").alias("size"),
         F.first("keys").alias("keys"),
     ))
-    proposed = wide_links(nodes, proposed_bits(similarity), bucket)
+    proposed = wide_links(nodes, proposed_bits(similarity), bucket).union(
+        golay_links(docs, prints, key, text)
+    ).distinct()
     found = verified_links(docs, proposed, nodes, text, shingle, similarity, bucket)
     return _named(prints, nodes.select("fingerprint", "least"), found, key)
 
