@@ -175,3 +175,28 @@ def test_wide_rows_make_more_buckets(spark, monkeypatch):
     assert 3 <= df.select(bucket.alias("b")).distinct().count() <= 5
     filled = impute.ordered_fill(df.withColumn("v", F.when(F.col("id") % 10 == 0, F.col("id"))), ["v"], "id")
     assert all(r["v"] == r["id"] // 10 * 10 for r in filled.collect())
+
+
+def test_distinct_numbers_are_sent_once_a_task(spark, monkeypatch):
+    """Kinds of numbers, both zeros, missing values; several parts, and parts sent before the end of a task."""
+    monkeypatch.setattr(counts, "value_counts", None)  # one row for each value of the table
+    df = spark.range(3000, numPartitions=3).selectExpr(
+        "id", "CAST(id % 7 AS FLOAT) AS f", "CASE WHEN id % 3 = 0 THEN double('NaN') WHEN id % 3 = 1 THEN -0.0D ELSE 0.0D END AS z",
+        "IF(id % 2 = 0, NULL, CAST(id % 90 AS SMALLINT)) AS s", "concat('t', id % 11) AS t", "CAST(NULL AS DOUBLE) AS e",
+        "concat(repeat('x', 70), id % 5) AS long")
+    want = {"id": 3000, "f": 7, "z": 1, "s": 45, "t": 11, "e": 0, "long": 5}
+    assert counts.distinct_counts(df, df.columns) == want
+    for name, value in (("ROWS_PER_PART", 100), ("HELD", 50), ("HELD_TEXTS", 3)):
+        monkeypatch.setattr(counts, name, value)
+    assert counts.distinct_counts(df, df.columns) == want
+
+
+def test_moments_of_many_columns_are_those_of_few(spark):
+    cells = ["id * {i} + 0.5 AS c{i}", "IF(id % 4 = 0, NULL, id - {i}) AS c{i}", "IF(id = 3, double('NaN'), 1e3D + id * 1e-3D) AS c{i}",
+             "CAST(NULL AS INT) AS c{i}", "IF(id = {i}, 7.0D, NULL) AS c{i}"]
+    df = spark.range(500).selectExpr(*[cells[i % 5].format(i=i) for i in range(30)], "CAST(id AS STRING) AS t")
+    few = profile.statistics(df, df.columns, profile._basics)
+    many = profile.basic_statistics(df)
+    for n in df.columns:
+        for k, value in few[n].items():
+            assert many[n][k] == (value if value is None else pytest.approx(value, rel=1e-9)), (n, k)

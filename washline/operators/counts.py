@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import (
     LONG, col, distinct_key, field, is_scalar, present, string_columns,
@@ -17,6 +22,10 @@ from .frequent import text_key
 
 MAP_SIDE_LIMIT = 1000  # the row-number limit that Spark pushes before a shuffle
 PARTS = 64
+ROWS_PER_PART = 1 << 20
+HELD = 1 << 22  # numbers of a task before they are sent
+HELD_TEXTS = 1 << 17
+NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
 
 def slots(df: DataFrame, names: list[str], by_digest: bool = False) -> tuple[list[str], dict[str, int]]:
@@ -81,8 +90,98 @@ def distinct_counts(df: DataFrame, names: list[str], approx: bool = False) -> di
         return {}
     if approx:
         return scalars(df, {n: F.approx_count_distinct(distinct_key(df, n)) for n in names})
-    counted = value_counts(df, names, by_digest=True).groupBy("column").agg(F.count(F.lit(1)))
-    return {n: 0 for n in names} | dict(counted.collect())  # one row per column
+    numbers = [n for n in names if isinstance(field(df, n).dataType, NUMBERS)]
+    texts = [n for n in names if field(df, n).dataType == T.StringType()]
+    others = [n for n in names if n not in numbers and n not in texts]
+    found = {n: 0 for n in names}
+    if others:
+        counted = value_counts(df, others, by_digest=True).groupBy("column").agg(F.count(F.lit(1)))
+        found |= dict(counted.collect())  # one row per column, as below
+    for some, counting in ((numbers, _distinct_numbers), (texts, _distinct_texts)):
+        if some:
+            found |= {some[i]: n for i, n in counting(df, some).collect()}
+    return found
+
+
+def _once(numbers: np.ndarray) -> np.ndarray:
+    """The distinct ones, by sorting: faster on numbers than NumPy's own hash table."""
+    ordered = np.sort(numbers)
+    return ordered[np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))] if len(ordered) else ordered
+
+
+def _distinct_numbers(df: DataFrame, names: list[str]) -> DataFrame:
+    """``(column, n)`` by place in ``names``. Tasks send each number once, eight bytes wide, in parts by a hash
+    of the number, so that a part of a column holds about ``ROWS_PER_PART`` numbers however large the table."""
+    parts = max(1, -(-df.count() // ROWS_PER_PART))
+
+    def wide(n: str) -> Column:
+        kind = "double" if isinstance(field(df, n).dataType, (T.FloatType, T.DoubleType)) else "long"
+        return present(df, n).cast(kind)
+
+    def packed(column: int, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = ((own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
+        order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+        ends = np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))
+        some = np.flatnonzero(np.diff(ends, prepend=0))
+        pieces = np.split(own[order], ends[:-1])
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(some), column, np.int32)), pa.array(some.astype(np.int32)),
+            pa.array([pieces[i].tobytes() for i in some], pa.binary()),
+        ], ["column", "part", "numbers"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[] for _ in names]
+        many = 0
+        for batch in batches:
+            for i, c in enumerate(batch.columns):
+                x = c.drop_null().to_numpy(zero_copy_only=False)
+                held[i].append((x + 0.0 if x.dtype == np.float64 else x).view(np.uint64))  # one zero
+                many += len(x)
+            if many > HELD:
+                held = [[_once(np.concatenate(own))] for own in held]
+                many = sum(len(own[0]) for own in held)
+                if many > HELD // 2:
+                    for i, own in enumerate(held):
+                        yield from packed(i, own[0])
+                    held, many = [[] for _ in names], 0
+        for i, own in enumerate(held):
+            if own:
+                yield from packed(i, _once(np.concatenate(own)))
+
+    def counted(group: pa.Table) -> pa.Table:
+        every = np.concatenate([np.frombuffer(x, np.uint64) for x in group["numbers"].to_pylist()])
+        return pa.table({"column": group["column"][:1], "n": pa.array([len(_once(every))], pa.int64())})
+
+    sent = df.select(*[wide(n).alias(f"c{i}") for i, n in enumerate(names)]).mapInArrow(
+        run, "column int, part int, numbers binary"
+    )
+    return sent.groupBy("column", "part").applyInArrow(counted, "column int, n long").groupBy("column").agg(
+        F.sum("n").alias("n")
+    )
+
+
+def _distinct_texts(df: DataFrame, names: list[str]) -> DataFrame:
+    """``(column, n)`` by place in ``names``. Tasks send the keys of each text once, as long as they are few."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> Iterator[pa.RecordBatch]:
+            for i, own in enumerate(held):
+                if own is not None and len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i, np.int32)), own], ["column", "key"])
+
+        held: list[pa.Array | None] = [None] * len(names)
+        for batch in batches:
+            for i, c in enumerate(batch.columns):
+                own = pc.unique(c.drop_null())
+                held[i] = own if held[i] is None else pc.unique(pa.concat_arrays([held[i], own]))
+            if sum(map(len, held)) > HELD_TEXTS:
+                yield from sent()
+                held = [None] * len(names)
+        yield from sent()
+
+    keys = df.select(*[distinct_key(df, n).alias(f"c{i}") for i, n in enumerate(names)])
+    return keys.mapInArrow(run, "column int, key string").distinct().groupBy("column").agg(
+        F.count(F.lit(1)).alias("n")
+    )
 
 
 def long_columns(df: DataFrame, names: list[str]) -> list[str]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +28,7 @@ MAX_TEXT = 300
 TOP_VALUES = 5
 SAMPLE_SEED = 42
 OVERSAMPLING = 50
+MANY_NUMBERS = 20
 
 
 def per_column(df: DataFrame, names: list[str], measures) -> DataFrame:
@@ -77,6 +80,57 @@ def _basics(values: DataFrame, n: str) -> dict[str, Column]:
     return basics
 
 
+def basic_statistics(df: DataFrame) -> dict[str, dict[str, Any]]:
+    """``_basics`` of every column. Above ``MANY_NUMBERS`` numeric columns their counts and moments are added up over
+    Arrow batches: that many aggregates in one row are beyond what Spark compiles."""
+    numbers = numeric_columns(df)
+    if len(numbers) <= MANY_NUMBERS:
+        return statistics(df, df.columns, _basics)
+    others = [n for n in df.columns if n not in numbers]
+    found = statistics(df, others, _basics) if others else {}
+    found |= {n: {"non_null": 0, "nulls": 0, "min": None, "max": None, "mean": None, "std": None} for n in numbers}
+    for row in _number_moments(df, numbers).collect():  # one row per column
+        found[numbers[row["column"]]] = row.asDict()
+    return found
+
+
+def _number_moments(df: DataFrame, names: list[str]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            for i, c in enumerate(batch.columns):
+                x = c.drop_null().to_numpy(zero_copy_only=False)
+                if not len(x):
+                    parts.append((i, 0, c.null_count, None, None, None, None))
+                    continue
+                with np.errstate(all="ignore"):  # infinities
+                    mean = x.mean()
+                    off = x - mean
+                    parts.append((i, len(x), c.null_count, x.min(), x.max(), mean, off @ off))
+            if len(parts) > 1 << 14:
+                yield table(parts)
+                parts = []
+        if parts:
+            yield table(parts)
+
+    def table(parts: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 4]
+        columns = [pa.array(x, k, from_pandas=False) for x, k in zip(zip(*parts), kinds)]
+        return pa.RecordBatch.from_arrays(columns, ["column", "n", "nulls", "min", "max", "mean", "m2"])
+
+    parts = df.select(*[number(df, n).alias(f"c{i}") for i, n in enumerate(names)]).mapInArrow(
+        run, "column int, n long, nulls long, min double, max double, mean double, m2 double"
+    )
+    n, every = F.col("n"), Window.partitionBy("column")  # a row a column and batch
+    centre = (F.sum(n * F.col("mean")).over(every) / F.sum(n).over(every))
+    off = F.col("mean") - F.col("centre")
+    return parts.withColumn("centre", F.when(n > 0, centre)).groupBy("column").agg(
+        F.sum("n").alias("non_null"), F.sum("nulls").alias("nulls"), F.min("min").alias("min"),
+        F.max("max").alias("max"), F.max("centre").alias("mean"),
+        F.when(F.sum("n") > 1, F.sqrt(F.sum(F.col("m2") + n * off * off) / (F.sum("n") - 1))).alias("std"),
+    )
+
+
 PROFILE_SCHEMA = (
     "position int, column string, dtype string, kind string, non_null bigint, nulls bigint, "
     "min double, max double, mean double, std double, unique_count bigint"
@@ -91,7 +145,7 @@ def profile(df: DataFrame, preview: int | None = MAX_UNIQUE_PREVIEW, approx: boo
     their digest; with ``preview=None`` there is none.
     """
     names = [n for n in scalar_columns(df) if not is_numeric(field(df, n).dataType)]
-    seen = statistics(df, df.columns, _basics)
+    seen = basic_statistics(df)
     distinct = distinct_counts(df, names, approx)
     rows = [
         (i, n, field(df, n).dataType.simpleString(), _kind(df, n),
@@ -190,7 +244,7 @@ ANALYSIS_SCHEMA = (
 
 def column_analysis(df: DataFrame, approx: bool = False) -> DataFrame:
     """Counts, shares, distinct values and, for numbers, mean, median, std, min and max."""
-    seen = statistics(df, df.columns, _basics)
+    seen = basic_statistics(df)
     numeric = numeric_columns(df)
     counts = {n: seen[n]["non_null"] for n in numeric}
     medians = quantiles(df, {n: [0.5] for n in numeric}, counts, approx)
