@@ -177,6 +177,18 @@ def test_wide_rows_make_more_buckets(spark, monkeypatch):
     assert all(r["v"] == r["id"] // 10 * 10 for r in filled.collect())
 
 
+def test_joined_lemmas_send_each_word_of_a_row_once(spark, monkeypatch):
+    sent = []
+    plain = textcols.join_by_value
+    monkeypatch.setattr(textcols, "join_by_value", lambda df, *rest: sent.append(df.count()) or plain(df, *rest))
+    df = spark.createDataFrame([(1, "cats and dogs and cats " * 50), (1, ""), (None, None), (2, "cats run")], "k int, t string")
+    lemmas = spark.createDataFrame([("cats", "cat"), ("dogs", "dog"), ("run", "run")], "word string, lemma string")
+    done = textcols.lemmatize(df, "t", lemmas, gate=False, max_broadcast=0).collect()
+    assert sorted(map(str, done)) == sorted(map(str, spark.createDataFrame(
+        [(1, " ".join(["cat and dog and cat"] * 50)), (1, ""), (None, None), (2, "cat run")], df.schema).collect()))
+    assert sent == [5]
+
+
 def test_distinct_numbers_are_sent_once_a_task(spark, monkeypatch):
     """Kinds of numbers, both zeros, missing values; several parts, and parts sent before the end of a task."""
     monkeypatch.setattr(counts, "value_counts", None)  # one row for each value of the table

@@ -121,18 +121,31 @@ def _look_up(spark: SparkSession, table: dict[str, str]):
 
     @F.arrow_udf("array<string>")
     def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        get = shared.value.get
         for tokens in batches:
-            coded = tokens.flatten().dictionary_encode()
-            lemmas = pa.array([get(w, w) for w in coded.dictionary.to_pylist()], pa.string())
-            many = np.append(0, pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).cumsum())
-            yield pa.ListArray.from_arrays(
-                pa.array(many, pa.int32()), lemmas.take(coded.indices), mask=tokens.is_null()
-            )
+            yield _replaced(tokens, shared.value)
 
     return look_up
 
 
+def _changed_words():
+    """A function of token arrays, and of the words that change in them and their lemmas. A word has one lemma
+    everywhere, so a batch needs one table and one look-up for each distinct word."""
+    @F.arrow_udf("array<string>")
+    def change(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for tokens, words, lemmas in batches:
+            table = dict(zip(words.flatten().to_pylist(), lemmas.flatten().to_pylist()))
+            yield _replaced(tokens, table)
+
+    return change
+
+
+def _replaced(tokens: pa.Array, table: dict[str, str]) -> pa.Array:
+    coded = tokens.flatten().dictionary_encode()
+    lemmas = pa.array([table.get(w, w) for w in coded.dictionary.to_pylist()], pa.string())
+    many = np.append(0, pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).cumsum())
+    return pa.ListArray.from_arrays(pa.array(many, pa.int32()), lemmas.take(coded.indices), mask=tokens.is_null())
+
+
 def lemmatize_words(
     df: DataFrame, tokens_col: str, lemmas: DataFrame, output_col: str = "lemmatized_words",
     max_broadcast: int = MAX_BROADCAST_LEMMAS,
@@ -152,6 +165,8 @@ def _changing(lemmas: DataFrame) -> DataFrame:
 
 def _small_table(lemmas: DataFrame, limit: int) -> dict[str, str] | None:
     """The lemma table as a dict, or None above ``limit`` rows."""
+    if limit <= 0:  # asked for the join
+        return None
     rows = _changing(lemmas).limit(limit + 1).toArrow()
     if rows.num_rows > limit:
         return None
@@ -164,16 +179,18 @@ def _joined_lemmas(
     """The look-up as a join. Rows get numbers in a written table, so that rows without a key, or with
     a repeated one, keep to themselves."""
     rows = stored(df.select("*", tokens.alias("__tokens"), F.monotonically_increasing_id().alias("__row")))
-    words = rows.select("__row", F.posexplode("__tokens").alias("__at", "__word"))
-    table = _changing(lemmas).select(F.col("word").alias("value"), F.col("lemma").alias("__lemma"))
-    found = join_by_value(words, "__word", count_of(words, "__word"), table)
-    pair = F.struct("__at", F.coalesce("__lemma", "__word").alias("w"))
-    rebuilt = found.groupBy("__row").agg(  # a group is one row's own tokens
-        F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["w"]).alias("__ws")
+    # a row sends each of its words once, and gets back those that change
+    words = rows.select("__row", F.explode(F.array_distinct("__tokens")).alias("__word")).where("__word IS NOT NULL")
+    # both are read several times, and may come from a scan of all texts
+    table = stored(_changing(lemmas).select(F.col("word").alias("value"), F.col("lemma").alias("__lemma")))
+    counts = stored(count_of(words, "__word"))
+    found = join_by_value(words, "__word", counts, table).where("__lemma IS NOT NULL")
+    changed = found.groupBy("__row").agg(  # a group is one row's own words
+        F.collect_list(F.struct("__word", "__lemma")).alias("__changed")
     )
-    done = F.when(F.col("__tokens").isNotNull(), F.coalesce("__ws", F.array().cast("array<string>")))
+    back = rows.join(changed, "__row", "left")
+    done = _changed_words()(col("__tokens"), F.col("__changed.__word"), F.col("__changed.__lemma"))
     new = (F.array_join(done, " ") if as_text else done).alias(output)
-    back = rows.join(rebuilt, "__row", "left")
     if output in df.columns:
         return back.select(*[new if c == output else col(c) for c in df.columns])
     return back.select(*[col(c) for c in df.columns], new)
