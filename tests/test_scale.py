@@ -1,5 +1,8 @@
 """Sizes must not change answers: wide tables, both paths of an operator, texts in files."""
 
+from decimal import Decimal
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +170,41 @@ def test_correlations_of_sixty_columns(spark):
             assert value == 0.0
 
 
+@pytest.mark.parametrize("own", [None, "65535", "4000"])
+def test_rows_of_correlations_are_made_by_methods_that_are_compiled(spark, monkeypatch, own):
+    name, held = "spark.sql.codegen.hugeMethodLimit", []
+    plain = charts.stored
+    monkeypatch.setattr(charts, "stored", lambda parts: held.append(int(spark.conf.get(name))) or plain(parts))
+    values = [F.when((F.col("id") + i) % (5 + i % 9) != 0, (F.col("id") * (i + 1)).cast("double") + i) for i in range(60)]
+    df = spark.range(50).select(*[c.alias(f"c{i}") for i, c in enumerate(values)])
+    before = spark.conf.get(name, None)
+    try:
+        if own is not None:
+            spark.conf.set(name, own)
+        found = charts.correlations(df)
+        assert spark.conf.get(name, None) == (before if own is None else own)
+        with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+            charts.correlations(df.select((F.lit(1) / (F.col("c0") - 1)).alias("broken")))
+        assert spark.conf.get(name, None) == (before if own is None else own)
+    finally:
+        spark.conf.unset(name)
+    assert held[0] == min(8000, int(own or 8000)) and found.count() == 3600
+    assert all(r["corr"] == pytest.approx(1) for r in found.collect())
+
+
+def test_correlations_of_every_kind_of_number(spark):
+    rows = [(1, 2.0, Decimal("1.5"), 3.0), (2, float("nan"), Decimal("0.5"), 1.0), (None, 1.0, None, None),
+            (4, 5.0, Decimal("2.5"), 0.5), (5, None, Decimal("4.0"), float("nan")), (7, 4.0, Decimal("1.0"), 2.0)]
+    df = spark.createDataFrame(rows, "i int, d double, m decimal(5, 2), f float").repartition(3)
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in charts.correlations(df).collect()}
+    want = pd.DataFrame([[None if x is None else float(x) for x in r] for r in rows], columns=list("idmf")).corr(min_periods=2)
+    assert len(got) == 16
+    for (a, b), value in got.items():
+        assert value == pytest.approx(want.loc[a, b], abs=1e-9)
+    assert charts.correlations(df.limit(0)).where("corr = 0").count() == 16
+    assert charts.correlations(df.select(F.lit("x").alias("s"))).count() == 0
+
+
 def test_wide_rows_make_more_buckets(spark, monkeypatch):
     df = spark.range(40).select("id", F.repeat(F.lit("x"), 5000).alias("t"))
     assert ranges.ordered_buckets(df, ["id"]) is None

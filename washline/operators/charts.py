@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
@@ -15,6 +16,7 @@ from ..functions.columns import (
 )
 from ..functions.text import first_category
 from ..functions.words import LOOSE_CATEGORIES, STRICT_CATEGORIES
+from .checkpoints import stored
 from .counts import long_columns, picked_values, top_counts
 from .fit import scalars
 from .numeric import fences
@@ -27,6 +29,7 @@ CHART_COLUMNS = 10
 MISSING_LABEL = "<NULL>"
 RUN_TOGETHER = 100
 GRID = 99
+METHOD_LIMIT = ("spark.sql.codegen.hugeMethodLimit", 8000)  # bytes; the JVM never compiles a longer method
 BOX = (
     "column string, q1 double, median double, q3 double, whisker_low double, whisker_high double, outliers bigint"
 )
@@ -108,18 +111,35 @@ def top_categories(
     return shown.select("column", "rank", value.alias("value"), "n")
 
 
+@contextmanager
+def _compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """Stages whose generated method the JVM would interpret, as for the expressions of many columns, run as
+    several small methods instead. The session's own setting comes back afterwards."""
+    name, limit = METHOD_LIMIT
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(limit if before is None else min(limit, int(before))))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def correlations(df: DataFrame, column=None) -> DataFrame:
     """``(col_a, col_b, corr)`` for every ordered pair of numeric columns, over the rows where both are
     present; 0 where either has no spread there.
 
     Each task adds up, as matrix products over its Arrow batches, the counts, sums and products of all
-    pairs, so what is shuffled is one row a pair and task, however many rows or columns there are.
+    pairs, so what is written and shuffled is one row a pair and task, however many rows or columns there are.
     """
     names = targets(df, column, numeric_columns(df))
-    values = tidy(df, names).select(*[col(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)])
     if not names:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    parts = values.mapInArrow(_pair_sums(len(names)), PAIR)
+    values = df.select(F.array(*[col(n).cast("double") for n in names]).alias("row"))  # a matrix a batch
+    with _compiled_methods(df.sparkSession):
+        parts = stored(values.mapInArrow(_pair_sums(len(names)), PAIR))
     # parts have sums around means of their own; a middle of these is the centre of them all
     pair = Window.partitionBy("a", "b")
     dx, dy = F.col("mx") - F.avg("mx").over(pair), F.col("my") - F.avg("my").over(pair)
@@ -140,7 +160,7 @@ def correlations(df: DataFrame, column=None) -> DataFrame:
     covariance = (F.col("xy") - F.col("x") * F.col("y") / n) / n
     spread = F.sqrt(variance("xx", "x", "mx")) * F.sqrt(variance("yy", "y", "my"))
     corr = F.coalesce(F.try_divide(covariance, spread), F.lit(0.0))
-    every = values.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("a"))
+    every = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("a"))
     sums = every.select("a", F.explode(F.sequence(F.col("a"), F.lit(len(names) - 1))).alias("b")).join(
         total, ["a", "b"], "left"
     )
@@ -164,14 +184,12 @@ def _pair_sums(m: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.empty((batch.num_rows, m))
-            for i, c in enumerate(batch.columns):
-                x[:, i] = c.to_numpy(zero_copy_only=False)
-            gaps = np.isnan(x)
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+            gaps = np.isnan(x)  # NULL as well
             if shift is None:
                 shift = np.array([np.median(c[~g]) if not g.all() else 0.0 for c, g in zip(x.T, gaps.T)])
                 shift[~np.isfinite(shift)] = 0
-            x -= shift
+            x = x - shift
             if gaps.any():
                 x[gaps] = 0
                 there = (~gaps).astype(np.float64)
