@@ -250,3 +250,78 @@ def test_moments_of_many_columns_are_those_of_few(spark):
     for n in df.columns:
         for k, value in few[n].items():
             assert many[n][k] == (value if value is None else pytest.approx(value, rel=1e-9)), (n, k)
+
+
+ODD_CELLS = [
+    "CAST(id AS DOUBLE) * 0.5 - 40", "IF(id % 3 = 0, double('NaN'), IF(id % 2 = 0, -0.0D, 0.0D))", "CAST(NULL AS DOUBLE)",
+    "IF(id % 50 = 0, double('Infinity'), id % 9)", "IF(id < 2, 9007199254740992L + id, id)", "IF(id % 4 = 0, NULL, CAST(id % 7 AS SMALLINT))",
+    "CAST(id % 11 AS FLOAT) / 3", "CAST(id AS DECIMAL(20, 2)) / 8", "7", "IF(id = 5, 2.5D, NULL)",
+]
+ODD_TEXTS = [
+    "concat('t', id % 13)", "IF(id % 3 = 0, NULL, '')", "CAST(NULL AS STRING)", "concat(repeat('é', 200), id % 5)",
+    "concat('\\u00fe', '\\u00ff', char(0), id % 4)", "IF(id % 2 = 0, 'null', NULL)", "CAST(id AS STRING)",
+]
+
+
+def _wide(spark, texts=ODD_TEXTS, numbers=ODD_CELLS):
+    cells = [f"{e} AS n{i}_{k}" for k in range(3) for i, e in enumerate(numbers)]
+    cells += [f"{e} AS t{i}_{k}" for k in range(4) for i, e in enumerate(texts)]
+    return spark.range(400, numPartitions=3).selectExpr(*cells, "id % 2 = 0 AS flag", "date_add(DATE'2020-01-01', CAST(id % 3 AS INT)) AS day")
+
+
+def _analysed(df):
+    return {r["column"]: tuple(None if x is None or x != x else x for x in r[2:]) for r in profile.column_analysis(df).collect()}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_analysis_of_many_columns_is_that_of_few(spark, monkeypatch, small):
+    """Columns held whole, and sent in many parts before the end of a task."""
+    df = _wide(spark)
+    few = _analysed(df.select(*[c for c in df.columns if c.endswith("_0")], "flag", "day"))
+    for name, value in (("ROWS_PER_PART", 100), ("HELD", 500), ("HELD_TEXTS", 30)) if small else ():
+        monkeypatch.setattr(counts, name, value)
+    many = _analysed(df)
+    assert set(many) == set(df.columns)
+    for name, own in many.items():
+        want = few.get(name, few.get(name[:-1] + "0"))
+        assert own == tuple(pytest.approx(x, rel=1e-9) if isinstance(x, float) else x for x in want), name
+
+
+def test_analysis_of_many_columns_scans_a_few_times(spark):
+    """The number of rows, all of the numbers, all of the texts, and the values around the medians."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(400).mapInArrow(counted, "id long").selectExpr(
+        *[f"id * {i} + 0.5D AS c{i}" for i in range(30)], *[f"concat(id, '-', {i}) AS t{i}" for i in range(30)])
+    found = profile.column_analysis(df).collect()
+    assert {(r["unique_count"], r["median"]) for r in found if r["column"] in ("c2", "t2")} == {(400, 399.5), (400, None)}
+    assert read.value <= 4 * 400
+
+
+def test_analysis_of_many_columns_without_rows(spark):
+    df = _wide(spark).where("flag IS NULL")
+    assert {(x[1], x[2], x[4], *x[6:]) for x in _analysed(df).values()} == {(0, 0, 0, *[None] * 5)}
+
+
+def test_texts_that_are_not_utf8_are_counted(spark):
+    cells = [f"CAST(unhex(concat('61', IF(id % 3 = 0, 'FF', 'FE'), hex(id % {i + 2}))) AS STRING) AS t{i}" for i in range(25)]
+    df = spark.range(60).selectExpr(*cells)
+    want = df.selectExpr(*[f"count(DISTINCT t{i})" for i in range(25)]).first()
+    assert [r["unique_count"] for r in profile.column_analysis(df).collect()] == list(want)
+    assert [r["non_null"] for r in profile.column_analysis(df).collect()] == [60] * 25
+
+
+def test_heavy_and_wide_intervals_are_cut_further(spark, monkeypatch):
+    """Intervals of a first scan that are too large to fetch, beside others that are not."""
+    monkeypatch.setattr(quantiles, "FETCH", 20)
+    monkeypatch.setattr(quantiles, "FETCH_MOST", 20)
+    monkeypatch.setattr(quantiles, "HELD", 10)
+    df = _wide(spark)
+    few = {r["column"]: r["median"] for r in profile.column_analysis(df.select(*df.columns[:10])).collect()}
+    many = {r["column"]: r["median"] for r in profile.column_analysis(df).collect()}
+    assert {n: many[n] for n in few} == few

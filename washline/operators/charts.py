@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
@@ -18,7 +17,7 @@ from ..functions.text import first_category
 from ..functions.words import LOOSE_CATEGORIES, STRICT_CATEGORIES
 from .checkpoints import stored
 from .counts import long_columns, picked_values, top_counts
-from .fit import scalars
+from .fit import compiled_methods, scalars
 from .numeric import fences
 from .profile import per_column
 from .quantiles import quantiles
@@ -29,7 +28,6 @@ CHART_COLUMNS = 10
 MISSING_LABEL = "<NULL>"
 RUN_TOGETHER = 100
 GRID = 99
-METHOD_LIMIT = ("spark.sql.codegen.hugeMethodLimit", 8000)  # bytes; the JVM never compiles a longer method
 BOX = (
     "column string, q1 double, median double, q3 double, whisker_low double, whisker_high double, outliers bigint"
 )
@@ -111,22 +109,6 @@ def top_categories(
     return shown.select("column", "rank", value.alias("value"), "n")
 
 
-@contextmanager
-def _compiled_methods(spark: SparkSession) -> Iterator[None]:
-    """Stages whose generated method the JVM would interpret, as for the expressions of many columns, run as
-    several small methods instead. The session's own setting comes back afterwards."""
-    name, limit = METHOD_LIMIT
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(limit if before is None else min(limit, int(before))))
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
-
-
 def correlations(df: DataFrame, column=None) -> DataFrame:
     """``(col_a, col_b, corr)`` for every ordered pair of numeric columns, over the rows where both are
     present; 0 where either has no spread there.
@@ -138,7 +120,7 @@ def correlations(df: DataFrame, column=None) -> DataFrame:
     if not names:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
     values = df.select(F.array(*[col(n).cast("double") for n in names]).alias("row"))  # a matrix a batch
-    with _compiled_methods(df.sparkSession):
+    with compiled_methods(df.sparkSession):
         parts = stored(values.mapInArrow(_pair_sums(len(names)), PAIR))
     # parts have sums around means of their own; a middle of these is the centre of them all
     pair = Window.partitionBy("a", "b")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from typing import Any
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +14,8 @@ from ..functions.columns import (
     scalar_columns, string_columns, tidy,
 )
 from .counts import (
-    distinct_counts, long_columns, picked_values, ranked, slot_columns, top_counts, value_counts,
+    MANY_TEXTS, distinct_counts, long_columns, number_summaries, picked_values, plain_numbers, plain_texts, ranked,
+    slot_columns, text_summaries, top_counts, value_counts,
 )
 from .fit import scalars
 from .quantiles import quantiles
@@ -87,48 +86,7 @@ def basic_statistics(df: DataFrame) -> dict[str, dict[str, Any]]:
     if len(numbers) <= MANY_NUMBERS:
         return statistics(df, df.columns, _basics)
     others = [n for n in df.columns if n not in numbers]
-    found = statistics(df, others, _basics) if others else {}
-    found |= {n: {"non_null": 0, "nulls": 0, "min": None, "max": None, "mean": None, "std": None} for n in numbers}
-    for row in _number_moments(df, numbers).collect():  # one row per column
-        found[numbers[row["column"]]] = row.asDict()
-    return found
-
-
-def _number_moments(df: DataFrame, names: list[str]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for batch in batches:
-            for i, c in enumerate(batch.columns):
-                x = c.drop_null().to_numpy(zero_copy_only=False)
-                if not len(x):
-                    parts.append((i, 0, c.null_count, None, None, None, None))
-                    continue
-                with np.errstate(all="ignore"):  # infinities
-                    mean = x.mean()
-                    off = x - mean
-                    parts.append((i, len(x), c.null_count, x.min(), x.max(), mean, off @ off))
-            if len(parts) > 1 << 14:
-                yield table(parts)
-                parts = []
-        if parts:
-            yield table(parts)
-
-    def table(parts: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 4]
-        columns = [pa.array(x, k, from_pandas=False) for x, k in zip(zip(*parts), kinds)]
-        return pa.RecordBatch.from_arrays(columns, ["column", "n", "nulls", "min", "max", "mean", "m2"])
-
-    parts = df.select(*[number(df, n).alias(f"c{i}") for i, n in enumerate(names)]).mapInArrow(
-        run, "column int, n long, nulls long, min double, max double, mean double, m2 double"
-    )
-    n, every = F.col("n"), Window.partitionBy("column")  # a row a column and batch
-    centre = (F.sum(n * F.col("mean")).over(every) / F.sum(n).over(every))
-    off = F.col("mean") - F.col("centre")
-    return parts.withColumn("centre", F.when(n > 0, centre)).groupBy("column").agg(
-        F.sum("n").alias("non_null"), F.sum("nulls").alias("nulls"), F.min("min").alias("min"),
-        F.max("max").alias("max"), F.max("centre").alias("mean"),
-        F.when(F.sum("n") > 1, F.sqrt(F.sum(F.col("m2") + n * off * off) / (F.sum("n") - 1))).alias("std"),
-    )
+    return (statistics(df, others, _basics) if others else {}) | number_summaries(df, numbers)
 
 
 PROFILE_SCHEMA = (
@@ -244,11 +202,21 @@ ANALYSIS_SCHEMA = (
 
 def column_analysis(df: DataFrame, approx: bool = False) -> DataFrame:
     """Counts, shares, distinct values and, for numbers, mean, median, std, min and max."""
-    seen = basic_statistics(df)
-    numeric = numeric_columns(df)
+    numeric, scalar, texts = numeric_columns(df), scalar_columns(df), plain_texts(df)
+    seen: dict[str, dict[str, Any]] = {}
+    if not approx and len(numeric) > MANY_NUMBERS:  # all that one scan finds of them
+        seen |= number_summaries(df, numeric, plain_numbers(df), points=[0.5])
+    if not approx and len(texts) > MANY_TEXTS:
+        found = text_summaries(df, texts)
+        seen |= {n: x for n, x in found.items() if "nulls" in x}
+    rest = [n for n in df.columns if n not in seen]
+    if rest:
+        seen |= basic_statistics(df.select(*map(col, rest)))
     counts = {n: seen[n]["non_null"] for n in numeric}
-    medians = quantiles(df, {n: [0.5] for n in numeric}, counts, approx)
-    distinct = distinct_counts(df, scalar_columns(df), approx)
+    first = {n: seen[n]["first"] for n in numeric if seen[n].get("first")}
+    medians = quantiles(df, {n: [0.5] for n in numeric}, counts, approx, first=first)
+    distinct = {n: seen[n]["distinct"] for n in [*plain_numbers(df), *texts] if "distinct" in seen[n] and not approx}
+    distinct |= distinct_counts(df, [n for n in scalar if n not in distinct], approx)
 
     def share(part: int | None, n: str) -> float | None:
         rows = seen[n]["non_null"] + seen[n]["nulls"]
