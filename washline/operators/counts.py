@@ -26,7 +26,8 @@ from .quantiles import FIRST_CELLS, Interval, bits_of, ordered_bits, ranks_of, r
 MAP_SIDE_LIMIT = 1000  # the row-number limit that Spark pushes before a shuffle
 PARTS = 64
 ROWS_PER_PART = 1 << 20
-HELD = 1 << 22  # numbers of a task before they are sent
+HELD = 1 << 22  # numbers of a task before they are looked at, and half of the distinct ones it keeps
+AT_ONCE = 16  # columns whose distinct numbers a task keeps
 HELD_TEXTS = 1 << 17
 MANY_TEXTS = 20  # columns of texts that go as one value a row
 LONG_BYTES = 256
@@ -138,8 +139,20 @@ def number_summaries(
 
     Rows go to the tasks' functions as two arrays, of doubles and of whole numbers, a matrix a batch. Distinct numbers
     are sent once a task, as far as it can hold them, eight bytes wide and in parts by a hash of the number, so that a
-    part of a column holds about ``ROWS_PER_PART`` numbers however large the table.
+    part of a column holds about ``ROWS_PER_PART`` numbers however large the table. Above ``AT_ONCE`` columns of distinct
+    numbers there is a scan for each so many, as numbers that a task cannot hold are shuffled more than once.
     """
+    rows = df.count() if distinct else 0
+    groups = -(-len(names) // AT_ONCE) if distinct else 1
+    size = -(-len(names) // groups) if names else 1
+    out: dict[str, dict[str, Any]] = {}
+    for at in range(0, len(names), size):
+        some = names[at: at + size]
+        out |= _number_summaries(df, some, [n for n in some if n in distinct], moments, points, rows)
+    return out
+
+
+def _number_summaries(df, names, distinct, moments, points, rows) -> dict[str, dict[str, Any]]:
     out: dict[str, dict[str, Any]] = {
         n: {"non_null": 0, "nulls": 0, "min": None, "max": None, "mean": None, "std": None, "distinct": 0, "first": {}}
         for n in names
@@ -147,9 +160,6 @@ def number_summaries(
     whole = [n for n in names if isinstance(field(df, n).dataType, WHOLE)]
     doubles = [n for n in names if n not in whole]
     every = doubles + whole
-    if not every:
-        return out
-    rows = df.count() if distinct else 0
     parts = max(1, -(-rows // ROWS_PER_PART))
     tasks = min(len(distinct) * parts, len(distinct) * rows // (2 * HELD) + 1) + 1
     arrays = [F.array(*[col(n).cast("double") for n in doubles]).alias("doubles")] if doubles else []
@@ -248,14 +258,21 @@ def _numbers_sent(doubles: int, whole: int, distinct: list[bool], moments: bool,
                     held[i].append(_once(key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
         def crowded() -> Iterator[pa.RecordBatch]:
-            """Columns with more distinct numbers than their share are sent, the others go on being held."""
-            if sum(len(x) for own in held for x in own) <= limit:
+            """Beyond what is kept, columns go whose numbers hardly repeat, then others."""
+            if sum(len(x) for own in held for x in own) <= 2 * limit:
                 return
+            kept, repeats = 0, {}
             for i, own in enumerate(held):
-                if len(own) > 1:
-                    held[i] = own = [_once(np.concatenate(own))]
-                if own and len(own[0]) > limit // (2 * m):
-                    yield packed(i, own[0])
+                if own:
+                    held[i] = [_once(np.concatenate(own)) if len(own) > 1 else own[0]]
+                    repeats[i] = sum(map(len, own)) / max(len(held[i][0]), 1)
+                    kept += len(held[i][0])
+            if kept <= 1.5 * limit:
+                return
+            for i in sorted(repeats, key=lambda i: (repeats[i] > 1.1, -len(held[i][0]))):
+                if kept > limit and len(held[i][0]):
+                    yield packed(i, held[i][0])
+                    kept -= len(held[i][0])
                     held[i] = []
 
         for batch in batches:
